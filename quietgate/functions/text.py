@@ -121,32 +121,55 @@ def sentences(text: Column) -> Column:
     return F.transform(F.split(strip(text), SENTENCE_GAP), strip)
 
 
-def spans(text: Column, java_pattern: str, group: int = 0) -> Column:
-    """All matches with code-point offsets, end-exclusive; the second pass runs only where something matched."""
-
-    def place(found: Column) -> Column:
-        gaps = F.split(text, java_pattern, -1)
-        steps = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-        walked = F.aggregate(
-            steps,
-            F.struct(F.lit(0).alias("at"), F.array().cast(SPAN_TYPE).alias("out")),
-            lambda acc, s: let(
-                acc["at"] + F.char_length(s["g"]),
-                lambda start: let(
-                    start + F.char_length(s["m"]),
-                    lambda end: F.struct(
-                        end.alias("at"),
-                        F.array_append(
-                            acc["out"], F.struct(s["m"].alias("text"), start.alias("start"), end.alias("end"))
-                        ).alias("out"),
-                    ),
+def _walk(found: Column, gaps: Column) -> Column:
+    """Offsets of matches from the lengths of the matches and of the text between them, in one pass."""
+    steps = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    return F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN_TYPE).alias("out")),
+        lambda acc, s: let(
+            acc["at"] + F.char_length(s["g"]),
+            lambda start: let(
+                start + F.char_length(s["m"]),
+                lambda end: F.struct(
+                    end.alias("at"),
+                    F.array_append(
+                        acc["out"], F.struct(s["m"].alias("text"), start.alias("start"), end.alias("end"))
+                    ).alias("out"),
                 ),
             ),
-            lambda acc: acc["out"],
-        )
-        return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(SPAN_TYPE))
+        ),
+        lambda acc: acc["out"],
+    )
+
 
-    return let(F.regexp_extract_all(text, F.lit(java_pattern), F.lit(group)), place)
+def spans(text: Column, java_pattern: str) -> Column:
+    """All matches with code-point offsets, end-exclusive; the second pass runs only where something matched."""
+    return let(
+        F.regexp_extract_all(text, F.lit(java_pattern), F.lit(0)),
+        lambda found: F.when(F.size(found) > 0, _walk(found, F.split(text, java_pattern, -1)))
+        .otherwise(F.array().cast(SPAN_TYPE)))
+
+
+def with_spans(df: DataFrame, text: Column, patterns: Sequence[tuple[str, Column | None]], out: str) -> DataFrame:
+    """All matches of many patterns as one array of (start, end, ord, text), ord being the pattern's position.
+
+    ``patterns`` pairs a Java pattern with a necessary condition.  The regexes stay separate columns;
+    only texts with a match go on, and one shared expression turns matches into offsets.
+    """
+    none = F.array().cast("array<string>")
+    found = []
+    for java, condition in patterns:
+        matches = F.regexp_extract_all(text, F.lit(java), F.lit(0))
+        found.append(matches if condition is None else F.when(condition, matches).otherwise(none))
+    names = [f"{out}_{i}" for i in range(len(found))]
+    staged = df.select("*", *(c.alias(n) for c, n in zip(found, names)))
+    hit = [F.when(F.size(n) > 0, F.struct(F.lit(i).alias("ord"), F.col(n).alias("m"), F.split(text, java, -1).alias("g")))
+           for i, (n, (java, _)) in enumerate(zip(names, patterns))]
+    placed = F.flatten(F.transform(F.array_compact(F.array(*hit)), lambda h: F.transform(
+        _walk(h["m"], h["g"]), lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), h["ord"].alias("ord"), s["text"].alias("text")))))
+    return staged.withColumn(out, placed).drop(*names)
 
 
 def replace_from_right(text: Column, ordered: Column, replacement: Callable[[Column], Column]) -> Column:
@@ -170,3 +193,23 @@ def worst_of(values: Column, ranked: Sequence[str], default: str) -> Column:
     """Most severe of an array of ranked names."""
     top = F.array_max(F.transform(values, lambda v: rank_of(v, ranked)))
     return F.coalesce(F.element_at(strings(ranked), top), F.lit(default))
+
+
+def fenced(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column behind a one-element explode.
+
+    A filter on a plain projected column is pushed below the projection together with a copy of
+    the column's expression, which would run every regex twice.  A filter on a generated column
+    stays above it, while filters on other columns still pass through to the table scan.
+    """
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.explode_outer(F.array(value)).alias(name))
+
+
+def exploded(df: DataFrame, keep: Sequence[str], items: Column | str, position: str, item: str) -> DataFrame:
+    """One row per array element.
+
+    The outer form plus a filter on the position: the plain form makes the optimizer infer
+    ``size(items) > 0`` and evaluate the expression of the array a second time.
+    """
+    return df.select(*keep, F.posexplode_outer(items).alias(position, item)).where(F.col(position).isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import any_of, let, sentences, strings, strip, words
+from quietgate.functions.text import any_of, exploded, fenced, let, sentences, strings, strip, words
 
 VERIFIED_TYPE = "array<struct<claim:string,is_supported:boolean,confidence:double,supporting_context:string>>"
 
@@ -47,12 +47,12 @@ def support_score(claim: Column, context_lower: Column) -> Column:
     return let(F.array_except(words(F.lower(claim)), strings(v.CLAIM_STOP_WORDS)), scored)
 
 
-def windows_of(context: Column) -> Column:
-    """(position, window) pairs of a context, lower-cased once per text."""
+def windows_of(context: Column, context_lower: Column) -> Column:
+    """(position, window) pairs of a lower-cased context."""
     last = F.greatest(F.lit(1), F.char_length(context) - v.SNIPPET_CHARS) - 1
     return F.transform(
         F.sequence(F.lit(0), last, F.lit(v.SNIPPET_STEP)),
-        lambda i: F.struct(i.alias("at"), F.substring(F.lower(context), i + 1, F.lit(v.SNIPPET_CHARS)).alias("w")))
+        lambda i: F.struct(i.alias("at"), F.substring(context_lower, i + 1, F.lit(v.SNIPPET_CHARS)).alias("w")))
 
 
 def best_snippet(claim: Column, context: Column, windows: Column) -> Column:
@@ -85,9 +85,9 @@ def verified_of(claims: Column, context: Column, context_lower: Column, windows:
 def verify(df: DataFrame, output: str = "output", context: str = "context", out: str = "verified") -> DataFrame:
     """Claims of ``output`` checked against ``context`` as an array of verdicts."""
     staged = df.select("*", claims_of(F.col(output)).alias("__claims"), F.lower(context).alias("__ctx")).withColumn(
-        "__win", F.when(F.size("__claims") > 0, windows_of(F.col(context))))
-    return staged.withColumn(
-        out, verified_of(F.col("__claims"), F.col(context), F.col("__ctx"), F.col("__win")).cast(VERIFIED_TYPE)
+        "__win", F.when(F.size("__claims") > 0, windows_of(F.col(context), F.col("__ctx"))))
+    return fenced(
+        staged, out, verified_of(F.col("__claims"), F.col(context), F.col("__ctx"), F.col("__win")).cast(VERIFIED_TYPE)
     ).drop("__claims", "__ctx", "__win")
 
 
@@ -96,13 +96,13 @@ def score(df: DataFrame, verified: str = "verified", out: str = "hallucination")
     staged = df.withColumn("__bad", F.size(F.filter(verified, lambda x: ~x["is_supported"])))
     total, bad = F.size(verified), F.col("__bad")
     share = F.when(total > 0, bad.cast("double") / total.cast("double")).otherwise(F.lit(0.0))
-    return staged.withColumn(out, F.when(F.col(verified).isNotNull(), F.struct(
+    return fenced(staged, out, F.when(F.col(verified).isNotNull(), F.struct(
         total.alias("total_claims"), (total - bad).alias("supported_claims"), bad.alias("unsupported_claims"),
         share.alias("hallucination_score"), (bad > 0).alias("has_hallucinations")))).drop("__bad")
 
 
 def claim_table(df: DataFrame, keys: list[str], verified: str = "verified") -> DataFrame:
-    return df.select(*keys, F.posexplode(verified).alias("claim_no", "c")).select(*keys, "claim_no", "c.*")
+    return exploded(df, keys, verified, "claim_no", "c").select(*keys, "claim_no", "c.*")
 
 
 JUDGE_SCHEMA = "is_supported boolean, confidence double, supporting_text string"

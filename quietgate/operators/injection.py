@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import Forms, forms_of, kept, let, rx, strings, with_forms
+from quietgate.functions.text import Forms, exploded, fenced, forms_of, kept, let, rx, strings, with_forms
 from quietgate.operators.encoding import decoded_items
 
 Rule = tuple[str, str, str]  # name, category, pattern
@@ -115,7 +115,7 @@ def detect(df: DataFrame, text: str = "text", sensitivity: str = "medium",
     rules = [*v.INJECTION_PATTERNS, *usable_rules(df.sparkSession, custom_patterns)[0]]
     staged, forms, extra = with_forms(df, text)
     layered, more = add_layers(staged, forms, rules)
-    return layered.withColumn(out, result_struct(F.col(text), threshold_of(sensitivity))).drop(*extra, *more)
+    return fenced(layered, out, result_struct(F.col(text), threshold_of(sensitivity))).drop(*extra, *more)
 
 
 def detect_patterns(df: DataFrame, text: str = "text", rules: Sequence[Rule] = v.INJECTION_PATTERNS,
@@ -124,7 +124,7 @@ def detect_patterns(df: DataFrame, text: str = "text", rules: Sequence[Rule] = v
     staged, forms, extra = with_forms(df, text)
     named = staged.withColumn("__names", pattern_names(forms, rules))
     confidence = stepped_confidence(F.size("__names"), v.PATTERN_BASE, v.PATTERN_STEP)
-    return named.withColumn(out, F.when(F.col(text).isNotNull(), F.struct(
+    return fenced(named, out, F.when(F.col(text).isNotNull(), F.struct(
         ((F.size("__names") > 0) & (confidence >= threshold_of(sensitivity))).alias("is_injection"),
         confidence.alias("confidence"), F.col("__names").alias("matched_patterns"),
     ))).drop("__names", *extra)
@@ -136,7 +136,7 @@ def detect_structural(df: DataFrame, text: str = "text", sensitivity: str = "med
     staged, forms, extra = with_forms(df, text)
     named = staged.withColumn("__names", marker_names(forms))
     confidence = stepped_confidence(F.size("__names"), v.STRUCTURAL_BASE, v.STRUCTURAL_STEP)
-    return named.withColumn(out, F.when(F.col(text).isNotNull(), F.struct(
+    return fenced(named, out, F.when(F.col(text).isNotNull(), F.struct(
         ((F.size("__names") > 0) & (confidence >= threshold_of(sensitivity))).alias("is_injection"),
         confidence.alias("confidence"), F.col("__names").alias("matched_patterns"),
     ))).drop("__names", *extra)
@@ -148,7 +148,7 @@ def detect_encoded(df: DataFrame, text: str = "text", sensitivity: str = "medium
     held = staged.withColumn("__d", decoded_items(forms)).withColumn("__n", encoded_names(F.col("__d")))
     confidence = (F.when(F.size("__n") > 0, F.lit(v.ENCODED_HIT))
                   .when(F.size("__d") > 0, F.lit(v.ENCODED_ONLY)).otherwise(F.lit(0.0)))
-    return held.withColumn(out, F.when(F.col(text).isNotNull(), F.struct(
+    return fenced(held, out, F.when(F.col(text).isNotNull(), F.struct(
         ((F.size("__n") > 0) & (confidence >= threshold_of(sensitivity))).alias("is_injection"),
         confidence.alias("confidence"), F.col("__n").alias("matched_patterns"), F.size("__d").alias("decoded_items"),
     ))).drop("__d", "__n", *extra)
@@ -170,7 +170,7 @@ def category_counts(df: DataFrame, text: str = "text", rules: Sequence[Rule] = v
         by_category.setdefault(category, []).append((name, category, pattern))
     per_row = F.array(*(F.struct(F.lit(c).alias("category"), F.size(pattern_names(forms, r)).alias("hits"))
                         for c, r in by_category.items()))
-    hits = staged.select(F.explode(F.filter(per_row, lambda x: x["hits"] > 0)).alias("x")).select("x.*")
+    hits = exploded(staged, (), F.filter(per_row, lambda x: x["hits"] > 0), "pos", "x").select("x.*")
     return hits.groupBy("category").agg(F.count("*").alias("texts"), F.sum("hits").alias("hits"))
 
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import any_of, replace_from_right, rx, spans, with_forms, worst_of
+from quietgate.functions.text import any_of, fenced, replace_from_right, rx, with_forms, with_spans, worst_of
 from quietgate.operators import policy as policy_rules, toxicity
 
 FILTER_SEVERITIES = ("info", "warning", "critical")
@@ -26,21 +26,19 @@ def _violation(category: Column, matched: Column, severity: Column, action: Colu
                     action.alias("action"), start.alias("start"), end.alias("end"))
 
 
-def profanity_of(lower: Column, words: Sequence[str] | None = None) -> Column:
+def add_profanity(df: DataFrame, lower: Column, words: Sequence[str] | None, out: str) -> DataFrame:
     """Whole-word hits in list order, offsets in the lower-cased text."""
-    found = []
-    for word in words or v.PROFANITY:
-        hits = F.transform(spans(lower, _word(word)), lambda s: _violation(
-            F.lit("profanity"), s["text"], F.lit("warning"), F.lit("redact"), s["start"], s["end"]))
-        # The lower-cased text still holds characters that fold to ASCII (dotless i, long s, Kelvin
-        # sign is lowered), so the guard is only trusted for the rest.
-        guard = lower.contains(word.lower()) | lower.rlike("[ſı]")
-        found.append(F.when(guard, hits).otherwise(F.array().cast(VIOLATION_TYPE)))
-    return F.concat(*found)
+    # Lower-cased text may still hold a dotless i or a long s, which match i and s.
+    folds = lower.rlike("[ſı]")
+    found = with_spans(df, lower, [(_word(w), lower.contains(w.lower()) | folds) for w in words or v.PROFANITY], "__words")
+    return found.withColumn(out, F.transform("__words", lambda s: _violation(
+        F.lit("profanity"), s["text"], F.lit("warning"), F.lit("redact"), s["start"], s["end"]))).drop("__words")
 
 
 def profanity(df: DataFrame, text: str = "text", words: Sequence[str] | None = None, out: str = "profanity") -> DataFrame:
-    return df.withColumn("__l", F.lower(text)).withColumn(out, profanity_of(F.col("__l"), words)).drop("__l")
+    lowered = df.withColumn("__l", F.lower(text))
+    found = add_profanity(lowered, F.col("__l"), words, "__p")
+    return fenced(found, out, F.col("__p")).drop("__l", "__p")
 
 
 def mask_profanity(df: DataFrame, text: str = "text", words: Sequence[str] | None = None,
@@ -60,7 +58,7 @@ def filter_content(df: DataFrame, text: str = "text", policy: policy_rules.Polic
                    replacement: str = v.PROFANITY_REPLACEMENT, out: str = "filter") -> DataFrame:
     """Violations from toxicity, an optional policy and profanity; block, redact, log or none."""
     staged, forms, extra = with_forms(df, text)
-    scored, names = toxicity.add_scores(staged, forms)
+    scored, names = toxicity.add_scores(add_profanity(staged, forms.lower, words, "__profane"), forms)
     none, zero = F.array().cast(VIOLATION_TYPE), F.lit(0)
     flagged = []
     for category in toxicity.CATEGORIES:
@@ -79,7 +77,7 @@ def filter_content(df: DataFrame, text: str = "text", policy: policy_rules.Polic
             F.when(x["severity"] == "critical", F.lit("critical"))
             .when(x["severity"].isin("high", "medium"), F.lit("warning")).otherwise(F.lit("info")),
             x["action"], zero, zero))
-    held = scored.withColumn("__all", F.concat(toxic, ruled, profanity_of(forms.lower, words)))
+    held = scored.withColumn("__all", F.concat(toxic, ruled, F.col("__profane")))
     found = F.col("__all")
     worst = worst_of(found["severity"], FILTER_SEVERITIES, "none")
     action = (F.when(worst == "critical", F.lit("block")).when(worst == "warning", F.lit("redact"))
@@ -92,7 +90,7 @@ def filter_content(df: DataFrame, text: str = "text", policy: policy_rules.Polic
     decided = held.withColumn("__action", action)
     filtered = F.when(F.col("__action") == "redact",
                       replace_from_right(F.col(text), placed, lambda _: F.lit(replacement))).otherwise(F.col(text))
-    return decided.withColumn(out, F.when(F.col(text).isNotNull(), F.struct(
+    return fenced(decided, out, F.when(F.col(text).isNotNull(), F.struct(
         filtered.alias("filtered_text"), found.alias("violations"), F.col("__action").alias("action"),
         (F.size(found) == 0).alias("is_clean"),
-    ))).drop("__all", "__action", *extra, *names)
+    ))).drop("__all", "__action", "__profane", *extra, *names)

@@ -7,9 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import Forms, rx, spans, with_forms
+from quietgate.functions.text import exploded, fenced, rx, strings, with_forms, with_spans
 
-SPANS_TYPE = "array<struct<start:int,end:int,ord:int,entity_type:string,text:string,confidence:double>>"
 Pattern = tuple[str, str, float]
 
 
@@ -36,18 +35,6 @@ def chosen(entity_types: Sequence[str] | None, custom: Mapping | None) -> list[t
     return picked
 
 
-def entities_of(forms: Forms, entity_types: Sequence[str] | None = None, custom: Mapping | None = None) -> Column:
-    """All spans of all patterns; the field order (start, end, ord, ...) makes equal spans neighbours."""
-    found = []
-    for ord_, (entity, pattern, confidence, ignore_case) in enumerate(chosen(entity_types, custom)):
-        tagged = F.transform(spans(forms.text, rx(pattern, ignore_case)), lambda s, e=entity, o=ord_, c=confidence: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), F.lit(o).alias("ord"), F.lit(e).alias("entity_type"),
-            s["text"].alias("text"), F.lit(c).alias("confidence")))
-        condition = forms.may_match(pattern, ignore_case)
-        found.append(tagged if condition is None else F.when(condition, tagged).otherwise(F.array().cast(SPANS_TYPE)))
-    return F.array_sort(F.concat(*found))
-
-
 def _first_of_equal_spans(sorted_spans: Column) -> Column:
     return F.filter(sorted_spans, lambda e, i: (i == 0) | ~_same_span(F.get(sorted_spans, i - 1), e))
 
@@ -60,14 +47,19 @@ def add_entities(df: DataFrame, text: str, entity_types: Sequence[str] | None =
                  out: str = "entities") -> DataFrame:
     """Entity array in two narrow steps: collect and sort spans, then keep the first found of equal spans.
 
-    The result is ordered by start, entities with the same start in detection order.
+    The field order (start, end, ord, ...) makes equal spans neighbours; the result is ordered by
+    start, entities with the same start in detection order.
     """
+    picked = chosen(entity_types, custom)
     staged, forms, extra = with_forms(df, text)
-    collected = staged.withColumn("__spans", entities_of(forms, entity_types, custom)).drop(*extra)
+    found = with_spans(staged, forms.text, [(rx(p, fold), forms.may_match(p, fold)) for _, p, _, fold in picked], "__spans")
+    collected = found.withColumn("__spans", F.array_sort("__spans")).drop(*extra)
+    kinds = strings([t for t, *_ in picked])
+    levels = F.array(*(F.lit(c) for _, _, c, _ in picked)) if picked else F.array().cast("array<double>")
     distinct = F.transform(_first_of_equal_spans(F.col("__spans")), lambda e: F.struct(
         e["start"].alias("start"), e["ord"].alias("ord"), e["end"].alias("end"),
-        e["entity_type"].alias("entity_type"), e["text"].alias("text"), e["confidence"].alias("confidence")))
-    return collected.withColumn(out, F.when(F.col(text).isNotNull(), F.array_sort(distinct))).drop("__spans")
+        F.get(kinds, e["ord"]).alias("entity_type"), e["text"].alias("text"), F.get(levels, e["ord"]).alias("confidence")))
+    return fenced(collected, out, F.when(F.col(text).isNotNull(), F.array_sort(distinct))).drop("__spans")
 
 
 def detect(df: DataFrame, text: str = "text", entity_types: Sequence[str] | None = None,
@@ -78,8 +70,7 @@ def detect(df: DataFrame, text: str = "text", entity_types: Sequence[str] | None
 
 def entity_table(df: DataFrame, keys: Sequence[str], entities: str = "entities") -> DataFrame:
     """One row per entity."""
-    exploded = df.select(*keys, F.posexplode(entities).alias("pos", "e"))
-    return exploded.select(*keys, "pos", "e.entity_type", "e.text", "e.start", "e.end", "e.confidence")
+    return exploded(df, keys, entities, "pos", "e").select(*keys, "pos", "e.entity_type", "e.text", "e.start", "e.end", "e.confidence")
 
 
 def by_type(df: DataFrame, entities: str = "entities", out: str = "by_type") -> DataFrame:
@@ -101,5 +92,5 @@ def type_counts(df: DataFrame, by: Sequence[str], entities: str = "entities") ->
     types = F.array_distinct(F.transform(e, lambda x: x["entity_type"]))
     per_row = F.transform(types, lambda t: F.struct(
         t.alias("entity_type"), F.size(F.filter(e, lambda x: x["entity_type"] == t)).alias("n")))
-    return df.select(*by, F.explode(per_row).alias("c")).groupBy(*by, "c.entity_type").agg(
+    return exploded(df, by, per_row, "pos", "c").groupBy(*by, "c.entity_type").agg(
         F.sum("c.n").alias("entities"), F.count("*").alias("texts"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import Forms, rx, with_forms, worst_of
+from quietgate.functions.text import Forms, fenced, rx, with_forms, worst_of
 
 RULES_SCHEMA = (
     "policy_ord int, policy string, description string, action string, severity string, enabled boolean, "
@@ -141,7 +141,7 @@ def evaluate(df: DataFrame, policies: Sequence[Policy], text: str = "text", scor
     staged, forms, extra = with_forms(df, text)
     held = staged.withColumn("__found", violations_of(forms, policies, F.col(score) if score else None))
     found = F.col("__found")
-    return held.withColumn(out, F.when(F.col(text).isNotNull(), F.struct(
+    return fenced(held, out, F.when(F.col(text).isNotNull(), F.struct(
         (F.size(found) == 0).alias("passed"),
         found.alias("violations"),
         worst_of(found["action"], v.ACTIONS, "log").alias("action"),

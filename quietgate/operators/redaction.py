@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import let, replace_from_right
+from quietgate.functions.text import exploded, fenced, let, replace_from_right
 from quietgate.operators import pii
 
 STRATEGIES = ("mask", "hash", "placeholder", "anonymize")
@@ -88,7 +88,7 @@ def redact_entities(df: DataFrame, text: str, entities: str, strategy: str = "ma
     """Redact the given entity array; adds the text and the replacement list."""
     source = F.when(F.size(entities) > 0, merged_spans(F.col(entities))).otherwise(F.col(entities)) \
         if merge_overlaps else F.col(entities)
-    listed = df.withColumn(f"{out}_spans", replacements(source, strategy, mask_text))
+    listed = fenced(df, f"{out}_spans", replacements(source, strategy, mask_text))
     spans = F.col(f"{out}_spans")
     return listed.withColumn(
         out, F.when(F.size(spans) > 0, replace_from_right(F.col(text), spans, lambda s: s["replacement"]))
@@ -130,7 +130,7 @@ def replacement_map(spans: Column) -> Column:
 
 def mapping_table(df: DataFrame, key: str, spans: str = "redacted_spans") -> DataFrame:
     """The replacement map as a side table (key, ord, replacement, original)."""
-    return df.select(key, F.posexplode(replacement_map(F.col(spans))).alias("ord", "m")).select(
+    return exploded(df, [key], replacement_map(F.col(spans)), "ord", "m").select(
         key, "ord", "m.replacement", "m.original")
 
 

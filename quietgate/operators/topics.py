@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import any_of, let, strings, words
+from quietgate.functions.text import fenced, let, strings, words
 
 STEM = 4
 
@@ -98,4 +98,4 @@ def check(df: DataFrame, text: str = "text", allowed: Sequence[str] = (), blocke
     for i, topic in reversed(list(enumerate(blocked))):
         result = F.when(share(f"__b{i}", topic) >= F.lit(v.TOPIC_HIT), verdict(
             F.lit(False), F.lit(topic), share(f"__b{i}", topic), null, F.col(f"__b{i}"))).otherwise(result)
-    return matched.withColumn(out, F.when(F.col(text).isNotNull(), result)).drop(*names)
+    return fenced(matched, out, F.when(F.col(text).isNotNull(), result)).drop(*names)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import Forms, kept, with_forms
+from quietgate.functions.text import Forms, fenced, kept, with_forms
 
 CATEGORIES = tuple(category for category, *_ in v.TOXICITY)
 
@@ -51,7 +51,7 @@ def classify(df: DataFrame, text: str = "text", threshold: float = v.TOXICITY_TH
     """Scores, overall score, verdict and flagged categories as one struct column."""
     staged, forms, extra = with_forms(df, text)
     scored, names = add_scores(staged, forms)
-    return scored.withColumn(out, result_struct(F.col(text), threshold, category_thresholds)).drop(*extra, *names)
+    return fenced(scored, out, result_struct(F.col(text), threshold, category_thresholds)).drop(*extra, *names)
 
 
 REPLY_SCHEMA = "scores map<string,double>, overall double, flagged array<string>"
@@ -60,7 +60,7 @@ REPLY_SCHEMA = "scores map<string,double>, overall double, flagged array<string>
 def prefer_reply(df: DataFrame, reply: str, toxicity: str = "toxicity", threshold: float = v.TOXICITY_THRESHOLD,
                  out: str = "judged") -> DataFrame:
     """Use an external classifier's JSON reply where it parses, the rule result elsewhere."""
-    staged = df.withColumn("__reply", F.from_json(reply, REPLY_SCHEMA, {"columnNameOfCorruptRecord": "__bad"}))
+    staged = df.withColumn("__reply", F.from_json(reply, REPLY_SCHEMA))
     said, base = F.col("__reply"), F.col(toxicity)
     parsed = F.try_parse_json(F.col(reply)).isNotNull() & F.json_object_keys(reply).isNotNull()
     scores = F.coalesce(said["scores"], F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import Forms, let, rx, sentences, strings, with_forms, words
+from quietgate.functions.text import fenced, let, rx, sentences, strings, with_forms, words
 from quietgate.operators import toxicity
 from quietgate.operators.grounding import share_contained
 
@@ -133,6 +133,6 @@ def validate(df: DataFrame, prompt: str = "prompt", output: str = "output", cont
         issues.append(format_issues(F.col(output), expected))
     held = measured.withColumn("__issues", F.concat(*issues))
     bad = F.exists("__issues", lambda i: i["severity"].isin("high", "critical"))
-    return held.withColumn(out, F.when(F.col(output).isNotNull(), F.struct(
+    return fenced(held, out, F.when(F.col(output).isNotNull(), F.struct(
         (~bad).alias("is_valid"), F.col("__issues").alias("issues"), F.col("__rel").alias("relevance"),
     ))).drop("__issues", *parts, *extra, *names)

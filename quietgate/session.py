@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rule sets become large expression trees: recording a call site per node costs more than building it.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Regex work is CPU bound: small input splits give every core something to do.
     "spark.sql.files.maxPartitionBytes": "32m",
 }
