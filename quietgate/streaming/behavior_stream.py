@@ -47,7 +47,10 @@ def judge(history: list[tuple], limits: Limits) -> tuple[str | None, float, str]
 
 
 def _risk(n: int, counts: list[int]) -> float:
-    return min(sum((c / n * w for c, w in zip(counts, v.RISK_WEIGHTS)), 0.0), 1.0) if n else 0.0
+    if not n:
+        return 0.0
+    injected, toxic, blocked = (c / n * w for c, w in zip(counts, v.RISK_WEIGHTS))
+    return min(injected + toxic + blocked, 1.0)  # plain additions: sum() would round differently
 
 
 class BehaviorProcessor(StatefulProcessor):
