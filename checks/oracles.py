@@ -129,6 +129,9 @@ def over(limit: float, special: dict | None = None) -> str:
 
 
 def matched(kind: str, value, text: str = "text") -> str:
+    if kind == "whole words":  # RE2's \b knows ASCII only, so the neighbours are spelled out
+        around = rf"(?i-s)(?:^|[^\p{{L}}\p{{N}}_])({value})(?:$|[^\p{{L}}\p{{N}}_])"
+        return f"CASE WHEN regexp_matches({text}, {s(around)}) THEN regexp_extract({text}, {s(around)}, 1) END"
     if kind == "regex":
         return f"CASE WHEN {matches(text, value)} THEN regexp_extract({text}, {s('(?i-s)' + value)}) END"
     return "CASE " + " ".join(f"WHEN contains(lower({text}), {s(w.lower())}) THEN {s(w)}" for w in value) + " END"
@@ -163,7 +166,7 @@ def simple(*rules, action: str = "block", severity: str = "high"):
 
 
 FILE_RULES = [("words", "", "warn", "low", (("keyword", "has of or der", ("of the", "der die")),
-                                            ("regex", "long word", r"\b[a-z]{18,}\b"))),
+                                            ("whole words", "long word", "[a-z]{18,}"))),
               ("defaults", "", "block", "high", (("keyword", "bomb", ("Bomb",)),))]
 EDITED = [v.PRESETS["moderate"][0], v.PRESETS["moderate"][1],
           ("extra", "", "warn", "medium", (("keyword", "extra words", ("skill", "that")),))]
@@ -207,7 +210,7 @@ def replacement(strategy: str) -> str:
     if strategy == "anonymize":
         return "CASE entity_type " + " ".join(
             f"WHEN '{t}' THEN [{', '.join(map(s, o))}][(n - 1) % {len(o)} + 1]" for t, o in v.STAND_INS.items()) + " END"
-    return "'***'" if strategy == "stars" else "'[REDACTED]'"
+    return "'[REDACTED]'"
 
 
 def redact_ctes(strategy: str, picked=None, given: str | None = None) -> str:
@@ -499,9 +502,12 @@ ORACLES: dict[str, str] = {
     "profanity_spans": (
         f"WITH {DOCS}, low AS (SELECT doc_id, lower(text) AS text FROM docs), raw AS ({profane(q.WORDS)}) SELECT doc_id, "
         "row_number() OVER (PARTITION BY doc_id ORDER BY ord, i) - 1 AS pos, hit AS matched_text, start, start + length(hit) AS \"end\" FROM raw"),
-    "profanity_redact": "WITH RECURSIVE " + redact_ctes("stars", given=(
-        f"{DOCS}, low AS (SELECT doc_id, lower(text) AS text FROM docs), ents AS (SELECT doc_id, ord, '' AS entity_type, hit, start, start + length(hit) AS stop "
-        f"FROM ({profane(q.WORDS)}))")) + " SELECT doc_id, md5(redacted) AS digest, length(redacted) AS chars FROM done",
+    "profanity_redact": (
+        f"WITH {DOCS}, low AS (SELECT doc_id, lower(text) AS text FROM docs), pr AS (SELECT doc_id, start, start + length(hit) AS stop, "
+        f"coalesce(lag(start + length(hit)) OVER (PARTITION BY doc_id ORDER BY start), 0) AS since FROM ({profane(q.WORDS)})), "
+        "pc AS (SELECT doc_id, string_agg(substr(text, since + 1, start - since) || '***', '' ORDER BY start) AS head, max(stop) AS stop FROM pr JOIN docs USING (doc_id) "
+        "GROUP BY doc_id), m AS (SELECT doc_id, coalesce(head, '') || substr(text, coalesce(stop, 0) + 1) AS f FROM docs LEFT JOIN pc USING (doc_id)) "
+        "SELECT doc_id, md5(f) AS digest, length(f) AS chars FROM m"),
     "content_filter": (
         f"WITH {DOCS}, low AS (SELECT doc_id, lower(text) AS text FROM docs), raw AS ({profane(v.PROFANITY)}), pr AS (SELECT doc_id, "
         "list({'category': 'profanity', 'hit': hit, 'severity': 'warning'} ORDER BY ord, i) AS f FROM raw GROUP BY doc_id), "

@@ -15,7 +15,7 @@ incoming state can be described without knowing that state:
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -85,52 +85,90 @@ def _summarise(rows: pd.DataFrame, window: int) -> dict:
             "checks": n, "idle_tokens": idle}
 
 
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Contiguous groups of sorted batches; only the group that a batch ends in is carried over."""
+    rest: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        columns = [batch[k].to_numpy() for k in keys]
+        if rest and any(rest[-1][k].iloc[-1] != c[0] for k, c in zip(keys, columns)):
+            yield pd.concat(rest)
+            rest = []
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        edges = [0, *new.tolist(), len(batch)]
+        for i, (first, stop) in enumerate(zip(edges, edges[1:])):
+            if i and rest:
+                yield pd.concat(rest)
+                rest = []
+            rest.append(batch.iloc[first:stop])
+    if rest:
+        yield pd.concat(rest)
+
+
 def _summaries(window: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "event_id"])
-        return pd.DataFrame([{"user_id": key[0], "epoch": key[1], "slice": key[2],
-                              "opened": int(rows["at"].iloc[0]), **_summarise(rows, window)}])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = []
+        for rows in _groups(batches, KEYS):
+            first = rows.iloc[0]
+            found.append({"user_id": first["user_id"], "epoch": first["epoch"], "slice": first["__slice"],
+                          "opened": int(first["at"]), **_summarise(rows, window)})
+            if len(found) >= 1000:
+                yield pd.DataFrame(found)
+                found = []
+        if found:
+            yield pd.DataFrame(found)
     return run
 
 
 def _chained(window: int, normal: int):
-    def run(key: tuple, slices: pd.DataFrame) -> pd.DataFrame:
-        slices = slices.sort_values("slice")
-        start, tokens = int(slices["opened"].iloc[0]), normal
-        out = []
-        for s in slices.itertuples(index=False):
-            out.append((key[0], key[1], s.slice, start, tokens))
-            i = int(np.searchsorted(np.asarray(s.upto, dtype=np.int64), start + window, side="left"))
-            if i < len(s.upto):
-                start, tokens = int(s.start_out[i]), int(s.tokens_out[i])
-            elif not pd.isna(s.idle_tokens):
-                tokens = int(s.idle_tokens)
-            else:
-                tokens = max(tokens - int(s.checks), 0)
-        return pd.DataFrame(out, columns=["user_id", "epoch", "slice", "start_in", "tokens_in"])
+    """Walk the slices of every user in order; the state is one window start and one token count."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, start, tokens = None, 0, normal
+        for batch in batches:
+            out = []
+            for s in batch.itertuples(index=False):
+                if key != (s.user_id, s.epoch):
+                    key, start, tokens = (s.user_id, s.epoch), int(s.opened), normal
+                out.append((*key, s.slice, start, tokens))
+                i = int(np.searchsorted(np.asarray(s.upto, dtype=np.int64), start + window, side="left"))
+                if i < len(s.upto):
+                    start, tokens = int(s.start_out[i]), int(s.tokens_out[i])
+                elif not pd.isna(s.idle_tokens):
+                    tokens = int(s.idle_tokens)
+                else:
+                    tokens = max(tokens - int(s.checks), 0)
+            yield pd.DataFrame(out, columns=["user_id", "epoch", "slice", "start_in", "tokens_in"])
     return run
 
 
 def _replayed(window: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "event_id"]).reset_index(drop=True)
-        start, tokens = int(rows["start_in"].iloc[0]), int(rows["tokens_in"].iloc[0])
-        allowed, remaining, starts, wait = [], [], [], []
-        for at, is_check, limit, changed in zip(rows["at"], rows["is_check"], rows["limit"], rows["changed"]):
-            if is_check and at - start >= window:
-                start, tokens = int(at), int(limit)
-            if changed:
-                tokens = int(limit)
-            ok = bool(is_check and tokens > 0)
-            tokens -= ok
-            allowed.append(ok)
-            remaining.append(tokens)
-            starts.append(start)
-            wait.append(None if ok or not is_check else max(start + window - at, 0) / SECOND)
-        rows["allowed"], rows["remaining"], rows["window_start"] = allowed, remaining, starts
-        rows["retry_after"] = pd.array(wait, dtype="Float64")
-        rows = rows[rows["is_check"]]
-        return rows[["user_id", "event_id", "at", "tier", "limit", "allowed", "remaining", "window_start", "retry_after"]]
+    """Replay sorted rows; every group opens with a row that holds its incoming state."""
+    columns = ["opens", "at", "is_check", "limit", "changed"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        start = tokens = 0
+        for batch in batches:
+            size = len(batch)
+            allowed, remaining = np.zeros(size, dtype=bool), np.zeros(size, dtype=np.int32)
+            starts, wait = np.zeros(size, dtype=np.int64), np.full(size, np.nan)
+            for i, (opens, at, is_check, limit, changed) in enumerate(zip(*(batch[c].tolist() for c in columns))):
+                if opens:
+                    start, tokens = at, limit
+                elif changed:
+                    tokens = limit
+                elif is_check:
+                    if at - start >= window:
+                        start, tokens = at, limit
+                    if tokens > 0:
+                        tokens -= 1
+                        allowed[i] = True
+                    else:
+                        wait[i] = max(start + window - at, 0) / SECOND
+                    remaining[i], starts[i] = tokens, start
+            done = batch.assign(allowed=allowed, remaining=remaining, window_start=starts, retry_after=wait)
+            yield done.loc[done["is_check"], ["user_id", "event_id", "at", "tier", "limit", "allowed", "remaining",
+                                              "window_start", "retry_after"]]
     return run
 
 
@@ -144,18 +182,24 @@ def check(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
     before = tier_of(F.col("warning_count") - (F.col("kind") == "warning").cast("int"),
                      F.col("block_count") - (F.col("kind") == "block").cast("int"), settings)
     rows = tiered.select(
-        "user_id", "event_id", "epoch", "__slice", F.col("__at").alias("at"), "tier",
+        "user_id", "epoch", "__slice", F.lit(False).alias("opens"), F.col("__at").alias("at"), "event_id", "tier",
         F.element_at(limit, F.col("tier")).cast("int").alias("limit"),
         (F.col("kind") == "check").alias("is_check"), (F.col("tier") != before).alias("changed"))
-    summaries = rows.groupBy(*KEYS).applyInPandas(
+    # Sorted partitions are streamed through Python in batches; no group is held but the slice being summarised.
+    summaries = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "at", "event_id").mapInPandas(
         _summaries(window),
         f"user_id {key_type}, epoch bigint, slice bigint, opened bigint, upto array<bigint>, start_out array<bigint>, "
         "tokens_out array<int>, checks bigint, idle_tokens double")
-    states = summaries.groupBy("user_id", "epoch").applyInPandas(
+    states = summaries.repartition("user_id", "epoch").sortWithinPartitions("user_id", "epoch", "slice").mapInPandas(
         _chained(window, settings.limits["normal"]),
         f"user_id {key_type}, epoch bigint, slice bigint, start_in bigint, tokens_in int")
-    joined = rows.join(states.withColumnRenamed("slice", "__slice"), KEYS)
-    decided = joined.groupBy(*KEYS).applyInPandas(
+    opening = states.select(
+        "user_id", "epoch", F.col("slice").alias("__slice"), F.lit(True).alias("opens"), F.col("start_in").alias("at"),
+        F.lit(0).cast(id_type).alias("event_id"), F.lit("").alias("tier"), F.col("tokens_in").alias("limit"),
+        F.lit(False).alias("is_check"), F.lit(False).alias("changed"))
+    # The state joins its slice as its first row: one shuffle instead of a join and a grouping.
+    decided = rows.unionByName(opening).repartition(*KEYS).sortWithinPartitions(
+        *KEYS, F.col("opens").desc(), "at", "event_id").mapInPandas(
         _replayed(window),
         f"user_id {key_type}, event_id {id_type}, at bigint, tier string, limit int, allowed boolean, remaining int, "
         "window_start bigint, retry_after double")
