@@ -57,6 +57,25 @@ def _worth(group: frozenset[str]) -> int:
     return len(shortest)
 
 
+# Letters of running text from frequent to rare; a space is the most frequent of all.
+FREQUENT_FIRST = " etaoinsrhldcumfpgwybvkxjqz"
+
+
+def anchor(word: str, least: int = 4) -> str:
+    """The part of a literal to search for: it starts at the rarest letter that leaves ``least`` characters.
+
+    A substring search pays for every position where the first character matches, so
+    ``uction`` is found several times faster than ``instruction``, and is just as necessary.
+    """
+    starts = range(max(len(word) - least, 0) + 1)
+    return word[max(starts, key=lambda i: (FREQUENT_FIRST.find(word[i]) if word[i] in FREQUENT_FIRST else 20, -i)):]
+
+
+def shortest(group: frozenset[str]) -> frozenset[str]:
+    """The group without members that contain another member: the shorter one decides anyway."""
+    return frozenset(g for g in group if not any(o != g and o in g for o in group))
+
+
 def _walk(seq) -> tuple[list[frozenset[str]], int, bool]:
     groups: list[frozenset[str]] = []
     run, digits, longest, non_ascii = "", 0, 0, False
@@ -115,5 +134,5 @@ def needs(pattern: str, most_groups: int = 2) -> Needs:
     if tree.state.flags & ~re.UNICODE:  # inline flags change what a literal means
         return Needs((), 0, False)
     groups, digit_run, non_ascii = _walk(tree)
-    useful = sorted({g for g in groups if _worth(g) > 0}, key=lambda g: (-_worth(g), len(g), sorted(g)))
+    useful = sorted({shortest(g) for g in groups if _worth(g) > 0}, key=lambda g: (-_worth(g), len(g), sorted(g)))
     return Needs(tuple(useful[:most_groups]), digit_run, non_ascii)

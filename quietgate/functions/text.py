@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quietgate.functions.prefilter import FOLDING_TO_ASCII, needs
+from quietgate.functions.prefilter import FOLDING_TO_ASCII, anchor, needs
 
 # Characters Python's str.strip() removes; \s of the patterns covers all but the four separators \x1c-\x1f.
 WHITESPACE = (
@@ -34,11 +34,23 @@ class Forms:
     ascii: Column
     odd: Column
     digits4: Column
+    known: dict[str, Column] = field(default_factory=dict)  # literals already tested, shared by all rules
+
+    def may_have(self, word: str) -> Column:
+        """Necessary for the lower-cased text to contain ``word`` (lower case)."""
+        inside = max((k for k in self.known if k in word), key=len, default=None)
+        return self.lower.contains(anchor(word)) if inside is None else self.known[inside]
+
+    def has(self, word: str) -> Column:
+        """The lower-cased text contains ``word`` (lower case)."""
+        if word in self.known:
+            return self.known[word]
+        return self.may_have(word) & self.lower.contains(word)
 
     def may_match(self, pattern: str, ignore_case: bool = True) -> Column | None:
         """Necessary condition of ``pattern``, or None when none is known."""
         known = needs(pattern)
-        tests = [_any(self.lower.contains(word) for word in sorted(group)) for group in known.groups]
+        tests = [_any(self.may_have(word) for word in sorted(group)) for group in known.groups]
         condition = _all(tests)
         if condition is not None and ignore_case:
             condition = self.odd | condition
@@ -84,12 +96,30 @@ def forms_of(text: Column) -> Forms:
     )
 
 
-def with_forms(df: DataFrame, text: str, tag: str = "__t") -> tuple[DataFrame, Forms, list[str]]:
+def literals_of(patterns: Iterable[str], keywords: Iterable[str] = ()) -> list[str]:
+    """Literals worth testing once per text for a rule set: the most selective group of every pattern, and keywords."""
+    wanted = {k.lower() for k in keywords}
+    for pattern in patterns:
+        wanted.update(*needs(pattern).groups[:1])
+    return distinct_literals(map(anchor, wanted))
+
+
+def distinct_literals(literals: Iterable[str]) -> list[str]:
+    """Literals without those that contain another one: they are tested behind it, only where it occurs."""
+    found = set(literals)
+    return sorted(w for w in found if not any(o != w and o in w for o in found))
+
+
+def with_forms(df: DataFrame, text: str, literals: Sequence[str] = (), tag: str = "__t") -> tuple[DataFrame, Forms, list[str]]:
     """Add the forms as columns of their own so that every test of a row shares them."""
     made = forms_of(F.col(text))
     names = [f"{tag}_lower", f"{tag}_ascii", f"{tag}_odd", f"{tag}_digits4"]
     out = df.select("*", *(c.alias(n) for c, n in zip((made.lower, made.ascii, made.odd, made.digits4), names)))
-    return out, Forms(F.col(text), *(F.col(n) for n in names)), names
+    known = {word: f"{tag}_has{i}" for i, word in enumerate(literals)}
+    if known:
+        out = out.select("*", *(F.col(names[0]).contains(word).alias(n) for word, n in known.items()))
+    forms = Forms(F.col(text), *(F.col(n) for n in names), {word: F.col(n) for word, n in known.items()})
+    return out, forms, [*names, *known.values()]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import Forms, exploded, fenced, forms_of, kept, let, rx, strings, with_forms
+from quietgate.functions.text import Forms, exploded, fenced, forms_of, kept, let, literals_of, rx, strings, with_forms
 from quietgate.operators.encoding import decoded_items
 
 Rule = tuple[str, str, str]  # name, category, pattern
@@ -31,6 +31,10 @@ def usable_rules(spark: SparkSession, custom: Sequence[dict] | None) -> tuple[li
     return good, skipped
 
 
+def literals(rules: Sequence[Rule] = v.INJECTION_PATTERNS, markers: bool = True) -> list[str]:
+    return literals_of([p for *_, p in rules] + (list(v.STRUCTURAL_MARKERS) if markers else []))
+
+
 def pattern_names(forms: Forms, rules: Sequence[Rule] = v.INJECTION_PATTERNS, multiline: bool = True) -> Column:
     return kept((forms.matches(pattern, multiline=multiline), name) for name, _, pattern in rules)
 
@@ -113,7 +117,7 @@ def detect(df: DataFrame, text: str = "text", sensitivity: str = "medium",
            custom_patterns: Sequence[dict] | None = None, out: str = "injection") -> DataFrame:
     """All layers merged into one struct column."""
     rules = [*v.INJECTION_PATTERNS, *usable_rules(df.sparkSession, custom_patterns)[0]]
-    staged, forms, extra = with_forms(df, text)
+    staged, forms, extra = with_forms(df, text, literals(rules))
     layered, more = add_layers(staged, forms, rules)
     return fenced(layered, out, result_struct(F.col(text), threshold_of(sensitivity))).drop(*extra, *more)
 
@@ -121,7 +125,7 @@ def detect(df: DataFrame, text: str = "text", sensitivity: str = "medium",
 def detect_patterns(df: DataFrame, text: str = "text", rules: Sequence[Rule] = v.INJECTION_PATTERNS,
                     sensitivity: str = "medium", out: str = "injection") -> DataFrame:
     """The pattern layer alone."""
-    staged, forms, extra = with_forms(df, text)
+    staged, forms, extra = with_forms(df, text, literals(rules, markers=False))
     named = staged.withColumn("__names", pattern_names(forms, rules))
     confidence = stepped_confidence(F.size("__names"), v.PATTERN_BASE, v.PATTERN_STEP)
     return fenced(named, out, F.when(F.col(text).isNotNull(), F.struct(
@@ -133,7 +137,7 @@ def detect_patterns(df: DataFrame, text: str = "text", rules: Sequence[Rule] = v
 def detect_structural(df: DataFrame, text: str = "text", sensitivity: str = "medium",
                       out: str = "structural") -> DataFrame:
     """The structural layer alone."""
-    staged, forms, extra = with_forms(df, text)
+    staged, forms, extra = with_forms(df, text, literals(()))
     named = staged.withColumn("__names", marker_names(forms))
     confidence = stepped_confidence(F.size("__names"), v.STRUCTURAL_BASE, v.STRUCTURAL_STEP)
     return fenced(named, out, F.when(F.col(text).isNotNull(), F.struct(
@@ -156,7 +160,7 @@ def detect_encoded(df: DataFrame, text: str = "text", sensitivity: str = "medium
 
 def sensitivity_sweep(df: DataFrame, text: str = "text", levels: Sequence[str] = ("low", "medium", "high")) -> DataFrame:
     """One flag per sensitivity level from a single pass over the text."""
-    staged, forms, extra = with_forms(df, text)
+    staged, forms, extra = with_forms(df, text, literals())
     layered, more = add_layers(staged, forms, v.INJECTION_PATTERNS)
     flags = [merged(layer_columns(threshold_of(level)))["is_injection"].alias(f"injection_{level}") for level in levels]
     return layered.select("*", *flags).drop(*extra, *more)
@@ -164,7 +168,7 @@ def sensitivity_sweep(df: DataFrame, text: str = "text", levels: Sequence[str] =
 
 def category_counts(df: DataFrame, text: str = "text", rules: Sequence[Rule] = v.INJECTION_PATTERNS) -> DataFrame:
     """Texts and pattern hits per rule category."""
-    staged, forms, _ = with_forms(df, text)
+    staged, forms, _ = with_forms(df, text, literals(rules, markers=False))
     by_category = {}
     for name, category, pattern in rules:
         by_category.setdefault(category, []).append((name, category, pattern))

@@ -57,7 +57,7 @@ def filter_content(df: DataFrame, text: str = "text", policy: policy_rules.Polic
                    threshold: float = v.TOXICITY_THRESHOLD, words: Sequence[str] | None = None,
                    replacement: str = v.PROFANITY_REPLACEMENT, out: str = "filter") -> DataFrame:
     """Violations from toxicity, an optional policy and profanity; block, redact, log or none."""
-    staged, forms, extra = with_forms(df, text)
+    staged, forms, extra = with_forms(df, text, toxicity.literals())
     scored, names = toxicity.add_scores(add_profanity(staged, forms.lower, words, "__profane"), forms)
     none, zero = F.array().cast(VIOLATION_TYPE), F.lit(0)
     flagged = []

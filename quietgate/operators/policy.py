@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import Forms, fenced, rx, with_forms, worst_of
+from quietgate.functions.text import Forms, fenced, literals_of, rx, with_forms, worst_of
 
 RULES_SCHEMA = (
     "policy_ord int, policy string, description string, action string, severity string, enabled boolean, "
@@ -33,7 +33,7 @@ class Rule:
             found = F.regexp_extract(forms.text, rx(self.pattern), 0)
             return F.when(forms.matches(self.pattern), found)
         if self.rule_type == "keyword" and self.keywords:
-            tests = (F.when(forms.lower.contains(word.lower()), F.lit(word)) for word in self.keywords)
+            tests = (F.when(forms.has(word.lower()), F.lit(word)) for word in self.keywords)
             return F.coalesce(*tests)
         if self.rule_type == "threshold" and self.threshold is not None:
             value = F.coalesce(score, F.lit(0.0)) if score is not None else F.lit(0.0)
@@ -122,6 +122,12 @@ def policies_of(rules: DataFrame, most_rules: int = 10_000) -> list[Policy]:
             for (_, name, action, severity, description, enabled), found in grouped.items()]
 
 
+def literals(policies: Iterable[Policy]) -> list[str]:
+    rules = [r for p in policies if p.enabled for r in p.rules]
+    return literals_of([r.pattern for r in rules if r.rule_type == "regex" and r.pattern],
+                       [w for r in rules for w in r.keywords or ()])
+
+
 def violations_of(forms: Forms, policies: Sequence[Policy], score: Column | None = None) -> Column:
     """All violations of all enabled policies, in order."""
     found = []
@@ -138,7 +144,7 @@ def violations_of(forms: Forms, policies: Sequence[Policy], score: Column | None
 def evaluate(df: DataFrame, policies: Sequence[Policy], text: str = "text", score: str | None = None,
              out: str = "policy") -> DataFrame:
     """Violations, worst action and worst severity as one struct column."""
-    staged, forms, extra = with_forms(df, text)
+    staged, forms, extra = with_forms(df, text, literals(policies))
     held = staged.withColumn("__found", violations_of(forms, policies, F.col(score) if score else None))
     found = F.col("__found")
     return fenced(held, out, F.when(F.col(text).isNotNull(), F.struct(
@@ -151,7 +157,7 @@ def evaluate(df: DataFrame, policies: Sequence[Policy], text: str = "text", scor
 
 def level_comparison(df: DataFrame, text: str = "text", levels: Sequence[str] = tuple(v.PRESETS)) -> DataFrame:
     """Violations and action of every preset level from one pass over the text."""
-    staged, forms, extra = with_forms(df, text)
+    staged, forms, extra = with_forms(df, text, literals(p for level in levels for p in preset(level)))
     held = staged.select("*", *(violations_of(forms, preset(level)).alias(f"__{level}") for level in levels))
     cols = []
     for level in levels:

@@ -60,10 +60,9 @@ def _chain(at: np.ndarray, window: int) -> np.ndarray:
     return np.searchsorted(at, at + window, side="left")
 
 
-def _summarise(rows: pd.DataFrame, window: int) -> dict:
+def _summarise(rows: dict[str, np.ndarray], window: int) -> dict:
     """The slice as a function of the incoming window start."""
-    at, limit_at = rows["at"].to_numpy(), rows["limit"].to_numpy()
-    is_check, changed = rows["is_check"].to_numpy(), np.flatnonzero(rows["changed"].to_numpy())
+    at, limit_at, is_check, changed = rows["at"], rows["limit"], rows["is_check"], np.flatnonzero(rows["changed"])
     where = np.flatnonzero(is_check)
     checks, n = at[where], len(where)
     checks_from = n - np.concatenate([[0], np.cumsum(is_check)])[:-1]  # checks from each row to the end
@@ -85,34 +84,31 @@ def _summarise(rows: pd.DataFrame, window: int) -> dict:
             "checks": n, "idle_tokens": idle}
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Contiguous groups of sorted batches; only the group that a batch ends in is carried over."""
-    rest: list[pd.DataFrame] = []
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Contiguous groups of sorted batches as arrays; only the group that a batch ends in is carried over."""
+    rest: dict[str, np.ndarray] | None = None
     for batch in batches:
         if batch.empty:
             continue
-        columns = [batch[k].to_numpy() for k in keys]
-        if rest and any(rest[-1][k].iloc[-1] != c[0] for k, c in zip(keys, columns)):
-            yield pd.concat(rest)
-            rest = []
-        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        edges = [0, *new.tolist(), len(batch)]
-        for i, (first, stop) in enumerate(zip(edges, edges[1:])):
-            if i and rest:
-                yield pd.concat(rest)
-                rest = []
-            rest.append(batch.iloc[first:stop])
-    if rest:
-        yield pd.concat(rest)
+        columns = {c: batch[c].to_numpy() for c in batch.columns}
+        if rest is not None:
+            columns = {c: np.concatenate([rest[c], columns[c]]) for c in columns}
+        new = np.any([columns[k][1:] != columns[k][:-1] for k in keys], axis=0)
+        edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for first, stop in zip(edges, edges[1:]):
+            yield {c: x[first:stop] for c, x in columns.items()}
+        rest = {c: x[edges[-1]:] for c, x in columns.items()}
+    if rest is not None:
+        yield rest
 
 
 def _summaries(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = []
         for rows in _groups(batches, KEYS):
-            first = rows.iloc[0]
-            found.append({"user_id": first["user_id"], "epoch": first["epoch"], "slice": first["__slice"],
-                          "opened": int(first["at"]), **_summarise(rows, window)})
+            user, epoch, number = (rows[k][0] for k in KEYS)
+            found.append({"user_id": user, "epoch": epoch, "slice": number, "opened": int(rows["at"][0]),
+                          **_summarise(rows, window)})
             if len(found) >= 1000:
                 yield pd.DataFrame(found)
                 found = []
@@ -185,12 +181,14 @@ def check(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
         "user_id", "epoch", "__slice", F.lit(False).alias("opens"), F.col("__at").alias("at"), "event_id", "tier",
         F.element_at(limit, F.col("tier")).cast("int").alias("limit"),
         (F.col("kind") == "check").alias("is_check"), (F.col("tier") != before).alias("changed"))
+    # The work is in Python rather than in bytes, so small partitions are not merged.
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Sorted partitions are streamed through Python in batches; no group is held but the slice being summarised.
-    summaries = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "at", "event_id").mapInPandas(
+    summaries = rows.repartition(tasks, *KEYS).sortWithinPartitions(*KEYS, "at", "event_id").mapInPandas(
         _summaries(window),
         f"user_id {key_type}, epoch bigint, slice bigint, opened bigint, upto array<bigint>, start_out array<bigint>, "
         "tokens_out array<int>, checks bigint, idle_tokens double")
-    states = summaries.repartition("user_id", "epoch").sortWithinPartitions("user_id", "epoch", "slice").mapInPandas(
+    states = summaries.repartition(tasks, "user_id", "epoch").sortWithinPartitions("user_id", "epoch", "slice").mapInPandas(
         _chained(window, settings.limits["normal"]),
         f"user_id {key_type}, epoch bigint, slice bigint, start_in bigint, tokens_in int")
     opening = states.select(
@@ -198,7 +196,7 @@ def check(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
         F.lit(0).cast(id_type).alias("event_id"), F.lit("").alias("tier"), F.col("tokens_in").alias("limit"),
         F.lit(False).alias("is_check"), F.lit(False).alias("changed"))
     # The state joins its slice as its first row: one shuffle instead of a join and a grouping.
-    decided = rows.unionByName(opening).repartition(*KEYS).sortWithinPartitions(
+    decided = rows.unionByName(opening).repartition(tasks, *KEYS).sortWithinPartitions(
         *KEYS, F.col("opens").desc(), "at", "event_id").mapInPandas(
         _replayed(window),
         f"user_id {key_type}, event_id {id_type}, at bigint, tier string, limit int, allowed boolean, remaining int, "

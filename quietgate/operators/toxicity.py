@@ -8,14 +8,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import Forms, fenced, kept, with_forms
+from quietgate.functions.text import Forms, fenced, kept, literals_of, with_forms
 
 CATEGORIES = tuple(category for category, *_ in v.TOXICITY)
 
 
+def literals() -> list[str]:
+    return literals_of([p for *_, patterns in v.TOXICITY for p in patterns], [w for _, _, words, _ in v.TOXICITY for w in words])
+
+
 def category_score(forms: Forms, weight: float, keywords: Sequence[str], patterns: Sequence[str]) -> Column:
     """Hits added left to right in catalogue order: the order decides the last bit of a double."""
-    hits = [(forms.lower.contains(word.lower()), v.KEYWORD_SCORE) for word in keywords]
+    hits = [(forms.has(word.lower()), v.KEYWORD_SCORE) for word in keywords]
     hits += [(forms.matches(pattern), v.REGEX_SCORE) for pattern in patterns]
     total = reduce(lambda acc, h: acc + F.when(h[0], F.lit(h[1])).otherwise(F.lit(0.0)), hits, F.lit(0.0))
     return F.least(F.lit(1.0), total * F.lit(weight))
@@ -49,7 +53,7 @@ def result_struct(text: Column, threshold: float, category_thresholds: Mapping[s
 def classify(df: DataFrame, text: str = "text", threshold: float = v.TOXICITY_THRESHOLD,
              category_thresholds: Mapping[str, float] | None = None, out: str = "toxicity") -> DataFrame:
     """Scores, overall score, verdict and flagged categories as one struct column."""
-    staged, forms, extra = with_forms(df, text)
+    staged, forms, extra = with_forms(df, text, literals())
     scored, names = add_scores(staged, forms)
     return fenced(scored, out, result_struct(F.col(text), threshold, category_thresholds)).drop(*extra, *names)
 

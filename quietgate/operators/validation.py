@@ -120,7 +120,7 @@ def validate(df: DataFrame, prompt: str = "prompt", output: str = "output", cont
              grounding_threshold: float = v.GROUNDING_THRESHOLD, toxicity_threshold: float = v.TOXICITY_THRESHOLD,
              out: str = "validation") -> DataFrame:
     """All checks as one struct: valid or not, issues in order."""
-    staged, forms, extra = with_forms(df, output)
+    staged, forms, extra = with_forms(df, output, toxicity.literals())
     scored, names = toxicity.add_scores(staged, forms)
     parts: dict[str, Column] = {"__rel": relevance_of(F.col(prompt), F.col(output))}
     if context:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import any_of, exploded, fenced, with_forms
+from quietgate.functions.text import any_of, distinct_literals, exploded, fenced, with_forms
 from quietgate.operators import injection, policy as policy_rules, toxicity, validation
 
 VIOLATIONS_TYPE = policy_rules.VIOLATIONS_TYPE
@@ -28,7 +28,8 @@ def _block(rule: str, matched: Column) -> Column:
 
 def _scanned(df: DataFrame, text: str, policies: Sequence[policy_rules.Policy], ranked: Sequence[str],
              sensitivity: str, threshold: float) -> tuple[DataFrame, list[str]]:
-    staged, forms, extra = with_forms(df, text)
+    shared = [*injection.literals(), *toxicity.literals(), *policy_rules.literals(policies)]
+    staged, forms, extra = with_forms(df, text, distinct_literals(shared))
     layered, more = injection.add_layers(staged, forms, v.INJECTION_PATTERNS)
     scored, names = toxicity.add_scores(layered, forms)
     results = scored.select(
