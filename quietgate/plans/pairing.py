@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quietgate.functions.running import running_sums, slice_of, with_previous
 
-SLICE = 1024
+SLICE = 16_384  # turns of one conversation that share a window group; the group spills, the carried rows stay few
 
 
 def pair_turns(turns: DataFrame) -> DataFrame:
