@@ -20,10 +20,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.running import micros, running_sums, slice_of
+from quietgate.functions.running import micros, slice_of
 
 SECOND = 1_000_000
 KEYS = ["user_id", "epoch", "__slice"]
@@ -44,15 +44,40 @@ def tier_of(warnings: Column, blocks: Column, settings: Settings) -> Column:
 
 
 def tiers(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Add the reset epoch, the violation counts inside it and the tier after every event."""
+    """Add the reset epoch, the violation counts inside it and the tier after every event.
+
+    Counts run inside (user, slice) and restart at every reset.  A slice hands on what was counted
+    since its last reset, so each event needs one carried row; events are shuffled by (user, slice) only.
+    """
     width = int(settings.seconds * SECOND) * settings.slice_windows
-    order = ["__at", "event_id"]
+    order, up_to_here = ["__at", "event_id"], (Window.unboundedPreceding, 0)
+    is_kind = lambda k: (F.col("kind") == k).cast("bigint")
     sliced = events.withColumn("__at", micros(F.col("ts"))).withColumn("__slice", slice_of(F.col("__at"), width))
-    is_kind = lambda k: (F.col("kind") == k).cast("int")
-    epochs = running_sums(sliced, ["user_id"], order, "__slice", {"epoch": is_kind("reset")})
-    counted = running_sums(epochs, ["user_id", "epoch"], order, "__slice", {
-        "warning_count": is_kind("warning"), "block_count": is_kind("block")})
-    return counted.withColumn("tier", tier_of(F.col("warning_count"), F.col("block_count"), settings))
+    in_slice = Window.partitionBy("user_id", "__slice").orderBy(*order).rowsBetween(*up_to_here)
+    parted = sliced.withColumn("__part", F.sum(is_kind("reset")).over(in_slice))
+    since_reset = Window.partitionBy("user_id", "__slice", "__part").orderBy(*order).rowsBetween(*up_to_here)
+    counted = parted.select("*", F.sum(is_kind("warning")).over(since_reset).alias("__w"),
+                            F.sum(is_kind("block")).over(since_reset).alias("__b"))
+
+    # Counts only grow after a reset, so the greatest (part, w, b) is the state at the end of the slice.
+    ends = counted.groupBy("user_id", "__slice").agg(F.max(F.struct("__part", "__w", "__b")).alias("end")).select(
+        "user_id", "__slice", "end.*")
+    by_slice = Window.partitionBy("user_id").orderBy("__slice")
+    runs = ends.withColumn("__run", F.sum((F.col("__part") > 0).cast("int")).over(by_slice.rowsBetween(*up_to_here)))
+    run = Window.partitionBy("user_id", "__run").orderBy("__slice").rowsBetween(*up_to_here)
+    totals = runs.select("user_id", "__slice", F.struct(
+        F.sum("__part").over(by_slice.rowsBetween(*up_to_here)).alias("epoch"),
+        F.sum("__w").over(run).alias("w"), F.sum("__b").over(run).alias("b")).alias("__total"))
+    carried = totals.select("user_id", "__slice", F.lag("__total").over(by_slice).alias("__carried"))
+
+    joined = counted.join(carried, ["user_id", "__slice"])
+    before = lambda c: F.coalesce(F.col(f"__carried.{c}"), F.lit(0))
+    untouched = F.col("__part") == 0
+    told = joined.select(
+        *events.columns, "__at", "__slice", (F.col("__part") + before("epoch")).alias("epoch"),
+        (F.col("__w") + F.when(untouched, before("w")).otherwise(0)).alias("warning_count"),
+        (F.col("__b") + F.when(untouched, before("b")).otherwise(0)).alias("block_count"))
+    return told.withColumn("tier", tier_of(F.col("warning_count"), F.col("block_count"), settings))
 
 
 def _chain(at: np.ndarray, window: int) -> np.ndarray:
