@@ -151,12 +151,21 @@ def sentences(text: Column) -> Column:
     return F.transform(F.split(strip(text), SENTENCE_GAP), strip)
 
 
-def _walk(found: Column, gaps: Column) -> Column:
-    """Offsets of matches from the lengths of the matches and of the text between them, in one pass."""
-    steps = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+BLOCK = 128  # items per block where a step costs as much as what was built before it
+
+
+def _blocks(items: Column) -> Column:
+    """An array cut into blocks, so that growing or cutting something item by item stays linear for long arrays."""
+    last = F.call_function("div", F.size(items) - 1, F.lit(BLOCK)).cast("int")
+    numbers = F.when(F.size(items) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _place(steps: Column, offset: Column) -> Column:
+    """Offsets of the matches of one block that starts at ``offset``."""
     return F.aggregate(
         steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN_TYPE).alias("out")),
+        F.struct(offset.alias("at"), F.array().cast(SPAN_TYPE).alias("out")),
         lambda acc, s: let(
             acc["at"] + F.char_length(s["g"]),
             lambda start: let(
@@ -173,6 +182,22 @@ def _walk(found: Column, gaps: Column) -> Column:
     )
 
 
+def _walk(found: Column, gaps: Column) -> Column:
+    """Offsets of matches from the lengths of the matches and of the text between them, block by block."""
+    steps = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+
+    def placed(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(
+            b, F.lit(0), lambda acc, s: acc + F.char_length(s["m"]) + F.char_length(s["g"])))
+        offsets = F.aggregate(
+            sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
+            lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, offsets, _place))
+
+    return let(_blocks(steps), placed)
+
+
 def spans(text: Column, java_pattern: str) -> Column:
     """All matches with code-point offsets, end-exclusive; the second pass runs only where something matched."""
     return let(
@@ -203,8 +228,12 @@ def with_spans(df: DataFrame, text: Column, patterns: Sequence[tuple[str, Column
 
 
 def replace_from_right(text: Column, ordered: Column, replacement: Callable[[Column], Column]) -> Column:
-    """Replace spans one after the other in the given order, offsets as they were in the original text."""
-    return F.aggregate(
+    """Replace spans one after the other in the given order, offsets as they were in the original text.
+
+    ``ordered`` runs from the end of the text to its start.  Spans that do not overlap are put together
+    from pieces instead, with the same result: the fold copies the whole text for every span.
+    """
+    folded = F.aggregate(
         ordered,
         text,
         lambda acc, s: F.concat(
@@ -213,6 +242,29 @@ def replace_from_right(text: Column, ordered: Column, replacement: Callable[[Col
             F.substring(acc, s["end"] + 1, F.char_length(acc)),
         ),
     )
+    pieces = F.transform(F.reverse(ordered), lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), replacement(s).alias("r")))
+
+    def joined(block: Column, since: Column) -> Column:
+        """One block of pieces, cut from the part of the text it covers."""
+        part = F.substring(text, since + 1, F.element_at(block, -1)["end"] - since)
+        return let(part, lambda sub: F.array_join(F.transform(block, lambda s, i: let(
+            F.when(i == 0, since).otherwise(F.get(block, i - 1)["end"]),
+            lambda before: F.concat(F.substring(sub, before - since + 1, s["start"] - before), s["r"]))), ""))
+
+    def assembled(spans_: Column) -> Column:
+        # Every block starts where the one before it ended.
+        built = let(_blocks(spans_), lambda blocks: F.array_join(F.transform(blocks, lambda b, i: joined(
+            b, F.when(i == 0, F.lit(0)).otherwise(F.element_at(F.get(blocks, i - 1), -1)["end"]))), ""))
+        rest = F.substring(text, F.element_at(spans_, -1)["end"] + 1, F.char_length(text))
+        return F.concat(built, rest)
+
+    def chosen(spans_: Column) -> Column:
+        overlapping = F.exists(
+            F.transform(spans_, lambda s, i: (i > 0) & (s["start"] < F.get(spans_, i - 1)["end"])), lambda x: x)
+        return F.when(overlapping, folded).otherwise(assembled(spans_))
+
+    return F.when(F.size(ordered) > 0, let(pieces, chosen)).otherwise(text)
 
 
 def rank_of(value: Column, ranked: Sequence[str]) -> Column:

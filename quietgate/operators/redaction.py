@@ -22,21 +22,17 @@ def from_the_end(entities: Column) -> Column:
 
 def numbered(ordered: Column) -> Column:
     """Pair every entity with its running number within its type."""
-    counted = F.aggregate(
-        ordered,
-        F.struct(
-            F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("seen"),
-            F.array().cast("array<int>").alias("numbers")),
-        lambda acc, e: let(
-            F.coalesce(F.try_element_at(acc["seen"], e["entity_type"]), F.lit(0)) + 1,
-            lambda n: F.struct(
-                F.map_concat(
-                    F.map_filter(acc["seen"], lambda k, _: k != e["entity_type"]), F.create_map(e["entity_type"], n)
-                ).alias("seen"),
-                F.array_append(acc["numbers"], n).alias("numbers"))),
-        lambda acc: acc["numbers"],
-    )
-    return F.zip_with(ordered, counted, lambda e, n: F.struct(e.alias("e"), n.alias("n")))
+
+    def ranked(by_type: Column) -> Column:
+        types = F.array_distinct(F.transform(by_type, lambda x: x["kind"]))
+        firsts = F.map_from_arrays(types, F.transform(
+            types, lambda t: F.size(F.filter(by_type, lambda x: x["kind"] < t))))
+        return let(firsts, lambda first: F.transform(F.array_sort(F.transform(by_type, lambda x, j: F.struct(
+            x["i"].alias("i"), (j - F.element_at(first, x["kind"]) + 1).alias("n"), x["e"].alias("e")))),
+            lambda x: F.struct(x["e"].alias("e"), x["n"].alias("n"))))
+
+    tagged = F.transform(ordered, lambda e, i: F.struct(e["entity_type"].alias("kind"), i.alias("i"), e.alias("e")))
+    return let(F.array_sort(tagged), ranked)
 
 
 def replacement_of(strategy: str, entity: Column, number: Column | None, mask_text: str = v.MASK_TEXT) -> Column:

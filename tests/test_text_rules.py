@@ -146,6 +146,15 @@ def test_entities_and_redaction_match_python(texts):
             assert got == models.redacted(text, models.entities(text), strategy), (strategy, text)
 
 
+def test_long_texts_with_more_spans_than_a_block(texts):
+    samples = ["".join(f"é{i} u{i}@example.com 10.0.{i % 250}.1, " for i in range(n)) for n in (63, 64, 65, 300)]
+    samples.append("DOB: 01/02/1990 " * 150)
+    df = texts(*samples)
+    for strategy in ("mask", "placeholder"):
+        for got, text in zip(column(redaction.redact(df, strategy=strategy), "redacted"), samples):
+            assert got == models.redacted(text, models.entities(text), strategy)
+
+
 def test_redaction_is_reversible_without_overlaps(texts):
     df = texts("a@b.co, c@d.org and e@f.net", "nothing", "ip 10.0.0.1")
     done = redaction.redact(df, strategy="placeholder", entity_types=["EMAIL", "IP_ADDRESS"])
