@@ -8,8 +8,9 @@ n-grams in which the sets differ) before the sets themselves are compared, once
 
 Links are only needed up to connectivity, so the members of a prefix n-gram are not paired with each other outright.
 First every member meets its neighbours in a shuffled order of the n-gram's members (linear in their number); what that
-connects is contracted.  Then only members of different components meet, the smaller components against the rest.
-All pairs not yet connected are tested in that step, so no link between components is lost.
+connects is contracted, and n-grams with so few members that all of them have met are done.  Then only members of
+different components meet, the smaller components against the rest.  All pairs not yet connected are tested in that
+step, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from quietgate.llm.components import components
 
 BUCKETS = 1 << 18  # counters of the n-gram frequencies: a fixed size, whatever the corpus
 SKETCH = [f"s{i}" for i in range(8)]
-BROADCAST_ROWS = 500_000  # rows of two integers at most are sent to every executor
+BROADCAST_ROWS = 2_000_000  # rows of two integers at most, about 50 MB, are sent to every executor
 MEMBERS = 4096  # of one n-gram that are ordered in one task
+NEIGHBOURS = 3  # that a member of a rare n-gram meets: all pairs of up to four
+ORDERS = 4      # shuffled orders of a turn that frequent n-grams share, so that the same pairs come up again
 _SIGNED = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), *((s, pa.int64()) for s in SKETCH)])
 _PREFIX = pa.schema([("gram", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 _COUNTS = pa.schema([("bucket", pa.int32()), ("uses", pa.int64())])
@@ -162,13 +165,13 @@ class _Join:
             involved = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
             keys = cut(self.classes.join(involved, "sig", "left_semi").select("key"))
             side = F.broadcast(keys) if small(keys, BROADCAST_ROWS) else keys
-            sets = self.docs.join(side, "key", "left_semi").mapInArrow(_set_rows(self.size), _ddl(_SETS))
-            sets = sets.where("sig is not null").dropDuplicates(["sig"])
+            # A repeated key may bring a set twice or bring another one: no harm, as the links are made distinct.
+            sets = self.docs.join(side, "key", "left_semi").mapInArrow(_set_rows(self.size), _ddl(_SETS)).where("sig is not null")
             both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("x")), "a").join(
                 sets.select(F.col("sig").alias("b"), F.col("grams").alias("y")), "b")
             common = F.size(F.array_intersect("x", "y"))
             found = cut(both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y")).alias("t")).where(
-                F.lit(self.den) * F.col("i") >= F.lit(self.num) * (F.col("t") - F.col("i"))).select("a", "b"))
+                F.lit(self.den) * F.col("i") >= F.lit(self.num) * (F.col("t") - F.col("i"))).select("a", "b").distinct())
         self.links = found if self.links is None else self.links.unionByName(found)
 
     def labelled(self, rows: DataFrame) -> DataFrame:
@@ -179,15 +182,18 @@ class _Join:
     def neighbours(self, rows: DataFrame, turn: int) -> DataFrame:
         """Pairs of members that follow each other in a shuffled order of an n-gram's members.
 
-        The members of a frequent n-gram are dealt to groups of about MEMBERS, other ones for every n-gram and turn.
+        The members of a frequent n-gram are dealt to groups of about MEMBERS, other ones in every order and turn.
         """
-        mixed = F.xxhash64("sig", "gram", F.lit(turn))
+        order_of = F.pmod("gram", F.lit(ORDERS))
+        mixed = F.xxhash64("sig", order_of, F.lit(turn))
         group = F.pmod(F.xxhash64(mixed), F.ceil(F.col("rows") / MEMBERS))
         order = Window.partitionBy("gram", "group").orderBy("mixed", "sig")
         this = F.struct("sig", "n", "pos", "component")
         near = rows.withColumns({"mixed": mixed, "group": group}).select(
-            "gram", this.alias("p"), *(F.lag(this, i).over(order).alias(f"q{i}") for i in (1, 2)))
-        found = near.select("p", F.explode(F.array("q1", "q2")).alias("q")).where(
+            "gram", "rows", this.alias("p"), *(F.lag(this, i).over(order).alias(f"q{i}") for i in range(1, NEIGHBOURS + 1)))
+        few = F.col("rows") <= NEIGHBOURS + 1
+        met = F.array("q1", *(F.when(few, F.col(f"q{i}")) for i in range(2, NEIGHBOURS + 1)))
+        found = near.select("p", F.explode(met).alias("q")).where(
             F.col("q").isNotNull() & (F.col("p.component") != F.col("q.component")) & self._may_reach("p", "q"))
         return self.sketched(found.select(F.least("p.sig", "q.sig").alias("a"), F.greatest("p.sig", "q.sig").alias("b")).distinct())
 
@@ -213,6 +219,8 @@ class _Join:
         rows = members.withColumn("component", F.col("sig"))
         for turn in range(turns):
             self.verify(self.neighbours(rows, turn))
+            if turn == 0:
+                members = cut(members.where(F.col("rows") > NEIGHBOURS + 1))  # the pairs of the others have all met
             rows = cut(self.labelled(members))
         self.verify(self.across(rows))
         return components(self.links)
