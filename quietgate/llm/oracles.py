@@ -1,12 +1,12 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '')"
+_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 OP2 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS grams
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS grams
   FROM w),
 g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
 links AS (
@@ -20,4 +20,44 @@ SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, c.component_id
 FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
 """
 
-ORACLES = {"op2_ngram_jaccard_join": OP2}
+_RULES = {
+    "few_words": "n_words < 20",
+    "repeated_windows": "100 * n_repeat_words > 30 * n_words",
+    "many_symbols": "10 * n_symbols > n_words",
+    "repeated_lines": "n_dup_lines >= 4 AND n_dup_lines * 20 > n_words",
+    "odd_word_length": "word_chars < 3 * n_words OR word_chars > 12 * n_words",
+}
+
+
+def _each(form: str, between: str = ", ") -> str:
+    return between.join(form.format(n=n, r=r) for n, r in _RULES.items())
+
+
+OP4 = rf"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS x FROM documents),
+w AS (
+  SELECT *, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda v: v <> '') AS ws,
+    list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t),
+win AS (
+  SELECT k, unnest(range(0, greatest(len(ws) - 7, 0))) AS i,
+    unnest(list_transform(range(1, greatest(len(ws) - 6, 1)), lambda j: array_to_string(ws[j:j + 7], ' '))) AS g FROM w),
+twice AS (SELECT k, i FROM (SELECT *, count(*) OVER (PARTITION BY k, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT k, sum(least(8, coalesce(nx - i, 8))) AS n FROM (SELECT *, lead(i) OVER (PARTITION BY k ORDER BY i) AS nx FROM twice) GROUP BY k),
+s AS (
+  SELECT w.k, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN rep ON rep.k = w.k),
+h AS (SELECT source, count(*) AS n, {_each("sum(CAST({r} AS INT)) AS {n}")} FROM s GROUP BY source),
+m AS (SELECT {_each("avg({n} / n) AS {n}_m, var_pop({n} / n) AS {n}_v")} FROM h),
+p AS (SELECT {_each("{n}_m, CASE WHEN {n}_v > 0 THEN greatest({n}_m * (1 - {n}_m) / {n}_v - 1, 2) ELSE 2 END AS {n}_k")} FROM m),
+v AS (SELECT source, {_each("({n} + {n}_m * {n}_k) / (n + {n}_k) AS {n}_rate")} FROM h, p)
+SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  ({_RULES["few_words"]} OR {_RULES["repeated_windows"]}) AS base_failed,
+  NOT ({_RULES["few_words"]} OR {_RULES["repeated_windows"]})
+    AND NOT ({_each("{n}_rate > 0.5", " OR ")})
+    AND NOT ({_each("(({r}) AND {n}_rate > 0.02)", " OR ")}) AS kept
+FROM s JOIN v ON s.source IS NOT DISTINCT FROM v.source
+"""
+
+ORACLES = {"op4_quality_rules": OP4, "op2_ngram_jaccard_join": OP2}

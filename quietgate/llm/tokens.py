@@ -101,7 +101,8 @@ class Coder:
         """
         if not text:
             return []
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        words, gaps = text.split(), text.count(" ") + text.count("\n")
+        if len(words) != gaps + 1 or len("".join(words)) != len(text) - gaps:
             return None
         return text.replace("\n", " \n").split(" ")
 
