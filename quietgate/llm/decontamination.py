@@ -84,14 +84,17 @@ def _fingerprints(contents: DataFrame, weights: DataFrame, unseen: float, key: s
     return sums.select(key, bits.alias("fp"))
 
 
+def _near_values(block: int, shift: int, bits: int, most: int) -> Column:
+    """(block, value) for every value within ``most`` bits of a fingerprint's block."""
+    own = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+    masks = F.array(*(F.lit(m).cast("bigint") for m in _masks(bits, most)))
+    return F.transform(masks, lambda m: F.struct(F.lit(block).alias("block"), own.bitwiseXOR(m).alias("value")))
+
+
 def _looked_up(prints: DataFrame, most: int) -> DataFrame:
     """Every block value within ``most`` bits of a fingerprint's own."""
-    blocks, shift = [], 0
-    for b, bits in enumerate(BLOCK_BITS):
-        value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
-        near = F.transform(F.array(*(F.lit(m) for m in _masks(bits, most))), lambda m, v=value: v.bitwiseXOR(m.cast("bigint")))
-        blocks.append(F.transform(near, lambda v, b=b: F.struct(F.lit(b).alias("block"), v.alias("value"))))
-        shift += bits
+    shifts = [sum(BLOCK_BITS[:b]) for b in range(len(BLOCK_BITS))]
+    blocks = [_near_values(b, shift, bits, most) for b, (shift, bits) in enumerate(zip(shifts, BLOCK_BITS))]
     return prints.select("*", F.explode(F.flatten(F.array(*blocks))).alias("k")).select("*", "k.block", "k.value").drop("k")
 
 

@@ -28,7 +28,7 @@ ACCEPT = 0.5
 NEAR = 4  # neighbours on either side that an added span is checked against for overlaps
 
 _LOCAL = "[A-Za-z0-9._%+-]"
-_OCTET = "0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_OCTET = "(?:0++|0*+(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5]))"
 #: kind, strict, pattern, literal that a match contains ("" for none).
 PATTERNS = (
     ("email", True, rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
@@ -237,8 +237,11 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     found = cut(candidates(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__text").select("__key", "candidates"))
     classifier = fit(found)
     base = F.filter("candidates", lambda s: s["base"])
-    counts = [F.size(F.filter("candidates", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{name}")
-              for k, name in enumerate(KINDS)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("candidates", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(F.col("__key").alias(key), *counts, F.sha2(_listed(base), 256).alias("base_sha256"),
                         _listed(accepted(F.col("candidates"), classifier)).alias("spans"))
 

@@ -149,3 +149,6 @@ def test_fingerprints_within_the_radius_share_a_looked_up_block(spark):
     ours = decontamination._looked_up(df.selectExpr("key", "a as fp"), 1)
     theirs = decontamination._looked_up(df.selectExpr("key", "b as fp"), 2)
     assert ours.join(theirs, ["key", "block", "value"]).select("key").distinct().count() == 40
+    far = theirs.withColumn("key", (theirs["key"] + 1) % 40)  # unrelated fingerprints hardly ever share one of 5 * 1288 values
+    assert ours.join(far, ["key", "block", "value"]).select("key").distinct().count() < 25
+    assert ours.groupBy("key").count().where("count <> 69").isEmpty() and ours.agg({"value": "max"}).first()[0] < 1 << 13
