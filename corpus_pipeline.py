@@ -6,22 +6,71 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quietgate.llm.common import shared_folder
+from quietgate.llm import decontamination, language_id, packing, personal_data
+from quietgate.llm.common import cut, held_out, shared_folder, small
 from quietgate.llm.ngram_join import ngram_components
+from quietgate.llm.tokens import vocabulary
+
+LEAST_SCORE = 0.5     # of the language named; below it no language has the majority of a text
+DROPPED_ROWS = 2_000_000  # keys of dropped documents that may be sent to every executor
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Documents whose id is not in ``dropped`` (one column, ``__id``); a null id is in no table."""
+    keys = cut(dropped.where("__id is not null").distinct())
+    side = F.broadcast(keys) if small(keys, DROPPED_ROWS) else keys
+    return docs.join(side, docs["doc_id"] == side["__id"], "left_anti")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language the network knows stay; texts without letters and undecided ones go."""
+    network = language_id.fit(docs, seen=~held_out(F.col("doc_id"), 5, 0))
+    found = language_id.predict(docs, network)
+    rejected = (F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LEAST_SCORE)
+    kept = _without(docs, found.where(rejected).select(F.col("doc_id").alias("__id")))
+    return kept.where(F.col("text").rlike(r"\p{L}"))  # the same for rows without an id
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id; rows without an id stay."""
-    groups = ngram_components(docs, size=5, numerator=80).select(F.col("doc_id").alias("__id"), "component_id").where(
-        "__id <> component_id").distinct()
-    return docs.join(groups, docs["doc_id"] == groups["__id"], "left_anti").dropDuplicates(["doc_id"])
+    """One document of each group of near copies stays, the one with the smallest id; rows without an id stay.
+
+    Of rows that repeat an id, one stays.
+    """
+    groups = ngram_components(docs, size=5, numerator=80)
+    kept = _without(docs, groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")))
+    repeated = cut(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return once.unionByName(kept.where("doc_id is null"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind; ``n_chars`` is counted anew."""
+    changed = personal_data.redact(docs)
+    return changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else changed
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024, 512, 256 and 128 tokens."""
+    pieces = packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 STAGES = [
+    ("language", language),
     ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("redact", redact),
+    ("pack", pack),
 ]
 
-ORACLE_SQL = None  # trained models and token packing have no SQL form; the stages are tested one by one
+ORACLE_SQL = None  # trained models and token packing have no SQL form; the stages are tested against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +78,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
         path = f"{folder}/{i}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
