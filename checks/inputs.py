@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.plants import planted
-from quietgate.plans.pairing import attach_context, pair_turns
+from quietgate.plans.pairing import attach_context, longest_conversation, pair_turns
 from quietgate.session import spread
 
 
@@ -29,9 +29,9 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt, output and context of every answered user turn; the outputs carry planted lines."""
+    """Prompt, output and all earlier turns of every answered user turn; the outputs carry planted lines."""
     said = turns(spark, sf_dir)
-    context = attach_context(said).select("conv_id", "turn", "context")
+    context = attach_context(said, last=longest_conversation(said)).select("conv_id", "turn", "context")
     paired = pair_turns(said).join(context, ["conv_id", "turn"])
     return paired.withColumn("output", planted(F.col("output"), F.col("conv_id") * 7 + F.col("turn")))
 

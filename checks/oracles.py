@@ -235,7 +235,7 @@ MAPPING = (
 # --- grounding ---
 TURNS = (
     "near AS (SELECT *, lag(role) OVER w AS prev_role, lag(text) OVER w AS prev_text, string_agg(text, chr(10)) OVER "
-    "(PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING) AS context FROM conversations "
+    "(PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context FROM conversations "
     "WINDOW w AS (PARTITION BY conv_id ORDER BY turn))")
 GENS = f"{TURNS}, gens AS (SELECT conv_id, turn, prev_text AS prompt, {planted_sql('text', 'conv_id * 7 + turn')} AS output, context FROM near WHERE role = 'assistant' AND prev_role = 'user')"
 

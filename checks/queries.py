@@ -14,7 +14,7 @@ from quietgate.operators import (
     validation,
 )
 from quietgate.plans import pairing, scan
-from quietgate.sources import rules_json
+from quietgate.sources import audit_sink, rules_json
 
 C = F.col
 LIMITS = behavior.Limits(seconds=7 * 86400, volume_threshold=20)
@@ -77,8 +77,9 @@ def src_texts(spark, d):
 
 
 def src_rules_json(spark, d):
-    files = spark.createDataFrame([(json.dumps(FILE_POLICIES),)], "value string")
-    rules = policy.policies_of(rules_json.rules_of(files))
+    folder = streams.work_folder(spark)
+    spark.createDataFrame([(json.dumps(FILE_POLICIES),)], "value string").coalesce(1).write.text(folder)
+    rules = policy.policies_of(rules_json.read_rules(spark, folder))
     return _policy_result(policy.evaluate(inputs.texts(spark, d), rules))
 
 
@@ -89,7 +90,10 @@ def sink_audit(spark, d):
     log = audit.records(ruled.select(
         "ts", "doc_id", "source", C("policy.action").alias("action"), "text", C("policy.violations").alias("violations"), "scan_ms",
     ), "ts", "doc_id", "source", "action", "text", "violations", "scan_ms")
-    return log.select("correlation_id", "user_id", "action", "text_preview", C("violation_count").cast("bigint").alias("violation_count"),
+    folder = streams.work_folder(spark)
+    audit_sink.append(log, folder)
+    back = audit_sink.read(spark, folder)
+    return back.select("correlation_id", "user_id", "action", "text_preview", C("violation_count").cast("bigint").alias("violation_count"),
                       joined(C("violations")["rule"]).alias("rules"), "scan_time_ms")
 
 

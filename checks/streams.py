@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,24 +13,32 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the shared folder the cluster names; a temporary one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quietgate-")
+    """A new folder in the shared folder the cluster names, or beside the warehouse where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    """The table as a stream of a few files per micro-batch, so that a batch is bounded."""
+    path = f"{sf_dir}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.parquet").parquet(f"{path}*")
 
 
 def drained(stream: DataFrame) -> DataFrame:
-    """Write everything available to Parquet and read it."""
+    """Write everything available to Parquet and read it; the session's state store setting is put back."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    folder = work_folder(spark)
-    query = (stream.writeStream.format("parquet").option("path", f"{folder}/out")
-             .option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start())
-    query.awaitTermination()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, STATE_STORE)
+    try:
+        folder = work_folder(spark)
+        query = (stream.writeStream.format("parquet").option("path", f"{folder}/out")
+                 .option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 

@@ -22,6 +22,14 @@ def slice_of(at: Column, width: int) -> Column:
     return F.call_function("div", at - F.pmod(at, F.lit(width)), F.lit(width))
 
 
+def _same(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> Column:
+    """Equal keys; rows with a null key belong together."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & a[c].eqNullSafe(b[c])
+    return out
+
+
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_column: str,
                  measures: Mapping[str, Column]) -> DataFrame:
     """Add running sums (up to and including the row) of ``measures`` per key."""
@@ -32,7 +40,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice
     carried = per_slice.select(*keys, slice_column, *(
         F.coalesce(F.sum(h).over(before), F.lit(0)).alias(f"{h}_carried") for h in hidden.values()))
     within = Window.partitionBy(*keys, slice_column).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = held.join(carried, [*keys, slice_column])
+    joined = held.join(carried, _same(held, carried, [*keys, slice_column])).select(
+        held["*"], *(carried[f"{h}_carried"] for h in hidden.values()))
     sums = [(F.sum(h).over(within) + F.col(f"{h}_carried")).alias(n) for n, h in hidden.items()]
     return joined.select("*", *sums).drop(*hidden.values(), *(f"{h}_carried" for h in hidden.values()))
 

@@ -33,11 +33,11 @@ def tail(log: DataFrame, limit: int = v.AUDIT_TAIL, order: tuple[str, ...] = ("t
 
 def metrics(log: DataFrame, last: int = v.METRIC_ROWS, order: tuple[str, ...] = ("ts", "correlation_id")) -> DataFrame:
     """Request totals and the mean scan time of the newest requests."""
-    totals = log.agg(
-        F.count("*").alias("total_requests"),
-        F.count_if(F.col("action") == "block").alias("total_blocked"),
-        F.count_if(F.col("action") == "warn").alias("total_warnings"))
+    counts = ("total_requests", "total_blocked", "total_warnings")
+    totals = log.agg(F.count("*").alias(counts[0]), F.count_if(F.col("action") == "block").alias(counts[1]),
+                     F.count_if(F.col("action") == "warn").alias(counts[2]))
     newest = log.select(*order, "scan_time_ms").orderBy(*(F.col(c).desc() for c in order)).limit(last)
     mean = newest.agg(F.round(F.coalesce(F.avg("scan_time_ms"), F.lit(0.0)), 2).alias("average_scan_time_ms"))
-    # Both sides are one-row aggregates.
-    return totals.join(mean, F.lit(True))
+    # Two one-row results, put side by side.
+    return totals.unionByName(mean, allowMissingColumns=True).agg(
+        *(F.max(c).alias(c) for c in (*counts, "average_scan_time_ms")))

@@ -11,8 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.running import micros, slice_of
-from quietgate.functions.text import let, strip
+from quietgate.functions.running import micros, running_sums, slice_of
+from quietgate.functions.text import fenced, let, strip
 
 SECOND = 1_000_000
 FLAGS = ("injection", "toxic", "blocked")
@@ -32,12 +32,17 @@ def attempt_of(text: Column) -> Column:
     return F.substring(strip(F.lower(text)), 1, v.JAILBREAK_CHARS)
 
 
+CHUNK = 8192  # events of one user that share a window group
+
+
 def history(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Add the history counts of every event (``n, n_injection, n_toxic, n_blocked``) and its last rows (``recent``).
 
-    Each event is placed in the time slice of the history length and once more in the next slice,
-    where later events may look back at it.  So a user's history is spread over many window
-    groups, one per slice, and no user has to fit a single task.  Only narrow columns take part.
+    A history is never longer than ``max_rows`` events, so one frame of that many rows holds it; those too old are left
+    out inside the row.  The cost is linear in the events, however many fall into one history length.  A user's events
+    are numbered with counts carried over time slices and cut into chunks by number; the end of each chunk is copied
+    into the next one, where later events look back at it.  So a busy user spreads over tasks.  Only narrow columns
+    take part.
     """
     width = limits.seconds * SECOND
     last = max(limits.escalation_window, v.JAILBREAK_ROWS)
@@ -45,35 +50,34 @@ def history(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
         "user_id", "event_id", "ts", "was_injection", "was_toxic", "was_blocked", "confidence",
         F.when(F.col("was_injection"), attempt_of(F.col("text"))).alias("__attempt"),
         micros(F.col("ts")).alias("__at"))
-    placed = narrow.withColumn("__own", slice_of(F.col("__at"), width)).select(
-        "*", F.explode(F.array("__own", F.col("__own") + 1)).alias("__slice"))
-
-    group = ("user_id", "__slice")
-    older = Window.partitionBy(*group).orderBy("__at").rangeBetween(-width, -1)
-    same_time = Window.partitionBy(*group, "__at").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    newest = Window.partitionBy(*group).orderBy("__at", "event_id").rowsBetween(-(limits.max_rows - 1), 0)
-    recent = Window.partitionBy(*group).orderBy("__at", "event_id").rowsBetween(-(last - 1), 0)
-
-    measures = {"n": F.lit(1), **{f"n_{f}": F.col(f"was_{f}").cast("int") for f in FLAGS}}
-    in_rows = {n: F.sum(c).over(newest) for n, c in measures.items()}
+    sliced = narrow.withColumn("__slice", slice_of(F.col("__at"), width))
+    numbered = running_sums(sliced, ["user_id"], ["__at", "event_id"], "__slice", {"__no": F.lit(1)}).drop("__slice")
+    back = max(limits.max_rows, last) - 1
+    chunk = max(CHUNK, back + 1)
+    at_end = F.pmod(F.col("__no") - 1, F.lit(chunk)) >= chunk - back
+    placed = numbered.withColumn("__own", slice_of(F.col("__no") - 1, chunk)).select("*", F.explode(
+        F.when(at_end, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))).alias("__chunk"))
+
+    order = Window.partitionBy("user_id", "__chunk").orderBy("__no")
+    flags = sum((F.coalesce(F.col(f"was_{f}"), F.lit(False)).cast("int") * 2 ** i for i, f in enumerate(FLAGS)), F.lit(0))
+    seen = F.collect_list(F.struct(F.col("__at").alias("at"), flags.alias("flags"))).over(
+        order.rowsBetween(-(limits.max_rows - 1), 0))
     row = F.struct(F.col("was_injection").alias("inj"), F.col("was_toxic").alias("tox"),
                    F.col("confidence").alias("conf"), F.col("__attempt").alias("attempt"))
-    # All frames follow one sort order: (user, slice, time, event).
-    by_rows = placed.select("*", *(c.alias(f"__r_{n}") for n, c in in_rows.items()), F.collect_list(row).over(recent).alias("__last"))
-    tied = by_rows.select("*", *(F.sum(c).over(same_time).alias(f"__s_{n}") for n, c in measures.items()))
-    counted = tied.select("*", *(
-        (F.coalesce(F.sum(c).over(older), F.lit(0)) + F.col(f"__s_{n}")).alias(f"__t_{n}") for n, c in measures.items()
-    )).where(F.col("__slice") == F.col("__own"))
-    # Both conditions keep a suffix of the ordered history, so the shorter of the two applies.
-    time_is_shorter = F.col("__t_n") <= limits.max_rows
-    sized = counted.select(
+    framed = placed.select("*", seen.alias("__seen"), F.collect_list(row).over(order.rowsBetween(-(last - 1), 0)).alias("__last"))
+    inside = F.transform(F.filter("__seen", lambda e: e["at"] >= F.col("__at") - width), lambda e: e["flags"])
+    kept = fenced(framed.where(F.col("__chunk") == F.col("__own")).drop("__own", "__chunk"), "__kept", inside)
+    sized = kept.select(
         "user_id", "event_id", "ts", "was_injection", "was_toxic", "was_blocked", "confidence", "__last",
-        *(F.when(time_is_shorter, F.col(f"__t_{n}")).otherwise(F.col(f"__r_{n}")).cast("bigint").alias(n)
-          for n in measures))
+        F.size("__kept").cast("bigint").alias("n"), *(_with_flag("__kept", i).alias(f"n_{f}") for i, f in enumerate(FLAGS)))
     kept_rows = F.least(F.size("__last"), F.col("n").cast("int"))
     return sized.withColumn("recent", F.slice("__last", F.size("__last") - kept_rows + 1, kept_rows)).drop("__last")
 
 
+def _with_flag(rows: str, bit: int) -> Column:
+    return F.size(F.filter(rows, lambda flags: F.getbit(flags.cast("bigint"), F.lit(bit)) == 1)).cast("bigint")
+
+
 def risk_of(n: Column, injections: Column, toxics: Column, blocks: Column) -> Column:
     ratio = lambda c: c.cast("double") / n.cast("double")
     a, b, c = v.RISK_WEIGHTS

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quietgate import fixed_values as v
@@ -12,6 +14,7 @@ from quietgate.functions.text import Forms, exploded, fenced, forms_of, kept, le
 from quietgate.operators.encoding import decoded_items
 
 Rule = tuple[str, str, str]  # name, category, pattern
+log = logging.getLogger(__name__)
 
 
 def threshold_of(sensitivity: str) -> float:
@@ -22,15 +25,28 @@ def usable_rules(spark: SparkSession, custom: Sequence[dict] | None) -> tuple[li
     """Custom rules that both pattern dialects accept, and the names of those skipped."""
     good, skipped = [], []
     for rule in custom or ():
-        try:
-            re.compile(rule["pattern"])
-            spark.range(1).select(F.lit("").rlike(rx(rule["pattern"]))).head()
+        if _compiles(spark, rule["pattern"]):
             good.append((rule["name"], rule.get("category", "custom"), rule["pattern"]))
-        except Exception:  # noqa: BLE001 - any compile failure means the rule is skipped
+        else:
             skipped.append(rule["name"])
+            log.warning("custom rule %s has no valid pattern and is skipped", rule["name"])
     return good, skipped
 
 
+def _compiles(spark: SparkSession, pattern: str) -> bool:
+    """Compiled where it stands, in both dialects; no job is run, and no other failure is taken for a bad pattern."""
+    try:
+        re.compile(pattern)
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(rx(pattern))
+    except re.error:
+        return False
+    except Py4JJavaError as failure:
+        if "PatternSyntaxException" not in failure.java_exception.getClass().getName():
+            raise
+        return False
+    return True
+
+
 def literals(rules: Sequence[Rule] = v.INJECTION_PATTERNS, markers: bool = True) -> list[str]:
     return literals_of([p for *_, p in rules] + (list(v.STRUCTURAL_MARKERS) if markers else []))
 

@@ -21,24 +21,31 @@ def pair_turns(turns: DataFrame) -> DataFrame:
         "conv_id", "turn", F.col("prev_text").alias("prompt"), F.col("text").alias("output"))
 
 
-def attach_context(turns: DataFrame, last: int = 16, separator: str = "\n") -> DataFrame:
+def longest_conversation(turns: DataFrame) -> int:
+    """Turns of the longest conversation: with this many, ``attach_context`` leaves nothing out."""
+    return turns.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1
+
+
+def attach_context(turns: DataFrame, last: int, separator: str = "\n") -> DataFrame:
     """Every turn with the text of up to ``last`` turns before it, oldest first, null at the start.
 
-    Turns are numbered without gaps first; slices then follow the numbers and the tail of each
-    slice is copied into the next one, where the first turns look back at it.
+    ``context_cut`` tells whether earlier turns were left out.  Turns are numbered without gaps first; slices then
+    follow the numbers and the tail of each slice is copied into the next one, where the first turns look back at it.
     """
-    if not 0 < last <= SLICE:
-        raise ValueError(f"last must be between 1 and {SLICE}")
+    if last < 1:
+        raise ValueError("last must be at least 1")
+    size = max(SLICE, last)
     coarse = turns.withColumn("__slice", slice_of(F.col("turn"), SLICE))
     numbered = running_sums(coarse, ["conv_id"], ["turn"], "__slice", {"__no": F.lit(1)}).drop("__slice")
-    own = slice_of(F.col("__no"), SLICE)
-    tail = F.pmod(F.col("__no"), F.lit(SLICE)) >= SLICE - last
+    own = slice_of(F.col("__no"), size)
+    tail = F.pmod(F.col("__no"), F.lit(size)) >= size - last
     placed = numbered.withColumn("__own", own).select(
         "*", F.explode(F.when(tail, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))).alias("__slice"))
     before = Window.partitionBy("conv_id", "__slice").orderBy("__no").rowsBetween(-last, -1)
     texts = F.collect_list("text").over(before)
     return placed.withColumn("__before", texts).where(F.col("__slice") == F.col("__own")).select(
-        *turns.columns, F.when(F.size("__before") > 0, F.array_join("__before", separator)).alias("context"))
+        *turns.columns, F.when(F.size("__before") > 0, F.array_join("__before", separator)).alias("context"),
+        (F.col("__no") > last + 1).alias("context_cut"))
 
 
 def attach_document(outputs: DataFrame, documents: DataFrame, key: str, document_key: str = "doc_id",

@@ -1,4 +1,5 @@
 import random
+import time
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from quietgate.functions.running import running_sums, slice_of
 from quietgate.operators import behavior, rate_limit
 from quietgate.streaming import behavior_stream, rate_limit_stream, scan_stream
-from quietgate.plans import scan
+from quietgate.plans import pairing, scan
 from quietgate.sources import texts as text_source
 from tests import models
 
@@ -178,3 +179,46 @@ def test_scan_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(120)
     got = {r.correlation_id: r.action for r in spark.read.parquet(f"{tmp_path}/log").collect()}
     assert got == {str(r.id): r.scan.action for r in scan.scan(df).collect()}
+
+
+def hot_user(spark, n):
+    """One user's events within one hour."""
+    return spark.range(n).selectExpr(
+        "'u' AS user_id", "id AS event_id", f"timestamp_micros(1700000000000000 + id * (3600000000 div {n})) AS ts", "'try ' || id % 7 AS text",
+        "id % 3 = 0 AS was_injection", "id % 5 = 0 AS was_toxic", "id % 11 = 0 AS was_blocked", "0.5D AS confidence")
+
+
+def test_history_of_a_hot_user_is_linear_and_spread(spark):
+    def seconds(n):
+        start = time.perf_counter()
+        found = behavior.detect(hot_user(spark, n))
+        assert found.where("n = 100").count() == n - 99
+        return time.perf_counter() - start
+
+    seconds(1000)
+    small, large = seconds(25_000), seconds(200_000)
+    assert large < 8 * small * 2
+    plan = behavior.detect(hot_user(spark, 10))._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame" not in plan
+
+
+def test_context_holds_all_turns_or_tells_what_it_leaves_out(spark):
+    turns = spark.createDataFrame([(c, t, "user", f"{c}.{t}") for c, n in ((1, 40), (2, 3)) for t in range(n)], "conv_id long, turn long, role string, text string")
+    longest = pairing.longest_conversation(turns)
+    whole = {(r.conv_id, r.turn): r for r in pairing.attach_context(turns, last=longest).collect()}
+    assert longest == 40 and len(whole) == 43
+    for (c, t), r in whole.items():
+        assert r.context == ("\n".join(f"{c}.{i}" for i in range(t)) or None) and not r.context_cut
+    short = {(r.conv_id, r.turn): r for r in pairing.attach_context(turns, last=5).collect()}
+    assert all(r.context_cut == (t > 5) for (_, t), r in short.items())
+
+
+def test_a_reset_clears_the_history_of_a_stream(spark, tmp_path):
+    rows = [("u", i, EPOCH + timedelta(seconds=i), "x", True, False, False, 0.5, i == 4) for i in range(8)]
+    spark.createDataFrame(rows, "user_id string, event_id long, ts timestamp, text string, was_injection boolean, was_toxic boolean, "
+                          "was_blocked boolean, confidence double, is_reset boolean").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    query = (behavior_stream.detect(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+             .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert {r.event_id: r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {0: 1, 1: 2, 2: 3, 3: 4, 5: 1, 6: 2, 7: 3}
