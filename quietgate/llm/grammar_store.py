@@ -10,6 +10,7 @@ left to right where they overlap.  One pair at a time would need a pass over the
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,9 +32,8 @@ _SHARD = pa.schema([
     ("n_tokens", pa.int64()), ("base", pa.int32()), ("rules", pa.binary()), ("expansions", pa.binary()), ("sequence", pa.binary())])
 _SHARD_DDL = ("part int, shard int, doc_ids array<bigint>, lengths array<bigint>, n_tokens bigint, base int, rules binary, "
               "expansions binary, sequence binary")
-_DOC = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("within", pa.int64()),
-                  ("n_tokens", pa.int64()), ("ids", pa.binary())])
-_DOC_DDL = "part int, shard int, doc_id bigint, within bigint, n_tokens bigint, ids binary"
+_DOC = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("within", pa.int64()), ("n_tokens", pa.int64())])
+_DOC_DDL = "part int, shard int, doc_id bigint, within bigint, n_tokens bigint"
 
 
 @dataclass
@@ -172,27 +172,34 @@ def grammar_of(row: dict) -> Grammar:
                    np.frombuffer(row["expansions"], np.uint32), np.frombuffer(row["sequence"], np.uint32))
 
 
-def _read(batches: Batches) -> Made:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            ids = memoryview(expand(grammar_of(row)).astype("<u4").tobytes())
-            lengths = np.array(row["lengths"], np.int64)
-            within = np.cumsum(lengths) - lengths
-            blobs = [bytes(ids[4 * w:4 * (w + n)]) for w, n in zip(within, lengths)]
-            n = len(blobs)
-            yield record(_DOC, np.full(n, row["part"], np.int32), np.full(n, row["shard"], np.int32), row["doc_ids"],
-                         within, lengths, blobs)
+def _read(made):
+    """Documents of each shard; ``made`` turns the bytes of a document's ids into the last column."""
+    schema, of_ids = made
+
+    def run(batches: Batches) -> Made:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                ids = memoryview(expand(grammar_of(row)).astype("<u4").tobytes())
+                lengths = np.array(row["lengths"], np.int64)
+                within = np.cumsum(lengths) - lengths
+                last = [of_ids(ids[4 * w:4 * (w + n)]) for w, n in zip(within.tolist(), lengths.tolist())]
+                n = len(last)
+                yield record(schema, np.full(n, row["part"], np.int32), np.full(n, row["shard"], np.int32), row["doc_ids"],
+                             within, lengths, last)
+    return run
 
 
 def shards(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(_SHARD_DDL).parquet(folder)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
+def read(spark: SparkSession, folder: str, checksums: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document; ``start`` counts the ids of all documents before it.
 
-    Running sums over shards need two levels: over the parts (as many as the writer had tasks), and within each part.
+    With ``checksums``, ``ids_crc32`` (of the little-endian ids) comes instead of the ids, worked out where they are
+    expanded.  Running sums over shards need two levels: over the parts (as many as the writer had tasks), and within
+    each part.
     """
     index = shards(spark, folder).select("part", "shard", F.col("n_tokens").alias("t"))
     parts = index.groupBy("part").agg(F.sum("t").alias("p")).select(
@@ -200,8 +207,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     inside = F.sum("t").over(Window.partitionBy("part").orderBy("shard")) - F.col("t")
     offsets = index.join(parts, "part").select("part", "shard", (F.col("before") + inside).alias("offset"))
     side = F.broadcast(offsets) if small(index, 100_000) else offsets
-    docs = shards(spark, folder).mapInArrow(_read, _DOC_DDL)
-    return docs.join(side, ["part", "shard"]).select("doc_id", (F.col("offset") + F.col("within")).alias("start"), "n_tokens", "ids")
+    name, kind, ddl, of_ids = ("ids_crc32", pa.int64(), "bigint", zlib.crc32) if checksums else ("ids", pa.binary(), "binary", bytes)
+    docs = shards(spark, folder).mapInArrow(_read((_DOC.append(pa.field(name, kind)), of_ids)), f"{_DOC_DDL}, {name} {ddl}")
+    return docs.join(side, ["part", "shard"]).select("doc_id", (F.col("offset") + F.col("within")).alias("start"), "n_tokens", name)
 
 
 def token_range(spark: SparkSession, folder: str, part: int, shard: int, start: int, length: int) -> np.ndarray:

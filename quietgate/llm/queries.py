@@ -39,7 +39,7 @@ def op4_quality_rules(spark, sf_dir):
 def op5_token_id_output(spark, sf_dir):
     folder = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
     grammar_store.write(_documents(spark, sf_dir), folder, vocabulary("word_bpe_49k.json"))
-    return grammar_store.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return grammar_store.read(spark, folder, checksums=True)
 
 
 def op6_personal_data(spark, sf_dir):

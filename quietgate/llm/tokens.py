@@ -18,7 +18,7 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-_KNOWN_PIECES = 300_000
+_KNOWN_PIECES = 600_000  # remembered per worker, about 100 MB; beyond it the memory is emptied
 _NOT_LATIN = re.compile("[^\x00-ɏ]|İ")
 _loaded: dict[str, Coder] = {}
 
@@ -84,9 +84,11 @@ class Coder:
         if self.lower:
             piece, space = piece.lower(), ""
         if piece.isalpha():
-            return self._token(space + piece)
+            whole = space + piece
+            return self.tokens.get(whole) or self._token(whole)
         if piece[-1] in ",." and piece[:-1].isalpha():
-            return self._token(space + piece[:-1]) + self._token(piece[-1])
+            whole = space + piece[:-1]
+            return (self.tokens.get(whole) or self._token(whole)) + self._token(piece[-1])
         return b"".join(map(self._token, self.split.findall(space + piece)))
 
     def _whole(self, texts: list[str]) -> list[bytes]:

@@ -2,6 +2,7 @@
 
 import random
 import uuid
+import zlib
 
 import numpy as np
 import pytest
@@ -72,6 +73,8 @@ def test_shards_read_back_in_key_order(spark, documents):
         assert ids == whole(FILES[0], texts[r["doc_id"]] or "") + [1]
         assert (r["start"], r["n_tokens"]) == (place, len(ids))
         place += len(ids)
+    sums = store.read(spark, folder, checksums=True).orderBy("start").collect()
+    assert [(r["start"], r["ids_crc32"]) for r in sums] == [(r["start"], zlib.crc32(bytes(r["ids"]))) for r in got]
     first = store.shards(spark, folder).orderBy("part", "shard").first()
     some = store.token_range(spark, folder, first["part"], first["shard"], 3, 40)
     assert some.tolist() == store.expand(store.grammar_of(first.asDict()))[3:43].tolist()
