@@ -12,6 +12,7 @@ from checks import queries as q
 from checks.plants import planted_sql, sql_text as s
 from quietgate import fixed_values as v
 from quietgate.functions.text import WHITESPACE
+from quietgate.operators.encoding import script_class, script_ranges
 
 WS = r"[\t\n\v\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WORD = r"[\p{L}\p{N}_]+"
@@ -655,12 +656,21 @@ def _codes(cls: str) -> str:
     return f"array_to_string(list_transform(regexp_extract_all(text, {s(cls)})[1:5], lambda c: 'U+' || lpad(upper(to_base(unicode(c), 16)), 4, '0')), ', ')"
 
 
-_SCRIPTS = ("ARABIC", "ARMENIAN", "CHEROKEE", "CYRILLIC", "DEVANAGARI", "ETHIOPIC", "GEORGIAN", "GREEK", "HANGUL", "HEBREW", "HIRAGANA", "KATAKANA", "LATIN", "THAI")
-ORACLES["unicode_tricks"] = (
+_SCRIPTS = present([
+    f"CASE WHEN regexp_matches(text, {s(script_class(r + [(65, 90), (97, 122)] if word == 'LATIN' else r))}) THEN {s(word)} END"
+    for word, r in script_ranges().items()])
+_TRICKS = (
     f"WITH {DOCS}, c AS (SELECT doc_id, {_count(_HOMO)} AS homoglyphs, {_count(_INV)} AS invisibles, {_count(f'[{v.RIGHT_TO_LEFT}]')} AS right_to_left, {_codes(_HOMO)} AS homoglyph_codes, "
-    f"{_codes(_INV)} AS invisible_codes, {present([f'CASE WHEN regexp_matches(text, {s(chr(92) + f"p{{{x.title()}}}")}) THEN {s(x)} END' for x in _SCRIPTS])} AS sc FROM docs) "
-    "SELECT doc_id, homoglyphs, invisibles, right_to_left, homoglyph_codes, invisible_codes, array_to_string(sc, '|') AS scripts, "
+    f"{_codes(_INV)} AS invisible_codes, {_SCRIPTS} AS sc FROM docs) "
+)
+ORACLES["unicode_tricks"] = (
+    _TRICKS + "SELECT doc_id, homoglyphs, invisibles, right_to_left, homoglyph_codes, invisible_codes, array_to_string(sc, '|') AS scripts, "
     "(homoglyphs > 0)::BIGINT + (invisibles > 0)::BIGINT + (len(sc) > 2)::BIGINT + (right_to_left > 0)::BIGINT AS findings FROM c")
+ORACLES["unicode_script_names"] = (
+    _TRICKS + "SELECT doc_id, concat_ws('|', CASE WHEN homoglyphs > 0 THEN 'Homoglyph characters detected: ' || homoglyphs || ' characters (' || homoglyph_codes || ')' END, "
+    "CASE WHEN invisibles > 0 THEN 'Invisible characters detected: ' || invisibles || ' characters (' || invisible_codes || ')' END, "
+    "CASE WHEN len(sc) > 2 THEN 'Mixed Unicode scripts detected: ' || array_to_string(sc, ', ') END, "
+    "CASE WHEN right_to_left > 0 THEN 'Right-to-left override characters detected: ' || right_to_left END) AS findings FROM c")
 
 # Requests of the page table: path and method from the key and the url, the body is the page.
 _PAGES = (

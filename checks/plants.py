@@ -57,9 +57,10 @@ OTHER = [
     "a skill to murder", "suicide methods and how to hurt yourself",
 ]
 ALL = [*ATTACKS, *TOXIC, *PERSONAL, *OTHER]
+PLANTED = [*ALL, "mixed текст 漢字 বাংলা"]
 
 
-def planted(text: Column, key: Column, snippets: list[str] = ALL) -> Column:
+def planted(text: Column, key: Column, snippets: list[str] = PLANTED) -> Column:
     """The whole text, a line break and the snippet of the key."""
     pick = (F.pmod(key, F.lit(len(snippets))) + 1).cast("int")
     return F.concat(text, F.lit("\n"), F.element_at(F.array(*map(F.lit, snippets)), pick))
@@ -69,6 +70,6 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def planted_sql(text: str, key: str, snippets: list[str] = ALL) -> str:
+def planted_sql(text: str, key: str, snippets: list[str] = PLANTED) -> str:
     listed = ", ".join(map(sql_text, snippets))
     return f"({text} || chr(10) || ([{listed}])[({key}) % {len(snippets)} + 1])"

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
 from string import ascii_lowercase as az, ascii_uppercase as AZ
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import Forms, kept, let, rx, spans, strip, with_forms
+from quietgate.functions.text import Forms, kept, let, rx, spans, strings, strip, with_forms
 
 ITEM_TYPE = "array<struct<original:string,decoded:string,encoding:string,start:int,end:int>>"
 PRINTABLE = r"\A[\p{L}\p{M}\p{N}\p{P}\p{S} ]*\z"
@@ -104,11 +106,36 @@ def normalize(df: DataFrame, text: str = "text", out: str = "normalized") -> Dat
     return df.withColumn(out, normalized(F.col(text)))
 
 
-# Unicode scripts whose letters carry the same first word in their character names.
-SCRIPTS = (
-    "LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "HEBREW", "ARABIC", "DEVANAGARI", "THAI", "GEORGIAN", "HANGUL",
-    "HIRAGANA", "KATAKANA", "CHEROKEE", "ETHIOPIC",
-)
+@cache
+def script_ranges() -> dict[str, list[tuple[int, int]]]:
+    """Ranges of the non-ASCII letters by the first word of their Unicode name."""
+    found: dict[str, list[tuple[int, int]]] = {}
+    for code in range(128, sys.maxunicode + 1):
+        char = chr(code)
+        if char.isalpha() and (name := unicodedata.name(char, "")):
+            ranges = found.setdefault(name.split()[0], [])
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1] = (ranges[-1][0], code)
+            else:
+                ranges.append((code, code))
+    return dict(sorted(found.items()))
+
+
+def script_class(ranges: list[tuple[int, int]]) -> str:
+    """Character class of some ranges, in the notation that Java and RE2 share."""
+    return "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges) + "]"
+
+
+def scripts_of(text: Column) -> Column:
+    """Sorted first words of the names of all letters; only the distinct non-ASCII characters are matched with classes."""
+    rest = F.array_join(F.array_distinct(F.split(F.regexp_replace(text, "[\\x00-\\x7f]+", ""), "")), "")
+
+    def names(odd: Column) -> Column:
+        return kept((odd.rlike(script_class(ranges)) | (text.rlike("[A-Za-z]") if word == "LATIN" else F.lit(False)), word)
+                    for word, ranges in script_ranges().items())
+
+    ascii_only = F.when(text.rlike("[A-Za-z]"), strings(["LATIN"])).otherwise(strings(()))
+    return F.when(F.octet_length(text) == F.char_length(text), ascii_only).otherwise(let(rest, names))
 
 
 def _class(chars: str) -> str:
@@ -124,7 +151,6 @@ def unicode_counts(df: DataFrame, text: str = "text") -> DataFrame:
             F.slice(F.regexp_extract_all(t, F.lit(cls), F.lit(0)), 1, 5),
             lambda c: F.concat(F.lit("U+"), F.lpad(F.hex(_codepoint(c)), 4, "0")),
         ), ", ")
-    scripts = kept((t.rlike(rf"[\p{{Is{s.title()}}}&&\p{{L}}]"), s) for s in SCRIPTS)
     return df.select(
         "*",
         F.regexp_count(t, F.lit(glyphs)).alias("homoglyphs"),
@@ -132,7 +158,7 @@ def unicode_counts(df: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count(t, F.lit(hidden)).alias("invisibles"),
         codes(hidden).alias("invisible_codes"),
         F.regexp_count(t, F.lit(_class(v.RIGHT_TO_LEFT))).alias("right_to_left"),
-        F.array_sort(scripts).alias("scripts"),
+        scripts_of(t).alias("scripts"),
     )
 
 
@@ -141,14 +167,10 @@ def _codepoint(char: Column) -> Column:
     return F.conv(F.hex(F.encode(char, "UTF-16BE")), 16, 10).cast("int")
 
 
-def unicode_findings(df: DataFrame, text: str = "text", out: str = "findings", exact_scripts: bool = False) -> DataFrame:
-    """Readable findings about disguised text.
-
-    ``exact_scripts`` takes the script words from the Unicode character names in an Arrow
-    batch function, which also tells apart names such as FULLWIDTH or MICRO.
-    """
+def unicode_findings(df: DataFrame, text: str = "text", out: str = "findings") -> DataFrame:
+    """Readable findings about disguised text."""
     counted = unicode_counts(df, text)
-    scripts = F.array_sort(name_words(F.col(text))) if exact_scripts else F.col("scripts")
+    scripts = F.col("scripts")
     n = lambda c: F.col(c).cast("string")
     findings = F.array_compact(F.array(
         F.when(F.col("homoglyphs") > 0, F.concat(
@@ -163,17 +185,3 @@ def unicode_findings(df: DataFrame, text: str = "text", out: str = "findings", e
             F.lit("Right-to-left override characters detected: "), n("right_to_left"))),
     ))
     return counted.withColumn(out, findings)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def name_words(texts: pd.Series) -> pd.Series:
-    """Distinct first words of the Unicode names of the letters in each text."""
-    import unicodedata
-
-    def words_of(text):
-        if text is None:
-            return None
-        names = (unicodedata.name(c, "") for c in set(text) if c.isalpha())
-        return list({name.split()[0] for name in names if name})
-
-    return texts.map(words_of)

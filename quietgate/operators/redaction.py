@@ -116,12 +116,21 @@ def redact_given(texts: DataFrame, spans: DataFrame, key: str, text: str = "text
 
 
 def replacement_map(spans: Column) -> Column:
-    """Distinct replacements in order of first use with the original written last."""
-    return F.transform(
-        F.array_distinct(F.transform(spans, lambda s: s["replacement"])),
-        lambda r: F.struct(r.alias("replacement"), F.element_at(
-            F.filter(spans, lambda s: s["replacement"] == r), -1)["original"].alias("original")),
-    )
+    """Distinct replacements in order of first use with the original written last.
+
+    Sorted by replacement and position, the uses of a replacement lie side by side: the first gives its place, the last
+    its original.
+    """
+    uses = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["replacement"].alias("r"), i.alias("i"), s["original"].alias("o"))))
+
+    def paired(u: Column) -> Column:
+        other = lambda j, x: F.coalesce(F.get(u, j)["r"] != x["r"], F.lit(True))
+        firsts = F.filter(u, lambda x, j: other(F.when(j > 0, j - 1), x))
+        lasts = F.filter(u, lambda x, j: other(j + 1, x))
+        return F.array_sort(F.zip_with(firsts, lasts, lambda a, b: F.struct(
+            a["i"].alias("i"), a["r"].alias("replacement"), b["o"].alias("original"))))
+
+    return F.transform(let(uses, paired), lambda m: F.struct(m["replacement"].alias("replacement"), m["original"].alias("original")))
 
 
 def mapping_table(df: DataFrame, key: str, spans: str = "redacted_spans") -> DataFrame:

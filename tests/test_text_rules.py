@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import unicodedata
 
 from hypothesis import given, settings, strategies as st
@@ -113,8 +114,8 @@ def test_base64_spans_match_python(texts):
 
 
 def test_script_names_match_unicode_data(texts):
-    samples = mixtures(60, 5) + ["Ａ µ ß ж α"]
-    got = column(encoding.unicode_findings(texts(*samples), exact_scripts=True), "findings")
+    samples = mixtures(60, 5) + ["Ａ µ ß ж α", "漢字 বাংলা x", "தமிழ் తెలుగు ລາວ ខ្មែរ", "𝔸𝕏 ꙮ ﷽ x"]
+    got = column(encoding.unicode_findings(texts(*samples)), "findings")
     for findings, text in zip(got, samples):
         names = {unicodedata.name(c, "").split()[0] for c in text if c.isalpha() and unicodedata.name(c, "")}
         mixed = [f for f in findings if f.startswith("Mixed")]
@@ -192,3 +193,16 @@ def test_spans_words_sentences_and_strip_match_python(texts):
         assert row.q == [x.strip() for x in re.split(r"(?<=[.!?])\s+", text.strip())]
         assert all(text[x.start:x.end] == x.text for x in row.s)
     assert sorted(WHITESPACE) == sorted(c for c in map(chr, range(0x11000)) if c.isspace())
+
+
+def test_redaction_map_of_a_long_text_is_linear(spark):
+    def seconds(n):
+        df = spark.range(1).select(F.col("id"), F.array_join(F.transform(
+            F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("mail u"), i, F.lit("@example.com "))), "").alias("text"))
+        found = redaction.redact(df, "text", strategy="placeholder")
+        start = time.perf_counter()
+        assert redaction.mapping_table(found, "id").count() == n
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(16_000) < 20
