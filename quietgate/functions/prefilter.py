@@ -9,9 +9,13 @@ ones: a row that fails them cannot match, hence no result ever changes.
 from __future__ import annotations
 
 import re
-from re import _constants as sre, _parser as sre_parser  # the parse tree Python itself compiles from
 from typing import NamedTuple
 
+try:  # the parse tree Python itself compiles from; without it no condition is known and every regex runs
+    from re import _constants as sre, _parser as sre_parser
+except ImportError:
+    sre = sre_parser = None
+
 FOLDING_TO_ASCII = "ſKİı"  # the only non-ASCII characters that match an ASCII letter
 
 
@@ -130,6 +134,8 @@ def _walk(seq) -> tuple[list[frozenset[str]], int, bool]:
 
 def needs(pattern: str, most_groups: int = 2) -> Needs:
     """Necessary literals (lower-cased) of ``pattern``; empty groups mean "no cheap condition known"."""
+    if sre_parser is None:
+        return Needs((), 0, False)
     tree = sre_parser.parse(pattern)
     if tree.state.flags & ~re.UNICODE:  # inline flags change what a literal means
         return Needs((), 0, False)

@@ -97,12 +97,13 @@ def switched(policies: Iterable[Policy], name: str, enabled: bool) -> list[Polic
 
 
 def rules_table(spark: SparkSession, policies: Sequence[Policy]) -> DataFrame:
-    """The rule set as a table, one row per rule in evaluation order."""
-    rows = [
-        (i, p.name, p.description, p.action, p.severity, p.enabled, j, r.rule_type, r.description, r.pattern,
-         list(r.keywords) if r.keywords else None, r.threshold)
-        for i, p in enumerate(policies) for j, r in enumerate(p.rules)
-    ]
+    """The rule set as a table, one row per rule in evaluation order; a policy without rules has one row of null rule fields."""
+    def rule_rows(p: Policy) -> list[tuple]:
+        return [(j, r.rule_type, r.description, r.pattern, list(r.keywords) if r.keywords else None, r.threshold)
+                for j, r in enumerate(p.rules)] or [(None,) * 6]
+
+    rows = [(i, p.name, p.description, p.action, p.severity, p.enabled, *rule)
+            for i, p in enumerate(policies) for rule in rule_rows(p)]
     return spark.createDataFrame(rows, RULES_SCHEMA)
 
 
@@ -175,4 +176,4 @@ def listing(spark: SparkSession, levels: Sequence[str] = tuple(v.PRESETS)) -> Da
         table = rules_table(spark, preset(level)).withColumn("level", F.lit(level))
         rules = table if rules is None else rules.unionByName(table)
     return rules.groupBy("level", F.col("policy").alias("name"), "description", "action", "severity").agg(
-        F.count("*").alias("rule_count"))
+        F.count("rule_type").alias("rule_count"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quietgate import fixed_values as v
 from quietgate.functions.text import strings
@@ -20,14 +20,19 @@ def _checked(value: Column, allowed: tuple[str, ...], what: str) -> Column:
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """The rule table of a policy file."""
-    return rules_of(spark.read.text(path, wholetext=True))
+    """The rule table of a policy file, or of all files of a folder in the order of their names."""
+    return rules_of(spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name()), file="file")
 
 
-def rules_of(files: DataFrame, column: str = "value") -> DataFrame:
-    """One row per rule in evaluation order; a policy without rules keeps one row with null rule fields."""
+def rules_of(files: DataFrame, column: str = "value", file: str | None = None) -> DataFrame:
+    """One row per rule in evaluation order; a policy without rules keeps one row with null rule fields.
+
+    Policies of several rows are numbered through in the order of ``file``; rules are configuration, a small table.
+    """
     parsed = F.from_json(column, FILE_SCHEMA, {"mode": "FAILFAST"})
-    policies = files.select(F.posexplode(parsed["policies"]).alias("policy_ord", "p"))
+    name = F.lit("") if file is None else F.col(file)
+    policies = files.select(name.alias("__file"), F.posexplode(parsed["policies"]).alias("policy_ord", "p"))
+    policies = policies.withColumn("policy_ord", F.row_number().over(Window.orderBy("__file", "policy_ord")) - 1)
     rules = policies.select("policy_ord", "p", F.posexplode_outer("p.rules").alias("rule_ord", "r"))
     r, p = (lambda c: F.col(f"r.{c}")), (lambda c: F.col(f"p.{c}"))
     return rules.select(

@@ -51,6 +51,12 @@ def test_rule_files(spark, tmp_path):
     assert [(p.name, p.action, p.severity, p.enabled, len(p.rules)) for p in loaded] == [
         ("test", "block", "high", True, 1), ("bare", "block", "high", True, 0)]
     assert policy.policies_of(policy.rules_table(spark, policy.preset("strict"))) == policy.preset("strict")
+    bare = [policy.Policy("bare", (), "warn", "low", "no rules"), *policy.preset("strict")]
+    assert policy.policies_of(policy.rules_table(spark, bare)) == bare
+    (tmp_path / "several").mkdir()
+    for name, policies in (("b.json", ["third"]), ("a.json", ["first", "second"])):
+        (tmp_path / "several" / name).write_text(json.dumps({"policies": [{"name": p, "rules": []} for p in policies]}))
+    assert [p.name for p in policy.policies_of(rules_json.read_rules(spark, str(tmp_path / "several")))] == ["first", "second", "third"]
     (tmp_path / "bad.json").write_text('{"policies": [{"name": "x", "action": "explode", "rules": []}]}')
     with pytest.raises(Exception, match="unknown action"):
         rules_json.read_rules(spark, str(tmp_path / "bad.json")).collect()
