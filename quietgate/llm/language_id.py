@@ -8,11 +8,11 @@ windows it runs at once.  Training unrolls windows of sampled documents and prop
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quietgate.llm.common import Batches, Made, record
@@ -25,7 +25,7 @@ SAMPLE_WINDOWS = 4    # windows of each of these
 MOST_LANGUAGES = 200  # languages the network can learn; the most frequent ones
 STEPS, BATCH, RATE = 260, 160, 0.02
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _PREDICTED = pa.schema([("key", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("held_out", pa.bool_())])
 _FOLD = 1 << 20
 

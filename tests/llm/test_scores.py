@@ -189,7 +189,7 @@ def language_rows(n, seed):
 
 
 def test_languages_of_held_out_texts(spark):
-    rows = language_rows(200, 2) + [(900, None, "aa"), (901, "", "aa"), (902, "12 %% 3", "bb"), (903, "lorem ipsum dolor", None), (None, "größe", "bb")]
+    rows = language_rows(200, 2) + [(900, None, "aa"), (901, "", "aa"), (902, "12 %% 3 ½²_", "bb"), (903, "lorem ipsum dolor", None), (None, "größe", "bb")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     aside = held_out(F.col("doc_id"), 5, 0)
     got = rows_of(language_id.predict(df, language_id.fit(df, seen=~aside), held_out=aside))
