@@ -110,21 +110,25 @@ def _summarise(rows: dict[str, np.ndarray], window: int) -> dict:
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Contiguous groups of sorted batches as arrays; only the group that a batch ends in is carried over."""
-    rest: dict[str, np.ndarray] | None = None
+    """Contiguous groups of sorted batches as arrays; the pieces of a group are put together once, at its end."""
+    pieces: list[dict[str, np.ndarray]] = []
+
+    def whole() -> dict[str, np.ndarray]:
+        return {c: np.concatenate([p[c] for p in pieces]) for c in pieces[0]} if len(pieces) > 1 else pieces[0]
+
     for batch in batches:
         if batch.empty:
             continue
         columns = {c: batch[c].to_numpy() for c in batch.columns}
-        if rest is not None:
-            columns = {c: np.concatenate([rest[c], columns[c]]) for c in columns}
         new = np.any([columns[k][1:] != columns[k][:-1] for k in keys], axis=0)
-        edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(batch)]
         for first, stop in zip(edges, edges[1:]):
-            yield {c: x[first:stop] for c, x in columns.items()}
-        rest = {c: x[edges[-1]:] for c, x in columns.items()}
-    if rest is not None:
-        yield rest
+            if pieces and any(pieces[0][k][0] != columns[k][first] for k in keys):
+                yield whole()
+                pieces = []
+            pieces.append({c: x[first:stop] for c, x in columns.items()})
+    if pieces:
+        yield whole()
 
 
 def _summaries(window: int):
