@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,8 @@ class _WordHashes(dict):
 
 
 _seen = _WordHashes()
+Batches = Iterable[pa.RecordBatch]
+Made = Iterator[pa.RecordBatch]
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -80,6 +82,21 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(mixed(hashes, size))
 
 
+def in_slices(batches: Batches, forget: Callable[[], None], rows: int = 512) -> Made:
+    """Batches in small slices, so that what a worker makes of one stays small; at the end it forgets what it remembered."""
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        forget()
+
+
+def forget_words() -> None:
+    """Workers live on between tasks and should not keep a task's memory."""
+    _seen.clear()
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
@@ -92,7 +109,3 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
-
-
-Batches = Iterable[pa.RecordBatch]
-Made = Iterator[pa.RecordBatch]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quietgate.llm.common import Batches, Made, record, small
+from quietgate.llm.common import Batches, Made, in_slices, record, small
 from quietgate.llm.tokens import Coder
 
 SHARD_TOKENS = 1 << 20
@@ -138,17 +138,15 @@ def _encoded(path: str, end_id: int, base: int, shard_tokens: int):
             return record(_SHARD, [part], [shard], [keys], [[len(h) // 4 for h in held]], [size], [base],
                           [g.rules.tobytes()], [g.expansions.tobytes()], [g.sequence.tobytes()])
 
-        for batch in batches:
-            coder = Coder.of(path)
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                for key, ids in zip(some.column("doc_id").to_pylist(), coder.encode(some.column("text").to_pylist())):
-                    keys.append(key)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= shard_tokens:
-                        yield row()
-                        keys, held, size, shard = [], [], 0, shard + 1
+        coder = Coder.of(path)
+        for some in in_slices(batches, coder.forget):
+            for key, ids in zip(some.column("doc_id").to_pylist(), coder.encode(some.column("text").to_pylist())):
+                keys.append(key)
+                held.append(ids + end)
+                size += len(ids) // 4 + 1
+                if size >= shard_tokens:
+                    yield row()
+                    keys, held, size, shard = [], [], 0, shard + 1
         if keys:
             yield row()
     return run

@@ -11,7 +11,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quietgate.llm.common import Batches, Made, record
+from quietgate.llm.common import Batches, Made, in_slices, record
 from quietgate.llm.tokens import Coder
 
 BLOCK = 1024
@@ -21,10 +21,9 @@ _COUNT = pa.schema([("length", pa.int64()), ("docs", pa.int64())])
 def _counted(path: str):
     def run(batches: Batches) -> Made:
         counts: Counter[int] = Counter()
-        for batch in batches:
-            coder = Coder.of(path)
-            for at in range(0, batch.num_rows, 512):
-                counts.update(len(ids) // 4 for ids in coder.encode(batch.column("text").slice(at, 512).to_pylist()))
+        coder = Coder.of(path)
+        for some in in_slices(batches, coder.forget):
+            counts.update(len(ids) // 4 for ids in coder.encode(some.column("text").to_pylist()))
         yield record(_COUNT, list(counts), list(counts.values()))
     return run
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from quietgate.llm.common import Batches, Made, cut, record, shingles, signed, small, texts, words_of
+from quietgate.llm.common import Batches, Made, cut, forget_words, in_slices, record, shingles, signed, small, texts, words_of
 from quietgate.llm.components import components
 
 BUCKETS = 1 << 18  # counters of the n-gram frequencies: a fixed size, whatever the corpus
@@ -46,7 +46,7 @@ def _sketch(grams: np.ndarray) -> np.ndarray:
 
 def _signed_rows(size: int):
     def run(batches: Batches) -> Made:
-        for batch in batches:
+        for batch in in_slices(batches, forget_words):
             n, sigs, sketches = [], [], []
             for text in texts(batch, "text"):
                 grams = shingles(words_of(text), size)
@@ -65,7 +65,7 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
 def _counted(size: int):
     def run(batches: Batches) -> Made:
         total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in in_slices(batches, forget_words):
             for text in texts(batch, "text"):
                 np.add.at(total, _bucket(shingles(words_of(text), size)), 1)
         used = np.flatnonzero(total)
@@ -76,7 +76,7 @@ def _counted(size: int):
 def _prefixes(size: int, num: int, den: int, frequency):
     def run(batches: Batches) -> Made:
         done: set[int] = set()
-        for batch in batches:
+        for batch in in_slices(batches, forget_words):
             grams, sigs, sizes, places = [], [], [], []
             for text in texts(batch, "text"):
                 found = shingles(words_of(text), size)
@@ -97,7 +97,7 @@ def _prefixes(size: int, num: int, den: int, frequency):
 
 def _set_rows(size: int):
     def run(batches: Batches) -> Made:
-        for batch in batches:
+        for batch in in_slices(batches, forget_words):
             sets = [shingles(words_of(t), size) for t in texts(batch, "text")]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = signed(np.concatenate(sets)) if sets else np.empty(0, np.int64)

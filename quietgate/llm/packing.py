@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quietgate.llm.common import Batches, Made, record
+from quietgate.llm.common import Batches, Made, in_slices, record
 from quietgate.llm.tokens import Coder
 
 TIERS = (1024, 512, 256, 128)
@@ -115,15 +115,13 @@ def _packed(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int):
             packer.rows = []
             return record(_PIECE, *columns)
 
-        for batch in batches:
-            coder = Coder.of(path)
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                for key, ids in zip(some.column("doc_id").to_pylist(), coder.encode(some.column("text").to_pylist())):
-                    packer.add(key, ids + end)
-                packer.pack()
-                if packer.rows:
-                    yield rows()
+        coder = Coder.of(path)
+        for some in in_slices(batches, coder.forget):
+            for key, ids in zip(some.column("doc_id").to_pylist(), coder.encode(some.column("text").to_pylist())):
+                packer.add(key, ids + end)
+            packer.pack()
+            if packer.rows:
+                yield rows()
         packer.flush()
         if packer.rows:
             yield rows()

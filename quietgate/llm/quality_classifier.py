@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quietgate.llm.common import Batches, Made, record, word_hashes
+from quietgate.llm.common import Batches, Made, forget_words, in_slices, record, word_hashes
 
 WORDS = 1 << 13       # rows of the word table
 SIZE = 32             # length of a vector
@@ -67,11 +67,9 @@ def add_contexts(total: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None
 
 def _context_sums(batches: Batches) -> Made:
     total, index = np.zeros((WORDS, SIZE), np.int64), index_vectors()
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        for at in range(0, len(texts), 64):
-            for text in texts.slice(at, 64).to_pylist():
-                add_contexts(total, index, word_rows(text))
+    for some in in_slices(batches, forget_words):
+        for text in some.column("text").cast(pa.binary()).to_pylist():
+            add_contexts(total, index, word_rows(text))
     used = np.flatnonzero(total.any(1)).astype(np.int32)
     yield record(_SUMS, used, *(np.ascontiguousarray(total[used, i]) for i in range(SIZE)))
 
@@ -102,7 +100,7 @@ def pooled(vectors: np.ndarray, text: bytes | None) -> np.ndarray:
 
 def _pooled_rows(vectors):
     def run(batches: Batches) -> Made:
-        for batch in batches:
+        for batch in in_slices(batches, forget_words):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             yield record(_POOLED, batch.column("key"), batch.column("label"), [pooled(vectors.value, t) for t in texts])
     return run
@@ -197,12 +195,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def _scored(model):
     def run(batches: Batches) -> Made:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                texts = some.column("text").cast(pa.binary()).to_pylist()
-                x = np.array([pooled(model.value.vectors, t) for t in texts], np.float32).reshape(-1, FEATURES)
-                yield record(_SCORED, some.column("key"), some.column("held_out"), model.value.scorer.scores(x))
+        for some in in_slices(batches, forget_words):
+            texts = some.column("text").cast(pa.binary()).to_pylist()
+            x = np.array([pooled(model.value.vectors, t) for t in texts], np.float32).reshape(-1, FEATURES)
+            yield record(_SCORED, some.column("key"), some.column("held_out"), model.value.scorer.scores(x))
     return run
 
 

@@ -57,6 +57,11 @@ class Coder:
             _loaded[path] = Coder(path)
         return _loaded[path]
 
+    def forget(self) -> None:
+        """Workers live on between tasks and should not keep a task's memory."""
+        self.known.clear()
+        self.tokens.clear()
+
     @staticmethod
     def _plan(spec: dict):
         """Whether letters are lowered, and the split pattern; no pattern for a tokenizer of another build."""
