@@ -18,6 +18,7 @@ of the automaton and scores its documents.
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from collections import defaultdict
@@ -27,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quietgate.llm.common import Batches, Made, record, shared_folder, word_hashes, words_of
+from quietgate.llm.common import Batches, Made, forget_words, in_slices, record, shared_folder, word_hashes, words_of
 
 LEAST = 3               # occurrences in training that retain a bigram
 SHARE = 0.6             # of a history's mass that its retained bigrams may take
@@ -35,7 +36,8 @@ BLOCK_BYTES = 32 << 20  # of text that one task scores
 SHARD_BYTES = 12 << 20  # of text whose n-grams meet in one shard, about
 BUFFERED = 3_000_000    # tokens that a counting task holds
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n</s>", b"\n<s>"))  # no word has a line feed
-_LOW = (1 << 40) - 1
+_LOW = (1 << 40) - 1  # of a word's hash, that tell a history's bigrams apart
+_ARC = (1 << 48) - 1  # of a bigram's number, that tell a block's arcs apart
 _PACK = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())])
 _PACK_DDL = "shard bigint, block bigint, a binary, b binary, n binary"
 _SCORES = pa.schema([("key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
@@ -43,10 +45,18 @@ _SCORES = pa.schema([("key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens",
 
 
 def _stored(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: packed arrays are stored compressed, and lineage ends here."""
-    path = f"{shared_folder(df.sparkSession)}/language-model-{uuid.uuid4().hex}"
+    """Write to the shared folder and read back: packed arrays are stored compressed, and lineage ends here.
+
+    The counts that were shuffled for it are not needed again.  Spark removes shuffle files once the driver has collected
+    the objects that stand for them, which it is asked to do here.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_folder(spark)}/language-model-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def tokens(text: bytes | None) -> np.ndarray:
@@ -61,16 +71,26 @@ def _pair(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (x + (word & np.uint64(_LOW))) * np.uint64(0x9FB21C651E98DF25)
 
 
-def _narrow(words: np.ndarray) -> bytes:
-    return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _narrow(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def _wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+def _wide(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.view("<u8").ravel()
 
 
+def _counts(values: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return _narrow(values, max(1, -(-int(values.max(initial=0)).bit_length() // 8)))
+
+
+def _counted_as(data: bytes, items: int) -> np.ndarray:
+    return _wide(data, len(data) // items).astype(np.int64) if items else np.empty(0, np.int64)
+
+
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the first of each distinct key in the given order, the sorted keys, and their summed counts."""
     order = np.argsort(keys, kind="stable")
@@ -88,10 +108,10 @@ def _split(shard: np.ndarray):
 def _word_rows(block: int, hashes: np.ndarray, trained: np.ndarray, shards: int):
     _, words, n = _summed(hashes, trained)
     order = np.argsort(words % np.uint64(shards), kind="stable")
-    words, n = words[order], n[order].astype("<u4")
+    words, n = words[order], n[order]
     at = (words % np.uint64(shards)).astype(np.int64)
     for lo, hi in _split(at):
-        yield at[lo], block, words[lo:hi].tobytes(), b"", n[lo:hi].tobytes()
+        yield at[lo], block, words[lo:hi].tobytes(), b"", _counts(n[lo:hi])
 
 
 def _history_shard(history: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
@@ -108,9 +128,9 @@ def _pair_rows(block: int, hashes: np.ndarray, trained: np.ndarray, shards: int)
     history, word = history[first], word[first]
     shard = _history_shard(history, word, shards)
     order = np.lexsort((history, shard))
-    history, word, n, shard = history[order], word[order], n[order].astype("<u4"), shard[order]
+    history, word, n, shard = history[order], word[order], n[order], shard[order]
     for lo, hi in _split(shard):
-        yield shard[lo], block, history[lo:hi].tobytes(), _narrow(word[lo:hi]), n[lo:hi].tobytes()
+        yield shard[lo], block, history[lo:hi].tobytes(), _narrow(word[lo:hi], 5), _counts(n[lo:hi])
 
 
 def _counting(rows_of, shards: int):
@@ -124,7 +144,7 @@ def _counting(rows_of, shards: int):
                 yield record(_PACK, *zip(*found))
             held.clear()
 
-        for batch in batches:
+        for batch in in_slices(batches, forget_words):
             blocks, aside = batch.column("block").to_pylist(), batch.column("held_out").to_pylist()
             for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 made = tokens(text)
@@ -142,21 +162,20 @@ def _merged_pairs(shards: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         history = np.concatenate([np.frombuffer(r["a"], "<u8") for r in rows])
-        keys = [_pair(np.frombuffer(r["a"], "<u8"), _wide(r["b"])) for r in rows]
-        first, known, n = _summed(np.concatenate(keys), np.concatenate([np.frombuffer(r["n"], "<u4").astype(np.int64) for r in rows]))
+        keys = [_pair(np.frombuffer(r["a"], "<u8"), _wide(r["b"], 5)) for r in rows]
+        first, known, n = _summed(np.concatenate(keys), np.concatenate([_counted_as(r["n"], len(k)) for r, k in zip(rows, keys)]))
         retained = n >= LEAST
         out = []
         for r, k in zip(rows, keys):
             at = np.searchsorted(known, k)
             keep = np.flatnonzero(retained[at])
             if len(keep):
-                keep = keep[np.argsort(k[keep])]
-                out.append((-1, r["block"], k[keep].tobytes(), b"", n[at[keep]].astype("<u4").tobytes()))
+                out.append((-1, r["block"], _narrow(k[keep] & np.uint64(_ARC), 6), b"", _counts(n[at[keep]])))
         _, h, total = _summed(history[first[retained]], n[retained])
         at = (h % np.uint64(shards)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         h, total, at = h[order], total[order], at[order]
-        out += [(at[lo], -1, h[lo:hi].tobytes(), b"kept", total[lo:hi].astype("<u8").tobytes()) for lo, hi in _split(at)]
+        out += [(at[lo], -1, h[lo:hi].tobytes(), b"kept", _counts(total[lo:hi])) for lo, hi in _split(at)]
         return pa.Table.from_batches([record(_PACK, *zip(*out))]) if out else _PACK.empty_table()
     return run
 
@@ -167,14 +186,15 @@ def _merged_words(table: pa.Table) -> pa.Table:
     ours, kept = [r for r in rows if not r["b"]], [r for r in rows if r["b"]]
     words = [np.frombuffer(r["a"], "<u8") for r in ours]
     _, known, n = _summed(np.concatenate([*words, np.empty(0, "<u8")]), np.concatenate(
-        [*(np.frombuffer(r["n"], "<u4").astype(np.int64) for r in ours), np.empty(0, np.int64)]))
+        [*(_counted_as(r["n"], len(w)) for r, w in zip(ours, words)), np.empty(0, np.int64)]))
     mass = np.zeros(len(known), np.int64)
     for r in kept:
-        np.add.at(mass, np.searchsorted(known, np.frombuffer(r["a"], "<u8")), np.frombuffer(r["n"], "<u8").astype(np.int64))
+        h = np.frombuffer(r["a"], "<u8")
+        np.add.at(mass, np.searchsorted(known, h), _counted_as(r["n"], len(h)))
     out = []
     for r, w in zip(ours, words):
         at = np.searchsorted(known, w)
-        out.append((-2, r["block"], w.tobytes(), mass[at].astype("<u8").tobytes(), n[at].astype("<u8").tobytes()))
+        out.append((-2, r["block"], w.tobytes(), _counts(mass[at]), _counts(n[at])))
     real = n[(known != START) & (n > 0)]
     out += [(-3, int(real.sum()), b"", b"", b""), (-4, len(real), b"", b"", b"")]
     return pa.Table.from_batches([record(_PACK, *zip(*out))])
@@ -184,18 +204,20 @@ class Automaton:
     """A block's part of the model."""
 
     def __init__(self, rows: list[dict], total: int, distinct: int, share: float = SHARE):
-        pick = lambda kind: [r for r in rows if r["shard"] == kind]
-        joined = lambda rs, c, t: np.concatenate([*(np.frombuffer(r[c], t) for r in rs), np.empty(0, t)])
-        words, arcs = pick(-2), pick(-1)
-        self.words, at = np.unique(joined(words, "a", "<u8"), return_index=True)
-        self.counts, kept = joined(words, "n", "<u8")[at].astype(np.int64), joined(words, "b", "<u8")[at].astype(np.float64)
+        arcs = [(_wide(r["a"], 6), r["n"]) for r in rows if r["shard"] == -1]
+        words = [(np.frombuffer(r["a"], "<u8"), r["b"], r["n"]) for r in rows if r["shard"] == -2]
+        joined = lambda parts: np.concatenate([*parts, np.empty(0, np.int64)])
+        self.words, at = np.unique(np.concatenate([*(w for w, *_ in words), np.empty(0, "<u8")]), return_index=True)
+        self.counts = joined(_counted_as(n, len(w)) for w, _, n in words)[at].astype(np.int64)
+        kept = joined(_counted_as(b, len(w)) for w, b, _ in words)[at]
         mass = total + 0.1 * (distinct + 1)
         self.root = np.log10((self.counts + 0.1) / mass)
         self.rest = 1 - share * kept / np.maximum(self.counts, 1)
         self.failure = np.log10(self.rest)
         self.share = share
-        keys, at = np.unique(joined(arcs, "a", "<u8"), return_index=True)
-        self.arcs = dict(zip(keys.tolist(), joined(arcs, "n", "<u4")[at].tolist()))
+        self.arcs = {}
+        for keys, n in arcs:
+            self.arcs.update(zip(keys.tolist(), _counted_as(n, len(keys)).tolist()))
 
     def score(self, text: bytes | None) -> tuple[int, int, float, float]:
         """Tokens, known tokens, and log10 probability by the words alone and by the automaton."""
@@ -205,7 +227,7 @@ class Automaton:
         state, total = 0, 0.0
         out, back, rest, uses = root.tolist(), failure.tolist(), self.rest[ids].tolist(), counts.tolist()
         arcs, share = self.arcs, self.share
-        for i, pair in enumerate(_pair(made[:-1], made[1:]).tolist(), 1):  # state i - 1 reads token i
+        for i, pair in enumerate((_pair(made[:-1], made[1:]) & np.uint64(_ARC)).tolist(), 1):  # state i - 1 reads token i
             seen = arcs.get(pair)
             if seen is None:
                 total += back[state] + out[i]
@@ -223,6 +245,7 @@ def _scoring(total: int, distinct: int):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             found += [(k, h, *automaton.score(t)) for k, h, t in zip(
                 batch.column("key").to_pylist(), batch.column("held_out").to_pylist(), texts)]
+        forget_words()
         key, aside, n, known, base, score = zip(*found) if found else ((),) * 6
         return pa.Table.from_batches([record(_SCORES, key, aside, n, known, base, score)])
     return run
