@@ -139,12 +139,48 @@ def mapping_table(df: DataFrame, key: str, spans: str = "redacted_spans") -> Dat
         key, "ord", "m.replacement", "m.original")
 
 
+_NUMBERED = r"\[([A-Z_]+)_([0-9]+)\]"
+
+
+def _number(token: Column) -> Column:
+    return F.regexp_extract(token, _NUMBERED, 2).try_cast("int")
+
+
+def _originals(mapping: Column, kind: str) -> Column:
+    """(n, original) of the numbered replacements of one type, in order of their numbers."""
+    own = F.filter(mapping, lambda m: m["replacement"].startswith(f"[{kind}_"))
+    return F.array_sort(F.transform(own, lambda m: F.struct(_number(m["replacement"]).alias("n"), m["original"].alias("original"))))
+
+
 def reverse(redacted: DataFrame, mapping: DataFrame, key: str, text: str = "redacted",
             out: str = "restored") -> DataFrame:
-    """Put originals back, one replacement after the other in mapping order."""
+    """Put originals back, one replacement after the other in mapping order.
+
+    Numbered placeholders, 1 to n for each type and with no bracket in any original, cannot affect each other: these are
+    put back in one pass over the text, found by their number.  Other mappings are folded, which copies the text for
+    every replacement.
+    """
     per_text = mapping.groupBy(key).agg(F.array_sort(F.collect_list(
         F.struct("ord", "replacement", "original"))).alias("__map"))
     joined = redacted.join(per_text, key, "left")
-    restored = F.aggregate(
-        F.col("__map"), F.col(text), lambda acc, m: F.replace(acc, m["replacement"], m["original"]))
-    return joined.withColumn(out, F.coalesce(restored, F.col(text))).drop("__map")
+    kinds = {kind: f"__{kind}" for kind in v.PII_TYPES}
+    staged = joined.select("*", *(_originals(F.col("__map"), kind).alias(name) for kind, name in kinds.items()))
+
+    known = "|".join(kinds)
+    apart = F.forall("__map", lambda m: m["replacement"].rlike(rf"^\[(?:{known})_[1-9][0-9]*\]$") & ~m["original"].contains("["))
+    counted = F.lit(True)
+    for name in kinds.values():
+        counted = counted & ((F.size(name) == 0) | (F.element_at(name, -1)["n"] == F.size(name)) & (F.get(name, F.lit(0))["n"] == 1))
+
+    def back(token: Column) -> Column:
+        number, original = _number(token), F.lit(None).cast("string")
+        for kind, name in kinds.items():
+            mine = token == F.concat(F.lit(f"[{kind}_"), number.cast("string"), F.lit("]"))
+            original = F.when(mine, F.get(F.col(name), number - 1)["original"]).otherwise(original)
+        return F.coalesce(original, token)
+
+    tokens = F.concat(F.transform(F.regexp_extract_all(text, F.lit(_NUMBERED), F.lit(0)), back), F.array(F.lit("")))
+    one_pass = F.array_join(F.zip_with(F.split(text, _NUMBERED, -1), tokens, lambda gap, token: F.concat(gap, token)), "")
+    folded = F.aggregate(F.col("__map"), F.col(text), lambda acc, m: F.replace(acc, m["replacement"], m["original"]))
+    restored = F.when(F.col("__map").isNull(), F.col(text)).when(apart & counted, one_pass).otherwise(folded)
+    return fenced(staged, out, restored).drop("__map", *kinds.values())

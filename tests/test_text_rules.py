@@ -206,3 +206,28 @@ def test_redaction_map_of_a_long_text_is_linear(spark):
 
     seconds(100)
     assert seconds(16_000) < 20
+
+
+def test_originals_come_back_whatever_the_replacements(spark):
+    def restored(text, *pairs):
+        texts_ = spark.createDataFrame([(1, text)], "id long, redacted string")
+        mapping = spark.createDataFrame([(1, i, r, o) for i, (r, o) in enumerate(pairs)], "id long, ord int, replacement string, original string")
+        return redaction.reverse(texts_, mapping, "id").first().restored
+
+    def folded(text, *pairs):
+        for r, o in pairs:
+            text = text.replace(r, o)
+        return text
+
+    for text, *pairs in (
+        ("a [EMAIL_1] b [EMAIL_2][NAME_1]", ("[EMAIL_2]", "x@y"), ("[EMAIL_1]", "é@z"), ("[NAME_1]", "Dr. No")),
+        ("[EMAIL_01] [EMAIL_1] [EMAIL_3] [EMAIL_99999999999] [X_1] [EMAIL_0]", ("[EMAIL_1]", "a")),
+        ("[EMAIL_2] [EMAIL_1]", ("[EMAIL_2]", "a")), ("[EMAIL_1] [NAME_1]", ("[EMAIL_1]", "[NAME_1]"), ("[NAME_1]", "b")),
+        ("[REDACTED] [HASH:ab]", ("[REDACTED]", "one"), ("[HASH:ab]", "two")), ("nothing", ("[EMAIL_1]", "a")), ("", ("[IP_ADDRESS_1]", "1.2.3.4")),
+    ):
+        assert restored(text, *pairs) == folded(text, *pairs)
+    n = 16_000
+    whole = " ".join(f"u{i}@example.com" for i in range(n))
+    start = time.perf_counter()
+    assert restored(" ".join(f"[EMAIL_{i + 1}]" for i in range(n)), *((f"[EMAIL_{i + 1}]", f"u{i}@example.com") for i in range(n))) == whole
+    assert time.perf_counter() - start < 20
