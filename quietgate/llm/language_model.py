@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quietgate.llm.common import Batches, Made, forget_words, in_slices, record, shared_folder, word_hashes, words_of
+from quietgate.llm.common import Batches, Made, cut, forget_words, in_slices, record, shared_folder, word_hashes, words_of
 
 LEAST = 3               # occurrences in training that retain a bigram
 SHARE = 0.6             # of a history's mass that its retained bigrams may take
@@ -254,19 +254,21 @@ def _scoring(total: int, distinct: int):
 def _blocks(rows: DataFrame) -> tuple[DataFrame, int]:
     """Deal documents to blocks of about BLOCK_BYTES by ranges of their key, and the bytes of all texts.
 
-    Ranges that hold more are dealt on by a hash; only those are looked up on the driver.
+    Ranges that hold more are dealt on by a hash.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 32
     lo, hi, total = rows.agg(F.min("key"), F.max("key"), F.sum(size)).first()
     count = max(1, -(-(total or 0) // BLOCK_BYTES))
     width = max(1, -(-((hi or 0) - (lo or 0) + 1) // count))
     dealt = rows.withColumn("range", F.coalesce(F.floor((F.col("key") - F.lit(lo or 0)) / F.lit(width)), F.lit(0)))
-    large = dealt.groupBy("range").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > 2 * BLOCK_BYTES).collect()
-    parts = F.lit(1)
-    for r, n in large:
-        parts = F.when(F.col("range") == r, -(-n // BLOCK_BYTES)).otherwise(parts)
-    part = F.pmod(F.xxhash64("key", "text"), parts) if large else F.lit(0)
-    return dealt.withColumn("block", (F.col("range") * F.lit(1 << 20) + part).cast("bigint")).drop("range"), total or 0
+    large = cut(dealt.groupBy("range").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > 2 * BLOCK_BYTES).select(
+        "range", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("parts")))  # half as many rows as blocks at most
+    part = F.lit(0).cast("bigint")
+    if not large.isEmpty():
+        dealt = dealt.join(F.broadcast(large), "range", "left")
+        part = F.pmod(F.xxhash64("key", "text"), F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("block", (F.col("range") * F.lit(1 << 20) + part).cast("bigint"))
+    return dealt.select("key", "text", "held_out", "block"), total or 0
 
 
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Column | None = None) -> DataFrame:

@@ -37,7 +37,7 @@ def test_scores_equal_a_plain_bigram_model(documents, monkeypatch, bytes_):
     monkeypatch.setattr(language_model, "BLOCK_BYTES", bytes_)
     monkeypatch.setattr(language_model, "SHARD_BYTES", bytes_ // 2)
     monkeypatch.setattr(language_model, "BUFFERED", 90)
-    rows = lm_rows()
+    rows = [*lm_rows(), *((10_000 + i, "the sea and the rock " * 9) for i in range(0, 9000, 3000))]  # sparse keys: uneven ranges
     aside = {k for k, _ in rows if zlib.crc32(str(k).encode()) % 10 == 0}
     uni, bi = Counter(), Counter()
     for k, t in rows:
