@@ -95,6 +95,7 @@ def in_slices(batches: Batches, forget: Callable[[], None], rows: int = 512) ->
 def forget_words() -> None:
     """Workers live on between tasks and should not keep a task's memory."""
     _seen.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:

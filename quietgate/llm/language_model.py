@@ -215,9 +215,15 @@ class Automaton:
         self.rest = 1 - share * kept / np.maximum(self.counts, 1)
         self.failure = np.log10(self.rest)
         self.share = share
-        self.arcs = {}
-        for keys, n in arcs:
-            self.arcs.update(zip(keys.tolist(), _counted_as(n, len(keys)).tolist()))
+        keys, at = np.unique(np.concatenate([*(k for k, _ in arcs), np.empty(0, "<u8")]), return_index=True)
+        self.arcs, self.uses = keys, joined(_counted_as(n, len(k)) for k, n in arcs)[at].astype(np.int64)
+
+    def _arcs(self, pairs: np.ndarray) -> np.ndarray:
+        """How often each bigram was seen if its history's state has an arc for it, else 0."""
+        if not len(self.arcs):
+            return np.zeros(len(pairs), np.int64)
+        at = np.minimum(np.searchsorted(self.arcs, pairs), len(self.arcs) - 1)
+        return np.where(self.arcs[at] == pairs, self.uses[at], 0)
 
     def score(self, text: bytes | None) -> tuple[int, int, float, float]:
         """Tokens, known tokens, and log10 probability by the words alone and by the automaton."""
@@ -226,10 +232,9 @@ class Automaton:
         counts, root, failure = self.counts[ids], self.root[ids], self.failure[ids]
         state, total = 0, 0.0
         out, back, rest, uses = root.tolist(), failure.tolist(), self.rest[ids].tolist(), counts.tolist()
-        arcs, share = self.arcs, self.share
-        for i, pair in enumerate((_pair(made[:-1], made[1:]) & np.uint64(_ARC)).tolist(), 1):  # state i - 1 reads token i
-            seen = arcs.get(pair)
-            if seen is None:
+        arcs, share = self._arcs(_pair(made[:-1], made[1:]) & np.uint64(_ARC)), self.share
+        for i, seen in enumerate(arcs.tolist(), 1):  # state i - 1 reads token i
+            if not seen:
                 total += back[state] + out[i]
             else:
                 total += math.log10(share * seen / uses[state] + rest[state] * 10.0 ** out[i])
@@ -246,6 +251,7 @@ def _scoring(total: int, distinct: int):
             found += [(k, h, *automaton.score(t)) for k, h, t in zip(
                 batch.column("key").to_pylist(), batch.column("held_out").to_pylist(), texts)]
         forget_words()
+        del automaton
         key, aside, n, known, base, score = zip(*found) if found else ((),) * 6
         return pa.Table.from_batches([record(_SCORES, key, aside, n, known, base, score)])
     return run
