@@ -246,15 +246,37 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                         _listed(accepted(F.col("candidates"), classifier)).alias("spans"))
 
 
+def merged(column: Column) -> Column:
+    """Spans by start with those that overlap made one: it has the kind of the outermost, which starts first and of these ends last."""
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    plain = F.transform(column, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = (s["start"] == last["start"]) & (s["end"] > last["end"])
+        both = F.struct(last["start"].alias("start"), F.when(longer, s["kind"]).otherwise(last["kind"]).alias("kind"),
+                        F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when((F.size(done) > 0) & (s["start"] < last["end"]), F.concat(
+            F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(both))).otherwise(F.array_append(done, s))
+
+    def chosen(spans_: Column) -> Column:
+        # If no span reaches into the next one, none overlap.
+        clash = F.exists(F.transform(spans_, lambda s, i: (i > 0) & (s["start"] < F.get(spans_, i - 1)["end"])), lambda x: x)
+        return F.when(clash, F.aggregate(spans_, none, add)).otherwise(spans_)
+
+    return let(plain, chosen)
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The table with every found span replaced by its kind in brackets; null texts stay null, other columns as they are.
 
+    Overlapping spans are replaced as one, so the text around them stays whole.
     The votes are counted in a first pass and the texts are changed in a second one, so no text is shuffled or stored.
     """
     taken = "__candidates"
     classifier = fit(candidates(docs.select(F.col(text).alias("__text")), "__text"))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    found = candidates(docs, text, taken).withColumn(taken, F.explode_outer(F.array(accepted(F.col(taken), classifier))))
+    found = candidates(docs, text, taken).withColumn(taken, F.explode_outer(F.array(merged(accepted(F.col(taken), classifier)))))
     changed = F.when(F.size(taken) > 0, replace_from_right(
         F.col(text), F.reverse(F.col(taken)), lambda s: F.get(names, s["kind"]))).otherwise(F.col(text))
     return found.withColumn(text, changed).select(*docs.columns)

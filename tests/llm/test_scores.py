@@ -171,6 +171,20 @@ def test_written_out_addresses_are_added_and_clean_texts_stay(documents):
     assert personal_data.detect(documents((1, "x")).where("doc_id > 1")).count() == 0
 
 
+def test_overlapping_spans_are_replaced_as_one(documents):
+    texts = {
+        "call +123456789012347 for the keynote talk": "call [PHONE] for the keynote talk",
+        "host joe@10.20.30.40 then clean words": "host [EMAIL] then clean words",
+        "10.20.30.40@example.com, 5.6.7.8 then é clean": "[EMAIL], [IP] then é clean",
+        "mail 1.2.3.4.5.6.7.8@x.de, a@b.de or 1.2.3.4 here": "mail [EMAIL], [EMAIL] or [IP] here",
+        "+1 (456) 555-2186@example.com stays": "[PHONE] stays",
+        "0000000000000000.1.2.3 stays": "[IP] stays",
+        "two: joe@10.20.30.40 and +123456789012347 and words": "two: [EMAIL] and [PHONE] and words",
+    }
+    got = rows_of(personal_data.redact(documents(*enumerate(texts))))
+    assert [got[i]["text"] for i in range(len(texts))] == list(texts.values())
+
+
 def test_labelers_found_reliable_are_those_that_agree():
     good, bad = (2, 2, 2, 2, 2), (1, 0, 0, 1, 2)
     model = personal_data.train([(0, good, 900), (0, bad, 800), (0, (2, 2, 1, 1, 2), 300), (0, (1, 0, 0, 0, 0), 200)])
