@@ -1,14 +1,21 @@
-"""Language-model scores: a smoothed bigram model as a weighted automaton with failure arcs.
+"""Language-model scores: a smoothed trigram or bigram model as a weighted automaton with failure arcs.
 
-States are the words seen as history, the document's start, and a root.  State h has an arc for every retained bigram
-(h, w), weighted with its smoothed probability; all other words take h's failure arc to the root, weighted with what h
-leaves over, and the root's arc for the word.  A text is read once from left to right, with the state carried along:
+States are the pairs of words seen as history (order 3), the words seen as history, the document's start, and a root.
+A state has an arc for every n-gram that continues it, however rare; all other words take its failure arc, weighted with
+what the state leaves over: from a pair (u, v) to v, from a word to the root, which has an arc for every word.
 
-    P(w | h) = share * c(h, w) / c(h) + (1 - share * kept(h) / c(h)) * P(w)      for a retained bigram
-    P(w | h) =                          (1 - share * kept(h) / c(h)) * P(w)      otherwise
+Order 3 takes an absolute discount D off every count, D = n1 / (n1 + 2 n2) from the n-grams of each order that the corpus
+has once and twice; T counts the different words that follow a history:
 
-where kept(h) counts h's retained bigrams and P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), one unseen word having the mass
-of an unknown one.  The weights of a state sum to one.  Bigrams seen fewer than LEAST times are not retained.
+    P(w | u, v) = (max(c(u, v, w) - D, 0) + D * T(u, v) * P(w | v)) / c(u, v)    or P(w | v) if the pair is no history
+    P(w | v)    = (max(c(v, w) - D, 0) + D * T(v) * P(w)) / c(v)                 or P(w) if v is no history
+
+Order 2 is a plain mixture:
+
+    P(w | h) = share * c(h, w) / c(h) + (1 - share * kept(h) / c(h)) * P(w)
+
+where kept(h) counts the occurrences of h's bigrams that were seen LEAST times.  P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
+one unseen word having the mass of an unknown one.  The weights of a state sum to one.
 
 The model grows with the corpus, so no task holds all of it.  Documents are dealt to blocks of bounded size.  Each task
 counts the n-grams of the blocks it sees; the counts, packed in sorted arrays, are added up in shards of words and of
@@ -30,8 +37,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quietgate.llm.common import Batches, Made, cut, forget_words, in_slices, record, shared_folder, word_hashes, words_of
 
-LEAST = 3               # occurrences in training that retain a bigram
-SHARE = 0.6             # of a history's mass that its retained bigrams may take
+LEAST = 1               # occurrences in training that retain an n-gram: all
+SHARE = 0.6             # of a history's mass that its retained bigrams may take in a model of order 2
+DISCOUNT = 0.75         # where no n-gram was seen once, or none twice
 BLOCK_BYTES = 32 << 20  # of text that one task scores
 SHARD_BYTES = 12 << 20  # of text whose n-grams meet in one shard, about
 BUFFERED = 3_000_000    # tokens that a counting task holds
@@ -133,6 +141,19 @@ def _pair_rows(block: int, hashes: np.ndarray, trained: np.ndarray, shards: int)
         yield shard[lo], block, history[lo:hi].tobytes(), _narrow(word[lo:hi], 5), _counts(n[lo:hi])
 
 
+def _triple_rows(block: int, hashes: np.ndarray, trained: np.ndarray, shards: int):
+    """Trigrams by the number of their first two words; a history is in one shard with all that follows it."""
+    inside = (hashes[1:-1] != START) & (hashes[2:] != START)
+    history, word, n = _pair(hashes[:-2], hashes[1:-1])[inside], hashes[2:][inside], trained[2:][inside]
+    first, _, n = _summed(_pair(history, word), n)
+    history, word = history[first], word[first]
+    shard = (history % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((history, shard))
+    history, word, n, shard = history[order], word[order], n[order], shard[order]
+    for lo, hi in _split(shard):
+        yield shard[lo], block, history[lo:hi].tobytes(), _narrow(word[lo:hi], 5), _counts(n[lo:hi])
+
+
 def _counting(rows_of, shards: int):
     def run(batches: Batches) -> Made:
         held: dict[int, list] = defaultdict(list)
@@ -141,7 +162,8 @@ def _counting(rows_of, shards: int):
         def flush():
             for block, parts in held.items():
                 found = list(rows_of(block, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), shards))
-                yield record(_PACK, *zip(*found))
+                if found:
+                    yield record(_PACK, *zip(*found))
             held.clear()
 
         for batch in in_slices(batches, forget_words):
@@ -157,24 +179,55 @@ def _counting(rows_of, shards: int):
     return run
 
 
-def _merged_pairs(shards: int):
-    """Totals of a shard's bigrams: the retained ones for each block, and what each history has of them, for its words' shard."""
+def _once_and_twice(n: np.ndarray) -> list[tuple]:
+    """Rows with the numbers of n-grams seen once and twice as their block."""
+    return [(-7, int((n == 1).sum()), b"", b"", b""), (-8, int((n == 2).sum()), b"", b"", b"")]
+
+
+def _merged_triples(table: pa.Table) -> pa.Table:
+    """Totals of a shard's trigrams for each block, and of each history the block has, its uses and how many words follow it."""
+    rows = table.to_pylist()
+    history = np.concatenate([np.frombuffer(r["a"], "<u8") for r in rows])
+    keys = [_pair(np.frombuffer(r["a"], "<u8"), _wide(r["b"], 5)) for r in rows]
+    first, known, n = _summed(np.concatenate(keys), np.concatenate([_counted_as(r["n"], len(k)) for r, k in zip(rows, keys)]))
+    seen = n > 0
+    _, states, uses = _summed(history[first[seen]], n[seen])
+    _, _, follow = _summed(history[first[seen]], np.ones(int(seen.sum()), np.int64))
+    out = _once_and_twice(n)
+    for r, k in zip(rows, keys):
+        at = np.searchsorted(known, k)
+        at = at[seen[at]]
+        if len(at):
+            out.append((-5, r["block"], _narrow(known[at] & np.uint64(_ARC), 6), b"", _counts(n[at])))
+        own = np.unique(np.frombuffer(r["a"], "<u8"))
+        own = own[np.isin(own, states, assume_unique=True)]
+        if len(own):
+            at = np.searchsorted(states, own)
+            out.append((-6, r["block"], _narrow(own & np.uint64(_ARC), 6), _counts(follow[at]), _counts(uses[at])))
+    return pa.Table.from_batches([record(_PACK, *zip(*out))])
+
+
+def _merged_pairs(shards: int, order: int):
+    """Totals of a shard's bigrams: the retained ones for each block, and what each history has of them, for its words' shard.
+
+    A history has their occurrences in a model of order 2, their number in one of order 3.
+    """
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         history = np.concatenate([np.frombuffer(r["a"], "<u8") for r in rows])
         keys = [_pair(np.frombuffer(r["a"], "<u8"), _wide(r["b"], 5)) for r in rows]
         first, known, n = _summed(np.concatenate(keys), np.concatenate([_counted_as(r["n"], len(k)) for r, k in zip(rows, keys)]))
         retained = n >= LEAST
-        out = []
+        out = _once_and_twice(n)
         for r, k in zip(rows, keys):
             at = np.searchsorted(known, k)
             keep = np.flatnonzero(retained[at])
             if len(keep):
                 out.append((-1, r["block"], _narrow(k[keep] & np.uint64(_ARC), 6), b"", _counts(n[at[keep]])))
-        _, h, total = _summed(history[first[retained]], n[retained])
+        _, h, total = _summed(history[first[retained]], n[retained] if order == 2 else np.ones(int(retained.sum()), np.int64))
         at = (h % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        h, total, at = h[order], total[order], at[order]
+        by = np.argsort(at, kind="stable")
+        h, total, at = h[by], total[by], at[by]
         out += [(at[lo], -1, h[lo:hi].tobytes(), b"kept", _counts(total[lo:hi])) for lo, hi in _split(at)]
         return pa.Table.from_batches([record(_PACK, *zip(*out))]) if out else _PACK.empty_table()
     return run
@@ -203,36 +256,63 @@ def _merged_words(table: pa.Table) -> pa.Table:
 class Automaton:
     """A block's part of the model."""
 
-    def __init__(self, rows: list[dict], total: int, distinct: int, share: float = SHARE):
-        arcs = [(_wide(r["a"], 6), r["n"]) for r in rows if r["shard"] == -1]
+    def __init__(self, rows: list[dict], total: int, distinct: int, share: float = SHARE, discounts: tuple[float, float] | None = None):
+        of = lambda kind: [(_wide(r["a"], 6), r["n"]) for r in rows if r["shard"] == kind]
         words = [(np.frombuffer(r["a"], "<u8"), r["b"], r["n"]) for r in rows if r["shard"] == -2]
         joined = lambda parts: np.concatenate([*parts, np.empty(0, np.int64)])
         self.words, at = np.unique(np.concatenate([*(w for w, *_ in words), np.empty(0, "<u8")]), return_index=True)
         self.counts = joined(_counted_as(n, len(w)) for w, _, n in words)[at].astype(np.int64)
-        kept = joined(_counted_as(b, len(w)) for w, b, _ in words)[at]
+        kept = self.kept = joined(_counted_as(b, len(w)) for w, b, _ in words)[at].astype(np.int64)
         mass = total + 0.1 * (distinct + 1)
         self.root = np.log10((self.counts + 0.1) / mass)
-        self.rest = 1 - share * kept / np.maximum(self.counts, 1)
-        self.failure = np.log10(self.rest)
-        self.share = share
-        keys, at = np.unique(np.concatenate([*(k for k, _ in arcs), np.empty(0, "<u8")]), return_index=True)
-        self.arcs, self.uses = keys, joined(_counted_as(n, len(k)) for k, n in arcs)[at].astype(np.int64)
-
-    def _arcs(self, pairs: np.ndarray) -> np.ndarray:
-        """How often each bigram was seen if its history's state has an arc for it, else 0."""
-        if not len(self.arcs):
-            return np.zeros(len(pairs), np.int64)
-        at = np.minimum(np.searchsorted(self.arcs, pairs), len(self.arcs) - 1)
-        return np.where(self.arcs[at] == pairs, self.uses[at], 0)
+        self.discounts, self.share = discounts, share
+        if discounts is None:
+            self.rest = 1 - share * kept / np.maximum(self.counts, 1)
+            self.failure = np.log10(self.rest)
+
+        def counted(parts):
+            keys, at = np.unique(np.concatenate([*(k for k, _ in parts), np.empty(0, "<u8")]), return_index=True)
+            return keys, joined(_counted_as(n, len(k)) for k, n in parts)[at].astype(np.int64)
+
+        self.arcs = counted(of(-1))
+        if discounts is not None:
+            self.long_arcs, self.pairs = counted(of(-5)), counted(of(-6))
+            self.follow = counted([(_wide(r["a"], 6), r["b"]) for r in rows if r["shard"] == -6])
+
+    @staticmethod
+    def _seen(table: tuple[np.ndarray, np.ndarray], numbers: np.ndarray) -> np.ndarray:
+        """What a table of sorted numbers has for each of some, else 0: how often an n-gram was seen if there is an arc for it."""
+        known, values = table
+        if not len(known):
+            return np.zeros(len(numbers), np.int64)
+        numbers = numbers & np.uint64(_ARC)
+        at = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
+        return np.where(known[at] == numbers, values[at], 0)
+
+    def _discounted(self, made: np.ndarray, ids: np.ndarray) -> float:
+        """log10 probability of a text's words and end: every state's arc or failure arcs, one order after the other."""
+        two, three = self.discounts
+        p = 10.0 ** self.root[ids[1:]]
+        pairs = _pair(made[:-1], made[1:])
+        for low, high, seen, uses, follow in (
+                (0, two, self._seen(self.arcs, pairs), self.counts[ids[:-1]], self.kept[ids[:-1]]),
+                (1, three, self._seen(self.long_arcs, _pair(pairs[:-1], made[2:])), self._seen(self.pairs, pairs[:-1]),
+                 self._seen(self.follow, pairs[:-1]))):
+            below = p[low:]
+            p[low:] = np.where((uses > 0) & (follow > 0), (np.maximum(seen - high, 0) + high * follow * below) / np.maximum(uses, 1), below)
+        return float(np.log10(p).sum())
 
     def score(self, text: bytes | None) -> tuple[int, int, float, float]:
         """Tokens, known tokens, and log10 probability by the words alone and by the automaton."""
         made = tokens(text)
         ids = np.searchsorted(self.words, made)
-        counts, root, failure = self.counts[ids], self.root[ids], self.failure[ids]
+        counts, root = self.counts[ids], self.root[ids]
+        if self.discounts is not None:
+            return len(made) - 1, int((counts[1:] > 0).sum()), float(root[1:].sum()), self._discounted(made, ids)
+        failure = self.failure[ids]
         state, total = 0, 0.0
         out, back, rest, uses = root.tolist(), failure.tolist(), self.rest[ids].tolist(), counts.tolist()
-        arcs, share = self._arcs(_pair(made[:-1], made[1:]) & np.uint64(_ARC)), self.share
+        arcs, share = self._seen(self.arcs, _pair(made[:-1], made[1:])), self.share
         for i, seen in enumerate(arcs.tolist(), 1):  # state i - 1 reads token i
             if not seen:
                 total += back[state] + out[i]
@@ -242,9 +322,9 @@ class Automaton:
         return len(made) - 1, int((counts[1:] > 0).sum()), float(root[1:].sum()), total
 
 
-def _scoring(total: int, distinct: int):
+def _scoring(total: int, distinct: int, discounts: tuple[float, float] | None):
     def run(docs: pa.Table, model: pa.Table) -> pa.Table:
-        automaton = Automaton(model.to_pylist(), total, distinct)
+        automaton = Automaton(model.to_pylist(), total, distinct, discounts=discounts)
         found = []
         for batch in docs.to_batches(max_chunksize=256):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
@@ -277,10 +357,19 @@ def _blocks(rows: DataFrame) -> tuple[DataFrame, int]:
     return dealt.select("key", "text", "held_out", "block"), total or 0
 
 
-def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Column | None = None) -> DataFrame:
+def _sums(rows: DataFrame, *kinds: int) -> list[int]:
+    return [x or 0 for x in rows.agg(*(F.sum(F.when(F.col("shard") == k, F.col("block"))) for k in kinds)).first()]
+
+
+def _discount(counted: DataFrame) -> float:
+    once, twice = _sums(counted, -7, -8)
+    return once / (once + 2 * twice) if once and twice else DISCOUNT
+
+
+def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Column | None = None, order: int = 2) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    The model learns from the rows that are not held out.  Tokens are the whole text's words, A-Z lowered, and one end;
+    ``order`` is 2 or 3.  The model learns from the rows that are not held out.  Tokens are the whole text's words, A-Z lowered, and one end;
     null and empty texts are the end alone.  Repeated rows count and are scored each; a null key stays null; an empty
     table gives no rows.
     """
@@ -290,13 +379,19 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: C
     shards = max(1, -(-size // SHARD_BYTES))
     source = rows.select("block", "held_out", "text")
     pairs = source.mapInArrow(_counting(_pair_rows, shards), _PACK_DDL)
-    pairs = _stored(pairs.groupBy("shard").applyInArrow(_merged_pairs(shards), _PACK_DDL))
+    pairs = _stored(pairs.groupBy("shard").applyInArrow(_merged_pairs(shards, order), _PACK_DDL))
     words = source.mapInArrow(_counting(_word_rows, shards), _PACK_DDL)
     words = words.unionByName(pairs.where("shard >= 0"))
     words = _stored(words.groupBy("shard").applyInArrow(_merged_words, _PACK_DDL))
-    total, distinct = (x or 0 for x in words.agg(*(F.sum(F.when(F.col("shard") == kind, F.col("block"))) for kind in (-3, -4))).first())
+    total, distinct = _sums(words, -3, -4)
     model = pairs.where("shard = -1").unionByName(words.where("shard = -2"))
+    discounts = None
+    if order == 3:
+        triples = source.mapInArrow(_counting(_triple_rows, 2 * shards), _PACK_DDL)  # there are more of them
+        triples = _stored(triples.groupBy("shard").applyInArrow(_merged_triples, _PACK_DDL))
+        discounts = _discount(pairs), _discount(triples)
+        model = model.unionByName(triples.where("shard in (-5, -6)"))
     made = rows.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(
-        _scoring(total, distinct), "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+        _scoring(total, distinct, discounts), "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return made.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"),
                        "base_score", "score")

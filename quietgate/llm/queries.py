@@ -28,7 +28,7 @@ def op2_ngram_jaccard_join(spark, sf_dir):
 
 
 def op3_language_model(spark, sf_dir):
-    return language_model.scored(_documents(spark, sf_dir), held_out=held_out(F.col("doc_id"), 10, 0))
+    return language_model.scored(_documents(spark, sf_dir), held_out=held_out(F.col("doc_id"), 10, 0), order=3)
 
 
 def op4_quality_rules(spark, sf_dir):

@@ -65,12 +65,58 @@ def test_scores_equal_a_plain_bigram_model(documents, monkeypatch, bytes_):
         assert r["base_score"] == pytest.approx(sum(map(math.log10, base))) and r["score"] == pytest.approx(total)
 
 
+@pytest.mark.parametrize("bytes_", [1 << 20, 700])
+def test_scores_equal_a_plain_trigram_model_of_all_ngrams(documents, monkeypatch, bytes_):
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", bytes_)
+    monkeypatch.setattr(language_model, "SHARD_BYTES", bytes_ // 2)
+    monkeypatch.setattr(language_model, "BUFFERED", 90)
+    rows = [*lm_rows(), (200, "once seen words"), (201, "twice seen words"), (202, "twice seen rock")]
+    aside = {k for k, _ in rows if zlib.crc32(str(k).encode()) % 10 == 0}
+    uni, grams = Counter(), {2: Counter(), 3: Counter()}
+    for k, t in rows:
+        if k not in aside:
+            ts = ["<s>", *tokens(t)]
+            uni.update(ts[1:])
+            for size, table in grams.items():
+                table.update(zip(*(ts[i:] for i in range(size))))
+    n, v = sum(uni.values()), len(uni)
+    uses, follow, discount = Counter(), Counter(), {}
+    for size, table in grams.items():
+        seen = Counter(table.values())
+        discount[size] = seen[1] / (seen[1] + 2 * seen[2])
+        for g, c in table.items():
+            uses[g[:-1]] += c
+            follow[g[:-1]] += 1
+
+    def p(history, w):
+        if not history:
+            return (uni[w] + 0.1) / (n + 0.1 * (v + 1))
+        below = p(history[1:], w)
+        if not uses[history]:
+            return below
+        size = len(history) + 1
+        d = discount[size]
+        return (max(grams[size][(*history, w)] - d, 0) + d * follow[history] * below) / uses[history]
+
+    got = rows_of(language_model.scored(documents(*rows), held_out=held_out(F.col("doc_id"), 10, 0), order=3))
+    assert len(got) == len(rows)
+    for k, t in rows:
+        ts = ["<s>", *tokens(t)]
+        want = sum(math.log10(p(tuple(ts[max(0, i - 2):i]), ts[i])) for i in range(1, len(ts)))
+        assert got[k]["score"] == pytest.approx(want) and got[k]["n_tokens"] == len(ts) - 1
+    assert sum(p(("the", "of"), w) for w in [*uni, "unknown"]) == pytest.approx(1)
+
+
 def test_language_model_of_no_rows_and_null_keys(documents):
     assert language_model.scored(documents((1, "a")).where("doc_id > 1")).count() == 0
     rows = language_model.scored(documents((None, "a b"), (1, "a b"), (1, "a b"))).collect()
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in rows) == [(0, 3), (1, 3), (1, 3)]
 
 
+def test_trigram_model_of_no_rows(documents):
+    assert language_model.scored(documents((1, "a")).where("doc_id > 1"), order=3).count() == 0
+
+
 # --- quality rules ---
 
 def plain_counts(text):
