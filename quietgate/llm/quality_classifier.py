@@ -1,24 +1,28 @@
 """Quality scores: random-indexing word vectors, pooled per document, and a small calibrated network.
 
 Every word has a random sparse index vector, drawn from its hash; its word vector is the sum of the index vectors of the
-words around it over the whole corpus.  Words share WORDS rows by hash, so the table has a fixed size whatever the
-vocabulary.  The sums are whole numbers, so they do not depend on the order in which tasks finish.  A document is the
+words around it over the whole corpus.  Every distinct word has a row of its own in a table that Spark holds; the sums
+are whole numbers, so they do not depend on the order in which tasks finish.  Documents are dealt to blocks of bounded
+size, and a block gets the sums of just those words it has, each once: a frequent word is asked for once by every block,
+so no key of the join has more rows than there are blocks.  A document is the
 mean and the spread of its words' vectors, its length and its share of distinct words.  A two-layer network learns from a
 bounded sample of labelled documents; a part of the sample kept aside sets the temperature of its probabilities.
 """
 
 from __future__ import annotations
 
+import gc
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quietgate.llm.common import Batches, Made, forget_words, in_slices, record, word_hashes
+from quietgate.llm.common import Batches, Made, forget_words, in_slices, record, shared_folder, signed, word_hashes
+from quietgate.llm.language_model import _blocks
 
-WORDS = 1 << 13       # rows of the word table
 SIZE = 32             # length of a vector
 SIGNS = 4             # entries of an index vector that are not zero
 AROUND = 2            # words on either side that count as context
@@ -27,25 +31,35 @@ HIDDEN, STEPS, RATE, DECAY = 32, 500, 0.01, 1e-3
 THRESHOLD = 0.7
 AT_ONCE = 1 << 16     # words whose context is summed together
 _WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^\sA-Za-z0-9\x80-\xff]+")
-_SUMS = pa.schema([("word", pa.int32()), *((f"d{i}", pa.int64()) for i in range(SIZE))])
+BUFFERED = 1_000_000  # words whose sums a task puts together before it sends them on
+_DIMS = [f"d{i}" for i in range(SIZE)]
+_SUMS = pa.schema([("word", pa.int64()), *((d, pa.int64()) for d in _DIMS)])
+_ASKED = pa.schema([("block", pa.int64()), ("word", pa.int64())])
 FEATURES = 2 * SIZE + 3
-_POOLED = pa.schema([("key", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.float32()))])
+_POOLED = pa.schema([("key", pa.int64()), ("held_out", pa.bool_()), ("x", pa.list_(pa.float32()))])
 _SCORED = pa.schema([("key", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 _FOLD = 1 << 20
 
 
-def index_vectors() -> np.ndarray:
-    """The index vector of every row: SIGNS entries of 1 or -1 at random places."""
-    draw = np.random.default_rng(19)
-    places = np.argsort(draw.random((WORDS, SIZE)), 1)[:, :SIGNS]
-    out = np.zeros((WORDS, SIZE), np.int32)
-    np.put_along_axis(out, places, draw.choice(np.array([-1, 1], np.int32), (WORDS, SIGNS)), 1)
+def index_vectors(words: np.ndarray = np.arange(64, dtype=np.uint64)) -> np.ndarray:
+    """The index vector of every word, drawn from its hash: SIGNS entries of 1 or -1 at different places."""
+    x = words.astype(np.uint64)
+    places = np.tile(np.arange(SIZE, dtype=np.int8), (len(x), 1))
+    out = np.zeros((len(x), SIZE), np.int32)
+    row = np.arange(len(x))
+    for i in range(SIGNS):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
+        high = x >> np.uint64(33)
+        at = i + (high % np.uint64(SIZE - i)).astype(np.int64)
+        place = places[row, at]
+        places[row, at] = places[row, i]
+        out[row, place] = 1 - 2 * (x >> np.uint64(32) & np.uint64(1)).astype(np.int32)
     return out
 
 
-def word_rows(text: bytes | None) -> np.ndarray:
-    """Row of every word; runs of other signs are words of their own, case counts."""
-    return (word_hashes(_WORD.findall(text)) & np.uint64(WORDS - 1)).astype(np.int64) if text else np.empty(0, np.int64)
+def words_in(text: bytes | None) -> np.ndarray:
+    """Hash of every word; runs of other signs are words of their own, case counts."""
+    return word_hashes(_WORD.findall(text)) if text else np.empty(0, np.uint64)
 
 
 def add_contexts(total: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
@@ -65,45 +79,105 @@ def add_contexts(total: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None
         total[words[starts]] += np.add.reduceat(sums[order], starts, axis=0)
 
 
-def _context_sums(batches: Batches) -> Made:
-    total, index = np.zeros((WORDS, SIZE), np.int64), index_vectors()
-    for some in in_slices(batches, forget_words):
+def _buffered(batches: Batches, made):
+    """``made`` of the hashes of about BUFFERED words' texts at a time, with the rest of their rows."""
+    held: list[np.ndarray] = []
+    blocks: list[int] = []
+    size = 0
+    for some in in_slices(batches, forget_words, 64):
+        blocks += some.column("block").to_pylist()
         for text in some.column("text").cast(pa.binary()).to_pylist():
-            add_contexts(total, index, word_rows(text))
-    used = np.flatnonzero(total.any(1)).astype(np.int32)
-    yield record(_SUMS, used, *(np.ascontiguousarray(total[used, i]) for i in range(SIZE)))
-
-
-def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Unit vectors of all rows from the contexts of the whole corpus; the sums are combined inside each task first."""
-    ddl = "word int, " + ", ".join(f"d{i} bigint" for i in range(SIZE))
-    sums = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInArrow(_context_sums, ddl)
-    rows = sums.groupBy("word").agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(SIZE))).collect()  # WORDS rows at most
-    out = np.zeros((WORDS, SIZE), np.float32)
-    for word, *vector in rows:
-        out[word] = vector
+            held.append(words_in(text))
+            size += len(held[-1])
+        if size >= BUFFERED:
+            yield from made(held, blocks)
+            held, blocks, size = [], [], 0
+    if size:
+        yield from made(held, blocks)
+
+
+def _context_sums(batches: Batches) -> Made:
+    def made(held, _):
+        words, rows = np.unique(np.concatenate(held), return_inverse=True)
+        total, index = np.zeros((len(words), SIZE), np.int64), index_vectors(words)
+        for own in np.split(rows, np.cumsum([len(h) for h in held])[:-1]):
+            add_contexts(total, index, own)
+        for at in range(0, len(words), AT_ONCE):
+            part = total[at:at + AT_ONCE]
+            yield record(_SUMS, signed(words[at:at + AT_ONCE]), *(np.ascontiguousarray(part[:, i]) for i in range(SIZE)))
+    yield from _buffered(batches, made)
+
+
+def _asked(batches: Batches) -> Made:
+    """The distinct words of each block."""
+    def made(held, blocks):
+        of = np.array(blocks, np.int64)
+        for block in np.unique(of):
+            words = np.unique(np.concatenate([held[i] for i in np.flatnonzero(of == block)]))
+            yield record(_ASKED, np.full(len(words), block), signed(words))
+    yield from _buffered(batches, made)
+
+
+def word_sums(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, d0, d1, ...): the context sums of every distinct word of the corpus; combined inside each task first."""
+    ddl = "word bigint, " + ", ".join(f"{d} bigint" for d in _DIMS)
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.lit(0).cast("bigint").alias("block"))
+    return rows.mapInArrow(_context_sums, ddl).groupBy("word").agg(*(F.sum(d).alias(d) for d in _DIMS))
+
+
+def _stored(sums: DataFrame) -> DataFrame:
+    """The table in the shared folder, where small numbers are stored in few bytes; what was shuffled for it may go."""
+    spark, schema = sums.sparkSession, sums.schema
+    path = f"{shared_folder(spark)}/word-sums-{uuid.uuid4().hex}"
+    sums.write.parquet(path)
+    del sums
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def unit(sums: np.ndarray) -> np.ndarray:
+    out = sums.astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
 
 
-def pooled(vectors: np.ndarray, text: bytes | None) -> np.ndarray:
-    rows = word_rows(text)
+def pooled(known: np.ndarray, vectors: np.ndarray, text: bytes | None) -> np.ndarray:
+    """Features of a text from the unit vectors of words, of which ``known`` are the sorted hashes."""
+    hashes = words_in(text)
     out = np.zeros(FEATURES, np.float32)
-    if len(rows):
-        words, uses = np.unique(rows, return_counts=True)
-        share = (uses / len(rows)).astype(np.float32)
-        mean = share @ vectors[words]
+    if len(hashes):
+        words, uses = np.unique(hashes, return_counts=True)
+        share = (uses / len(hashes)).astype(np.float32)
+        own = vectors[np.searchsorted(known, words)]
+        mean = share @ own
         out[:SIZE] = mean
-        out[SIZE:2 * SIZE] = np.sqrt(np.maximum(share @ (vectors[words] ** 2) - mean ** 2, 0))
-        out[2 * SIZE:] = np.log1p(len(rows)), len(words) / len(rows), np.log1p(uses.max()) - np.log1p(len(rows))
+        out[SIZE:2 * SIZE] = np.sqrt(np.maximum(share @ (own ** 2) - mean ** 2, 0))
+        out[2 * SIZE:] = np.log1p(len(hashes)), len(words) / len(hashes), np.log1p(uses.max()) - np.log1p(len(hashes))
     return out
 
 
-def _pooled_rows(vectors):
-    def run(batches: Batches) -> Made:
-        for batch in in_slices(batches, forget_words):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            yield record(_POOLED, batch.column("key"), batch.column("label"), [pooled(vectors.value, t) for t in texts])
-    return run
+def _pooled_block(docs: pa.Table, table: pa.Table) -> pa.Table:
+    words = table.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    sums = np.empty((len(words), SIZE), np.float32)
+    for i, d in enumerate(_DIMS):
+        sums[:, i] = table.column(d).to_numpy()
+    known, vectors = words[order], unit(sums[order])
+    found = []
+    for batch in docs.to_batches(max_chunksize=256):
+        made = [pooled(known, vectors, t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        found.append(record(_POOLED, batch.column("key"), batch.column("held_out"), made))
+    forget_words()
+    return pa.Table.from_batches(found, _POOLED)
+
+
+def _pooled_rows(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    """(key, held_out, x) of rows of key, text and held_out."""
+    dealt, _ = _blocks(rows)
+    asked = dealt.select("block", "text").mapInArrow(_asked, "block bigint, word bigint").distinct()
+    table = asked.join(sums, "word")
+    return dealt.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(
+        _pooled_block, "key bigint, held_out boolean, x array<float>")
 
 
 @dataclass
@@ -168,7 +242,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Scorer:
 
 @dataclass
 class Model:
-    vectors: np.ndarray
+    sums: DataFrame  # of every distinct word
     scorer: Scorer
 
 
@@ -179,26 +253,24 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     ``usable`` is a condition on the label table's key.  Where a document is labelled more than once, its mean label
     counts; null keys and labels are left out.
     """
-    vectors = word_vectors(docs, text)
+    sums = _stored(word_sums(docs, text))
     known = F.col(key).isNotNull() & F.col(label).isNotNull()
     rows = labels.where(known if usable is None else known & usable).groupBy(F.col(key).alias("k")).agg(
         (F.avg(label) >= 0.5).cast("int").alias("label"))
     share = min(_FOLD, SAMPLE * _FOLD // max(1, rows.count()) + 1)
     some = rows.where(F.pmod(F.xxhash64("k"), F.lit(_FOLD)) < share)  # about SAMPLE rows of two integers
     texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    chosen = texts.join(F.broadcast(some), F.col("key") == F.col("k")).select("key", "label", "text")
-    send = docs.sparkSession.sparkContext.broadcast(vectors)
-    found = sorted(chosen.mapInArrow(_pooled_rows(send), "key bigint, label int, x array<float>").collect())
+    chosen = texts.join(F.broadcast(some), F.col("key") == F.col("k")).select("key", "text", (F.col("label") == 1).alias("held_out"))
+    found = sorted(_pooled_rows(chosen, sums).collect())
     x = np.array([r["x"] for r in found], np.float32).reshape(-1, FEATURES)
-    return Model(vectors, train(x, np.array([r["label"] for r in found])))
+    return Model(sums, train(x, np.array([int(r["held_out"]) for r in found])))
 
 
-def _scored(model):
+def _scored(scorer):
     def run(batches: Batches) -> Made:
         for some in in_slices(batches, forget_words):
-            texts = some.column("text").cast(pa.binary()).to_pylist()
-            x = np.array([pooled(model.value.vectors, t) for t in texts], np.float32).reshape(-1, FEATURES)
-            yield record(_SCORED, some.column("key"), some.column("held_out"), model.value.scorer.scores(x))
+            x = np.array(some.column("x").to_pylist(), np.float32).reshape(-1, FEATURES)
+            yield record(_SCORED, some.column("key"), some.column("held_out"), scorer.value.scores(x))
     return run
 
 
@@ -210,5 +282,5 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"),
                        (F.lit(False) if held_out is None else held_out).alias("held_out"))
-    send = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_scored(send), "key bigint, held_out boolean, score double").withColumnRenamed("key", key)
+    send = docs.sparkSession.sparkContext.broadcast(model.scorer)
+    return _pooled_rows(rows, model.sums).mapInArrow(_scored(send), "key bigint, held_out boolean, score double").withColumnRenamed("key", key)

@@ -335,3 +335,24 @@ def test_context_sums_equal_brute_force():
                 if 0 <= j < len(rows):
                     want[w] += index[rows[j]]
         assert (total == want).all()
+
+
+def test_every_word_has_its_own_sums_however_the_words_are_dealt(documents, monkeypatch):
+    words = [f"w{i}" for i in range(20_000)]
+    hashes = quality_classifier.word_hashes([w.encode() for w in words])
+    low = np.unique(hashes & np.uint64(8191), return_counts=True)[1]
+    assert low.max() > 1  # words that would share one of 8192 rows
+    chance = random.Random(4)
+    texts = [" ".join(words[i:i + 100]) for i in range(0, 20_000, 100)] + [" ".join(chance.choices(words[:50], k=80)), None, "", "one"]
+    want = {}
+    for t in texts:
+        row = t.split() if t else []
+        vectors = quality_classifier.index_vectors(quality_classifier.word_hashes([w.encode() for w in row]))
+        for i, w in enumerate(row):
+            near = [vectors[j] for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(row)]
+            want[w] = want.get(w, 0) + sum(near, np.zeros(quality_classifier.SIZE, np.int64))
+    got = {r[0]: r[1:] for r in quality_classifier.word_sums(documents(*enumerate(texts))).collect()}
+    assert len(got) == len(want) == 20_001
+    for w, sums in want.items():
+        assert (np.array(got[int(quality_classifier.word_hashes([w.encode()]).view(np.int64)[0])]) == sums).all()
+    assert (np.abs(quality_classifier.index_vectors(hashes)).sum(1) == quality_classifier.SIGNS).all()
