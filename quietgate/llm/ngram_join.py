@@ -214,6 +214,19 @@ class _Join:
                        & once & self._may_reach("p", "q") & allow)
         return met.select(F.least("p.sig", "q.sig").alias("a"), F.greatest("p.sig", "q.sig").alias("b")).distinct()
 
+    def every_pair(self) -> DataFrame:
+        """All pairs of an n-gram's members.  A frequent one's members are dealt to parts; every two parts meet in a task of their own."""
+        parts = F.ceil(F.col("rows") / MEMBERS).cast("int")
+        dealt = self.members().join(self.classes.select("sig", *SKETCH), "sig").withColumn("parts", parts).withColumn(
+            "part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+        cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns(
+            {"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+        own = (F.col("p.part") != F.col("q.part")) | (F.col("p.i") == F.col("p.j"))
+        allow = self._sketches_allow(F.col("p.n"), F.col("q.n"), [(F.col(f"p.{s}"), F.col(f"q.{s}")) for s in SKETCH])
+        met = cells.alias("p").join(cells.alias("q"), (F.col("p.gram") == F.col("q.gram")) & (F.col("p.i") == F.col("q.i")) & (
+            F.col("p.j") == F.col("q.j")) & (F.col("p.sig") < F.col("q.sig")) & own & self._may_reach("p", "q") & allow)
+        return met.select(F.col("p.sig").alias("a"), F.col("q.sig").alias("b")).distinct()
+
     def run(self, turns: int) -> DataFrame:
         members = self.members()
         rows = members.withColumn("component", F.col("sig"))
@@ -244,3 +257,25 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     rows = join.signed.select(F.col("key"), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.col("sig")).alias("sig"))
     return rows.join(of_class, "sig", "left").select(
         F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
+
+
+def ngram_links(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, numerator: int = 80,
+                denominator: int = 100) -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b) of every two classes that link, each by its smallest key, and (key, class, n_shingles, n_links) of every row.
+
+    Links are those of ``ngram_components``, also inside groups that are connected without them.  Rows of the same set
+    are one class and link with each other; ``n_links`` counts the other rows that a row links with.  Rows without a key
+    have neither class nor number; rows without words are no class and have no links.
+    """
+    join = _Join(docs, key, text, size, numerator, denominator)
+    join.verify(join.every_pair())
+    weights = join.signed.where("sig is not null and key is not null").groupBy("sig").agg(F.count("*").alias("w"))
+    both = join.links.unionByName(join.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    outside = both.join(weights, both["b"] == weights["sig"]).groupBy("a").agg(F.sum("w").alias("o")).withColumnRenamed("a", "sig")
+    of_class = cut(join.classes.select("sig", F.col("key").alias("class")).join(weights, "sig").join(outside, "sig", "left").select(
+        "sig", "class", (F.col("w") - 1 + F.coalesce("o", F.lit(0))).alias("links")))
+    name = lambda end: of_class.select(F.col("sig").alias(end), F.col("class").alias(f"{end}_"))
+    pairs = join.links.join(name("a"), "a").join(name("b"), "b").select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"))
+    rows = join.signed.select("key", F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.col("sig")).alias("sig"))
+    return pairs, rows.join(of_class, "sig", "left").select(
+        F.col("key").alias(key), "class", "n_shingles", F.when(F.col("key").isNotNull(), F.coalesce("links", F.lit(0))).alias("n_links"))

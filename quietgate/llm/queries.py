@@ -27,6 +27,10 @@ def op2_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.ngram_components(_documents(spark, sf_dir), size=3, numerator=90)
 
 
+def op2_ngram_jaccard_links(spark, sf_dir):
+    return ngram_join.ngram_links(_documents(spark, sf_dir), size=3, numerator=90)[1]
+
+
 def op3_language_model(spark, sf_dir):
     return language_model.scored(_documents(spark, sf_dir), held_out=held_out(F.col("doc_id"), 10, 0), order=3)
 
@@ -72,6 +76,6 @@ def op10_token_counts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_language_model, op4_quality_rules, op5_token_id_output,
+    op1_benchmark_decontamination, op2_ngram_jaccard_join, op2_ngram_jaccard_links, op3_language_model, op4_quality_rules, op5_token_id_output,
     op6_personal_data, op7_packing, op8_language_id, op9_quality_classifier, op10_token_counts,
 )}

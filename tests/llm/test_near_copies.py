@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from quietgate.llm import decontamination
+from quietgate.llm import decontamination, ngram_join
 from quietgate.llm.components import components
 from quietgate.llm.ngram_join import ngram_components
 
@@ -152,3 +152,20 @@ def test_fingerprints_within_the_radius_share_a_looked_up_block(spark):
     far = theirs.withColumn("key", (theirs["key"] + 1) % 40)  # unrelated fingerprints hardly ever share one of 5 * 1288 values
     assert ours.join(far, ["key", "block", "value"]).select("key").distinct().count() < 25
     assert ours.groupBy("key").count().where("count <> 69").isEmpty() and ours.agg({"value": "max"}).first()[0] < 1 << 13
+
+
+@pytest.mark.parametrize("members", [4096, 5])
+def test_all_links_inside_groups_equal_brute_force(documents, monkeypatch, members):
+    monkeypatch.setattr(ngram_join, "MEMBERS", members)
+    rows = corpus(1)
+    sets = {k: grams(t, 3) for k, t in rows}
+    least = {k: min(j for j in sets if sets[j] == sets[k]) for k in sets}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2)
+             if (i := len(sets[a] & sets[b])) and 100 * i >= 90 * len(sets[a] | sets[b])]
+    pairs, counts = ngram_join.ngram_links(documents(*rows, (None, rows[0][1])), size=3, numerator=90)
+    want = {tuple(sorted((least[a], least[b]))) for a, b in links if least[a] != least[b]}
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(want) and set(got) == want
+    found = {r["doc_id"]: r["n_links"] for r in counts.collect()}
+    assert found.pop(None) is None and found == {k: sum(k in x for x in links) for k in sets}
+    assert sum(found.values()) > 2 * len(found)  # more than what connects the groups
