@@ -34,8 +34,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id; rows without an id stay.
 
-    Of rows that repeat an id, one stays.
+    Of rows that repeat an id and its text, one stays; different texts under one id are documents of their own.
     """
+    print_ = F.xxhash64("text").alias("__print")
+    texts = cut(docs.where("doc_id is not null").select("doc_id", print_).distinct())
+    if not texts.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # Numbers in the order of the ids, so that the smallest id of a group stays.
+        numbers = cut(texts.repartitionByRange("doc_id", "__print").sortWithinPartitions("doc_id", "__print").withColumn(
+            "__number", F.monotonically_increasing_id()))
+        numbered = docs.where("doc_id is not null").withColumn("__print", F.xxhash64("text")).join(numbers, ["doc_id", "__print"])
+        alike = ngram_components(numbered, key="__number", size=5, numerator=80).where("__number <> component_id")
+        once = numbered.join(cut(alike.select("__number").distinct()), "__number", "left_anti").dropDuplicates(["__number"])
+        return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
     groups = ngram_components(docs, size=5, numerator=80)
     kept = _without(docs, groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")))
     repeated = cut(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))

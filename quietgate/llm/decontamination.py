@@ -56,8 +56,9 @@ class _Benchmark:
     """Items, the weight of each of their shingles, and the seeds that lead to windows."""
 
     def __init__(self, items: DataFrame, key: str, text: str):
-        self.items = cut(_shingled(items, key, text).where("key is not null and size(grams) > 0").dropDuplicates(["key"])
-                         .withColumn("size", F.size("grams")))
+        self.items = cut(_shingled(items, key, text).where("size(grams) > 0").withColumnRenamed("key", "own")
+                         .dropDuplicates(["own", "grams"]).withColumn("key", F.monotonically_increasing_id())
+                         .withColumn("size", F.size("grams")))  # a number for every item, as ids may repeat or be null
         total = self.items.count()
         placed = self.items.select("key", "size", F.posexplode("grams").alias("at", "gram"))
         uses = placed.groupBy("gram").agg(F.count_distinct("key").alias("uses"))
@@ -111,8 +112,8 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     """(key, item_key, start, n_words, similarity): the most similar window of every document and item at 0.8 or more.
 
     ``start`` counts the document's words (runs of letters and digits).  Items of fewer than five words have no shingle
-    and match nothing, and so do null and empty texts; items with a null key are left out; documents with a null key are
-    reported as one.  Repeated rows are reported once; a benchmark or a table without rows gives none.
+    and match nothing, and so do null and empty texts; documents with a null key are reported as one.
+    Every text of a repeated or null item key is searched; the most similar of them is reported under that key.  Repeated rows are reported once; a benchmark or a table without rows gives none.
     """
     bench = _Benchmark(items, item_key, item_text)
     rows = _shingled(docs, key, text)
@@ -143,9 +144,10 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     verified = cut(shared.join(total, "wid").join(item_total, "item").select("wid", "item", alike.alias("similarity")).where(
         F.col("similarity") >= THRESHOLD - 1e-9))
     side = F.broadcast(verified) if small(verified, MATCH_ROWS) else verified
-    best = windows.select("key", "start", F.size("grams").alias("n"), "wid").join(side, "wid").groupBy("key", "item").agg(
+    best = windows.select("key", "start", F.size("grams").alias("n"), "wid").join(side, "wid").join(
+        bench.items.select(F.col("key").alias("item"), "own"), "item").groupBy("key", "own").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("start"), "n")).alias("b"))
-    return best.select(F.col("key").alias(key), F.col("item").alias(item_key), (-F.col("b.start")).alias("start"),
+    return best.select(F.col("key").alias(key), F.col("own").alias(item_key), (-F.col("b.start")).alias("start"),
                        (F.col("b.n") + SHINGLE - 1).alias("n_words"), "b.similarity")
 
 

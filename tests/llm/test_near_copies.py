@@ -169,3 +169,13 @@ def test_all_links_inside_groups_equal_brute_force(documents, monkeypatch, membe
     found = {r["doc_id"]: r["n_links"] for r in counts.collect()}
     assert found.pop(None) is None and found == {k: sum(k in x for x in links) for k in sets}
     assert sum(found.values()) > 2 * len(found)  # more than what connects the groups
+
+
+def test_items_that_share_an_id_and_items_without_one(documents, spark):
+    chance = random.Random(9)
+    texts = [item_text(chance, 30) for _ in range(4)]
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3])], "item_id bigint, text string")
+    rows = [*((i, "before it " + t + " behind it") for i, t in enumerate(texts)), (9, "nothing of the kind in these few words")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.matches(documents(*rows), items).collect()}
+    assert got == {(0, 1), (1, 1), (2, None), (3, None)}
+    assert [r["doc_id"] for r in decontamination.decontaminated(documents(*rows), items).collect()] == [9]

@@ -73,3 +73,12 @@ def test_run_of_a_whole_table_and_of_an_empty_one(spark, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_different_texts_under_one_id_stay(stage):
+    chance = random.Random(5)
+    text = lambda: " ".join(f"w{chance.randrange(900)}" for _ in range(40))
+    a, b, c = text(), text(), text()
+    rows = [(3, a, "en"), (7, a, "en"), (7, b, "en"), (7, b, "en"), (8, c, "en"), (8, None, "en"), (9, b, "en"), (None, a, "en")]
+    kept = [(r["doc_id"] or -1, r["text"]) for r in stage("near_duplicates", rows).collect()]
+    assert sorted(kept, key=str) == sorted([(3, a), (7, b), (8, c), (8, None), (-1, a)], key=str)
