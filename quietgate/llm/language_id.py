@@ -15,14 +15,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quietgate.llm.common import Batches, Made, record
+from quietgate.llm.common import Batches, Made, cut, record
 
 UNITS = 8
 WINDOW = 96           # bytes that are labelled together
 AT_ONCE = 2048        # windows that run side by side
 SAMPLE_DOCS = 500     # labelled documents per language that training looks at, about
 SAMPLE_WINDOWS = 4    # windows of each of these
-MOST_LANGUAGES = 200  # languages the network can learn; the most frequent ones
+WIDE = 200            # languages beyond which fewer windows run side by side
+LEAST_DRAWN = 16      # training windows of each language, at least on average
 STEPS, BATCH, RATE = 260, 160, 0.02
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -139,13 +140,14 @@ class Network:
         flat = np.frombuffer(b"".join(t.ljust(n * WINDOW) for t, n in zip(texts, counts)), np.uint8).reshape(-1, WINDOW)
         owner = np.repeat(np.arange(len(texts)), counts)
         sums, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
-        for at in range(0, len(flat), AT_ONCE):
-            x = np.ascontiguousarray(flat[at:at + AT_ONCE].T)
+        step = max(1, AT_ONCE * WIDE // max(WIDE, len(self.languages)))
+        for at in range(0, len(flat), step):
+            x = np.ascontiguousarray(flat[at:at + step].T)
             lower = x | 0x20
             letter = ((lower >= 97) & (lower <= 122) | (x >= 128)).astype(np.float32)
             pooled = np.einsum("tkb,tb->bk", self.labels(x), letter)
-            np.add.at(sums, owner[at:at + AT_ONCE], pooled)
-            np.add.at(letters, owner[at:at + AT_ONCE], letter.sum(0))
+            np.add.at(sums, owner[at:at + step], pooled)
+            np.add.at(letters, owner[at:at + step], letter.sum(0))
         return sums / np.maximum(letters, 1)[:, None]
 
 
@@ -174,22 +176,21 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     usable = F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()
     rows = docs.where(usable if seen is None else usable & seen).select(
         F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    # One row a language, all of which have weights and a sample on the driver too.
+    shares = cut(rows.groupBy("lang").count().select("lang", (F.floor(F.lit(SAMPLE_DOCS * _FOLD) / F.col("count")) + 1).alias("share")))
+    if shares.isEmpty():
         return None
-    share = F.lit(0)
-    for name, n in counts:
-        share = F.when(F.col("lang") == name, min(_FOLD, SAMPLE_DOCS * _FOLD // n + 1)).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("key"), F.lit(_FOLD)) < share)
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("key"), F.lit(_FOLD)) < F.col("share")).select("key", "text", "lang")
     sample = sorted(map(tuple, chosen.mapInArrow(_sampled, "lang string, window binary").collect()))
     if not sample:
         return None
     names = sorted({r[0] for r in sample})
     network = Network.new(names)
     if len(names) > 1:
-        answers = np.array([names.index(r[0]) for r in sample])
+        number = {name: i for i, name in enumerate(names)}
+        answers = np.array([number[r[0]] for r in sample])
         weight = 1 / np.bincount(answers)[answers]  # each language as often as another
-        draw = np.random.default_rng(3).choice(len(sample), 8192, p=weight / weight.sum())
+        draw = np.random.default_rng(3).choice(len(sample), max(8192, LEAST_DRAWN * len(names)), p=weight / weight.sum())
         windows = np.frombuffer(b"".join(bytes(r[1]) for r in sample), np.uint8).reshape(-1, WINDOW)
         network.train(windows[draw], answers[draw])
     return network

@@ -261,6 +261,16 @@ def test_languages_of_held_out_texts(spark):
     assert got[903]["lang_pred"] == "aa" and all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "STEPS", 2)
+    rows = [(i, f"text of the language number {i % 230}", f"l{i % 230}") for i in range(460)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    network = language_id.fit(df)
+    assert set(network.languages) == {r[2] for r in rows}
+    p = network.documents([t.encode() for _, t, _ in rows])
+    assert p.shape == (460, 230) and p.sum(1) == pytest.approx(np.ones(460), rel=1e-3)
+
+
 def test_nothing_learned_is_undetermined(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id bigint, text string, lang string")
     assert language_id.fit(df) is None
