@@ -144,3 +144,10 @@ def test_histogram_answers_totals_quantiles_and_truncated_totals(documents):
         assert tuple(row) == (sum(min(x, limit) for x in lengths), sum(x > limit for x in lengths))
     for q in (0.1, 0.5, 0.9, 1.0):
         assert length_histogram.quantile(hist, q).first()[0] == next(x for i, x in enumerate(lengths, 1) if i >= q * len(lengths))
+
+
+def test_copies_shrink_as_far_as_they_repeat():
+    ids = np.tile(np.random.default_rng(2).integers(0, 40_000, 500).astype("<u4"), 2000)
+    made = store.compress(ids, 1 << 16)
+    assert (store.expand(made) == ids).all()
+    assert ids.nbytes > 100 * (made.rules.nbytes + made.expansions.nbytes + made.sequence.nbytes)
