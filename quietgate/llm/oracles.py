@@ -60,4 +60,68 @@ SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM s JOIN v ON s.source IS NOT DISTINCT FROM v.source
 """
 
-ORACLES = {"op4_quality_rules": OP4, "op2_ngram_jaccard_join": OP2}
+OP12 = r"""
+WITH w AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS ws FROM documents),
+win AS (
+  SELECT k, unnest(range(1, greatest(len(ws) - 18, 1))) AS i,
+    unnest(list_transform(range(1, greatest(len(ws) - 18, 1)), lambda j: array_to_string(ws[j:j + 19], ' '))) AS g FROM w),
+again AS (SELECT k, i FROM (SELECT k, i, row_number() OVER (PARTITION BY g ORDER BY k, i) AS nth FROM win) WHERE nth > 1),
+gone AS (SELECT DISTINCT k, unnest(range(i, i + 20)) AS i FROM again),
+each AS (SELECT k, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS v FROM w),
+kept AS (
+  SELECT k, count(*) AS n, string_agg(v, ' ' ORDER BY i) AS t FROM each ANTI JOIN gone USING (k, i) GROUP BY k)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (k)
+"""
+
+# DuckDB has no crc32: the checksum is carried over the bytes of all distinct strings together, one byte a round.
+OP13 = r"""
+WITH RECURSIVE bits AS (
+  SELECT b, 0 AS step, b AS c FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)
+  UNION ALL
+  SELECT b, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE step < 8),
+tab AS (SELECT b, c FROM bits WHERE step = 8),
+runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  GROUP BY doc_id, run),
+named AS (
+  SELECT row_number() OVER () AS k, run, times, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x:
+    CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [192 + (ord(x) >> 6), 128 + (ord(x) & 63)] END)) AS bytes FROM runs),
+crc AS (
+  SELECT k, bytes, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM named
+  UNION ALL
+  SELECT k, bytes, i + 1, xor(crc.c >> 8, tab.c) FROM crc JOIN tab ON tab.b = xor(crc.c, bytes[i + 1]) & 255 WHERE i < len(bytes)),
+summed AS (SELECT k, xor(c, 4294967295) AS h FROM crc WHERE i = len(bytes)),
+cut AS (
+  SELECT times, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+  FROM named JOIN summed USING (k)),
+v AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+places AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS gap, substr(word, 1, i - 1) || substr(word, i + 1) AS less
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT x.word, y.word AS other, y.n AS other_n FROM places x JOIN places y ON x.gap = y.gap AND x.word <> y.word
+  UNION SELECT places.word, v.word, v.n FROM places JOIN v ON places.less = v.word
+  UNION SELECT v.word, places.word, places.n FROM places JOIN v ON places.less = v.word),
+ranked AS (
+  SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near,
+    row_number() OVER (PARTITION BY word ORDER BY other_n DESC, encode(other)) AS nth FROM near),
+told AS (
+  SELECT v.word, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form,
+    CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM v LEFT JOIN (SELECT * FROM ranked WHERE nth = 1) USING (word)),
+up AS (
+  SELECT word, word AS reached FROM told
+  UNION ALL
+  SELECT up.word, told.form FROM up JOIN told ON told.word = up.reached WHERE told.form IS NOT NULL)
+SELECT told.word, told.form, up.reached AS root, told.n, told.n_near, told.form_n
+FROM told JOIN up ON up.word = told.word JOIN told AS ends ON ends.word = up.reached AND ends.form IS NULL
+"""
+
+ORACLES = {"op4_quality_rules": OP4, "op2_ngram_jaccard_join": OP2, "op12_substring_dedup": OP12, "op13_spelling_variants": OP13}

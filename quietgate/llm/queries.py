@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quietgate.llm import (
     decontamination, grammar_store, language_id, language_model, length_histogram, ngram_join, packing, personal_data,
-    quality_classifier, quality_rules,
+    quality_classifier, quality_rules, spelling_variants, substring_dedup, token_alignment,
 )
 from quietgate.llm.common import held_out, shared_folder
 from quietgate.llm.tokens import vocabulary
@@ -75,7 +75,22 @@ def op10_token_counts(spark, sf_dir):
     return length_histogram.histogram(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_token_alignment(spark, sf_dir):
+    found = token_alignment.aligned(
+        _documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return token_alignment.digest(found)
+
+
+def op12_substring_dedup(spark, sf_dir):
+    return substring_dedup.digest(substring_dedup.deduplicated(_documents(spark, sf_dir)))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling_variants.variants(_documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_ngram_jaccard_join, op2_ngram_jaccard_links, op3_language_model, op4_quality_rules, op5_token_id_output,
-    op6_personal_data, op7_packing, op8_language_id, op9_quality_classifier, op10_token_counts,
+    op6_personal_data, op7_packing, op8_language_id, op9_quality_classifier, op10_token_counts, op11_token_alignment,
+    op12_substring_dedup, op13_spelling_variants,
 )}
