@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.running import micros, running_sums, slice_of
+from quietgate.functions.running import micros, ranges, rank, running_sums, slice_of
 from quietgate.functions.text import fenced, let, strip
 
 SECOND = 1_000_000
@@ -38,46 +38,50 @@ CHUNK = 8192  # events of one user that share a window group
 def history(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Add the history counts of every event (``n, n_injection, n_toxic, n_blocked``) and its last rows (``recent``).
 
-    A history is never longer than ``max_rows`` events, so one frame of that many rows holds it; those too old are left
-    out inside the row.  The cost is linear in the events, however many fall into one history length.  A user's events
-    are numbered with counts carried over time slices and cut into chunks by number; the end of each chunk is copied
-    into the next one, where later events look back at it.  So a busy user spreads over tasks.  Only narrow columns
-    take part.
+    A history is never longer than ``max_rows`` events, so one frame of that many rows holds it; the first one young
+    enough is found in it by binary search, and the counts are differences of running sums.  The cost is linear in the
+    events, however many fall into one history length.  Busy users' events are numbered with counts carried over ranges
+    and cut into chunks by number; the end of each chunk is copied into the next one, where later events look back at
+    it.  So a busy user spreads over tasks.  Only narrow columns take part.
     """
     width = limits.seconds * SECOND
     last = max(limits.escalation_window, v.JAILBREAK_ROWS)
+    flag = {f: F.coalesce(F.col(f"was_{f}"), F.lit(False)).cast("bigint") for f in FLAGS}
     narrow = events.select(
         "user_id", "event_id", "ts", "was_injection", "was_toxic", "was_blocked", "confidence",
         F.when(F.col("was_injection"), attempt_of(F.col("text"))).alias("__attempt"),
         micros(F.col("ts")).alias("__at"))
-    sliced = narrow.withColumn("__slice", slice_of(F.col("__at"), width))
-    numbered = running_sums(sliced, ["user_id"], ["__at", "event_id"], "__slice", {"__no": F.lit(1)}).drop("__slice")
-    back = max(limits.max_rows, last) - 1
-    chunk = max(CHUNK, back + 1)
-    at_end = F.pmod(F.col("__no") - 1, F.lit(chunk)) >= chunk - back
-    placed = numbered.withColumn("__own", slice_of(F.col("__no") - 1, chunk)).select("*", F.explode(
-        F.when(at_end, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))).alias("__chunk"))
-
-    order = Window.partitionBy("user_id", "__chunk").orderBy("__no")
-    flags = sum((F.coalesce(F.col(f"was_{f}"), F.lit(False)).cast("int") * 2 ** i for i, f in enumerate(FLAGS)), F.lit(0))
-    seen = F.collect_list(F.struct(F.col("__at").alias("at"), flags.alias("flags"))).over(
-        order.rowsBetween(-(limits.max_rows - 1), 0))
+    cut = ranges(narrow, ["user_id"], ["__at", "event_id"])
+    own, keys, placed = F.lit(True), ["user_id"], cut.rows
+    if cut.split:
+        back = max(limits.max_rows, last) - 1
+        chunk = max(CHUNK, back + 1)
+        numbered = running_sums(narrow, ["user_id"], ["__at", "event_id"], cut, {"__no": F.lit(1)})
+        at_end = F.pmod(F.col("__no") - 1, F.lit(chunk)) >= chunk - back
+        placed = numbered.withColumn("__own", slice_of(F.col("__no") - 1, chunk)).select("*", F.explode(
+            F.when(at_end, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))).alias("__chunk"))
+        own, keys = F.col("__chunk") == F.col("__own"), ["user_id", "__chunk"]
+
+    order = Window.partitionBy(*keys).orderBy("__at", "event_id")
+    sums = {f: F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)) for f, c in flag.items()}
+    summed = placed.select("*", *(s.alias(f"__to_{f}") for f, s in sums.items()))
+    before = F.struct(F.col("__at").alias("at"), *((F.col(f"__to_{f}") - c).alias(f) for f, c in flag.items()))
     row = F.struct(F.col("was_injection").alias("inj"), F.col("was_toxic").alias("tox"),
                    F.col("confidence").alias("conf"), F.col("__attempt").alias("attempt"))
-    framed = placed.select("*", seen.alias("__seen"), F.collect_list(row).over(order.rowsBetween(-(last - 1), 0)).alias("__last"))
-    inside = F.transform(F.filter("__seen", lambda e: e["at"] >= F.col("__at") - width), lambda e: e["flags"])
-    kept = fenced(framed.where(F.col("__chunk") == F.col("__own")).drop("__own", "__chunk"), "__kept", inside)
-    sized = kept.select(
+    framed = summed.select("*", F.collect_list(before).over(order.rowsBetween(-(limits.max_rows - 1), 0)).alias("__seen"),
+                           F.collect_list(row).over(order.rowsBetween(-(last - 1), 0)).alias("__last")).where(own)
+    young = F.transform("__seen", lambda e: e["at"])
+    older = fenced(framed.withColumn("__ats", young), "__older", rank(
+        F.col("__ats"), F.col("__at") - width, limits.max_rows, strictly=True))
+    since = F.get("__seen", F.col("__older"))
+    sized = older.select(
         "user_id", "event_id", "ts", "was_injection", "was_toxic", "was_blocked", "confidence", "__last",
-        F.size("__kept").cast("bigint").alias("n"), *(_with_flag("__kept", i).alias(f"n_{f}") for i, f in enumerate(FLAGS)))
+        (F.size("__seen") - F.col("__older")).cast("bigint").alias("n"),
+        *((F.col(f"__to_{f}") - since[f]).alias(f"n_{f}") for f in FLAGS))
     kept_rows = F.least(F.size("__last"), F.col("n").cast("int"))
     return sized.withColumn("recent", F.slice("__last", F.size("__last") - kept_rows + 1, kept_rows)).drop("__last")
 
 
-def _with_flag(rows: str, bit: int) -> Column:
-    return F.size(F.filter(rows, lambda flags: F.getbit(flags.cast("bigint"), F.lit(bit)) == 1)).cast("bigint")
-
-
 def risk_of(n: Column, injections: Column, toxics: Column, blocks: Column) -> Column:
     ratio = lambda c: c.cast("double") / n.cast("double")
     a, b, c = v.RISK_WEIGHTS

@@ -3,14 +3,17 @@
 Input: ``user_id, event_id, ts, kind`` with kind one of check, warning, block, reset.
 
 The limiter is a fold: each window starts at the first check that comes at least ``seconds`` after
-the start of the window before.  A fold cannot be split, but what one time slice does to *any*
+the start of the window before.  A fold cannot be split, but what one slice of a history does to *any*
 incoming state can be described without knowing that state:
 
 1. tiers depend on counts of violations only, hence on running totals;
-2. every (user, slice) is summarised as a function "window start in -> window start and tokens out",
-   a short list of break points, all slices in parallel;
+2. every slice of a busy user is summarised as a function "window start in -> window start and tokens
+   out", a short list of break points, all slices in parallel;
 3. the summaries of a user, one row per slice, are chained;
 4. every slice is replayed from its now known incoming state, again in parallel.
+
+Users that are not busy are one slice, which opens by itself.  Within a slice the fold is unrolled by jump
+pointers: from every check to the one that would start the next window, then twice, four times, ... as far.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.running import micros, slice_of
+from quietgate.functions.running import Ranges, given_ranges, micros, ranges, slice_of
 
 SECOND = 1_000_000
 KEYS = ["user_id", "epoch", "__slice"]
@@ -35,7 +38,7 @@ class Settings:
     seconds: float = v.LIMIT_SECONDS
     warnings: int = v.WARNINGS_TO_ESCALATE
     blocks: int = v.BLOCKS_TO_ESCALATE
-    slice_windows: int = 60  # windows per slice: more means fewer, larger replays
+    slice_windows: int | None = None  # windows per slice, or None: slices of busy users by their number of events
 
 
 def tier_of(warnings: Column, blocks: Column, settings: Settings) -> Column:
@@ -43,46 +46,66 @@ def tier_of(warnings: Column, blocks: Column, settings: Settings) -> Column:
             .when(warnings >= settings.warnings, F.lit("warning")).otherwise(F.lit("normal")))
 
 
-def tiers(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Add the reset epoch, the violation counts inside it and the tier after every event.
-
-    Counts run inside (user, slice) and restart at every reset.  A slice hands on what was counted
-    since its last reset, so each event needs one carried row; events are shuffled by (user, slice) only.
-    """
+def _slices(events: DataFrame, settings: Settings) -> Ranges:
+    placed = events.withColumn("__at", micros(F.col("ts")))
+    if settings.slice_windows is None:
+        return ranges(placed, ["user_id"], ["__at", "event_id"], "__slice")
     width = int(settings.seconds * SECOND) * settings.slice_windows
+    return given_ranges(placed.withColumn("__slice", slice_of(F.col("__at"), width)), "__slice")
+
+
+def _tiers(cut: Ranges, settings: Settings) -> DataFrame:
+    """Rows of ``cut`` with ``epoch, warning_count, block_count, tier``."""
     order, up_to_here = ["__at", "event_id"], (Window.unboundedPreceding, 0)
     is_kind = lambda k: (F.col("kind") == k).cast("bigint")
-    sliced = events.withColumn("__at", micros(F.col("ts"))).withColumn("__slice", slice_of(F.col("__at"), width))
     in_slice = Window.partitionBy("user_id", "__slice").orderBy(*order).rowsBetween(*up_to_here)
-    parted = sliced.withColumn("__part", F.sum(is_kind("reset")).over(in_slice))
+    parted = cut.rows.withColumn("__part", F.sum(is_kind("reset")).over(in_slice))
     since_reset = Window.partitionBy("user_id", "__slice", "__part").orderBy(*order).rowsBetween(*up_to_here)
     counted = parted.select("*", F.sum(is_kind("warning")).over(since_reset).alias("__w"),
                             F.sum(is_kind("block")).over(since_reset).alias("__b"))
-
-    # Counts only grow after a reset, so the greatest (part, w, b) is the state at the end of the slice.
-    ends = counted.groupBy("user_id", "__slice").agg(F.max(F.struct("__part", "__w", "__b")).alias("end")).select(
-        "user_id", "__slice", "end.*")
-    by_slice = Window.partitionBy("user_id").orderBy("__slice")
-    runs = ends.withColumn("__run", F.sum((F.col("__part") > 0).cast("int")).over(by_slice.rowsBetween(*up_to_here)))
-    run = Window.partitionBy("user_id", "__run").orderBy("__slice").rowsBetween(*up_to_here)
-    totals = runs.select("user_id", "__slice", F.struct(
-        F.sum("__part").over(by_slice.rowsBetween(*up_to_here)).alias("epoch"),
-        F.sum("__w").over(run).alias("w"), F.sum("__b").over(run).alias("b")).alias("__total"))
-    carried = totals.select("user_id", "__slice", F.lag("__total").over(by_slice).alias("__carried"))
-
-    joined = counted.join(carried, ["user_id", "__slice"])
-    before = lambda c: F.coalesce(F.col(f"__carried.{c}"), F.lit(0))
-    untouched = F.col("__part") == 0
-    told = joined.select(
-        *events.columns, "__at", "__slice", (F.col("__part") + before("epoch")).alias("epoch"),
+    before, untouched = (lambda c: F.lit(0)), F.col("__part") == 0
+    if cut.split:
+        # What a slice hands on: its resets, and its violations since the last one or all without one.
+        kinds = cut.rows.where(cut.many).select("user_id", "__slice", "kind", F.struct(*order).alias("__place"))
+        resets = kinds.where(F.col("kind") == "reset").groupBy("user_id", "__slice").agg(
+            F.count("*").alias("__part"), F.max("__place").alias("__reset"))
+        held = kinds.join(F.broadcast(resets) if cut.few else resets, ["user_id", "__slice"], "left")
+        after = F.col("__reset").isNull() | (F.col("__place") > F.col("__reset"))
+        ends = held.groupBy("user_id", "__slice").agg(
+            F.coalesce(F.max("__part"), F.lit(0)).alias("__part"), *(F.count_if(after & (F.col("kind") == k)).alias(n)
+                                                                   for k, n in (("warning", "__w"), ("block", "__b"))))
+        by_slice = Window.partitionBy("user_id").orderBy("__slice")
+        runs = ends.withColumn("__run", F.sum((F.col("__part") > 0).cast("int")).over(by_slice.rowsBetween(*up_to_here)))
+        run = Window.partitionBy("user_id", "__run").orderBy("__slice").rowsBetween(*up_to_here)
+        totals = runs.select("user_id", "__slice", F.struct(
+            F.sum("__part").over(by_slice.rowsBetween(*up_to_here)).alias("epoch"),
+            F.sum("__w").over(run).alias("w"), F.sum("__b").over(run).alias("b")).alias("__total"))
+        carried = totals.select("user_id", "__slice", F.lag("__total").over(by_slice).alias("__carried"))
+        counted = cut.with_carried(counted, ["user_id"], carried, "__carried")
+        before = lambda c: F.coalesce(F.col(f"__carried.{c}"), F.lit(0))
+    return counted.select(
+        *cut.rows.columns, (F.col("__part") + before("epoch")).alias("epoch"),
         (F.col("__w") + F.when(untouched, before("w")).otherwise(0)).alias("warning_count"),
-        (F.col("__b") + F.when(untouched, before("b")).otherwise(0)).alias("block_count"))
-    return told.withColumn("tier", tier_of(F.col("warning_count"), F.col("block_count"), settings))
+        (F.col("__b") + F.when(untouched, before("b")).otherwise(0)).alias("block_count"),
+    ).withColumn("tier", tier_of(F.col("warning_count"), F.col("block_count"), settings))
+
+
+def tiers(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Add the reset epoch, the violation counts inside it and the tier after every event.
 
+    Counts run inside (user, slice) and restart at every reset.  A slice hands on what was counted
+    since its last reset, so each event needs one carried row; events are shuffled by (user, slice) only.
+    """
+    return _tiers(_slices(events, settings), settings).select(
+        *events.columns, "epoch", "warning_count", "block_count", "tier")
 
-def _chain(at: np.ndarray, window: int) -> np.ndarray:
-    """For every check taken as a window start: index of the check that starts the next window, n if none here."""
-    return np.searchsorted(at, at + window, side="left")
+
+def _doubled(jumps: np.ndarray) -> list[np.ndarray]:
+    """Jump pointers 1, 2, 4, ... steps far; the last index is the end, which leads to itself."""
+    levels = [jumps]
+    while (levels[-1] != len(jumps) - 1).any() and 1 << len(levels) <= len(jumps):
+        levels.append(levels[-1][levels[-1]])
+    return levels
 
 
 def _summarise(rows: dict[str, np.ndarray], window: int) -> dict:
@@ -93,11 +116,12 @@ def _summarise(rows: dict[str, np.ndarray], window: int) -> dict:
     checks_from = n - np.concatenate([[0], np.cumsum(is_check)])[:-1]  # checks from each row to the end
     last_change = int(changed[-1]) if len(changed) else -1
 
-    # Walking backwards, the last window start reached from each check.
-    following, final = _chain(checks, window), np.arange(n)
-    for i in range(n - 1, -1, -1):
-        if following[i] < n:
-            final[i] = final[following[i]]
+    # The last window start reached from each check, were it one itself.
+    following = np.searchsorted(checks, checks + window, side="left")
+    final = np.arange(n)
+    for level in reversed(_doubled(np.append(following, n))):
+        onward = level[final]
+        final = np.where(onward < n, onward, final)
     # Neighbouring checks that end in the same window share one break point.
     ends = np.flatnonzero(np.append(final[1:] != final[:-1], True)) if n else np.arange(0)
     last_start = where[final[ends]] if n else np.arange(0)
@@ -109,6 +133,50 @@ def _summarise(rows: dict[str, np.ndarray], window: int) -> dict:
             "checks": n, "idle_tokens": idle}
 
 
+def _next_checks(group: np.ndarray, since: np.ndarray, check_group: np.ndarray, check_at: np.ndarray) -> np.ndarray:
+    """Number of the first check of each given group that is not before ``since``; the number of checks for none."""
+    n = len(check_at)
+    order = np.lexsort((np.repeat([0, 1], [len(since), n]), np.concatenate([since, check_at]), np.concatenate([group, check_group])))
+    before = np.cumsum(order >= len(since))
+    found = np.empty(len(since), np.int64)
+    asked = order < len(since)
+    found[order[asked]] = before[asked]
+    inside = found < n
+    inside[inside] = check_group[found[inside]] == group[inside]
+    return np.where(inside, found, n)
+
+
+def replayed(group: np.ndarray, at: np.ndarray, is_check: np.ndarray, limit: np.ndarray, changed: np.ndarray,
+             start: np.ndarray, tokens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(allowed, tokens left, window start, seconds to wait) of rows in order, for any number of groups at once.
+
+    ``group`` numbers the groups from 0; ``start`` and ``tokens`` are the state each one comes with.  Every segment from
+    one setting of the tokens to the next is plain counting: its n-th check is allowed while n does not exceed them.
+    """
+    where = np.flatnonzero(is_check)
+    check_group, check_at, n = group[where], at[where], len(where)
+    jumps = _next_checks(np.concatenate([check_group, np.arange(len(start))]), np.concatenate([check_at, start]) + window,
+                         check_group, check_at)
+    opens = np.zeros(n + 1, bool)  # checks that start a window: all on the way from the first one of a group
+    opens[jumps[n:]] = True
+    for level in reversed(_doubled(np.append(jumps[:n], n))):
+        opens[level[np.flatnonzero(opens)]] = True
+
+    begins = np.append(True, group[1:] != group[:-1])
+    starts = np.zeros(len(at), bool)
+    starts[where[opens[:n]]] = True
+    rows = np.arange(len(at))
+    window_row = np.maximum.accumulate(np.where(begins | starts, rows, 0))
+    window_start = np.where(starts[window_row], at[window_row], start[group])
+    set_row = np.maximum.accumulate(np.where(begins | starts | changed, rows, 0))
+    given = np.where((starts | changed)[set_row], limit[set_row], tokens[group])
+    checks = np.cumsum(is_check)
+    nth = checks - checks[set_row] + is_check[set_row]
+    allowed = is_check & (nth <= given)
+    wait = np.where(is_check & ~allowed, np.maximum(window_start + window - at, 0) / SECOND, np.nan)
+    return allowed, np.maximum(given - nth, 0), window_start, wait
+
+
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """Contiguous groups of sorted batches as arrays; the pieces of a group are put together once, at its end."""
     pieces: list[dict[str, np.ndarray]] = []
@@ -167,31 +235,28 @@ def _chained(window: int, normal: int):
     return run
 
 
-def _replayed(window: int):
-    """Replay sorted rows; every group opens with a row that holds its incoming state."""
-    columns = ["opens", "at", "is_check", "limit", "changed"]
+def _replayed(window: int, normal: int):
+    """Replay sorted rows batch by batch; of a group only its state is kept from one batch to the next.
 
+    A group opens with a row that holds its incoming state, or by itself with its first event.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start = tokens = 0
+        key, start, tokens = None, 0, 0
         for batch in batches:
-            size = len(batch)
-            allowed, remaining = np.zeros(size, dtype=bool), np.zeros(size, dtype=np.int32)
-            starts, wait = np.zeros(size, dtype=np.int64), np.full(size, np.nan)
-            for i, (opens, at, is_check, limit, changed) in enumerate(zip(*(batch[c].tolist() for c in columns))):
-                if opens:
-                    start, tokens = at, limit
-                elif changed:
-                    tokens = limit
-                elif is_check:
-                    if at - start >= window:
-                        start, tokens = at, limit
-                    if tokens > 0:
-                        tokens -= 1
-                        allowed[i] = True
-                    else:
-                        wait[i] = max(start + window - at, 0) / SECOND
-                    remaining[i], starts[i] = tokens, start
-            done = batch.assign(allowed=allowed, remaining=remaining, window_start=starts, retry_after=wait)
+            if batch.empty:
+                continue
+            c = {name: batch[name].to_numpy() for name in batch.columns}
+            first = (c["user_id"][0], c["epoch"][0], c["__slice"][0])
+            changes = np.any([c[k][1:] != c[k][:-1] for k in KEYS], axis=0)
+            group = np.concatenate([[0], np.cumsum(changes)])
+            begin = np.concatenate([[0], np.flatnonzero(changes) + 1])
+            starts, given = c["at"][begin], np.where(c["opens"][begin], c["limit"][begin], normal)
+            if key == first:
+                starts[0], given[0] = start, tokens
+            allowed, remaining, window_start, wait = replayed(
+                group, c["at"], c["is_check"], c["limit"].astype(np.int64), c["changed"], starts, given.astype(np.int64), window)
+            key, start, tokens = tuple(c[k][-1] for k in KEYS), window_start[-1], remaining[-1]
+            done = batch.assign(allowed=allowed, remaining=remaining.astype(np.int32), window_start=window_start, retry_after=wait)
             yield done.loc[done["is_check"], ["user_id", "event_id", "at", "tier", "limit", "allowed", "remaining",
                                               "window_start", "retry_after"]]
     return run
@@ -199,35 +264,38 @@ def _replayed(window: int):
 
 def check(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Decision for every check: ``allowed, remaining, limit, tier, reset_time, retry_after``."""
-    window = int(settings.seconds * SECOND)
+    window, normal = int(settings.seconds * SECOND), settings.limits["normal"]
     key_type = dict(events.dtypes)["user_id"]
     id_type = dict(events.dtypes)["event_id"]
     limit = F.create_map(*(x for k, n in settings.limits.items() for x in (F.lit(k), F.lit(n))))
-    tiered = tiers(events, settings).where(F.col("kind") != "reset")
+    cut = _slices(events, settings)
+    tiered = _tiers(cut, settings).where(F.col("kind") != "reset")
     before = tier_of(F.col("warning_count") - (F.col("kind") == "warning").cast("int"),
                      F.col("block_count") - (F.col("kind") == "block").cast("int"), settings)
     rows = tiered.select(
         "user_id", "epoch", "__slice", F.lit(False).alias("opens"), F.col("__at").alias("at"), "event_id", "tier",
         F.element_at(limit, F.col("tier")).cast("int").alias("limit"),
-        (F.col("kind") == "check").alias("is_check"), (F.col("tier") != before).alias("changed"))
+        (F.col("kind") == "check").alias("is_check"), (F.col("tier") != before).alias("changed"), cut.many.alias("__busy"))
     # The work is in Python rather than in bytes, so small partitions are not merged.
     tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Sorted partitions are streamed through Python in batches; no group is held but the slice being summarised.
-    summaries = rows.repartition(tasks, *KEYS).sortWithinPartitions(*KEYS, "at", "event_id").mapInPandas(
-        _summaries(window),
-        f"user_id {key_type}, epoch bigint, slice bigint, opened bigint, upto array<bigint>, start_out array<bigint>, "
-        "tokens_out array<int>, checks bigint, idle_tokens double")
-    states = summaries.repartition(tasks, "user_id", "epoch").sortWithinPartitions("user_id", "epoch", "slice").mapInPandas(
-        _chained(window, settings.limits["normal"]),
-        f"user_id {key_type}, epoch bigint, slice bigint, start_in bigint, tokens_in int")
-    opening = states.select(
-        "user_id", "epoch", F.col("slice").alias("__slice"), F.lit(True).alias("opens"), F.col("start_in").alias("at"),
-        F.lit(0).cast(id_type).alias("event_id"), F.lit("").alias("tier"), F.col("tokens_in").alias("limit"),
-        F.lit(False).alias("is_check"), F.lit(False).alias("changed"))
+    if cut.split:
+        # Sorted partitions are streamed through Python in batches; no group is held but the slice being summarised.
+        summaries = rows.where("__busy").drop("__busy").repartition(tasks, *KEYS).sortWithinPartitions(*KEYS, "at", "event_id").mapInPandas(
+            _summaries(window),
+            f"user_id {key_type}, epoch bigint, slice bigint, opened bigint, upto array<bigint>, start_out array<bigint>, "
+            "tokens_out array<int>, checks bigint, idle_tokens double")
+        states = summaries.repartition(tasks, "user_id", "epoch").sortWithinPartitions("user_id", "epoch", "slice").mapInPandas(
+            _chained(window, normal),
+            f"user_id {key_type}, epoch bigint, slice bigint, start_in bigint, tokens_in int")
+        opening = states.select(
+            "user_id", "epoch", F.col("slice").alias("__slice"), F.lit(True).alias("opens"), F.col("start_in").alias("at"),
+            F.lit(0).cast(id_type).alias("event_id"), F.lit("").alias("tier"), F.col("tokens_in").alias("limit"),
+            F.lit(False).alias("is_check"), F.lit(False).alias("changed"))
+        rows = rows.drop("__busy").unionByName(opening)
     # The state joins its slice as its first row: one shuffle instead of a join and a grouping.
-    decided = rows.unionByName(opening).repartition(tasks, *KEYS).sortWithinPartitions(
+    decided = rows.drop("__busy").repartition(tasks, *KEYS).sortWithinPartitions(
         *KEYS, F.col("opens").desc(), "at", "event_id").mapInPandas(
-        _replayed(window),
+        _replayed(window, normal),
         f"user_id {key_type}, event_id {id_type}, at bigint, tier string, limit int, allowed boolean, remaining int, "
         "window_start bigint, retry_after double")
     return decided.select(

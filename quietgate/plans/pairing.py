@@ -12,11 +12,10 @@ SLICE = 16_384  # turns of one conversation that share a window group; the group
 def pair_turns(turns: DataFrame) -> DataFrame:
     """Every assistant turn with the user turn directly before it.
 
-    ``turns`` has ``conv_id, turn, role, text``.  Neighbours are found inside slices of a
-    conversation, so a conversation of any length spreads over tasks.
+    ``turns`` has ``conv_id, turn, role, text``.  Neighbours are found inside ranges of a
+    conversation, so a conversation of any length spreads over tasks.  Turns without a ``conv_id`` are one conversation.
     """
-    sliced = turns.withColumn("__slice", slice_of(F.col("turn"), SLICE))
-    near = with_previous(sliced, ["conv_id"], "turn", "__slice", ["role", "text"])
+    near = with_previous(turns, ["conv_id"], "turn", None, ["role", "text"])
     return near.where((F.col("role") == "assistant") & (F.col("prev_role") == "user")).select(
         "conv_id", "turn", F.col("prev_text").alias("prompt"), F.col("text").alias("output"))
 
@@ -35,8 +34,7 @@ def attach_context(turns: DataFrame, last: int, separator: str = "\n") -> DataFr
     if last < 1:
         raise ValueError("last must be at least 1")
     size = max(SLICE, last)
-    coarse = turns.withColumn("__slice", slice_of(F.col("turn"), SLICE))
-    numbered = running_sums(coarse, ["conv_id"], ["turn"], "__slice", {"__no": F.lit(1)}).drop("__slice")
+    numbered = running_sums(turns, ["conv_id"], ["turn"], None, {"__no": F.lit(1)})
     own = slice_of(F.col("__no"), size)
     tail = F.pmod(F.col("__no"), F.lit(size)) >= size - last
     placed = numbered.withColumn("__own", own).select(

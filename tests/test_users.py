@@ -1,10 +1,12 @@
+import math
 import random
 import time
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from quietgate.functions.running import running_sums, slice_of
+from quietgate.functions.running import ranges, running_sums, slice_of, with_previous
 from quietgate.operators import behavior, rate_limit
 from quietgate.streaming import behavior_stream, rate_limit_stream, scan_stream
 from quietgate.plans import pairing, scan
@@ -222,3 +224,87 @@ def test_a_reset_clears_the_history_of_a_stream(spark, tmp_path):
              .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start())
     query.awaitTermination()
     assert {r.event_id: r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {0: 1, 1: 2, 2: 3, 3: 4, 5: 1, 6: 2, 7: 3}
+
+
+def test_ranges_of_a_hot_key_are_even_and_follow_the_order(spark):
+    rows = [(None if i % 10 == 9 else "hot" if i % 10 < 6 else f"u{i}", i // 400, i) for i in range(4000)]  # many events share a moment
+    df = spark.createDataFrame(rows, "k string, at long, e long")
+    cut = ranges(df, ["k"], ["at", "e"], count=16)
+    got = cut.rows.collect()
+    assert cut.split and len(got) == 4000 and {r.k for r in got if r["__range_many"]} == {"hot"}
+    assert {r["__range"] for r in got if r.k != "hot"} == {0}
+    mine = [r["__range"] for r in sorted((r for r in got if r.k == "hot"), key=lambda r: (r.at, r.e))]
+    sizes = [mine.count(n) for n in range(mine[-1] + 1)]
+    assert mine == sorted(mine) and len(sizes) >= 8 and min(sizes) > 100 and max(sizes) < 600
+    assert not ranges(df.where("k like 'u%'"), ["k"], ["at", "e"], count=16).split
+
+
+def test_running_sums_and_neighbours_over_ranges(spark):
+    rows = [(None if i % 7 == 0 else "hot" if i % 7 < 5 else f"u{i % 30}", i % 1000, i, i % 13) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, at long, e long, x long")
+    want, last = {}, {}
+    for k, at, e, x in sorted(rows, key=lambda r: (r[1], r[2])):
+        total, _ = last.get(k, (0, None))
+        want[e] = total + x
+        last[k] = total + x, e
+    assert ranges(df, ["k"], ["at", "e"]).split
+    got = running_sums(df, ["k"], ["at", "e"], None, {"t": F.col("x")}).collect()
+    assert {r.e: r.t for r in got} == want and len(got) == 3000
+    ordered = df.withColumn("o", F.col("at") * 10_000 + F.col("e"))
+    previous, seen = {}, {}
+    for k, at, e, x in sorted(rows, key=lambda r: (r[1], r[2])):
+        previous[e], seen[k] = seen.get(k), e
+    assert {r.e: r.prev_e for r in with_previous(ordered, ["k"], "o", None, ["e"]).collect()} == previous
+
+
+def test_a_hot_user_in_one_hour_is_cut_and_keeps_its_results(spark):
+    """All events of one hour, many at one moment: histories, tiers and limits as without ranges."""
+    n = 20_000
+    events = hot_user(spark, n).unionByName(hot_user(spark, 500).withColumn("user_id", F.lit("v")))
+    placed = events.withColumn("at", F.unix_micros("ts"))
+    sizes = [r["count"] for r in ranges(placed, ["user_id"], ["at", "event_id"]).rows.groupBy("user_id", "__range").count().collect()]
+    assert max(sizes) < n / 2 and len(sizes) > 4
+    few = behavior.Limits(max_rows=7, seconds=1, volume_threshold=6)
+    got = {(r.user_id, r.event_id): (r.n, r.n_injection) for r in behavior.history(events, few).collect()}
+    assert len(got) == n + 500
+    for event in (0, 3, 6, 7, 8191, 8192, 8195, n - 1):  # 5.5 events a second
+        seen = [e for e in range(max(0, event - 6), event + 1) if event - e <= 1_000_000 // (3_600_000_000 // n)]
+        assert got["u", event] == (len(seen), sum(e % 3 == 0 for e in seen))
+
+    kind = F.expr("CASE WHEN event_id % 4001 = 4000 THEN 'reset' WHEN event_id % 97 = 96 THEN 'warning' WHEN event_id % 1501 = 1500 THEN 'block' ELSE 'check' END")
+    moment = F.timestamp_seconds(F.lit(1_700_000_000) + F.expr("event_id div 40"))
+    calls = events.select("event_id", "user_id", moment.alias("ts"), kind.alias("kind"))
+    settings = rate_limit.Settings({"normal": 60, "warning": 20, "restricted": 5}, 60, warnings=3, blocks=1)
+    rows = [(r.event_id, r.user_id, int(r.ts.timestamp()) - int(EPOCH.timestamp()), r.kind) for r in calls.collect()]
+    found = rate_limit.check(calls, settings)
+    assert decisions(found, settings) == expected_limits(rows, settings)
+    tiered = rate_limit.tiers(calls, settings)
+    whole = rate_limit.tiers(calls, rate_limit.Settings(settings.limits, 60, warnings=3, blocks=1, slice_windows=10 ** 6))
+    assert sorted(tiered.collect()) == sorted(whole.collect())
+
+
+def test_replay_of_many_groups_at_once():
+    dice = random.Random(4)
+    for _ in range(30):
+        rows, want, starts, tokens, window = [], [], [], [], dice.choice([5, 20])
+        for g in range(dice.randint(1, 6)):
+            at = dice.randint(0, 1000)
+            start, left = at - dice.randint(0, 30), dice.randint(0, 4)
+            starts.append(start)
+            tokens.append(left)
+            for _ in range(dice.randint(1, 40)):
+                at += dice.choice([0, 1, 3, 17])
+                limit, check = dice.randint(1, 4), dice.random() < 0.8
+                changed = not check and dice.random() < 0.5
+                rows.append((g, at, check, limit, changed))
+                if check and at - start >= window:
+                    start, left = at, limit
+                if changed:
+                    left = limit
+                ok = check and left > 0
+                left -= ok
+                want.append((ok, left, start))
+        columns = [np.array(c) for c in zip(*rows)]
+        allowed, remaining, begun, wait = rate_limit.replayed(*columns, np.array(starts), np.array(tokens), window)
+        assert list(zip(allowed, remaining, begun)) == want
+        assert [math.isnan(w) for w in wait] == [bool(ok or not r[2]) for (ok, *_), r in zip(want, rows)]
