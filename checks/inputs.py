@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.plants import planted
-from quietgate.plans.pairing import attach_context, longest_conversation, pair_turns
+from quietgate.operators import validation
+from quietgate.plans.evidence import with_earlier
+from quietgate.plans.pairing import pair_turns
 from quietgate.session import spread
 
 
@@ -28,14 +30,17 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
 
 
-def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt, output and all earlier turns of every answered user turn; the outputs carry planted lines."""
-    said = turns(spark, sf_dir)
-    context = attach_context(said, last=longest_conversation(said)).select("conv_id", "turn", "context")
-    paired = pair_turns(said).join(context, ["conv_id", "turn"])
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and output of every answered user turn; the outputs carry planted lines."""
+    paired = pair_turns(turns(spark, sf_dir))
     return paired.withColumn("output", planted(F.col("output"), F.col("conv_id") * 7 + F.col("turn")))
 
 
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with all earlier turns: in the row, or as the output's words that occur in them."""
+    return with_earlier(answers(spark, sf_dir), turns(spark, sf_dir), validation.items_of(F.col("output")))[0]
+
+
 def behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log read as safety results per user."""
     kind, value = F.col("event_type"), F.col("value")

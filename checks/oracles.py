@@ -537,6 +537,8 @@ ORACLES: dict[str, str] = {
             "substr(text, 1, h) AS hit, 0 AS start, h AS stop FROM docs WHERE h > 0 UNION ALL SELECT doc_id, 1, 'TAIL', substr(text, greatest(n - 4, h) + 1), "
             "greatest(n - 4, h), n FROM docs WHERE n > greatest(n - 4, h))")) + " SELECT doc_id, md5(redacted) AS digest FROM done"),
     "pii_redaction_map": f"WITH RECURSIVE {redact_ctes('placeholder')}, {MAPPING} SELECT doc_id, ord, replacement, original FROM mapping",
+    "pii_reverse_placed": (
+        f"WITH {DOCS} SELECT doc_id, unnest(['hash', 'anonymize']) AS strategy, md5(text) AS digest, true AS same FROM docs"),
     "pii_reverse": (
         f"WITH RECURSIVE {redact_ctes('placeholder', only('EMAIL', 'CREDIT_CARD', 'IP_ADDRESS'))}, {MAPPING}, back AS (SELECT doc_id, redacted AS text, 0::BIGINT AS k FROM done "
         "UNION ALL SELECT b.doc_id, replace(b.text, m.replacement, m.original), b.k + 1 FROM back b JOIN mapping m ON m.doc_id = b.doc_id AND m.ord = b.k), "
@@ -546,7 +548,16 @@ ORACLES: dict[str, str] = {
     "rule_keyword": policy_result(simple(("keyword", "words", ("Kill", "THE the", "that")))),
     "rule_threshold": (
         f"WITH {DOCS}, {TOX} SELECT doc_id, {OVERALL} < 0.35e0 AS passed, CASE WHEN {OVERALL} >= 0.35e0 THEN 'score' END AS rule, "
-        f"CASE WHEN {OVERALL} >= 0.35e0 THEN 'score' END AS label FROM tox"),
+        f"CASE WHEN {OVERALL} >= 0.35e0 THEN 'score=' || CAST({OVERALL} AS VARCHAR) END AS matched FROM tox"),
+    "rule_custom_batch": (
+        f"WITH {DOCS}, {TOX}, rp AS (SELECT doc_id, {OVERALL} AS score FROM tox), w AS (SELECT doc_id, text, "
+        r"regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS t FROM docs), "
+        "h AS (SELECT doc_id, list_filter(list_transform(range(1, len(t) - 1), lambda i: CASE WHEN t[i] = t[i + 2] AND t[i + 1] = ' ' "
+        "AND regexp_full_match(t[i], '[a-z]{3,}') THEN t[i] END), lambda x: x IS NOT NULL)[1] AS hit FROM w), "
+        "j AS (SELECT doc_id, CASE WHEN score > 0 THEN hit END AS hit FROM h JOIN rp USING (doc_id)) "
+        "SELECT doc_id, hit IS NULL AS passed, CASE WHEN hit IS NOT NULL THEN 'block' ELSE 'log' END AS action, "
+        "CASE WHEN hit IS NOT NULL THEN 'high' ELSE 'low' END AS severity, CASE WHEN hit IS NOT NULL THEN 'repeated word' ELSE '' END AS rules, "
+        "coalesce(hit, '') AS matched FROM j"),
     "rule_custom": (
         f"WITH {DOCS} SELECT doc_id, length(text) <= 2000 AS passed, CASE WHEN length(text) > 2000 THEN 'block' ELSE 'log' END AS action, "
         "CASE WHEN length(text) > 2000 THEN 'high' ELSE 'low' END AS severity, CASE WHEN length(text) > 2000 THEN 'long text' ELSE '' END AS rules, "
@@ -609,8 +620,9 @@ ORACLES: dict[str, str] = {
         f"SELECT conv_id, turn, act <> 'block' AS is_safe, act AS action, {pipe(field('f', 'kind'))} AS rules, {pipe(field('f', 'text'))} AS matched, "
         f"{pipe(field('f', 'severity'))} AS severities, md5(CASE WHEN act <> 'block' THEN output END) AS digest, len(f) AS issues FROM ac"),
     "corpus_report": (
-        f"WITH {scanned(('block', 'redact', 'warn'))} SELECT source, act AS action, count(*) AS texts, round(avg(confidence), 6) AS mean_injection, "
-        "round(avg(overall), 6) AS mean_toxicity FROM ac JOIN (SELECT doc_id, source FROM docs) USING (doc_id) GROUP BY 1, 2"),
+        f"WITH {scanned(('block', 'redact', 'warn'))} SELECT source, act AS action, count(*) AS texts, "
+        "sum(CAST(confidence AS DECIMAL(18,9)))::DOUBLE / count(*) AS mean_injection, "
+        "sum(CAST(overall AS DECIMAL(18,9)))::DOUBLE / count(*) AS mean_toxicity FROM ac JOIN (SELECT doc_id, source FROM docs) USING (doc_id) GROUP BY 1, 2"),
     "corpus_rules": (
         f"WITH {scanned(('block', 'redact', 'warn'))}, x AS (SELECT doc_id, unnest(f) AS y FROM ac) SELECT lang, y.rule AS rule, y.action AS action, count(*) AS violations "
         "FROM x JOIN (SELECT doc_id, lang FROM docs) USING (doc_id) GROUP BY 1, 2, 3"),

@@ -13,7 +13,7 @@ from quietgate.operators import (
     audit, behavior, encoding, grounding, injection, moderation, pii, policy, rate_limit, redaction, topics, toxicity,
     validation,
 )
-from quietgate.plans import pairing, scan
+from quietgate.plans import evidence, pairing, scan
 from quietgate.sources import audit_sink, rules_json
 
 C = F.col
@@ -298,6 +298,18 @@ def pii_reverse(spark, d):
     return restored.select("doc_id", F.md5("restored").alias("digest"), (C("restored") == C("text")).alias("same"))
 
 
+def pii_reverse_placed(spark, d):
+    """Hashed and anonymised texts restored from the places of their replacements."""
+    out = None
+    for strategy in ("hash", "anonymize"):
+        redacted = redaction.redact(inputs.texts(spark, d), strategy=strategy, merge_overlaps=True)
+        places = redaction.places_table(redacted, "doc_id")
+        restored = redaction.reverse_placed(redacted.select("doc_id", "text", "redacted"), places, "doc_id")
+        found = restored.select("doc_id", F.lit(strategy).alias("strategy"), F.md5("restored").alias("digest"), (C("restored") == C("text")).alias("same"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 # --- policies ---
 
 def _policy_result(df):
@@ -324,7 +336,7 @@ def rule_threshold(spark, d):
     scored = toxicity.classify(inputs.texts(spark, d)).withColumn("score", C("toxicity.overall_score"))
     found = policy.evaluate(scored, _with_rules(policy.Rule("threshold", "score", threshold=0.35)), score="score")
     return found.select("doc_id", "policy.passed", F.get(C("policy.violations")["rule"], F.lit(0)).alias("rule"),
-                        F.substring_index(F.get(C("policy.violations")["matched_text"], F.lit(0)), "=", 1).alias("label"))
+                        F.get(C("policy.violations")["matched_text"], F.lit(0)).alias("matched"))
 
 
 def rule_custom(spark, d):
@@ -332,6 +344,17 @@ def rule_custom(spark, d):
     return _policy_result(policy.evaluate(inputs.texts(spark, d), _with_rules(rule)))
 
 
+def rule_custom_batch(spark, d):
+    """A rule as a function over batches: the first word that a text repeats at once, in texts with a score."""
+    def repeated(texts, scores):
+        found = texts.str.extract(r"\b([a-z]{3,}) \1\b", expand=False)
+        return found.where(scores > 0)
+
+    scored = toxicity.classify(inputs.texts(spark, d)).withColumn("score", C("toxicity.overall_score"))
+    rule = policy.Rule("custom", "repeated word", batch=repeated)
+    return _policy_result(policy.evaluate(scored, _with_rules(rule), score="score"))
+
+
 def policy_evaluate(spark, d):
     return _policy_result(policy.evaluate(inputs.texts(spark, d), policy.preset("moderate")))
 
@@ -369,7 +392,7 @@ def extract_claims(spark, d):
 
 
 def _verified(spark, d):
-    return grounding.verify(inputs.generations(spark, d).where(C("context").isNotNull()))
+    return evidence.verify_turns(inputs.answers(spark, d), inputs.turns(spark, d))
 
 
 def verify_claims(spark, d):
@@ -397,19 +420,19 @@ def claim_judge_merge(spark, d):
 
 
 def check_relevance(spark, d):
-    pairs = inputs.generations(spark, d).withColumn("relevance", validation.relevance_of(C("prompt"), C("output")))
+    pairs = inputs.answers(spark, d).withColumn("relevance", validation.relevance_of(C("prompt"), C("output")))
     return pairs.select("conv_id", "turn", "relevance", F.size(validation.relevance_issues(C("relevance"))).cast("bigint").alias("issues"))
 
 
 def check_safety(spark, d):
-    checked = validation.validate(inputs.generations(spark, d), context=None, toxicity_threshold=0.35)
+    checked = validation.validate(inputs.answers(spark, d), context=None, toxicity_threshold=0.35)
     issues = F.filter(C("validation.issues"), lambda i: i["issue_type"] == "unsafe")
     return checked.select("conv_id", "turn", joined(issues["description"]).alias("unsafe"), joined(issues["severity"]).alias("severities"))
 
 
 def check_grounding(spark, d):
-    grounded = inputs.generations(spark, d).where(C("context").isNotNull()).withColumn(
-        "g", validation.grounding_of(C("output"), C("context")))
+    rows = inputs.generations(spark, d).where(C("context").isNotNull() | C("known").isNotNull())
+    grounded = rows.withColumn("g", validation.grounding_of(C("output"), C("context"), known=C("known")))
     return grounded.select("conv_id", "turn", C("g.sentences").cast("bigint").alias("sentences"), C("g.ungrounded").cast("bigint").alias("ungrounded"),
                            C("g.share").alias("share"), F.size(validation.grounding_issues(C("g"))).cast("bigint").alias("issues"))
 
@@ -422,7 +445,7 @@ def check_format(spark, d):
 
 
 def output_validate(spark, d):
-    checked = validation.validate(inputs.generations(spark, d), expected={"min_length": 120, "must_not_contain": ["bomb"]})
+    checked = validation.validate(inputs.generations(spark, d), expected={"min_length": 120, "must_not_contain": ["bomb"]}, known="known")
     return checked.select("conv_id", "turn", "validation.is_valid", joined(C("validation.issues")["issue_type"]).alias("issues"),
                           joined(C("validation.issues")["severity"]).alias("severities"))
 
@@ -463,7 +486,7 @@ def guard_input(spark, d):
 
 
 def guard_output(spark, d):
-    found = scan.guard_output(inputs.generations(spark, d))
+    found = scan.guard_output(inputs.generations(spark, d), known="known")
     return found.select("conv_id", "turn", *_decision(found, "guard"), C("guard.validation_issues").cast("bigint").alias("issues"))
 
 
@@ -479,8 +502,7 @@ def request_log_guard(spark, d):
 
 def corpus_report(spark, d):
     report = scan.corpus_report(scan.scan(inputs.texts(spark, d)), ["source"])
-    return report.select("source", "action", "texts", F.round("mean_injection", 6).alias("mean_injection"),
-                         F.round("mean_toxicity", 6).alias("mean_toxicity"))
+    return report.select("source", "action", "texts", "mean_injection", "mean_toxicity")
 
 
 def corpus_rules(spark, d):
@@ -593,7 +615,9 @@ QUERIES = {
     "pii_custom_patterns": pii_custom_patterns, "pii_by_type": pii_by_type, "pii_grouped_entities": pii_grouped_entities,
     **{f"pii_redact_{s}": _redacted(s) for s in redaction.STRATEGIES},
     "pii_redact_given": pii_redact_given, "pii_redaction_map": pii_redaction_map, "pii_reverse": pii_reverse,
+    "pii_reverse_placed": pii_reverse_placed,
     "rule_regex": rule_regex, "rule_keyword": rule_keyword, "rule_threshold": rule_threshold, "rule_custom": rule_custom,
+    "rule_custom_batch": rule_custom_batch,
     "policy_evaluate": policy_evaluate, "policy_presets": policy_presets, "policy_listing": policy_listing,
     "policy_set_edit": policy_set_edit,
     "extract_claims": extract_claims, "verify_claims": verify_claims, "supporting_snippet": supporting_snippet,

@@ -141,6 +141,29 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def number_text(value: Column) -> Column:
+    """A double as Python writes it: 1.0, 0.35, 1e-05, 1e+16; the digits are those of Spark's own text form."""
+    form = r"^(-?)([0-9]+)\.([0-9]+)E(-?[0-9]+)$"
+
+    def written(shown: Column) -> Column:
+        sign, whole, rest, power = (F.regexp_extract(shown, form, i) for i in (1, 2, 3, 4))
+        exponent = power.try_cast("int")
+        digits = F.concat(whole, F.when(rest == "0", "").otherwise(rest))
+        size = F.char_length(digits)
+        mantissa = F.concat(whole, F.when(rest == "0", "").otherwise(F.concat(F.lit("."), rest)))
+        padded = F.rpad(digits, F.greatest(exponent + 1, size), "0")
+        large = F.concat(F.left(padded, exponent + 1), F.lit("."), F.when(size > exponent + 1, F.substring(
+            padded, exponent + 2, size)).otherwise(F.lit("0")))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+        power_text = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(
+            F.abs(exponent).cast("string"), F.greatest(F.char_length(F.abs(exponent).cast("string")), F.lit(2)), "0"))
+        plain = F.when(exponent.between(0, 15), large).when(exponent.between(-4, -1), small).otherwise(power_text)
+        return (F.when(shown == "NaN", "nan").when(shown == "Infinity", "inf").when(shown == "-Infinity", "-inf")
+                .when(shown.contains("E"), F.concat(sign, plain)).otherwise(shown))
+
+    return let(value.cast("double").cast("string"), written)
+
+
 def words(lowered: Column) -> Column:
     """All word runs of a lower-cased text, in order, repeats kept."""
     return F.regexp_extract_all(lowered, F.lit(WORD_RUN), F.lit(0))
@@ -161,6 +184,32 @@ def _blocks(items: Column) -> Column:
     return F.transform(numbers, lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
 
 
+def _totals_before(sizes: Column, offset: Column) -> Column:
+    """What has been summed up before each of a few numbers, from ``offset`` on."""
+    return F.aggregate(
+        sizes, F.struct(offset.cast("int").alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
+        lambda acc: acc["out"])
+
+
+def totals_before(sizes: Column) -> Column:
+    """What has been summed up before each of any number of numbers, block by block."""
+    def summed(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, n: acc + n))
+        return F.flatten(F.zip_with(blocks, _totals_before(sums, F.lit(0)), _totals_before))
+
+    return let(_blocks(sizes), summed)
+
+
+def places(text: Column, word: Column) -> Column:
+    """Where a word of letters, digits and underscores occurs in a text, from 0 on, overlapping occurrences included."""
+    parts = F.split(text, F.concat(F.lit("(?="), word, F.lit(")")), -1)
+    found = totals_before(F.transform(parts, F.char_length))
+    # Every part but the first starts with the word; the first one does if the text does.
+    return F.when(text.contains(word), F.filter(found, lambda _, i: (i > 0) | text.startswith(word))).otherwise(
+        F.array().cast("array<int>"))
+
+
 def _place(steps: Column, offset: Column) -> Column:
     """Offsets of the matches of one block that starts at ``offset``."""
     return F.aggregate(
@@ -189,11 +238,7 @@ def _walk(found: Column, gaps: Column) -> Column:
     def placed(blocks: Column) -> Column:
         sizes = F.transform(blocks, lambda b: F.aggregate(
             b, F.lit(0), lambda acc, s: acc + F.char_length(s["m"]) + F.char_length(s["g"])))
-        offsets = F.aggregate(
-            sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
-            lambda acc: acc["out"])
-        return F.flatten(F.zip_with(blocks, offsets, _place))
+        return F.flatten(F.zip_with(blocks, _totals_before(sizes, F.lit(0)), _place))
 
     return let(_blocks(steps), placed)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import cache
@@ -10,7 +11,8 @@ from string import ascii_lowercase as az, ascii_uppercase as AZ
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import Forms, kept, let, rx, spans, strings, strip, with_forms
+from quietgate.functions.running import rank
+from quietgate.functions.text import Forms, let, rx, spans, strings, strip, with_forms
 
 ITEM_TYPE = "array<struct<original:string,decoded:string,encoding:string,start:int,end:int>>"
 PRINTABLE = r"\A[\p{L}\p{M}\p{N}\p{P}\p{S} ]*\z"
@@ -126,16 +128,25 @@ def script_class(ranges: list[tuple[int, int]]) -> str:
     return "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges) + "]"
 
 
+def _script_table() -> tuple[Column, Column, Column, int]:
+    """First and last code points and names of all ranges in order, as literals, and their number."""
+    listed = sorted((lo, hi, word) for word, ranges in script_ranges().items() for lo, hi in ranges)
+    columns = [F.from_json(F.lit(json.dumps([r[i] for r in listed])), t) for i, t in enumerate(("array<int>", "array<int>", "array<string>"))]
+    return *columns, len(listed)
+
+
 def scripts_of(text: Column) -> Column:
-    """Sorted first words of the names of all letters; only the distinct non-ASCII characters are matched with classes."""
-    rest = F.array_join(F.array_distinct(F.split(F.regexp_replace(text, "[\\x00-\\x7f]+", ""), "")), "")
+    """Sorted first words of the names of all letters; each distinct non-ASCII character is looked up in a table."""
+    first, last, names, size = _script_table()
+    odd = F.array_distinct(F.split(F.regexp_replace(text, "[\\x00-\\x7f]+", ""), ""))
 
-    def names(odd: Column) -> Column:
-        return kept((odd.rlike(script_class(ranges)) | (text.rlike("[A-Za-z]") if word == "LATIN" else F.lit(False)), word)
-                    for word, ranges in script_ranges().items())
+    def name(char: Column) -> Column:
+        return let(F.ascii(char), lambda code: let(rank(first, code, size) - 1, lambda at: F.when(
+            (at >= 0) & (F.get(last, at) >= code), F.get(names, at))))
 
-    ascii_only = F.when(text.rlike("[A-Za-z]"), strings(["LATIN"])).otherwise(strings(()))
-    return F.when(F.octet_length(text) == F.char_length(text), ascii_only).otherwise(let(rest, names))
+    latin = F.when(text.rlike("[A-Za-z]"), strings(["LATIN"])).otherwise(strings(()))
+    found = F.array_sort(F.array_distinct(F.concat(latin, F.array_compact(F.transform(odd, name)))))
+    return F.when(F.octet_length(text) == F.char_length(text), latin).otherwise(found)
 
 
 def _class(chars: str) -> str:

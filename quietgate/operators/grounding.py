@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import any_of, exploded, fenced, let, sentences, strings, strip, words
+from quietgate.functions.text import any_of, exploded, fenced, let, places, sentences, strings, strip, words
 
 VERIFIED_TYPE = "array<struct<claim:string,is_supported:boolean,confidence:double,supporting_context:string>>"
 
@@ -20,10 +22,18 @@ def claims_of(text: Column) -> Column:
     return F.filter(sentences(text), states)
 
 
-def share_contained(items: Column, context_lower: Column) -> Column:
+Contains = Callable[[Column], Column]  # whether the context has a lower-cased string
+
+
+def contains_of(context_lower: Column, known: Column | None = None) -> Contains:
+    """Containment in a context of the row; where ``known`` is not null, it lists what a context elsewhere contains."""
+    inside = lambda w: context_lower.contains(w)
+    return inside if known is None else lambda w: F.coalesce(F.array_contains(known, w), inside(w))
+
+
+def share_contained(items: Column, contains: Contains) -> Column:
     """Share of strings that occur in the context; the caller makes sure there are some."""
-    inside = F.size(F.filter(items, lambda w: context_lower.contains(w)))
-    return inside.cast("double") / F.size(items).cast("double")
+    return F.size(F.filter(items, contains)).cast("double") / F.size(items).cast("double")
 
 
 def fragments_of(claim: Column) -> Column:
@@ -33,62 +43,96 @@ def fragments_of(claim: Column) -> Column:
     return F.transform(starts, lambda i: F.lower(F.substring(claim, i, F.lit(v.FRAGMENT_CHARS))))
 
 
-def support_score(claim: Column, context_lower: Column) -> Column:
+def meaningful_words(claim: Column) -> Column:
+    return F.array_except(words(F.lower(claim)), strings(v.CLAIM_STOP_WORDS))
+
+
+def items_of(output: Column) -> Column:
+    """The strings ``verify`` looks for in the context: words and fragments of all claims."""
+    return F.array_distinct(F.flatten(F.transform(claims_of(output), lambda c: F.concat(meaningful_words(c), F.when(
+        F.char_length(c) >= v.FRAGMENT_CHARS, fragments_of(c)).otherwise(F.array().cast("array<string>"))))))
+
+
+def support_score(claim: Column, contains: Contains) -> Column:
     """0.6 x share of words found + 0.4 x share of fragments found, null when the claim has no words."""
 
     def scored(meaningful: Column) -> Column:
         fragments = F.when(
-            F.char_length(claim) >= v.FRAGMENT_CHARS, let(fragments_of(claim), lambda f: share_contained(f, context_lower))
+            F.char_length(claim) >= v.FRAGMENT_CHARS, let(fragments_of(claim), lambda f: share_contained(f, contains))
         ).otherwise(F.lit(0.0))
         return F.when(
             F.size(meaningful) > 0,
-            share_contained(meaningful, context_lower) * F.lit(v.WORD_SHARE) + fragments * F.lit(v.FRAGMENT_SHARE))
+            share_contained(meaningful, contains) * F.lit(v.WORD_SHARE) + fragments * F.lit(v.FRAGMENT_SHARE))
+
+    return let(meaningful_words(claim), scored)
+
 
-    return let(F.array_except(words(F.lower(claim)), strings(v.CLAIM_STOP_WORDS)), scored)
+def last_window(chars: Column) -> Column:
+    """Number of the last snippet window of a context of that many characters."""
+    last = F.greatest(F.lit(1), chars - v.SNIPPET_CHARS) - 1
+    return F.call_function("div", last, F.lit(v.SNIPPET_STEP)).cast("int")
 
 
-def windows_of(context: Column, context_lower: Column) -> Column:
-    """(position, window) pairs of a lower-cased context."""
-    last = F.greatest(F.lit(1), F.char_length(context) - v.SNIPPET_CHARS) - 1
-    return F.transform(
-        F.sequence(F.lit(0), last, F.lit(v.SNIPPET_STEP)),
-        lambda i: F.struct(i.alias("at"), F.substring(context_lower, i + 1, F.lit(v.SNIPPET_CHARS)).alias("w")))
+def windows_with(at: Column, size: Column, last: Column) -> Column:
+    """Numbers of the snippet windows that a string of ``size`` characters at ``at`` lies in."""
+    first = F.greatest(F.ceil((at + size - v.SNIPPET_CHARS) / v.SNIPPET_STEP), F.lit(0)).cast("int")
+    upto = F.least(F.call_function("div", at, F.lit(v.SNIPPET_STEP)).cast("int"), last)
+    return F.when(first <= upto, F.sequence(first, upto)).otherwise(F.array().cast("array<int>"))
 
 
-def best_snippet(claim: Column, context: Column, windows: Column) -> Column:
-    """First context window with the most claim words, null when no window has any."""
+def best_snippet(claim: Column, context: Column, context_lower: Column) -> Column:
+    """First context window with the most claim words, null when no window has any.
 
-    def pick(claim_words: Column) -> Column:
-        scored = F.transform(windows, lambda w: F.struct(
-            F.size(F.filter(claim_words, lambda c: w["w"].contains(c))).alias("hits"), (-w["at"]).alias("back")))
-        return let(F.array_max(scored), lambda top: F.when(
-            top["hits"] > 0, strip(F.substring(context, 1 - top["back"], F.lit(v.SNIPPET_CHARS)))))
+    The words' places in the context give the numbers of the windows that hold them; a window counts once for a word.
+    """
+    last = last_window(F.char_length(context))
 
-    return let(words(F.lower(claim)), pick)
+    def held(word: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(
+            places(context_lower, word), lambda at: windows_with(at, F.char_length(word), last))))
 
+    def most_frequent(numbers: Column) -> Column:
+        """Of sorted numbers the one that occurs most often, the smallest of several."""
+        none = F.lit(-1)
+        return F.aggregate(
+            numbers, F.struct(none.alias("k"), F.lit(0).alias("n"), none.alias("best"), F.lit(0).alias("most")),
+            lambda acc, k: let(F.when(acc["k"] == k, acc["n"] + 1).otherwise(F.lit(1)), lambda n: F.struct(
+                k.alias("k"), n.alias("n"), F.when(n > acc["most"], k).otherwise(acc["best"]).alias("best"),
+                F.greatest(n, acc["most"]).alias("most"))),
+            lambda acc: acc["best"])
 
-def verified_of(claims: Column, context: Column, context_lower: Column, windows: Column, judged: Column | None = None) -> Column:
+    best = most_frequent(F.array_sort(F.flatten(F.transform(words(F.lower(claim)), held))))
+    return let(best, lambda k: F.when(k >= 0, strip(F.substring(
+        context, k * v.SNIPPET_STEP + 1, F.lit(v.SNIPPET_CHARS)))))
+
+
+def verified_of(claims: Column, context: Column, context_lower: Column, contains: Contains) -> Column:
     """Verdict per claim, in order.  The context stays in the row: nothing is copied per claim."""
 
     def verdict(claim: Column) -> Column:
         def finish(score: Column) -> Column:
             supported = score.isNull() | (score >= F.lit(v.CLAIM_SUPPORT))
-            snippet = F.when(score >= F.lit(v.CLAIM_SUPPORT), best_snippet(claim, context, windows))
+            snippet = F.when(score >= F.lit(v.CLAIM_SUPPORT), best_snippet(claim, context, context_lower))
             return F.struct(claim.alias("claim"), supported.alias("is_supported"),
                             F.coalesce(score, F.lit(v.CLAIM_DEFAULT)).alias("confidence"),
                             snippet.alias("supporting_context"))
-        return let(support_score(claim, context_lower), finish)
+        return let(support_score(claim, contains), finish)
 
     return F.transform(claims, verdict)
 
 
-def verify(df: DataFrame, output: str = "output", context: str = "context", out: str = "verified") -> DataFrame:
-    """Claims of ``output`` checked against ``context`` as an array of verdicts."""
-    staged = df.select("*", claims_of(F.col(output)).alias("__claims"), F.lower(context).alias("__ctx")).withColumn(
-        "__win", F.when(F.size("__claims") > 0, windows_of(F.col(context), F.col("__ctx"))))
+def verify(df: DataFrame, output: str = "output", context: str = "context", out: str = "verified",
+           known: str | None = None) -> DataFrame:
+    """Claims of ``output`` checked against ``context`` as an array of verdicts.
+
+    ``known`` names an array of the strings that a context kept elsewhere contains (``plans.evidence``); rows that have
+    one need no context and get no snippets here.
+    """
+    staged = df.select("*", claims_of(F.col(output)).alias("__claims"), F.lower(context).alias("__ctx"))
+    contains = contains_of(F.col("__ctx"), None if known is None else F.col(known))
     return fenced(
-        staged, out, verified_of(F.col("__claims"), F.col(context), F.col("__ctx"), F.col("__win")).cast(VERIFIED_TYPE)
-    ).drop("__claims", "__ctx", "__win")
+        staged, out, verified_of(F.col("__claims"), F.col(context), F.col("__ctx"), contains).cast(VERIFIED_TYPE)
+    ).drop("__claims", "__ctx")
 
 
 def score(df: DataFrame, verified: str = "verified", out: str = "hallucination") -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import Forms, fenced, literals_of, rx, with_forms, worst_of
+from quietgate.functions.text import Forms, fenced, literals_of, number_text, rx, with_forms, worst_of
 
 RULES_SCHEMA = (
     "policy_ord int, policy string, description string, action string, severity string, enabled boolean, "
@@ -17,6 +18,19 @@ RULES_SCHEMA = (
 VIOLATIONS_TYPE = "array<struct<rule:string,matched_text:string,severity:string,action:string>>"
 
 
+def _over_batches(judge: Callable[[pd.Series, pd.Series], pd.Series]):
+    """A Python function applied to Arrow batches; it sees texts only, null texts are not violated."""
+    def run(texts: pd.Series, scores: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(texts), dtype=object)
+        known = texts.notna()
+        if known.any():
+            found = judge(texts[known], scores[known].fillna(0.0))
+            out[known] = found.astype(object).where(found.notna(), None).to_numpy()
+        return out
+
+    return F.pandas_udf(run, "string")
+
+
 @dataclass(frozen=True)
 class Rule:
     rule_type: str
@@ -26,6 +40,8 @@ class Rule:
     threshold: float | None = None
     # custom rules: function(text column, score column or None) -> matched text, null when not violated
     evaluate: Callable[[Column, Column | None], Column] | None = field(default=None, compare=False)
+    # or a function over batches: (texts, scores) as pandas series -> matched texts, null when not violated
+    batch: Callable[[pd.Series, pd.Series], pd.Series] | None = field(default=None, compare=False)
 
     def matched(self, forms: Forms, score: Column | None) -> Column:
         """Matched text as a column, null where the rule is not violated."""
@@ -37,9 +53,11 @@ class Rule:
             return F.coalesce(*tests)
         if self.rule_type == "threshold" and self.threshold is not None:
             value = F.coalesce(score, F.lit(0.0)) if score is not None else F.lit(0.0)
-            return F.when(value >= F.lit(float(self.threshold)), F.concat(F.lit("score="), value.cast("string")))
+            return F.when(value >= F.lit(float(self.threshold)), F.concat(F.lit("score="), number_text(value)))
         if self.rule_type == "custom" and self.evaluate is not None:
             return self.evaluate(forms.text, score)
+        if self.rule_type == "custom" and self.batch is not None:
+            return _over_batches(self.batch)(forms.text, F.lit(0.0) if score is None else score.cast("double"))
         return F.lit(None).cast("string")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import exploded, fenced, let, replace_from_right
+from quietgate.functions.text import exploded, fenced, let, replace_from_right, totals_before
 from quietgate.operators import pii
 
 STRATEGIES = ("mask", "hash", "placeholder", "anonymize")
@@ -139,6 +139,40 @@ def mapping_table(df: DataFrame, key: str, spans: str = "redacted_spans") -> Dat
         key, "ord", "m.replacement", "m.original")
 
 
+def places_table(df: DataFrame, key: str, spans: str = "redacted_spans") -> DataFrame:
+    """Every replacement with its place in the redacted text: (key, ord, replacement, original, start, end).
+
+    Overlapping spans damage each other's replacements, which then have no place: their texts get null ones.
+    """
+    ordered = F.reverse(F.col(spans))  # spans run from the end of the text
+    crossing = F.exists(F.transform(ordered, lambda s, i: (i > 0) & (s["start"] < F.get(ordered, i - 1)["end"])), lambda x: x)
+    grown = F.transform(ordered, lambda s: F.char_length(s["replacement"]) - (s["end"] - s["start"]))
+    placed = F.zip_with(ordered, totals_before(grown), lambda s, by: F.struct(
+        s["replacement"].alias("replacement"), s["original"].alias("original"), (s["start"] + by).alias("start"),
+        (s["start"] + by + F.char_length(s["replacement"])).alias("end")))
+    unplaced = F.transform(ordered, lambda s: F.struct(
+        s["replacement"].alias("replacement"), s["original"].alias("original"), F.lit(None).cast("int").alias("start"),
+        F.lit(None).cast("int").alias("end")))
+    return exploded(df, [key], F.when(crossing, unplaced).otherwise(placed), "ord", "m").select(key, "ord", "m.*")
+
+
+def reverse_placed(redacted: DataFrame, places: DataFrame, key: str, text: str = "redacted", out: str = "restored") -> DataFrame:
+    """Put every original back at its place, in one pass over the text, whatever the strategy.
+
+    ``places`` is a ``places_table``.  Unlike a map, it tells equal replacements of different originals apart.  Texts
+    whose replacements have no place are restored by their map, the last original of a replacement winning.
+    """
+    per_text = places.groupBy(key).agg(F.array_sort(F.collect_list(
+        F.struct("start", "end", "ord", "replacement", "original"))).alias("__places"))
+    staged = redacted.join(per_text, key, "left")
+    known = F.forall("__places", lambda p: p["start"].isNotNull())
+    pieces = replace_from_right(F.col(text), F.reverse("__places"), lambda p: p["original"])
+    listed = F.transform(F.array_sort(F.transform("__places", lambda p: F.struct(p["ord"].alias("ord"), p.alias("p")))), lambda x: x["p"])
+    folded = F.aggregate(replacement_map(F.reverse(listed)), F.col(text), lambda acc, m: F.replace(acc, m["replacement"], m["original"]))
+    restored = F.when(F.col("__places").isNull(), F.col(text)).when(known, pieces).otherwise(folded)
+    return fenced(staged, out, restored).drop("__places")
+
+
 _NUMBERED = r"\[([A-Z_]+)_([0-9]+)\]"
 
 

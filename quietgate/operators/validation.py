@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quietgate import fixed_values as v
 from quietgate.functions.text import fenced, let, rx, sentences, strings, with_forms, words
 from quietgate.operators import toxicity
-from quietgate.operators.grounding import share_contained
+from quietgate.operators.grounding import contains_of, share_contained
 
 ISSUES_TYPE = "array<struct<issue_type:string,description:string,severity:string,score:double>>"
 
@@ -57,14 +57,29 @@ def safety_issues(threshold: float = v.TOXICITY_THRESHOLD, tag: str = "__x") ->
                   F.array_compact(F.array(*issues)).cast(ISSUES_TYPE)).otherwise(_none())
 
 
-def grounding_of(output: Column, context: Column, threshold: float = v.GROUNDING_THRESHOLD) -> Column:
-    """(sentences counted, ungrounded sentences, ungrounded share)."""
+def _grounding_sentences(output: Column) -> Column:
+    return F.filter(sentences(output), lambda s: F.char_length(s) >= v.GROUNDING_MIN_CHARS)
+
+
+def _grounding_words(sentence: Column) -> Column:
+    return key_words(F.lower(sentence), 4, v.GROUNDING_STOP_WORDS)
+
+
+def items_of(output: Column) -> Column:
+    """The strings ``grounding_of`` looks for in the context."""
+    return F.array_distinct(F.flatten(F.transform(_grounding_sentences(output), _grounding_words)))
+
+
+def grounding_of(output: Column, context: Column, threshold: float = v.GROUNDING_THRESHOLD, known: Column | None = None) -> Column:
+    """(sentences counted, ungrounded sentences, ungrounded share).
+
+    ``known`` is null, or lists the strings that a context kept elsewhere contains (``plans.evidence``).
+    """
 
     def shares(context_lower: Column) -> Column:
-        counted = F.filter(sentences(output), lambda s: F.char_length(s) >= v.GROUNDING_MIN_CHARS)
-        return F.transform(counted, lambda s: let(
-            key_words(F.lower(s), 4, v.GROUNDING_STOP_WORDS),
-            lambda w: F.when(F.size(w) > 0, share_contained(w, context_lower))))
+        contains = contains_of(context_lower, known)
+        return F.transform(_grounding_sentences(output), lambda s: let(
+            _grounding_words(s), lambda w: F.when(F.size(w) > 0, share_contained(w, contains))))
 
     def summary(found: Column) -> Column:
         bad = F.size(F.filter(found, lambda s: s < F.lit(float(threshold))))
@@ -118,13 +133,16 @@ def format_issues(output: Column, expected: Mapping) -> Column:
 def validate(df: DataFrame, prompt: str = "prompt", output: str = "output", context: str | None = "context",
              expected: Mapping | None = None, relevance_threshold: float = v.RELEVANCE_THRESHOLD,
              grounding_threshold: float = v.GROUNDING_THRESHOLD, toxicity_threshold: float = v.TOXICITY_THRESHOLD,
-             out: str = "validation") -> DataFrame:
-    """All checks as one struct: valid or not, issues in order."""
+             out: str = "validation", known: str | None = None) -> DataFrame:
+    """All checks as one struct: valid or not, issues in order; ``known`` as in ``grounding_of``."""
     staged, forms, extra = with_forms(df, output, toxicity.literals())
     scored, names = toxicity.add_scores(staged, forms)
     parts: dict[str, Column] = {"__rel": relevance_of(F.col(prompt), F.col(output))}
     if context:
-        parts["__gro"] = F.when(F.char_length(context) > 0, grounding_of(F.col(output), F.col(context), grounding_threshold))
+        has_context, listed = F.char_length(context) > 0, None if known is None else F.col(known)
+        if known:
+            has_context = has_context | listed.isNotNull()
+        parts["__gro"] = F.when(has_context, grounding_of(F.col(output), F.col(context), grounding_threshold, listed))
     measured = scored.select("*", *(c.alias(n) for n, c in parts.items()))
     issues = [relevance_issues(F.col("__rel"), relevance_threshold), safety_issues(toxicity_threshold)]
     if context:

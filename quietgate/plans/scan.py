@@ -73,9 +73,9 @@ def guard_input(df: DataFrame, text: str = "text", level: str = "moderate", out:
 
 
 def guard_output(df: DataFrame, prompt: str = "prompt", output: str = "output", context: str | None = "context",
-                 expected: Mapping | None = None, out: str = "guard") -> DataFrame:
+                 expected: Mapping | None = None, out: str = "guard", known: str | None = None) -> DataFrame:
     """Output checks turned into allow, warn or block; only a block makes the output unsafe."""
-    checked = validation.validate(df, prompt, output, context, expected, out="__val")
+    checked = validation.validate(df, prompt, output, context, expected, out="__val", known=known)
     violations = F.transform(F.col("__val.issues"), lambda i: F.struct(
         i["issue_type"].alias("rule"), i["description"].alias("matched_text"), i["severity"].alias("severity"),
         F.when(i["severity"].isin("high", "critical"), F.lit("block")).otherwise(F.lit("warn")).alias("action")))
@@ -105,12 +105,17 @@ def guard_requests(log: DataFrame, path: str = "path", method: str = "method", b
         scanned.alias("scanned"))).drop("__text", *hidden)
 
 
+def _exact_mean(column: str) -> Column:
+    """Mean of scores, taken from an exact sum of nine decimals, so that no order of the rows changes it."""
+    return F.sum(F.col(column).cast("decimal(18,9)")).cast("double") / F.count(column)
+
+
 def corpus_report(scanned: DataFrame, by: Sequence[str], result: str = "scan") -> DataFrame:
-    """Texts and mean scores per group and action."""
+    """Texts and mean scores per group and action; the same for any partitioning."""
     return scanned.groupBy(*by, F.col(f"{result}.action").alias("action")).agg(
         F.count("*").alias("texts"),
-        F.avg(f"{result}.injection_score").alias("mean_injection"),
-        F.avg(f"{result}.toxicity_score").alias("mean_toxicity"))
+        _exact_mean(f"{result}.injection_score").alias("mean_injection"),
+        _exact_mean(f"{result}.toxicity_score").alias("mean_toxicity"))
 
 
 def rule_report(scanned: DataFrame, by: Sequence[str] = (), result: str = "scan") -> DataFrame:
