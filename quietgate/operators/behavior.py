@@ -42,14 +42,15 @@ def history(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
     enough is found in it by binary search, and the counts are differences of running sums.  The cost is linear in the
     events, however many fall into one history length.  Busy users' events are numbered with counts carried over ranges
     and cut into chunks by number; the end of each chunk is copied into the next one, where later events look back at
-    it.  So a busy user spreads over tasks.  Only narrow columns take part.
+    it.  So a busy user spreads over tasks.  Only narrow columns take part.  A column ``attempt`` holds the form of the
+    text made before, instead of ``text``.
     """
     width = limits.seconds * SECOND
     last = max(limits.escalation_window, v.JAILBREAK_ROWS)
     flag = {f: F.coalesce(F.col(f"was_{f}"), F.lit(False)).cast("bigint") for f in FLAGS}
+    attempt = F.col("attempt") if "attempt" in events.columns else F.when(F.col("was_injection"), attempt_of(F.col("text")))
     narrow = events.select(
-        "user_id", "event_id", "ts", "was_injection", "was_toxic", "was_blocked", "confidence",
-        F.when(F.col("was_injection"), attempt_of(F.col("text"))).alias("__attempt"),
+        "user_id", "event_id", "ts", "was_injection", "was_toxic", "was_blocked", "confidence", attempt.alias("__attempt"),
         micros(F.col("ts")).alias("__at"))
     cut = ranges(narrow, ["user_id"], ["__at", "event_id"])
     own, keys, placed = F.lit(True), ["user_id"], cut.rows

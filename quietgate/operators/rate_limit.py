@@ -30,6 +30,7 @@ from quietgate.functions.running import Ranges, given_ranges, micros, ranges, sl
 
 SECOND = 1_000_000
 KEYS = ["user_id", "epoch", "__slice"]
+BEFORE_ALL = -(1 << 62)  # place of a state row in the order of events
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,10 @@ def tier_of(warnings: Column, blocks: Column, settings: Settings) -> Column:
 
 
 def _slices(events: DataFrame, settings: Settings) -> Ranges:
-    placed = events.withColumn("__at", micros(F.col("ts")))
+    moment = micros(F.col("ts"))
+    if "__state" in events.columns:
+        moment = F.when(F.col("kind") == "state", F.lit(BEFORE_ALL)).otherwise(moment)
+    placed = events.withColumn("__at", moment)
     if settings.slice_windows is None:
         return ranges(placed, ["user_id"], ["__at", "event_id"], "__slice")
     width = int(settings.seconds * SECOND) * settings.slice_windows
@@ -55,24 +59,28 @@ def _slices(events: DataFrame, settings: Settings) -> Ranges:
 
 
 def _tiers(cut: Ranges, settings: Settings) -> DataFrame:
-    """Rows of ``cut`` with ``epoch, warning_count, block_count, tier``."""
+    """Rows of ``cut`` with ``epoch, warning_count, block_count, tier``; a row of kind state brings counts of its own."""
     order, up_to_here = ["__at", "event_id"], (Window.unboundedPreceding, 0)
     is_kind = lambda k: (F.col("kind") == k).cast("bigint")
+    counts = {"warning": is_kind("warning"), "block": is_kind("block")}
+    if "__state" in cut.rows.columns:
+        counts = {k: F.when(F.col("kind") == "state", F.col(f"__state.{k}s")).otherwise(c) for k, c in counts.items()}
     in_slice = Window.partitionBy("user_id", "__slice").orderBy(*order).rowsBetween(*up_to_here)
     parted = cut.rows.withColumn("__part", F.sum(is_kind("reset")).over(in_slice))
     since_reset = Window.partitionBy("user_id", "__slice", "__part").orderBy(*order).rowsBetween(*up_to_here)
-    counted = parted.select("*", F.sum(is_kind("warning")).over(since_reset).alias("__w"),
-                            F.sum(is_kind("block")).over(since_reset).alias("__b"))
+    counted = parted.select("*", F.sum(counts["warning"]).over(since_reset).alias("__w"),
+                            F.sum(counts["block"]).over(since_reset).alias("__b"))
     before, untouched = (lambda c: F.lit(0)), F.col("__part") == 0
     if cut.split:
         # What a slice hands on: its resets, and its violations since the last one or all without one.
-        kinds = cut.rows.where(cut.many).select("user_id", "__slice", "kind", F.struct(*order).alias("__place"))
+        kinds = cut.rows.where(cut.many).select(
+            "user_id", "__slice", "kind", F.struct(*order).alias("__place"), *(c.alias(f"__{k}") for k, c in counts.items()))
         resets = kinds.where(F.col("kind") == "reset").groupBy("user_id", "__slice").agg(
             F.count("*").alias("__part"), F.max("__place").alias("__reset"))
         held = kinds.join(F.broadcast(resets) if cut.few else resets, ["user_id", "__slice"], "left")
         after = F.col("__reset").isNull() | (F.col("__place") > F.col("__reset"))
         ends = held.groupBy("user_id", "__slice").agg(
-            F.coalesce(F.max("__part"), F.lit(0)).alias("__part"), *(F.count_if(after & (F.col("kind") == k)).alias(n)
+            F.coalesce(F.max("__part"), F.lit(0)).alias("__part"), *(F.coalesce(F.sum(F.when(after, F.col(f"__{k}"))), F.lit(0)).alias(n)
                                                                    for k, n in (("warning", "__w"), ("block", "__b"))))
         by_slice = Window.partitionBy("user_id").orderBy("__slice")
         runs = ends.withColumn("__run", F.sum((F.col("__part") > 0).cast("int")).over(by_slice.rowsBetween(*up_to_here)))
@@ -199,12 +207,15 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[s
         yield whole()
 
 
-def _summaries(window: int):
+def _summaries(window: int, normal: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = []
         for rows in _groups(batches, KEYS):
             user, epoch, number = (rows[k][0] for k in KEYS)
-            found.append({"user_id": user, "epoch": epoch, "slice": number, "opened": int(rows["at"][0]),
+            opened, given = int(rows["at"][0]), normal
+            if rows["opens"][0]:
+                given, rows = int(rows["limit"][0]), {c: x[1:] for c, x in rows.items()}
+            found.append({"user_id": user, "epoch": epoch, "slice": number, "opened": opened, "given": given,
                           **_summarise(rows, window)})
             if len(found) >= 1000:
                 yield pd.DataFrame(found)
@@ -214,15 +225,15 @@ def _summaries(window: int):
     return run
 
 
-def _chained(window: int, normal: int):
+def _chained(window: int):
     """Walk the slices of every user in order; the state is one window start and one token count."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, start, tokens = None, 0, normal
+        key, start, tokens = None, 0, 0
         for batch in batches:
             out = []
             for s in batch.itertuples(index=False):
                 if key != (s.user_id, s.epoch):
-                    key, start, tokens = (s.user_id, s.epoch), int(s.opened), normal
+                    key, start, tokens = (s.user_id, s.epoch), int(s.opened), int(s.given)
                 out.append((*key, s.slice, start, tokens))
                 i = int(np.searchsorted(np.asarray(s.upto, dtype=np.int64), start + window, side="left"))
                 if i < len(s.upto):
@@ -235,7 +246,7 @@ def _chained(window: int, normal: int):
     return run
 
 
-def _replayed(window: int, normal: int):
+def _replayed(window: int, normal: int, every: bool):
     """Replay sorted rows batch by batch; of a group only its state is kept from one batch to the next.
 
     A group opens with a row that holds its incoming state, or by itself with its first event.
@@ -257,47 +268,94 @@ def _replayed(window: int, normal: int):
                 group, c["at"], c["is_check"], c["limit"].astype(np.int64), c["changed"], starts, given.astype(np.int64), window)
             key, start, tokens = tuple(c[k][-1] for k in KEYS), window_start[-1], remaining[-1]
             done = batch.assign(allowed=allowed, remaining=remaining.astype(np.int32), window_start=window_start, retry_after=wait)
-            yield done.loc[done["is_check"], ["user_id", "event_id", "at", "tier", "limit", "allowed", "remaining",
-                                              "window_start", "retry_after"]]
+            yield (done if every else done.loc[done["is_check"]])[[
+                "user_id", "event_id", "at", "tier", "limit", "allowed", "remaining", "window_start", "retry_after",
+                *(["epoch", "opens", "is_check"] if every else [])]]
     return run
 
 
-def check(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Decision for every check: ``allowed, remaining, limit, tier, reset_time, retry_after``."""
+def _with_state(events: DataFrame, state: DataFrame) -> DataFrame:
+    """Events and, before each user's first one, a row of the state left by earlier events."""
+    fields = ("window_start", "tokens", "warnings", "blocks")
+    kind = "struct<window_start:bigint,tokens:int,warnings:bigint,blocks:bigint>"
+    types = dict(events.dtypes)
+    rows = state.where("tokens is not null").select(
+        "user_id", F.lit(0).cast(types["event_id"]).alias("event_id"), F.lit(None).cast(types["ts"]).alias("ts"),
+        F.lit("state").alias("kind"), F.struct(*fields).cast(kind).alias("__state"))
+    return events.select("user_id", "event_id", "ts", "kind", F.lit(None).cast(kind).alias("__state")).unionByName(rows)
+
+
+def _decided(events: DataFrame, settings: Settings, every: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows replayed, all of them if ``every``, and the rows with their tiers; ``events`` may hold state rows."""
     window, normal = int(settings.seconds * SECOND), settings.limits["normal"]
     key_type = dict(events.dtypes)["user_id"]
     id_type = dict(events.dtypes)["event_id"]
     limit = F.create_map(*(x for k, n in settings.limits.items() for x in (F.lit(k), F.lit(n))))
     cut = _slices(events, settings)
-    tiered = _tiers(cut, settings).where(F.col("kind") != "reset")
+    tiered = _tiers(cut, settings)
     before = tier_of(F.col("warning_count") - (F.col("kind") == "warning").cast("int"),
                      F.col("block_count") - (F.col("kind") == "block").cast("int"), settings)
-    rows = tiered.select(
-        "user_id", "epoch", "__slice", F.lit(False).alias("opens"), F.col("__at").alias("at"), "event_id", "tier",
-        F.element_at(limit, F.col("tier")).cast("int").alias("limit"),
-        (F.col("kind") == "check").alias("is_check"), (F.col("tier") != before).alias("changed"), cut.many.alias("__busy"))
+    opens, at, tokens = F.lit(False), F.col("__at"), F.element_at(limit, F.col("tier")).cast("int")
+    if "__state" in events.columns:
+        opens = F.col("kind") == "state"
+        at, tokens = F.when(opens, F.col("__state.window_start")).otherwise(at), F.when(opens, F.col("__state.tokens")).otherwise(tokens)
+    rows = tiered.where(F.col("kind") != "reset").select(
+        "user_id", "epoch", "__slice", opens.alias("opens"), at.alias("at"), "event_id", "tier", tokens.alias("limit"),
+        (F.col("kind") == "check").alias("is_check"), (~opens & (F.col("tier") != before)).alias("changed"), cut.many.alias("__busy"))
     # The work is in Python rather than in bytes, so small partitions are not merged.
     tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if cut.split:
         # Sorted partitions are streamed through Python in batches; no group is held but the slice being summarised.
-        summaries = rows.where("__busy").drop("__busy").repartition(tasks, *KEYS).sortWithinPartitions(*KEYS, "at", "event_id").mapInPandas(
-            _summaries(window),
-            f"user_id {key_type}, epoch bigint, slice bigint, opened bigint, upto array<bigint>, start_out array<bigint>, "
+        summaries = rows.where("__busy").drop("__busy").repartition(tasks, *KEYS).sortWithinPartitions(
+            *KEYS, F.col("opens").desc(), "at", "event_id").mapInPandas(
+            _summaries(window, normal),
+            f"user_id {key_type}, epoch bigint, slice bigint, opened bigint, given int, upto array<bigint>, start_out array<bigint>, "
             "tokens_out array<int>, checks bigint, idle_tokens double")
         states = summaries.repartition(tasks, "user_id", "epoch").sortWithinPartitions("user_id", "epoch", "slice").mapInPandas(
-            _chained(window, normal),
+            _chained(window),
             f"user_id {key_type}, epoch bigint, slice bigint, start_in bigint, tokens_in int")
         opening = states.select(
             "user_id", "epoch", F.col("slice").alias("__slice"), F.lit(True).alias("opens"), F.col("start_in").alias("at"),
             F.lit(0).cast(id_type).alias("event_id"), F.lit("").alias("tier"), F.col("tokens_in").alias("limit"),
             F.lit(False).alias("is_check"), F.lit(False).alias("changed"))
-        rows = rows.drop("__busy").unionByName(opening)
+        rows = rows.where("not (opens and __busy)").drop("__busy").unionByName(opening)
     # The state joins its slice as its first row: one shuffle instead of a join and a grouping.
-    decided = rows.drop("__busy").repartition(tasks, *KEYS).sortWithinPartitions(
+    replayed_rows = rows.drop("__busy").repartition(tasks, *KEYS).sortWithinPartitions(
         *KEYS, F.col("opens").desc(), "at", "event_id").mapInPandas(
-        _replayed(window, normal),
+        _replayed(window, normal, every),
         f"user_id {key_type}, event_id {id_type}, at bigint, tier string, limit int, allowed boolean, remaining int, "
-        "window_start bigint, retry_after double")
-    return decided.select(
+        f"window_start bigint, retry_after double{', epoch bigint, opens boolean, is_check boolean' if every else ''}")
+    return replayed_rows, tiered
+
+
+def _decisions(rows: DataFrame, settings: Settings) -> DataFrame:
+    return rows.select(
         "user_id", "event_id", F.timestamp_micros("at").alias("ts"), "allowed", "remaining", "limit", "tier",
-        F.timestamp_micros(F.col("window_start") + window).alias("reset_time"), "retry_after")
+        F.timestamp_micros(F.col("window_start") + int(settings.seconds * SECOND)).alias("reset_time"), "retry_after")
+
+
+def check(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Decision for every check: ``allowed, remaining, limit, tier, reset_time, retry_after``."""
+    return _decisions(_decided(events.select("user_id", "event_id", "ts", "kind"), settings, False)[0], settings)
+
+
+def check_from(events: DataFrame, state: DataFrame | None, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """Decisions that continue from a state, and the state after all events: (user_id, window_start, tokens, warnings, blocks).
+
+    ``state`` is what this function left after earlier events; users without one begin anew, and a user whose last event
+    is a reset has nulls.  Only users with events have a row in the new state.
+    """
+    own = events.select("user_id", "event_id", "ts", "kind")
+    if state is not None:
+        own = _with_state(own, state)
+    rows, tiered = _decided(own, settings, True)
+    place = F.struct("epoch", (~F.col("opens")).alias("later"), "at", "event_id")
+    buckets = rows.groupBy("user_id", "epoch").agg(F.max_by(F.struct("window_start", F.col("remaining").alias("tokens")), place).alias("b"))
+    ends = tiered.groupBy("user_id").agg(F.max_by(F.struct("epoch", "warning_count", "block_count"), F.struct("epoch", "__at", "event_id")).alias("e"),
+                                         F.count_if(F.col("kind") != "state").alias("events")).where("events > 0")
+    found = ends.select("user_id", "e.*").join(
+        buckets.select(F.col("user_id").alias("__user"), F.col("epoch").alias("__epoch"), "b"),
+        F.col("user_id").eqNullSafe(F.col("__user")) & (F.col("epoch") == F.col("__epoch")), "left")
+    after = found.select("user_id", "b.window_start", "b.tokens", F.when(F.col("b").isNotNull(), F.col("warning_count")).alias("warnings"),
+                         F.when(F.col("b").isNotNull(), F.col("block_count")).alias("blocks"))
+    return _decisions(rows.where("is_check"), settings), after

@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quietgate import fixed_values as v
-from quietgate.functions.running import micros
-from quietgate.operators.behavior import SECOND, Limits, attempt_of
+from quietgate.functions.running import micros, running_sums
+from quietgate.operators import behavior
+from quietgate.operators.behavior import FLAGS, SECOND, Limits, attempt_of
+from quietgate.streaming import micro_batches
 
 STATE = "event_id bigint, at bigint, inj boolean, tox boolean, blk boolean, conf double, attempt string"
 OUTPUT = (
@@ -104,3 +106,35 @@ def detect(events: DataFrame, limits: Limits = Limits(), delay: str = "10 minute
     found = rows.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=BehaviorProcessor(limits), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
     return found.withColumn("ts", F.timestamp_micros("at")).drop("at")
+
+
+def start(events: DataFrame, path: str, checkpoint: str, limits: Limits = Limits(), delay_seconds: float = 600, **trigger):
+    """Abuse findings of a stream through the batch operators (``micro_batches``), written under ``path``.
+
+    Unlike ``detect`` it takes any number of rows of one user in a micro-batch, and sets late rows apart instead of
+    losing them.  The state is the histories: per user at most as many rows as a history has, and none too old for one.
+    """
+    flags = (F.coalesce(f"was_{f}", F.lit(False)).alias(f"was_{f}") for f in FLAGS)
+    reset = F.coalesce(F.col("is_reset"), F.lit(False)) if "is_reset" in events.columns else F.lit(False)
+    rows = events.select(
+        "user_id", "event_id", "ts", micros(F.col("ts")).alias("at"), *flags, F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        F.when(F.col("was_injection"), attempt_of(F.col("text"))).alias("attempt"), reset.alias("is_reset"))
+    most = max(limits.max_rows, limits.escalation_window, v.JAILBREAK_ROWS)
+
+    def judge(fresh: DataFrame, before: DataFrame | None, newest: int) -> tuple[DataFrame, DataFrame]:
+        known = fresh.withColumn("__new", F.lit(True))
+        if before is not None:
+            known = known.unionByName(before.select(*fresh.columns).withColumn("__new", F.lit(False)))
+        # A reset begins a history of its own, as if of another user.
+        numbered = running_sums(known, ["user_id"], ["at", "event_id"], None, {"__epoch": F.col("is_reset").cast("int")})
+        of_epoch = numbered.where("not is_reset").withColumn("user_id", F.struct("user_id", "__epoch"))
+        found = behavior.detect(of_epoch.drop("__new"), limits)
+        new = of_epoch.where("__new").select(F.col("user_id").alias("__user"), F.col("event_id").alias("__event"), F.col("at").alias("__at"))
+        same = found["user_id"].eqNullSafe(new["__user"]) & (found["event_id"] == new["__event"]) & (micros(found["ts"]) == new["__at"])
+        judged = found.join(new, same, "left_semi").withColumn("user_id", F.col("user_id.user_id"))
+        newest_first = Window.partitionBy("user_id").orderBy(F.col("__epoch").desc(), F.col("at").desc(), F.col("event_id").desc())
+        young = F.col("at") >= F.lit(newest - int((limits.seconds + delay_seconds) * SECOND))
+        kept = numbered.where(young).withColumn("__n", F.row_number().over(newest_first)).where(F.col("__n") <= most)
+        return judged, kept.select(*fresh.columns, F.struct("at", "event_id").alias("clock"))
+
+    return micro_batches.start(rows, judge, path, checkpoint, delay_seconds, **trigger)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quietgate.functions.running import micros
-from quietgate.operators.rate_limit import SECOND, Settings
+from quietgate.operators.rate_limit import SECOND, Settings, check_from
+from quietgate.streaming import micro_batches
 
 STATE = "tokens int, window_start bigint, tier string, warnings int, blocks int"
 OUTPUT = (
@@ -84,3 +85,26 @@ def check(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return decided.select(
         "user_id", "event_id", F.timestamp_micros("at").alias("ts"), "allowed", "remaining", "limit", "tier",
         F.timestamp_micros("reset_at").alias("reset_time"), "retry_after")
+
+
+def start(events: DataFrame, path: str, checkpoint: str, settings: Settings = Settings(), delay_seconds: float = 10 ** 9, **trigger):
+    """Decisions of a stream through the batch operator (``micro_batches``), written under ``path``.
+
+    Unlike ``check`` it takes any number of rows of one user in a micro-batch, and sets rows that are not after their
+    user's last one apart.  The state is one row per user seen in the last ``delay_seconds``; a user forgotten begins
+    anew, so take them longer than violations should count.
+    """
+    rows = events.select("user_id", "event_id", "ts", "kind", micros(F.col("ts")).alias("at"))
+
+    def judge(fresh: DataFrame, before: DataFrame | None, newest: int) -> tuple[DataFrame, DataFrame]:
+        users = fresh.groupBy("user_id").agg(F.max(F.struct("at", "event_id")).alias("clock"))
+        mine = F.col("user_id").eqNullSafe(F.col("__user"))
+        present = users.select(F.col("user_id").alias("__user"))
+        decisions, after = check_from(fresh, None if before is None else before.join(present, mine, "left_semi"), settings)
+        state = after.join(users.select(F.col("user_id").alias("__user"), "clock"), mine).drop("__user")
+        if before is not None:
+            rest = before.join(present, mine, "left_anti").where(F.col("clock.at") >= newest - int(delay_seconds * SECOND))
+            state = state.unionByName(rest)
+        return decisions, state
+
+    return micro_batches.start(rows, judge, path, checkpoint, delay_seconds, **trigger)
