@@ -1,32 +1,35 @@
 """Cross-tokenizer alignment: which tokens of a byte-level BPE (A) and of a sentencepiece model (B) cover the same bytes.
 
 The cumulative byte ends of both token lists are put into dictionaries from end to index; the keys both have, sorted, slice
-the two id lists into groups, and in each slice the tokens whose byte ranges overlap are linked.
+the two id lists into groups, and inside the slices the tokens whose byte ranges overlap are linked.
 
-Both tokenizers always cut before a single space or line feed between two other characters, so a text is taken in such
-pieces and each distinct piece of a block is encoded and aligned once; a text's groups are those of its pieces.
-
-How often two ids are linked in the whole corpus comes back to the documents through shards: a block sends its distinct id
-pairs with their counts; pairs are dealt by a hash of both ids, so no frequent id meets in one task; the shards learn the
-highest count of each B id from shards of B ids, and answer each block with the totals of its own pairs.
+Both tokenizers always cut before a single space or line feed between two other characters, so a text is a list of such
+pieces, and its groups are those of its pieces.  A block of documents asks for each of its distinct pieces once; the shards
+of pieces encode and align each piece of the corpus.  How often a piece occurs gives the counts of the id pairs it links:
+the shards of pieces send them to shards of B ids, which answer with totals and whether they are the B id's highest.
+A block then only adds up and joins what its pieces came back with.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from quietgate.llm.blocks import MESSAGE_DDL, asked, dealt, in_blocks, in_order, messages, parts_of
 
-SHARD_BYTES = 64 << 20  # text whose id pairs one shard takes
-BEST_SHARDS = 16        # of B ids
+SHARD_BYTES = 32 << 20  # text whose distinct pieces one shard takes
+B_SHARDS = 16           # of B ids
 _BREAK = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _ENCODE_AT_ONCE = 4096
 _OUT = ("key bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string")
@@ -37,6 +40,9 @@ def pieces_of(text: str | None) -> list[str]:
     """Pieces of space + text, each without its leading space unless white space follows it."""
     if not text:
         return []
+    words, gaps = text.split(), text.count(" ") + text.count("\n")
+    if len(words) == gaps + 1 and len("".join(words)) == len(text) - gaps:  # nothing but single spaces and line feeds
+        return text.replace("\n", " \n").split(" ")
     first, *rest = _BREAK.split(text)
     return [" " + first if first[0] in " \n" else first, *(p[1:] if p[0] == " " else p for p in rest)]
 
@@ -57,6 +63,8 @@ class Tokenizers:
         self.a_bytes = self._byte_level()
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i)
                         else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
+        self.ranked = self._ranked()
+        self.a_size, self.b_size = (np.array(list(map(len, of)), np.int64) for of in (self.a_bytes, self.b_bytes))
 
     @staticmethod
     def of(paths: tuple[str, str]) -> Tokenizers:
@@ -74,37 +82,102 @@ class Tokenizers:
         shown = [self.a.id_to_token(i) or "" for i in range(size)]
         return [bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode() for token in shown]
 
-    def ids(self, pieces: list[str]) -> list[tuple[list[int], list[int]]]:
+    def _ranked(self) -> tiktoken.Encoding | None:
+        """A in tiktoken's form, which encodes short pieces faster: for a plain byte-level BPE whose merges are in the order of their ids."""
+        spec = json.loads(self.a.to_str())
+        model, pre = spec["model"], spec["pre_tokenizer"]
+        if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or model["type"] != "BPE" or model["dropout"]:
+            return None
+        made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        if made != list(range(256, 256 + len(made))) or 256 + len(made) != len(set(self.a_bytes[:256 + len(made)])):
+            return None
+        ranks = {token: i for i, token in enumerate(self.a_bytes[:256 + len(made)])}
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def lossy(self, chars: set[str]) -> set[str]:
+        """Characters that do not come back alone; texts without any come back whole, which is checked where they are aligned.
+
+        A space is no piece of its own.
+        """
+        listed = sorted(chars - {" "})
+        a, b = self.ids(listed)
+        back = lambda ids, of: b"".join(map(of.__getitem__, ids))
+        return {c for c, x, y in zip(listed, a, b)
+                if not back(x, self.a_bytes) == back(y, self.b_bytes) == spelled(c).encode()}
+
+    def ids(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both tokenizers for every piece."""
         whole = [spelled(p) for p in pieces]
-        a = [made.ids for made in self.a.encode_batch_fast(whole, add_special_tokens=False)]
+        if self.ranked is None:
+            a = [made.ids for made in self.a.encode_batch_fast(whole, add_special_tokens=False)]
+        else:
+            a = list(map(self.ranked.encode_ordinary, whole))
         # B puts a space before a text: it stands for the piece's own, or is a token of its own before a line feed.
         b = self.b.encode([p[1:] if p[0] == " " else p for p in whole], num_threads=1)
-        return [(x, y if p[0] == " " else y[1:]) for p, x, y in zip(whole, a, b)]
+        return a, [y if p[0] == " " else y[1:] for p, y in zip(whole, b)]
 
 
-def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups of ids between common ends, and the linked id pairs, of two token lists over the same bytes."""
-    a_ends, b_ends = list(accumulate(len(a_bytes[i]) for i in a)), list(accumulate(len(b_bytes[i]) for i in b))
+def common_ends(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
+    """Where both token lists end at the same byte: the indices behind those tokens, in order."""
     a_at, b_at = {e: i + 1 for i, e in enumerate(a_ends)}, {e: i + 1 for i, e in enumerate(b_ends)}
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        to_i, to_j = a_at[end], b_at[end]
-        groups.append((a[i:to_i], b[j:to_j]))
-        while i < to_i and j < to_j:  # no other common end: the token that ends first gives way to its successor
-            links.append((a[i], b[j]))
-            if a_ends[i] == b_ends[j]:
-                break
-            if a_ends[i] < b_ends[j]:
-                i += 1
-            else:
-                j += 1
-        i, j = to_i, to_j
-    return groups, links
-
-
-def rendered(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+    common = sorted(a_at.keys() & b_at.keys())
+    return [a_at[e] for e in common], [b_at[e] for e in common]
+
+
+def linked(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the overlapping tokens of two lists over the same bytes.
+
+    Between one end and the next, of either list, exactly one token of each list covers the bytes; no two such stretches
+    have the same two tokens.
+    """
+    ends = np.union1d(a_ends, b_ends)
+    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+
+
+class Alignment:
+    """Pieces of text aligned together: one list of tokens each, ends counted through all pieces."""
+
+    def __init__(self, pieces: list[str], tools: Tokenizers, show: bool):
+        a, b = tools.ids(pieces)
+        whole = [spelled(p).encode() for p in pieces]
+        size = np.fromiter(map(len, whole), np.int64, len(whole))
+        self.sound = self._gives(a, tools.a_bytes, tools.a_size, whole, size) & self._gives(b, tools.b_bytes, tools.b_size, whole, size)
+        if not self.sound.all():
+            a, b = ([ids if ok else [] for ids, ok in zip(of, self.sound)] for of in (a, b))
+        n_a, n_b = (np.fromiter(map(len, of), np.int64, len(of)) for of in (a, b))
+        a_ids, b_ids = (np.fromiter(chain.from_iterable(of), np.int64) for of in (a, b))
+        a_ends, b_ends = np.cumsum(tools.a_size[a_ids]), np.cumsum(tools.b_size[b_ids])
+        ends = np.cumsum(n_a)
+        behind_a, behind_b = common_ends(a_ends.tolist(), b_ends.tolist())
+        links_a, links_b = linked(a_ends, b_ends)
+        self.codes = (b_ids[links_b].astype(np.uint64) << np.uint64(32)) | a_ids[links_a].astype(np.uint64)
+        groups = np.searchsorted(behind_a, ends, "right")
+        links = np.searchsorted(links_a, ends, "left")
+        self.counts = np.array([n_a, n_b, np.diff(groups, prepend=0), np.diff(links, prepend=0)])
+        self.shown: list[str] = []
+        if show:
+            shown = self._shown(a_ids, b_ids, np.array(behind_a, np.int64), np.array(behind_b, np.int64))
+            self.shown = [";".join(shown[x:y]) for x, y in zip([0, *groups.tolist()], groups.tolist())]
+
+    @staticmethod
+    def _gives(tokens: list[list[int]], of: list[bytes], sizes: np.ndarray, whole: list[bytes], size: np.ndarray) -> np.ndarray:
+        """Which pieces their tokens give back byte for byte: as a rule all, which one comparison tells."""
+        n, flat = np.fromiter(map(len, tokens), np.int64, len(tokens)), list(chain.from_iterable(tokens))
+        ends = np.append(0, np.cumsum(sizes[flat]))[np.cumsum(n)] if flat else np.zeros(len(n), np.int64)
+        if (np.diff(ends, prepend=0) == size).all() and b"".join(map(of.__getitem__, flat)) == b"".join(whole):
+            return np.ones(len(whole), bool)
+        return np.array([b"".join(map(of.__getitem__, ids)) == text for ids, text in zip(tokens, whole)], bool)
+
+    @staticmethod
+    def _shown(a: np.ndarray, b: np.ndarray, behind_a: np.ndarray, behind_b: np.ndarray) -> list[str]:
+        """Every group as ``a1,a2|b1``."""
+        before_a, before_b = np.append(0, behind_a[:-1]), np.append(0, behind_b[:-1])
+        single = (behind_a - before_a == 1) & (behind_b - before_b == 1)
+        out = [f"{x}|{y}" for x, y in zip(a[behind_a - 1].tolist(), b[behind_b - 1].tolist())] if len(behind_a) else []
+        for k in np.flatnonzero(~single).tolist():
+            x, y = a[before_a[k]:behind_a[k]].tolist(), b[before_b[k]:behind_b[k]].tolist()
+            out[k] = f"{','.join(map(str, x))}|{','.join(map(str, y))}"
+        return out
 
 
 class _Numbered(dict):
@@ -115,150 +188,144 @@ class _Numbered(dict):
         return number
 
 
-class _Block:
-    """Distinct pieces of a block's documents, aligned; documents as numbers of pieces."""
-
-    def __init__(self, table: pa.Table, paths: tuple[str, str]):
-        tools = Tokenizers.of(paths)
-        self.keys = table.column("key").to_pylist()
-        numbered = _Numbered()
-        number = numbered.__getitem__
-        self.documents: list[np.ndarray] = []
-        for text in table.column("text").to_pylist():
-            pieces = pieces_of(text)
-            self.documents.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
-        pieces = list(numbered)
-        self.shown: list[str] = []
-        self.counts = np.zeros((4, len(pieces)), np.int64)  # A ids, B ids, groups, links
-        sound = np.ones(len(pieces), bool)
-        codes: list[np.ndarray] = []
-        for at in range(0, len(pieces), _ENCODE_AT_ONCE):
-            some = pieces[at:at + _ENCODE_AT_ONCE]
-            pairs: list[tuple[int, int]] = []
-            for k, (piece, (a, b)) in enumerate(zip(some, tools.ids(some)), at):
-                whole = spelled(piece).encode()
-                if b"".join(map(tools.a_bytes.__getitem__, a)) != whole or b"".join(map(tools.b_bytes.__getitem__, b)) != whole:
-                    sound[k] = False
-                    self.shown.append("")
-                    continue
-                groups, links = align(a, b, tools.a_bytes, tools.b_bytes)
-                self.shown.append(rendered(groups))
-                self.counts[:, k] = len(a), len(b), len(groups), len(links)
-                pairs += links
-            linked = np.array(pairs, np.uint64).reshape(-1, 2)
-            codes.append(linked[:, 1] << np.uint64(32) | linked[:, 0])
-        # A document with an unsound piece has no tokens at all.
-        self.documents = [d if sound[d].all() else d[:0] for d in self.documents]
-        self.codes = np.concatenate(codes) if codes else np.empty(0, np.uint64)
-        self.piece_of_link = np.repeat(np.arange(len(pieces)), self.counts[3])
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct id pairs by shard-independent order, which of them each link of a piece is, and their counts here."""
-        times = np.zeros(self.counts.shape[1], np.int64)
-        for d in self.documents:
-            np.add.at(times, d, 1)
-        distinct, which = np.unique(self.codes, return_inverse=True)
-        return distinct, which, _summed(which, times[self.piece_of_link], len(distinct))
-
-
 def _summed(groups: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros(size, np.int64)
-    np.add.at(out, groups, values)
-    return out
+    """Whole-number sums; two halves keep them exact in the doubles of bincount."""
+    high, low = values >> 26, values & ((1 << 26) - 1)
+    return (np.bincount(groups, high, size).astype(np.int64) << 26) + np.bincount(groups, low, size).astype(np.int64)
 
 
-def _b_of(codes: np.ndarray) -> np.ndarray:
-    return (codes >> np.uint64(32)).astype(np.int64)
+def _packed(**columns) -> bytes:
+    """Columns of one length, compressed."""
+    made = pa.table(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, made.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_table(made)
+    return sink.getvalue().to_pybytes()
 
 
-def _by_shard(codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of pairs by shard, and their shards in that order; pairs are dealt by a hash of both ids."""
-    mixed = codes * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(31)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    shard = ((mixed >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
-    order = np.argsort(shard, kind="stable")
-    return order, shard[order]
+def _unpacked(body: bytes) -> pa.Table:
+    return pa.ipc.open_stream(body).read_all()
 
 
-def _packed(*columns: np.ndarray) -> bytes:
-    """Whole-number columns of one length, compressed."""
-    raw = b"".join(c.astype(np.int64, copy=False).tobytes() for c in columns)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def _whole_numbers(table: pa.Table, column: str) -> np.ndarray:
+    return table.column(column).to_numpy()
 
 
-def _unpacked(body: bytes, columns: int) -> np.ndarray:
-    raw = pa.decompress(body[8:], int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True)
-    return np.frombuffer(raw, np.int64).reshape(columns, -1)
+class _Block:
+    """A block's documents as numbers of distinct pieces, which are ordered by their shards."""
+
+    def __init__(self, table: pa.Table, paths: tuple[str, str], shards: int):
+        self.keys, texts = table.column("key").to_pylist(), table.column("text").to_pylist()
+        lossy = Tokenizers.of(paths).lossy(set().union(*filter(None, texts)))
+        numbered = _Numbered()
+        number = numbered.__getitem__
+        self.documents: list[np.ndarray] = []
+        for text in texts:
+            pieces = pieces_of(text)
+            if lossy and pieces and not lossy.isdisjoint(text) and not Alignment(pieces, Tokenizers.of(paths), False).sound.all():
+                pieces = []  # a text that does not come back has no tokens at all
+            self.documents.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
+        pieces = list(numbered)
+        hashed = np.fromiter((xxhash.xxh3_64_intdigest(p.encode()) for p in pieces), np.uint64, len(pieces))
+        shard = ((hashed >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        self.pieces, self.shards = [pieces[i] for i in order.tolist()], shard[order]
+        place = np.empty(len(pieces), np.int64)
+        place[order] = np.arange(len(pieces))
+        self.documents = [place[d] for d in self.documents]
 
 
 def _asking(paths: tuple[str, str], shards: int):
+    """Every distinct piece of a block and how often it occurs there."""
     def run(table: pa.Table) -> pa.Table:
-        block = int(table.column("block")[0].as_py())
-        distinct, _, counts = _Block(table, paths).pairs()
-        order, shard = _by_shard(distinct, shards)
-        codes, counts = distinct[order].view(np.int64), counts[order]
-        return messages([(block, s, _packed(codes[x:y], counts[x:y])) for s, x, y in parts_of(shard)])
+        number, block = int(table.column("block")[0].as_py()), _Block(table, paths, shards)
+        times = np.bincount(np.concatenate([np.empty(0, np.int64), *block.documents]), minlength=len(block.pieces))
+        return messages([(number, s, _packed(piece=block.pieces[x:y], n=times[x:y])) for s, x, y in parts_of(block.shards)])
     return run
 
 
-def _totals(table: pa.Table) -> tuple[list[tuple[int, int, bytes]], list[np.ndarray], np.ndarray, np.ndarray]:
-    """Messages of a shard by origin, their pairs, the distinct pairs and their totals."""
-    rows = in_order(table, "origin")
-    sent = [_unpacked(body, 2) for _, _, body in rows]
-    distinct, which = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
-    return rows, [s[0] for s in sent], distinct, _summed(which, np.concatenate([s[1] for s in sent]), len(distinct))
-
+class _Pieces:
+    """Distinct pieces of a shard, aligned, with the distinct id pairs they link and their counts."""
 
-def _highest(table: pa.Table) -> pa.Table:
-    """Highest total of each B id in a shard of pairs, sent to the shards of B ids."""
-    rows, _, distinct, totals = _totals(table)
-    b, at = np.unique(_b_of(distinct.view(np.uint64)), return_inverse=True)
-    best = np.zeros(len(b), np.int64)
-    np.maximum.at(best, at, totals)
-    order = np.argsort(b % BEST_SHARDS, kind="stable")
-    b, best = b[order], best[order]
-    return messages([(rows[0][1], s, _packed(b[x:y], best[x:y])) for s, x, y in parts_of((b % BEST_SHARDS).astype(np.int32))])
+    def __init__(self, table: pa.Table, paths: tuple[str, str], show: bool):
+        self.rows = in_order(table, "origin")
+        numbered = _Numbered()
+        self.asked, counts = [], []
+        for _, _, body in self.rows:
+            sent = _unpacked(body)
+            self.asked.append(np.fromiter(map(numbered.__getitem__, sent.column("piece").to_pylist()), np.int64, sent.num_rows))
+            counts.append(_whole_numbers(sent, "n"))
+        pieces, tools = list(numbered), Tokenizers.of(paths)
+        parts = [Alignment(pieces[at:at + _ENCODE_AT_ONCE], tools, show) for at in range(0, len(pieces), _ENCODE_AT_ONCE)]
+        if not all(p.sound.all() for p in parts):
+            raise ValueError("a tokenizer alters texts none of whose characters it alters alone")
+        times = _summed(np.concatenate(self.asked), np.concatenate(counts), len(pieces))
+        self.shown = [s for p in parts for s in p.shown]
+        self.counts = np.concatenate([p.counts for p in parts], axis=1)  # A ids, B ids, groups, links
+        self.piece_of_link = np.repeat(np.arange(len(pieces)), self.counts[3])
+        # Pairs are codes of B id and A id, so those of one B id lie side by side.
+        self.codes, self.which = np.unique(np.concatenate([p.codes for p in parts]), return_inverse=True)
+        self.uses = _summed(self.which, times[self.piece_of_link], len(self.codes))
+        shard = (self.codes >> np.uint64(32)).astype(np.int64) % B_SHARDS
+        self.order = np.argsort(shard, kind="stable")
+        self.shards = shard[self.order]
 
 
-def _best(table: pa.Table) -> pa.Table:
-    """Highest total of each B id over all shards, to every shard for the ids it has."""
-    rows = in_order(table, "origin")
-    sent = [_unpacked(body, 2) for _, _, body in rows]
-    b, at = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
-    best = np.zeros(len(b), np.int64)
-    np.maximum.at(best, at, np.concatenate([s[1] for s in sent]))
-    return messages([(origin, shard, _packed(s[0], best[np.searchsorted(b, s[0])])) for (origin, shard, _), s in zip(rows, sent)])
+def _pair_counts(paths: tuple[str, str]):
+    def run(table: pa.Table) -> pa.Table:
+        made = _Pieces(table, paths, False)
+        codes, uses = made.codes[made.order], made.uses[made.order]
+        return messages([(made.rows[0][1], s, _packed(code=codes[x:y], n=uses[x:y])) for s, x, y in parts_of(made.shards)])
+    return run
 
 
-def _answering(table: pa.Table, highest: pa.Table) -> pa.Table:
-    """Totals of every block's pairs in the order asked, negative where they are not their B id's highest."""
-    rows, asked_for, distinct, totals = _totals(table)
-    sent = [_unpacked(body, 2) for _, _, body in in_order(highest, "shard")]
-    b, best = np.concatenate(sent, axis=1)
-    order = np.argsort(b)
-    at = order[np.searchsorted(b, _b_of(distinct.view(np.uint64)), sorter=order)]
-    marked = np.where(totals == best[at], totals, -totals)
-    return messages([(block, shard, _packed(marked[np.searchsorted(distinct, codes)]))
-                     for (block, shard, _), codes in zip(rows, asked_for)])
+def _totals(table: pa.Table) -> pa.Table:
+    """Totals of the pairs of some B ids to every shard of pieces as asked, negative where not the highest of their B id."""
+    rows = in_order(table, "origin")
+    sent = [_unpacked(body) for _, _, body in rows]
+    codes = [_whole_numbers(t, "code") for t in sent]
+    distinct, which = np.unique(np.concatenate(codes), return_inverse=True)
+    totals = _summed(which, np.concatenate([_whole_numbers(t, "n") for t in sent]), len(distinct))
+    _, of_b = np.unique(distinct >> np.uint64(32), return_inverse=True)
+    best = np.zeros(int(of_b.max()) + 1, np.int64)
+    np.maximum.at(best, of_b, totals)
+    marked = np.where(totals == best[of_b], totals, -totals)
+    return messages([(origin, shard, _packed(n=marked[np.searchsorted(distinct, c)])) for (origin, shard, _), c in zip(rows, codes)])
+
+
+_COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+
+
+def _answering(paths: tuple[str, str]):
+    """What became of its pieces, to every block in the order asked."""
+    def run(table: pa.Table, totals: pa.Table) -> pa.Table:
+        made = _Pieces(table, paths, True)
+        marked = np.zeros(len(made.codes), np.int64)
+        marked[made.order] = np.concatenate([np.empty(0, np.int64), *(
+            _whole_numbers(_unpacked(body), "n") for _, _, body in in_order(totals, "shard"))])
+        link, pieces = marked[made.which], made.counts.shape[1]
+        sums = [*made.counts, _summed(made.piece_of_link, (link > 0).astype(np.int64), pieces),
+                _summed(made.piece_of_link, np.abs(link), pieces)]
+        shown = np.array(made.shown, object)
+        return messages([(block, shard, _packed(groups=pa.array(shown[at], pa.string()), **{n: x[at] for n, x in zip(_COLUMNS, sums)}))
+                         for (block, shard, _), at in zip(made.rows, made.asked)])
+    return run
 
 
 def _finishing(paths: tuple[str, str], shards: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        block = _Block(table, paths)
-        distinct, which, _ = block.pairs()
-        order, _ = _by_shard(distinct, shards)
-        marked = np.zeros(len(distinct), np.int64)
-        if len(distinct):
-            marked[order] = np.concatenate([_unpacked(body, 1)[0] for _, _, body in in_order(answers, "shard")])
-        linked, pieces = marked[which], block.counts.shape[1]
-        per_piece = np.vstack([block.counts, _summed(block.piece_of_link, linked > 0, pieces),
-                               _summed(block.piece_of_link, np.abs(linked), pieces)])
-        sums = [per_piece[:, d].sum(axis=1) for d in block.documents]
-        columns = np.array(sums, np.int64).reshape(-1, 6).T
-        shown = [";".join(map(block.shown.__getitem__, d.tolist())) for d in block.documents]
-        names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-        return pa.table({"key": pa.array(block.keys, pa.int64()), **dict(zip(names, columns)), "groups": pa.array(shown, pa.string())})
+        block = _Block(table, paths, shards)
+        parts = [_unpacked(body) for _, _, body in in_order(answers, "shard")]
+        shown = [g for p in parts for g in p.column("groups").to_pylist()]
+        flat = np.concatenate([np.empty(0, np.int64), *block.documents])
+        ends = np.cumsum([0, *map(len, block.documents)])
+        sums = {}
+        for name in _COLUMNS:
+            per_piece = np.concatenate([np.empty(0, np.int64), *(_whole_numbers(p, name) for p in parts)])
+            running = np.append(0, np.cumsum(per_piece[flat]))
+            sums[name] = running[ends[1:]] - running[ends[:-1]]
+        groups = [";".join(map(shown.__getitem__, d.tolist())) for d in block.documents]
+        return pa.table({"key": pa.array(block.keys, pa.int64()), **sums, "groups": pa.array(groups, pa.string())})
     return run
 
 
@@ -276,8 +343,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text
     rows, total = in_blocks(docs, key, text)
     paths, shards = (a_path, b_path), max(1, -(-total // SHARD_BYTES))
     blocks = dealt(rows, "block")
-    questions = dealt(blocks.groupBy("block").applyInArrow(_asking(paths, shards), MESSAGE_DDL), "shard")
-    answers = asked(questions, "shard", _highest, _best, _answering, MESSAGE_DDL)
+    pieces = dealt(blocks.groupBy("block").applyInArrow(_asking(paths, shards), MESSAGE_DDL), "shard")
+    answers = asked(pieces, "shard", _pair_counts(paths), _totals, _answering(paths), MESSAGE_DDL)
     made = blocks.groupBy("block").cogroup(answers.groupBy("origin")).applyInArrow(_finishing(paths, shards), _OUT)
     return made.withColumnRenamed("key", key)
 
