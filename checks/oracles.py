@@ -637,6 +637,8 @@ ORACLES: dict[str, str] = {
     **{f"abuse_{kind}": abuse(kind) for kind in ABUSE},
     "abuse_detect": ABUSE_DETECT,
     "abuse_stream": ABUSE_DETECT,
+    "abuse_stream_batches": ABUSE_DETECT,
+    "rate_limit_stream_batches": RATE_RESULT,
     "rate_limit": RATE_RESULT,
     "rate_limit_stream": RATE_RESULT,
     "user_tier": TIERS,

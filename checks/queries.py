@@ -546,6 +546,10 @@ def abuse_stream(spark, d):
     return streams.abuse(spark, d, LIMITS).select(C("user_id").cast("bigint").alias("user_id"), *ABUSE_COLUMNS[1:])
 
 
+def abuse_stream_batches(spark, d):
+    return streams.abuse_batches(spark, d, LIMITS).select(C("user_id").cast("bigint").alias("user_id"), *ABUSE_COLUMNS[1:])
+
+
 def _limit_columns(df):
     return df.select(C("user_id").cast("bigint").alias("user_id"), "event_id", "allowed", C("remaining").cast("bigint").alias("remaining"),
                      C("limit").cast("bigint").alias("limit"), "tier", F.unix_micros(C("reset_time")).alias("reset_us"), "retry_after")
@@ -564,6 +568,10 @@ def rate_limit_stream(spark, d):
     return _limit_columns(streams.rate_limits(spark, d, RATES))
 
 
+def rate_limit_stream_batches(spark, d):
+    return _limit_columns(streams.rate_limit_batches(spark, d, RATES))
+
+
 def scan_stream(spark, d):
     log = streams.scans(spark, d)
     return log.select("correlation_id", "action", C("violation_count").cast("bigint").alias("violation_count"),
@@ -632,7 +640,8 @@ QUERIES = {
     **{f"abuse_{short}": _abuse(kind) for short, kind in (
         ("repeated_injection", "repeated_injection"), ("volume", "volume_abuse"), ("escalation", "escalation"),
         ("jailbreak", "jailbreak_sequence"))},
-    "abuse_detect": abuse_detect, "abuse_stream": abuse_stream, "rate_limit": rate_limit_checks, "user_tier": user_tier,
+    "abuse_detect": abuse_detect, "abuse_stream": abuse_stream,
+    "abuse_stream_batches": abuse_stream_batches, "rate_limit_stream_batches": rate_limit_stream_batches, "rate_limit": rate_limit_checks, "user_tier": user_tier,
     "rate_limit_stream": rate_limit_stream, "scan_stream": scan_stream,
     "audit_stats": audit_stats, "audit_tail": audit_tail, "service_metrics": service_metrics,
     "pair_turns": pair_turns, "attach_context": attach_context, "attach_document": attach_document,

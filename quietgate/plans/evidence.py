@@ -41,9 +41,10 @@ def _contexts(placed: DataFrame, most: int) -> DataFrame:
 def with_earlier(outputs: DataFrame, turns: DataFrame, items: Column, most: int = CONTEXT_CHARS) -> tuple[DataFrame, DataFrame | None]:
     """``outputs`` with ``context`` or ``known``, and the places that further checks need, or None.
 
-    ``outputs`` has ``conv_id, turn``, ``turns`` has ``conv_id, turn, text``, both one row for each turn.  ``context`` holds all earlier turns, joined by line feeds, where that takes at most ``most`` characters, and
-    null for turns without any.  Later turns get no context but ``known``: those of their ``items``, an array of
-    lower-cased words and fragments of the output, that occur in the earlier turns.  Outputs without a turn are left out.
+    ``outputs`` has ``conv_id, turn``, ``turns`` has ``conv_id, turn, text``, both one row for each turn.  ``context``
+    holds all earlier turns, joined by line feeds, where that takes at most ``most`` characters, and null for turns
+    without any.  Later turns get no context but ``known``: those of their ``items``, an array of lower-cased words and
+    fragments of the output, that occur in the earlier turns.  Outputs without a conversation or a turn are left out.
     """
     placed = _placed(turns)
     none = F.lit(None).cast("array<string>")

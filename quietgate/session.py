@@ -27,12 +27,11 @@ def local_session(cores: int | str = 8, name: str = "quietgate", **extra: str) -
     return session
 
 
-def spread(df, source_path: str | None = None):
+def spread(df):
     """Give CPU-bound text work one task per core when the input comes in fewer splits.
 
     A table of many files already has more splits than cores and is left alone, so at scale
     no shuffle is added; a single small file would otherwise be scanned by one task.
     """
-    session = df.sparkSession
-    wanted = session.sparkContext.defaultParallelism
+    wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted * 2) if df.rdd.getNumPartitions() < wanted else df

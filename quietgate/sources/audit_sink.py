@@ -7,6 +7,7 @@ by day first: Spark splits and merges to files of the session's advisory size, h
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,13 +19,14 @@ def append(log: DataFrame, path: str, batch: str | None = None) -> None:
      .partitionBy("day", "batch").parquet(path))
 
 
-def stream_append(log: DataFrame, path: str, checkpoint: str, **trigger):
+def stream_append(log: DataFrame, path: str, checkpoint: str, records: Callable[[DataFrame], DataFrame] = lambda rows: rows, **trigger):
     """Append a stream of audit records, one batch per micro-batch; a micro-batch run again replaces itself.
 
-    ``path`` belongs to one checkpoint: the batches of another one would have the same names.
+    ``records`` makes the audit records of a micro-batch where the stream holds something else.  ``path`` belongs to one
+    checkpoint: the batches of another one would have the same names.
     """
     def write(rows: DataFrame, number: int) -> None:
-        append(rows, path, f"stream-{number}")
+        append(records(rows), path, f"stream-{number}")
 
     return (log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

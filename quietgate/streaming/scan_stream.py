@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quietgate.operators import audit
 from quietgate.plans import scan
+from quietgate.session import spread
 from quietgate.sources import audit_sink
 
 
@@ -18,4 +19,5 @@ def audit_records(texts: DataFrame, level: str = "moderate") -> DataFrame:
 
 
 def start(texts: DataFrame, path: str, checkpoint: str, level: str = "moderate", **trigger):
-    return audit_sink.stream_append(audit_records(texts, level), path, checkpoint, **trigger)
+    """Scan a stream into the audit table; a micro-batch of few files is spread over all cores before it is scanned."""
+    return audit_sink.stream_append(texts, path, checkpoint, lambda batch: audit_records(spread(batch), level), **trigger)
