@@ -1,16 +1,17 @@
 """N-gram Jaccard join: near copies by rare-first prefix filtering, as components of linked documents.
 
 A document is its set of distinct word n-grams.  Documents with the same set form a class; classes, not documents, are
-joined.  The n-grams of a set are ordered by how often the corpus has them, rarest first; two sets that reach the
-threshold share one of their first ``n - ceil(t * n) + 1``.  Pairs that meet there pass a length filter, a positional
-filter and a suffix filter (a 512-bit parity sketch: the bits in which two sketches differ are a lower bound of the
-n-grams in which the sets differ) before the sets themselves are compared, once per pair.
+joined.  Blocks of documents ask shards of the n-grams how many classes have each of theirs, exactly.  The n-grams of a
+set are ordered by that number, rarest first; two sets that reach the threshold share one of their first
+``n - ceil(t * n) + 1``.  Of these only the n-grams that several classes have become rows.  Pairs that meet there pass a
+length filter, a positional filter and a suffix filter (a 512-bit parity sketch: the bits in which two sketches differ
+are a lower bound of the n-grams in which the sets differ) before the sets themselves are compared, once per pair.
 
 Links are only needed up to connectivity, so the members of a prefix n-gram are not paired with each other outright.
 First every member meets its neighbours in a shuffled order of the n-gram's members (linear in their number); what that
 connects is contracted, and n-grams with so few members that all of them have met are done.  Then only members of
-different components meet, the smaller components against the rest.  All pairs not yet connected are tested in that
-step, so no link between components is lost.
+different components meet, the smaller components against the rest, which is dealt to parts.  All pairs not yet connected
+are tested in that step, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from quietgate.llm.blocks import BLOCK_BYTES, ROW_BYTES, asked, dealt, in_order, messages, pack_sorted, parts_of, unpack_sorted
 from quietgate.llm.common import Batches, Made, cut, forget_words, in_slices, record, shingles, signed, small, texts, words_of
 from quietgate.llm.components import components
 
-BUCKETS = 1 << 18  # counters of the n-gram frequencies: a fixed size, whatever the corpus
+SHARD_BYTES = 16 << 20  # text whose n-grams one shard counts
 SKETCH = [f"s{i}" for i in range(8)]
 BROADCAST_ROWS = 2_000_000  # rows of two integers at most, about 50 MB, are sent to every executor
 MEMBERS = 4096  # of one n-gram that are ordered in one task
@@ -31,7 +33,6 @@ NEIGHBOURS = 3  # that a member of a rare n-gram meets: all pairs of up to four
 ORDERS = 4      # shuffled orders of a turn that frequent n-grams share, so that the same pairs come up again
 _SIGNED = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), *((s, pa.int64()) for s in SKETCH)])
 _PREFIX = pa.schema([("gram", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
-_COUNTS = pa.schema([("bucket", pa.int32()), ("uses", pa.int64())])
 _SETS = pa.schema([("sig", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
 
@@ -58,40 +59,82 @@ def _signed_rows(size: int):
     return run
 
 
-def _bucket(grams: np.ndarray) -> np.ndarray:
-    return (grams & np.uint64(BUCKETS - 1)).astype(np.int64)
+def _shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
+    return ((grams >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
 
 
-def _counted(size: int):
-    def run(batches: Batches) -> Made:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in in_slices(batches, forget_words):
-            for text in texts(batch, "text"):
-                np.add.at(total, _bucket(shingles(words_of(text), size)), 1)
-        used = np.flatnonzero(total)
-        yield record(_COUNTS, used.astype(np.int32), total[used])
+class _Sets:
+    """The n-gram sets of the classes whose owners are in a block: rows with a signature name owners, the others are documents."""
+
+    def __init__(self, table: pa.Table, size: int):
+        keys, sigs = table.column("key").to_pylist(), table.column("sig").to_pylist()
+        owners = {(k, s) for k, s in zip(keys, sigs) if s is not None}
+        self.sigs, self.sets = [], []
+        for key, sig, text in zip(keys, sigs, table.column("text").cast(pa.binary()).to_pylist()):
+            if sig is not None or not text:
+                continue
+            found = shingles(words_of(text), size)
+            if len(found) and (own := (key, signature(found))) in owners:
+                owners.discard(own)  # a repeated row is the same class
+                self.sigs.append(own[1])
+                self.sets.append(found)
+        forget_words()
+        self.distinct, self.times = np.unique(np.concatenate([np.empty(0, np.uint64), *self.sets]), return_counts=True)
+
+
+def _numbers(values: np.ndarray) -> bytes:
+    """Small whole numbers, most of them one."""
+    raw = values.astype(np.int32).tobytes()
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _of_numbers(body: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(body, 4 * count, codec="zstd", asbytes=True), np.int32)
+
+
+def _asking(size: int, shards: int):
+    """Every distinct n-gram of a block with the number of its classes there."""
+    def run(table: pa.Table) -> pa.Table:
+        block, sets = int(table.column("block")[0].as_py()), _Sets(table, size)
+        return messages([(block, s, len(packed).to_bytes(8, "little") + packed + _numbers(sets.times[x:y]))
+                         for s, x, y in parts_of(_shard_of(sets.distinct, shards)) for packed in [pack_sorted(sets.distinct[x:y])]])
     return run
 
 
-def _prefixes(size: int, num: int, den: int, frequency):
-    def run(batches: Batches) -> Made:
-        done: set[int] = set()
-        for batch in in_slices(batches, forget_words):
-            grams, sigs, sizes, places = [], [], [], []
-            for text in texts(batch, "text"):
-                found = shingles(words_of(text), size)
-                if not len(found) or (sig := signature(found)) in done:
-                    continue
-                if len(done) < 1_000_000:
-                    done.add(sig)
-                n = len(found)
-                keep = n + (-num * n // den) + 1
-                grams.append(found[np.argsort(frequency.value[_bucket(found)], kind="stable")[:keep]])
-                sigs.append(np.full(keep, sig))
-                sizes.append(np.full(keep, n, np.int32))
-                places.append(np.arange(keep, dtype=np.int32))
-            if grams:
-                yield record(_PREFIX, signed(np.concatenate(grams)), *map(np.concatenate, (sigs, sizes, places)))
+def _answer(table: pa.Table) -> pa.Table:
+    """The number of classes in the whole corpus for every n-gram of every block."""
+    rows = in_order(table, "origin")
+    keys, times = [], []
+    for _, _, body in rows:
+        end = 8 + int.from_bytes(body[:8], "little")
+        keys.append(unpack_sorted(body[8:end]))
+        times.append(_of_numbers(body[end:], len(keys[-1])))
+    _, which = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(which, np.concatenate(times)).astype(np.int64)[which]
+    ends = np.cumsum([len(k) for k in keys])
+    return messages([(b, s, _numbers(total[end - len(k):end])) for (b, s, _), k, end in zip(rows, keys, ends)])
+
+
+def _prefixes(size: int, shards: int, num: int, den: int):
+    """Prefix rows of the n-grams that more than one class has."""
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        sets = _Sets(table, size)
+        bodies = {s: body for _, s, body in in_order(answers, "shard")}
+        classes = np.concatenate([np.empty(0, np.int32), *(
+            _of_numbers(bodies[s], y - x) for s, x, y in parts_of(_shard_of(sets.distinct, shards)))])
+        grams, sigs, sizes, places = [], [], [], []
+        for sig, found in zip(sets.sigs, sets.sets):
+            n = len(found)
+            keep = n + (-num * n // den) + 1
+            of = classes[np.searchsorted(sets.distinct, found)]
+            order = np.argsort(of, kind="stable")[:keep]
+            shared = np.flatnonzero(of[order] > 1).astype(np.int32)
+            grams.append(found[order[shared]])
+            sigs.append(np.full(len(shared), sig))
+            sizes.append(np.full(len(shared), n, np.int32))
+            places.append(shared)
+        join = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts])
+        return pa.Table.from_batches([record(_PREFIX, signed(join(grams, np.uint64)), join(sigs, np.int64), join(sizes, np.int32), join(places, np.int32))])
     return run
 
 
@@ -139,18 +182,34 @@ class _Join:
         apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in pairs), F.lit(0))
         return apart <= n1 + n2 - 2 * self._needed(n1, n2)
 
+    def _owned(self) -> tuple[DataFrame, int]:
+        """Documents and the owners of the classes, in blocks by key, and the bytes of all texts; a hot key's rows are dealt on."""
+        size = F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES
+        docs = self.docs.where("key is not null").select("key", "text", F.lit(None).cast("bigint").alias("sig"))
+        total = docs.agg(F.sum(size)).first()[0] or 0
+        blocks = max(1, -(-total // BLOCK_BYTES))
+        # Fewer rows than half the blocks.
+        hot = cut(docs.groupBy("key").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > 2 * BLOCK_BYTES).select(
+            "key", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("parts")))
+        owners = self.classes.select("key", F.lit(None).cast("string").alias("text"), "sig")
+        if hot.isEmpty():
+            both = docs.unionByName(owners).withColumn("part", F.lit(0))
+        else:
+            parts = F.coalesce("parts", F.lit(1))
+            dealt_out = docs.join(F.broadcast(hot), "key", "left").withColumn("part", F.pmod(F.xxhash64("text"), parts).cast("int"))
+            everywhere = owners.join(F.broadcast(hot), "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+            both = dealt_out.unionByName(everywhere).drop("parts")
+        return both.withColumn("block", F.pmod(F.xxhash64("key", "part"), F.lit(blocks)).cast("int")).drop("part"), total
+
     def members(self) -> DataFrame:
         """Prefix rows of the n-grams that more than one class has in its prefix."""
-        frequency = np.zeros(BUCKETS, np.int64)
-        counts = self.docs.mapInArrow(_counted(self.size), _ddl(_COUNTS)).groupBy("bucket").agg(F.sum("uses").alias("uses"))
-        for bucket, uses in counts.collect():  # BUCKETS rows at most
-            frequency[bucket] = uses
-        make = _prefixes(self.size, self.num, self.den, self.spark.sparkContext.broadcast(frequency))
-        prefix = self.docs.where("key is not null").mapInArrow(make, _ddl(_PREFIX))
-        shared = cut(prefix.groupBy("gram").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("rows"))
-                     .where("lo <> hi").select("gram", "rows"))
-        side = F.broadcast(shared) if small(shared, BROADCAST_ROWS) else shared
-        return cut(prefix.join(side, "gram").groupBy("gram", "sig").agg(
+        rows, total = self._owned()
+        shards = max(1, -(-total // SHARD_BYTES))
+        prefix = cut(asked(dealt(rows, "block"), "block", _asking(self.size, shards), _answer,
+                           _prefixes(self.size, shards, self.num, self.den), _ddl(_PREFIX)))
+        shared = prefix.groupBy("gram").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("rows")).where(
+            "lo <> hi").select("gram", "rows")
+        return cut(prefix.join(shared, "gram").groupBy("gram", "sig").agg(
             F.first("n").alias("n"), F.min("pos").alias("pos"), F.max("rows").alias("rows")))
 
     def verify(self, pairs: DataFrame) -> None:
@@ -203,15 +262,21 @@ class _Join:
         return pairs.join(side("a"), "a").join(side("b"), "b").where(allow).select("a", "b")
 
     def across(self, rows: DataFrame) -> DataFrame:
-        """All pairs of an n-gram's members in different components: its smaller components against all members."""
+        """All pairs of an n-gram's members in different components: its smaller components against all members.
+
+        A frequent n-gram's members are dealt to parts, and the members of its smaller components come to every part.
+        """
         sizes = rows.groupBy("gram", "component").agg(F.count("*").alias("c"))
         mixed = sizes.groupBy("gram").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k"))
-        open_ = cut(rows.join(mixed.where("k > 1").drop("k"), "gram").join(self.classes.select("sig", *SKETCH), "sig"))
-        few = open_.where("component <> main").alias("p")
+        parts = F.ceil(F.col("rows") / MEMBERS).cast("int")
+        open_ = cut(rows.join(mixed.where("k > 1").drop("k"), "gram").join(self.classes.select("sig", *SKETCH), "sig").withColumn(
+            "parts", parts))
+        few = open_.where("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("p")
+        all_ = open_.withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).alias("q")
         once = (F.col("q.component") == F.col("q.main")) | (F.col("p.sig") < F.col("q.sig"))
         allow = self._sketches_allow(F.col("p.n"), F.col("q.n"), [(F.col(f"p.{s}"), F.col(f"q.{s}")) for s in SKETCH])
-        met = few.join(open_.alias("q"), (F.col("p.gram") == F.col("q.gram")) & (F.col("p.component") != F.col("q.component"))
-                       & once & self._may_reach("p", "q") & allow)
+        met = few.join(all_, (F.col("p.gram") == F.col("q.gram")) & (F.col("p.part") == F.col("q.part"))
+                       & (F.col("p.component") != F.col("q.component")) & once & self._may_reach("p", "q") & allow)
         return met.select(F.least("p.sig", "q.sig").alias("a"), F.greatest("p.sig", "q.sig").alias("b")).distinct()
 
     def every_pair(self) -> DataFrame:
