@@ -201,6 +201,21 @@ def totals_before(sizes: Column) -> Column:
     return let(_blocks(sizes), summed)
 
 
+def running(items: Column, zero: Column, step: Callable[[Column, Column], Column], shown: Callable[[Column, Column], Column],
+            kind: str) -> Column:
+    """``shown(state, item)`` of every item, a ``kind`` each, with the state that the items before it left, block by block."""
+
+    def block(part: Column, state: Column) -> Column:
+        return F.aggregate(part, F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out")), lambda acc, x: F.struct(
+            step(acc["state"], x).alias("state"), F.array_append(acc["out"], shown(acc["state"], x).cast(kind)).alias("out")))
+
+    return F.aggregate(
+        _blocks(items), F.struct(zero.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")),
+        lambda acc, part: let(block(part, acc["state"]), lambda r: F.struct(
+            r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out"))),
+        lambda acc: F.flatten(acc["out"]))
+
+
 def places(text: Column, word: Column) -> Column:
     """Where a word of letters, digits and underscores occurs in a text, from 0 on, overlapping occurrences included."""
     parts = F.split(text, F.concat(F.lit("(?="), word, F.lit(")")), -1)
