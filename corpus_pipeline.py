@@ -15,61 +15,78 @@ LEAST_SCORE = 0.5     # of the language named; below it no language has the majo
 DROPPED_ROWS = 2_000_000  # keys of dropped documents that may be sent to every executor
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Documents whose id is not in ``dropped`` (one column, ``__id``); a null id is in no table."""
-    keys = cut(dropped.where("__id is not null").distinct())
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a key of their id and text: decisions are about texts, whatever ids repeat or are missing."""
+    return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+
+
+def _without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows whose key is not in ``dropped`` (one column, ``__gone``)."""
+    keys = cut(dropped.distinct())
     side = F.broadcast(keys) if small(keys, DROPPED_ROWS) else keys
-    return docs.join(side, docs["doc_id"] == side["__id"], "left_anti")
+    return keyed.join(side, keyed["__key"] == side["__gone"], "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the network knows stay; texts without letters and undecided ones go."""
+    """Documents in a language the network knows stay; texts without letters and undecided ones go.
+
+    Every row is judged by its own text: null and empty texts go, rows that repeat an id or have none stay or go as
+    their texts say, repeated rows alike.  An empty table stays empty.
+    """
     network = language_id.fit(docs, seen=~held_out(F.col("doc_id"), 5, 0))
-    found = language_id.predict(docs, network)
+    keyed = _keyed(docs)
+    found = language_id.predict(keyed, network, key="__key")
     rejected = (F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LEAST_SCORE)
-    kept = _without(docs, found.where(rejected).select(F.col("doc_id").alias("__id")))
-    return kept.where(F.col("text").rlike(r"\p{L}"))  # the same for rows without an id
+    return _without(keyed, found.where(rejected).select(F.col("__key").alias("__gone"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id; rows without an id stay.
 
-    Of rows that repeat an id and its text, one stays; different texts under one id are documents of their own.
+    Of rows that repeat an id and its text, one stays; different texts under one id are documents of their own.  Null
+    texts and texts without words are nobody's copies.  An empty table stays empty.
     """
-    print_ = F.xxhash64("text").alias("__print")
-    texts = cut(docs.where("doc_id is not null").select("doc_id", print_).distinct())
-    if not texts.groupBy("doc_id").count().where("count > 1").isEmpty():
-        # Numbers in the order of the ids, so that the smallest id of a group stays.
-        numbers = cut(texts.repartitionByRange("doc_id", "__print").sortWithinPartitions("doc_id", "__print").withColumn(
-            "__number", F.monotonically_increasing_id()))
-        numbered = docs.where("doc_id is not null").withColumn("__print", F.xxhash64("text")).join(numbers, ["doc_id", "__print"])
-        alike = ngram_components(numbered, key="__number", size=5, numerator=80).where("__number <> component_id")
-        once = numbered.join(cut(alike.select("__number").distinct()), "__number", "left_anti").dropDuplicates(["__number"])
-        return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
-    groups = ngram_components(docs, size=5, numerator=80)
-    kept = _without(docs, groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")))
-    repeated = cut(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return kept
-    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(kept.where("doc_id is null"))
+    keyed = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    alike = cut(ngram_components(keyed, key="__key", size=5, numerator=80).where("__key is not null").select(
+        "__key", "component_id").distinct())
+    several = alike.where("__key <> component_id").select("component_id").distinct()
+    members = alike.join(several, "component_id", "left_semi").join(
+        keyed.select("doc_id", "__key").where("__key is not null").distinct(), "__key")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("first"))
+    gone = members.join(first, "component_id").where(F.col("__key") != F.col("first.__key"))
+    kept = _without(keyed, gone.select(F.col("__key").alias("__gone")))
+    twice = cut(kept.where("__key is not null").groupBy("__key").count().where("count > 1").select(F.col("__key").alias("__twice")))
+    side = F.broadcast(twice) if small(twice, DROPPED_ROWS) else twice
+    repeats = kept["__key"] == side["__twice"]
+    once = kept.join(side, repeats, "left_semi").dropDuplicates(["__key"])
+    return kept.join(side, repeats, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents that hold a passage of the benchmark go, row by row, whatever ids repeat or are missing.
+
+    Null and empty texts hold none and stay; repeated rows go or stay alike.  An empty table stays empty.
+    """
+    keyed = _keyed(docs)
+    hit = decontamination.matches(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__key")
+    return _without(keyed, hit.select(F.col("__key").alias("__gone"))).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to its kind; ``n_chars`` is counted anew."""
+    """Personal data gives way to its kind; ``n_chars`` is counted anew.
+
+    Null texts stay null, repeated rows are changed alike, and no row goes.  An empty table stays empty.
+    """
     changed = personal_data.redact(docs)
     return changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else changed
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 1024, 512, 256 and 128 tokens."""
-    pieces = packing.pack(docs, vocabulary("byte_bpe_50k.json"))
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    """Pieces of all documents in sequences of 1024, 512, 256 and 128 tokens, with the checksum of their ids.
+
+    Null and empty texts are the end id alone; repeated rows are packed each; an empty table gives no pieces.
+    """
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), checksums=True)
 
 
 STAGES = [
