@@ -138,6 +138,8 @@ def _encoded(path: str, end_id: int, base: int, shard_tokens: int):
         coder = Coder.of(path)
         for some in in_slices(batches, coder.forget):
             for key, ids in zip(some.column("doc_id").to_pylist(), coder.encode(some.column("text").to_pylist())):
+                if ids and np.frombuffer(ids, "<u4").max() >= base:
+                    raise ValueError(f"a token id is not below base, {base}")
                 keys.append(key)
                 held.append(ids + end)
                 size += len(ids) // 4 + 1
@@ -154,11 +156,16 @@ def write(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_id", te
     """Write the ids of all documents in ascending key order as shards of about ``shard_tokens`` ids.
 
     Null and empty texts are the end id alone; rows with a null key come first; rows with the same key keep their own
-    entries.  ``base`` is any number above all token ids.  The key order comes from a range partitioning, each part is
+    entries, in the order of a hash of their texts.  Texts of any length are encoded whole; an empty table gives no
+    shards; other columns are not read.  ``base`` is any number above all token ids.  The key order comes from a range partitioning, each part is
     encoded on its own, and a part's shards hold at most one document more than ``shard_tokens`` ids.
     """
+    if end_id >= base:
+        raise ValueError("base must be above the end id")
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Equal keys are ordered by a hash of their texts, so that rows without a key, or under one, are in several parts.
+    tie = F.xxhash64("text")
+    ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
     ordered.mapInArrow(_encoded(vocabulary, end_id, base, shard_tokens), _SHARD_DDL).write.parquet(folder)
 
 

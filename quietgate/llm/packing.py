@@ -11,6 +11,7 @@ powers of two, so nothing is padded.  Sequences of one tier are dealt to step gr
 
 from __future__ import annotations
 
+import zlib
 from collections import deque
 
 import numpy as np
@@ -24,11 +25,10 @@ from quietgate.llm.tokens import Coder
 TIERS = (1024, 512, 256, 128)
 STEP_TOKENS = 8192
 END_ID = 0
-_PIECE = pa.schema([
+_PLACE = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("tier", pa.int32()),
-    ("step_group", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
-_PIECE_DDL = ("doc_id bigint, start bigint, length bigint, doc_tokens bigint, tier int, step_group bigint, sequence_id bigint, "
-              "offset bigint, ids binary")
+    ("step_group", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+_PLACE_DDL = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, tier int, step_group bigint, sequence_id bigint, offset bigint"
 Piece = tuple  # (doc_id, start, doc_tokens, ids)
 
 
@@ -105,15 +105,17 @@ class Packer:
             self._fill(size, next(t for t in self.tiers if self.pools[t]))
 
 
-def _packed(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int):
+def _packed(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, checksums: bool):
+    schema = _PLACE.append(pa.field("ids_crc32", pa.int64()) if checksums else pa.field("ids", pa.binary()))
+
     def run(batches: Batches) -> Made:
         packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens)
         end = np.array([end_id], "<u4").tobytes()
 
         def rows():
-            columns = list(zip(*packer.rows))
+            *places, ids = zip(*packer.rows)
             packer.rows = []
-            return record(_PIECE, *columns)
+            return record(schema, *places, list(map(zlib.crc32, ids)) if checksums else ids)
 
         coder = Coder.of(path)
         for some in in_slices(batches, coder.forget):
@@ -129,12 +131,15 @@ def _packed(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int):
 
 
 def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID,
-         tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
+         tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, checksums: bool = False) -> DataFrame:
     """Pieces of all documents, placed in sequences: (doc_id, start, length, doc_tokens, tier, step_group, sequence_id, offset, ids).
 
     ``tiers`` are powers of two from the longest to the shortest.  A document's ids are followed by ``end_id``; null and
     empty texts are ``end_id`` alone; a null key stays null; repeated rows are packed each.  ``tier`` is the sequence's
-    length.  Every id lies in exactly one piece.
+    length.  Every id lies in exactly one piece.  With ``checksums``, ``ids_crc32`` (of the little-endian ids) comes
+    instead of the ids, worked out where they are made.  Texts of any length are cut into as many windows as they fill;
+    an empty table gives no pieces; other columns are not read.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_packed(vocabulary, end_id, tuple(sorted(tiers, reverse=True)), step_tokens), _PIECE_DDL)
+    return rows.mapInArrow(_packed(vocabulary, end_id, tuple(sorted(tiers, reverse=True)), step_tokens, checksums),
+                           f"{_PLACE_DDL}, {'ids_crc32 bigint' if checksums else 'ids binary'}")

@@ -51,9 +51,8 @@ def op6_personal_data(spark, sf_dir):
 
 
 def op7_packing(spark, sf_dir):
-    pieces = packing.pack(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
-                         "tier", "step_group")
+    pieces = packing.pack(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), checksums=True)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
 def op8_language_id(spark, sf_dir):

@@ -18,7 +18,7 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-_KNOWN_PIECES = 600_000  # remembered per worker, about 100 MB; beyond it the memory is emptied
+_KNOWN_PIECES = 250_000  # remembered per worker in each of two tables, about 50 MB; beyond it the memory is emptied
 _NOT_LATIN = re.compile("[^\x00-ɏ]|İ")
 _loaded: dict[str, Coder] = {}
 
