@@ -19,13 +19,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quietgate.functions.text import let, replace_from_right, spans
+from quietgate.functions.text import let, replace_from_right, running, spans
 from quietgate.llm.common import cut
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("format", "check", "gazetteer", "context", "boundary")
 ACCEPT = 0.5
-NEAR = 4  # neighbours on either side that an added span is checked against for overlaps
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _OCTET = "(?:0++|0*+(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5]))"
@@ -210,17 +209,31 @@ def fit(found: DataFrame, column: str = "candidates") -> Classifier:
 
 
 def accepted(column: Column, classifier: Classifier) -> Column:
-    """Base spans, and other candidates that the classifier accepts and that overlap none of their neighbours."""
-    def free(all_: Column, s: Column, i: Column) -> Column:
-        clash = F.lit(False)
-        for step in range(1, NEAR + 1):
-            for other in (F.get(all_, F.when(i >= step, i - step)), F.get(all_, i + step)):
-                clash = clash | F.coalesce((other["start"] < s["end"]) & (s["start"] < other["end"]) &
-                                           (other["base"] | (other["start"] < s["start"])), F.lit(False))
-        return ~clash
+    """Base spans, and other candidates that the classifier accepts and that overlap no base span and none that starts before."""
+    reached = "struct<start:int,before:int,base:int,every:int>"
+    zero = F.struct(F.lit(-1).alias("start"), F.lit(0).alias("before"), F.lit(0).alias("base"), F.lit(0).alias("every")).cast(reached)
+
+    def before(state: Column, s: Column) -> Column:
+        """Where the spans that start before this one end at most."""
+        return F.when(s["start"] == state["start"], state["before"]).otherwise(state["every"])
+
+    def onward(state: Column, s: Column) -> Column:
+        return F.struct(
+            s["start"].alias("start"), before(state, s).alias("before"),
+            F.when(s["base"], F.greatest(state["base"], s["end"])).otherwise(state["base"]).alias("base"),
+            F.greatest(state["every"], s["end"]).alias("every")).cast(reached)
+
+    def kept(all_: Column) -> Column:
+        ends = running(all_, zero, onward, lambda state, s: F.greatest(before(state, s), state["base"]), "int")
+        never = F.lit((1 << 31) - 1)
+        next_base = F.reverse(running(F.reverse(all_), never, lambda state, s: F.when(s["base"], s["start"]).otherwise(state), lambda state, s: state, "int"))
+        marked = F.zip_with(all_, F.zip_with(ends, next_base, lambda e, n: F.struct(e.alias("e"), n.alias("n"))), lambda s, x: F.struct(
+            s.alias("s"), (s["base"] | (x["e"] <= s["start"]) & (x["n"] >= s["end"])).alias("free")))
+        return F.transform(F.filter(marked, lambda m: m["free"]), lambda m: m["s"])
 
     chosen = F.filter(column, lambda s: s["base"] | (classifier.score(s) >= ACCEPT))
-    return let(chosen, lambda c: F.filter(c, lambda s, i: s["base"] | free(c, s, i)))
+    # Only where something was added is there anything to clear away.
+    return let(chosen, lambda c: F.when(F.exists(c, lambda s: ~s["base"]), kept(c)).otherwise(c))
 
 
 def _listed(column: Column) -> Column:
@@ -233,6 +246,7 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     The counts and the digest are those of the base spans; ``spans`` lists base and added spans as kind:start:end.  Null
     and empty texts have none; repeated rows are searched each; a null key stays null; an empty table gives no rows.
+    Texts of any length are searched whole; other columns are not read.
     """
     found = cut(candidates(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__text").select("__key", "candidates"))
     classifier = fit(found)

@@ -366,3 +366,25 @@ def test_every_word_has_its_own_sums_however_the_words_are_dealt(documents, monk
     for w, sums in want.items():
         assert (np.array(got[int(quality_classifier.word_hashes([w.encode()]).view(np.int64)[0])]) == sums).all()
     assert (np.abs(quality_classifier.index_vectors(hashes)).sum(1) == quality_classifier.SIGNS).all()
+
+
+def test_added_spans_overlap_nothing_however_far_away(spark):
+    chance = random.Random(7)
+    kind = "array<struct<start:int,kind:int,end:int,base:boolean,votes:int>>"
+    rows = []
+    for i in range(60):
+        found = set()
+        for _ in range(chance.choice([0, 1, 5, 40, 300])):
+            start = chance.randrange(900)
+            found.add((start, chance.randrange(4), start + chance.choice([1, 5, 20, 400]), chance.random() < 0.3, chance.choice([0, 242])))
+        rows.append((i, sorted(found)))
+    classifier = personal_data.train([(k, (2,) * 5, 50) for k in range(4)] + [(k, (0,) * 5, 50) for k in range(4)])
+    df = spark.createDataFrame(rows, f"id int, c {kind}")
+    scored = df.select("id", personal_data.accepted(F.col("c"), classifier).alias("kept"),
+                       F.transform("c", lambda s: classifier.score(s) >= personal_data.ACCEPT).alias("yes")).collect()
+    all_of = dict(rows)
+    for r in scored:
+        chosen = [s for s, yes in zip(all_of[r["id"]], r["yes"]) if s[3] or yes]
+        want = [s for s in chosen if s[3] or not any(
+            o is not s and o[0] < s[2] and s[0] < o[2] and (o[3] or o[0] < s[0]) for o in chosen)]
+        assert [tuple(s) for s in r["kept"]] == want
