@@ -11,7 +11,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quietgate.llm.common import Batches, Made, in_slices, record
+from quietgate.llm.common import Batches, Made, cut, in_slices, record
 from quietgate.llm.tokens import Coder
 
 BLOCK = 1024
@@ -34,9 +34,11 @@ def histogram(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame
     length; n_docs and n_tokens of that length; docs_at_least and tokens_at_least (the suffix sums); docs_at_most;
     truncated_tokens (all tokens kept when every document is cut to ``length``); lost_tokens (what that cuts off);
     total_docs and total_tokens.  Null and empty texts have length 0; repeated rows count each; an empty table gives no rows.
+    Texts of any length are encoded whole; other columns are not read.
     """
     counted = docs.select(F.col(text).alias("text")).mapInArrow(_counted(vocabulary), "length bigint, docs bigint")
-    lengths = counted.groupBy("length").agg(F.sum("docs").alias("n_docs")).withColumns({
+    # Used twice below; cut, so that the texts are encoded once.
+    lengths = cut(counted.groupBy("length").agg(F.sum("docs").alias("n_docs"))).withColumns({
         "n_tokens": F.col("length") * F.col("n_docs"), "block": F.floor(F.col("length") / BLOCK)})
     sums = lengths.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     above = Window.orderBy(F.desc("block"))
