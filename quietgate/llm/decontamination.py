@@ -113,7 +113,9 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
     ``start`` counts the document's words (runs of letters and digits).  Items of fewer than five words have no shingle
     and match nothing, and so do null and empty texts; documents with a null key are reported as one.
-    Every text of a repeated or null item key is searched; the most similar of them is reported under that key.  Repeated rows are reported once; a benchmark or a table without rows gives none.
+    Every text of a repeated or null item key is searched; the most similar of them is reported under that key, of
+    equally similar windows the first.  Repeated rows are reported once; a benchmark or a table without rows gives none.
+    Texts of any length are searched whole, and only the key and text columns are read.
     """
     bench = _Benchmark(items, item_key, item_text)
     rows = _shingled(docs, key, text)

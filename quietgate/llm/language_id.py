@@ -219,7 +219,8 @@ def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", text:
     """(key, lang_pred, score, held_out) of every row, from its whole text alone.
 
     Null texts and texts without a letter, and all texts if nothing was learned, are ``und`` with score 0.  Repeated rows
-    are labelled each, a null key stays null, and an empty table gives no rows.
+    are labelled each, a null key stays null, and an empty table gives no rows.  Of equally likely languages the first by
+    name is taken; texts of any length are read whole; other columns are not read.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"),
                        (F.lit(False) if held_out is None else held_out).alias("held_out"))

@@ -371,7 +371,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: C
 
     ``order`` is 2 or 3.  The model learns from the rows that are not held out.  Tokens are the whole text's words, A-Z lowered, and one end;
     null and empty texts are the end alone.  Repeated rows count and are scored each; a null key stays null; an empty
-    table gives no rows.
+    table gives no rows.  Texts of any length are counted and scored whole; other columns are not read.
     """
     aside = F.lit(False) if held_out is None else held_out
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), aside.alias("held_out"))

@@ -20,6 +20,22 @@ SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, c.component_id
 FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
 """
 
+OP2_LINKS = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS grams
+  FROM w),
+g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+counted AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a)
+SELECT s.doc_id, CASE WHEN len(grams) > 0 THEN min(s.doc_id) OVER (PARTITION BY grams) END AS class,
+  CAST(len(grams) AS BIGINT) AS n_shingles, CAST(coalesce(n, 0) AS BIGINT) AS n_links
+FROM s LEFT JOIN counted USING (doc_id)
+"""
+
 _RULES = {
     "few_words": "n_words < 20",
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
@@ -124,4 +140,5 @@ SELECT told.word, told.form, up.reached AS root, told.n, told.n_near, told.form_
 FROM told JOIN up ON up.word = told.word JOIN told AS ends ON ends.word = up.reached AND ends.form IS NULL
 """
 
-ORACLES = {"op4_quality_rules": OP4, "op2_ngram_jaccard_join": OP2, "op12_substring_dedup": OP12, "op13_spelling_variants": OP13}
+ORACLES = {"op4_quality_rules": OP4, "op2_ngram_jaccard_join": OP2, "op2_ngram_jaccard_links": OP2_LINKS,
+           "op12_substring_dedup": OP12, "op13_spelling_variants": OP13}

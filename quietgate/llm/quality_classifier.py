@@ -278,7 +278,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """(key, held_out, score) of every row from its whole text alone.
 
     Null and empty texts are scored like a text without words; repeated rows are scored each; a null key stays null; an
-    empty table gives no rows.
+    empty table gives no rows.  Texts of any length are read whole; other columns are not read.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"),
                        (F.lit(False) if held_out is None else held_out).alias("held_out"))

@@ -102,7 +102,8 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 
     A row is dropped if it fails the base rules, if its host is rejected, or if it fails a rule that documents of its
     host commonly fail.  Rows without a host form a host of their own; null and empty texts fail; a null key stays
-    null; repeated rows count each; an empty table gives no rows.
+    null; repeated rows count each; an empty table gives no rows.  Texts of any length are measured whole; other columns
+    are not read.
     """
     stats = cut(measured(docs, key, text, host))
     hosts = host_verdicts(stats)

@@ -22,6 +22,7 @@ def stage(spark, tmp_path):
         if name != "pack":
             assert made.columns == docs.columns
         return made
+    run.folder = str(tmp_path)
     run.items = {i: item_text(c, 30) for c in [random.Random(1)] for i in range(5)}
     return run
 
@@ -82,3 +83,29 @@ def test_different_texts_under_one_id_stay(stage):
     rows = [(3, a, "en"), (7, a, "en"), (7, b, "en"), (7, b, "en"), (8, c, "en"), (8, None, "en"), (9, b, "en"), (None, a, "en")]
     kept = [(r["doc_id"] or -1, r["text"]) for r in stage("near_duplicates", rows).collect()]
     assert sorted(kept, key=str) == sorted([(3, a), (7, b), (8, c), (8, None), (-1, a)], key=str)
+
+
+def test_language_judges_every_row_by_its_own_text(stage):
+    chance = random.Random(2)
+    rows = [(i, " ".join(chance.choices(w, k=40)), lang) for i in range(60)
+            for lang, w in [(("en"), ["the", "sea", "and"]), ("de", ["größe", "über", "der"])][i % 2:i % 2 + 1]]
+    clean = "the sea and the sea and the sea"
+    odd = [(900, clean, "en"), (900, "12345 ---", "en"), (901, None, "en"), (901, clean, None), (None, clean, None), (None, "12 34", None),
+           (902, clean, "en"), (902, clean, "en")]
+    kept = [(r["doc_id"], r["text"]) for r in stage("language", rows + odd).collect() if r["doc_id"] is None or r["doc_id"] >= 900]
+    assert sorted(kept, key=str) == sorted([(900, clean), (901, clean), (None, clean), (902, clean), (902, clean)], key=str)
+
+
+def test_contaminated_rows_go_whatever_their_id(stage):
+    filler = "plain words that fill the text " * 4
+    bad = filler + stage.items[2] + " " + filler
+    rows = [(901, bad, "en"), (901, filler, "en"), (None, bad, "en"), (None, filler, "en"), (5, bad, "en"), (5, bad, "en"), (6, filler, "en"),
+            (6, filler, "en"), (7, None, "en"), (7, bad, "en")]
+    kept = [(r["doc_id"], r["text"]) for r in stage("decontaminate", rows).collect()]
+    assert sorted(kept, key=str) == sorted([(901, filler), (None, filler), (6, filler), (6, filler), (7, None)], key=str)
+
+
+def test_empty_tables_stay_empty(spark, stage):
+    for name, _ in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame([], COLUMNS)
+        assert dict(corpus_pipeline.STAGES)[name](spark, docs, stage.folder).isEmpty()
