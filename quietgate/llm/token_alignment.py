@@ -28,8 +28,8 @@ from tokenizers import Tokenizer
 
 from quietgate.llm.blocks import MESSAGE_DDL, asked, dealt, in_blocks, in_order, messages, parts_of
 
-SHARD_BYTES = 32 << 20  # text whose distinct pieces one shard takes
-B_SHARDS = 16           # of B ids
+SHARD_BYTES = 16 << 20  # text whose distinct pieces one shard takes
+B_SHARDS = 16           # of B ids at least, and one more for every fourth shard of pieces
 _BREAK = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _ENCODE_AT_ONCE = 4096
 _OUT = ("key bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string")
@@ -247,7 +247,7 @@ def _asking(paths: tuple[str, str], shards: int):
 class _Pieces:
     """Distinct pieces of a shard, aligned, with the distinct id pairs they link and their counts."""
 
-    def __init__(self, table: pa.Table, paths: tuple[str, str], show: bool):
+    def __init__(self, table: pa.Table, paths: tuple[str, str], b_shards: int, show: bool):
         self.rows = in_order(table, "origin")
         numbered = _Numbered()
         self.asked, counts = [], []
@@ -266,14 +266,14 @@ class _Pieces:
         # Pairs are codes of B id and A id, so those of one B id lie side by side.
         self.codes, self.which = np.unique(np.concatenate([p.codes for p in parts]), return_inverse=True)
         self.uses = _summed(self.which, times[self.piece_of_link], len(self.codes))
-        shard = (self.codes >> np.uint64(32)).astype(np.int64) % B_SHARDS
+        shard = (self.codes >> np.uint64(32)).astype(np.int64) % b_shards
         self.order = np.argsort(shard, kind="stable")
         self.shards = shard[self.order]
 
 
-def _pair_counts(paths: tuple[str, str]):
+def _pair_counts(paths: tuple[str, str], b_shards: int):
     def run(table: pa.Table) -> pa.Table:
-        made = _Pieces(table, paths, False)
+        made = _Pieces(table, paths, b_shards, False)
         codes, uses = made.codes[made.order], made.uses[made.order]
         return messages([(made.rows[0][1], s, _packed(code=codes[x:y], n=uses[x:y])) for s, x, y in parts_of(made.shards)])
     return run
@@ -296,10 +296,10 @@ def _totals(table: pa.Table) -> pa.Table:
 _COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def _answering(paths: tuple[str, str]):
+def _answering(paths: tuple[str, str], b_shards: int):
     """What became of its pieces, to every block in the order asked."""
     def run(table: pa.Table, totals: pa.Table) -> pa.Table:
-        made = _Pieces(table, paths, True)
+        made = _Pieces(table, paths, b_shards, True)
         marked = np.zeros(len(made.codes), np.int64)
         marked[made.order] = np.concatenate([np.empty(0, np.int64), *(
             _whole_numbers(_unpacked(body), "n") for _, _, body in in_order(totals, "shard"))])
@@ -344,7 +344,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text
     paths, shards = (a_path, b_path), max(1, -(-total // SHARD_BYTES))
     blocks = dealt(rows, "block")
     pieces = dealt(blocks.groupBy("block").applyInArrow(_asking(paths, shards), MESSAGE_DDL), "shard")
-    answers = asked(pieces, "shard", _pair_counts(paths), _totals, _answering(paths), MESSAGE_DDL)
+    b_shards = B_SHARDS + shards // 4
+    answers = asked(pieces, "shard", _pair_counts(paths, b_shards), _totals, _answering(paths, b_shards), MESSAGE_DDL)
     made = blocks.groupBy("block").cogroup(answers.groupBy("origin")).applyInArrow(_finishing(paths, shards), _OUT)
     return made.withColumnRenamed("key", key)
 
