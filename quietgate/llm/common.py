@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,12 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+ROWS_A_PART = 200_000  # of a compact table of few narrow columns
 _KNOWN_WORDS = 300_000  # remembered hashes per worker; beyond it the memory is emptied
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one beside the warehouse where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; on one machine, beside the warehouse where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
@@ -29,6 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """A cut table in as few partitions as its rows need.
+
+    A small table in many partitions leaves a file for each of them in every shuffle that follows; a large one stays as it is.
+    """
+    return df.coalesce(max(1, -(-df.count() // ROWS_A_PART)))
+
+
 def small(df: DataFrame, most: int) -> bool:
     """At most ``most`` rows; decides whether a side may be broadcast."""
     return df.limit(most + 1).count() <= most
@@ -92,10 +104,17 @@ def in_slices(batches: Batches, forget: Callable[[], None], rows: int = 512) ->
         forget()
 
 
+def give_back() -> None:
+    """Workers live on between tasks; what a task has freed goes back to the system, where that is glibc."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def forget_words() -> None:
     """Workers live on between tasks and should not keep a task's memory."""
     _seen.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:

@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quietgate.llm.common import cut
+from quietgate.llm.common import ROWS_A_PART, cut
 
 
-def _to_smallest_neighbour(edges: DataFrame) -> DataFrame:
+def _to_smallest_neighbour(edges: DataFrame, parts: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.coalesce(parts).distinct().coalesce(parts)
 
 
-def _to_smallest_below(edges: DataFrame) -> DataFrame:
+def _to_smallest_below(edges: DataFrame, parts: int) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.withColumnRenamed("m", "v")).distinct()
+    return moved.unionByName(least.withColumnRenamed("m", "v")).coalesce(parts).distinct().coalesce(parts)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -34,6 +35,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if digest == before or not digest[0]:
             break
         before = digest
-        edges = cut(_to_smallest_below(_to_smallest_neighbour(edges)))
+        parts = max(1, -(-digest[0] // ROWS_A_PART))  # few edges in many partitions would leave many files
+        edges = cut(_to_smallest_below(_to_smallest_neighbour(edges.coalesce(parts), parts), parts))
     roots = edges.select("v").distinct().select(F.col("v").alias("u"), "v")
     return edges.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quietgate.llm.blocks import BLOCK_BYTES, ROW_BYTES, asked, dealt, in_order, messages, pack_sorted, parts_of, unpack_sorted
-from quietgate.llm.common import Batches, Made, cut, forget_words, in_slices, record, shingles, signed, small, texts, words_of
+from quietgate.llm.common import Batches, Made, compact, cut, forget_words, give_back, in_slices, record, shingles, signed, small, texts, words_of
 from quietgate.llm.components import components
 
 SHARD_BYTES = 16 << 20  # text whose n-grams one shard counts
@@ -134,7 +134,10 @@ def _prefixes(size: int, shards: int, num: int, den: int):
             sizes.append(np.full(len(shared), n, np.int32))
             places.append(shared)
         join = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts])
-        return pa.Table.from_batches([record(_PREFIX, signed(join(grams, np.uint64)), join(sigs, np.int64), join(sizes, np.int32), join(places, np.int32))])
+        made = record(_PREFIX, signed(join(grams, np.uint64)), join(sigs, np.int64), join(sizes, np.int32), join(places, np.int32))
+        del sets, classes, grams
+        give_back()
+        return pa.Table.from_batches([made])
     return run
 
 
@@ -205,32 +208,32 @@ class _Join:
         """Prefix rows of the n-grams that more than one class has in its prefix."""
         rows, total = self._owned()
         shards = max(1, -(-total // SHARD_BYTES))
-        prefix = cut(asked(dealt(rows, "block"), "block", _asking(self.size, shards), _answer,
-                           _prefixes(self.size, shards, self.num, self.den), _ddl(_PREFIX)))
+        prefix = compact(cut(asked(dealt(rows, "block"), "block", _asking(self.size, shards), _answer,
+                           _prefixes(self.size, shards, self.num, self.den), _ddl(_PREFIX))))
         shared = prefix.groupBy("gram").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("rows")).where(
             "lo <> hi").select("gram", "rows")
-        return cut(prefix.join(shared, "gram").groupBy("gram", "sig").agg(
-            F.first("n").alias("n"), F.min("pos").alias("pos"), F.max("rows").alias("rows")))
+        return compact(cut(prefix.join(shared, "gram").groupBy("gram", "sig").agg(
+            F.first("n").alias("n"), F.min("pos").alias("pos"), F.max("rows").alias("rows"))))
 
     def verify(self, pairs: DataFrame) -> None:
         """Compare the sets of new pairs (a, b) and keep those that reach the threshold as links."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+        pairs = compact(cut(pairs))
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         if pairs.isEmpty():
             found = pairs
         else:
             involved = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-            keys = cut(self.classes.join(involved, "sig", "left_semi").select("key"))
+            keys = compact(cut(self.classes.join(involved, "sig", "left_semi").select("key")))
             side = F.broadcast(keys) if small(keys, BROADCAST_ROWS) else keys
             # A repeated key may bring a set twice or bring another one: no harm, as the links are made distinct.
             sets = self.docs.join(side, "key", "left_semi").mapInArrow(_set_rows(self.size), _ddl(_SETS)).where("sig is not null")
             both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("x")), "a").join(
                 sets.select(F.col("sig").alias("b"), F.col("grams").alias("y")), "b")
             common = F.size(F.array_intersect("x", "y"))
-            found = cut(both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y")).alias("t")).where(
-                F.lit(self.den) * F.col("i") >= F.lit(self.num) * (F.col("t") - F.col("i"))).select("a", "b").distinct())
+            found = compact(cut(both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y")).alias("t")).where(
+                F.lit(self.den) * F.col("i") >= F.lit(self.num) * (F.col("t") - F.col("i"))).select("a", "b").distinct()))
         self.links = found if self.links is None else self.links.unionByName(found)
 
     def labelled(self, rows: DataFrame) -> DataFrame:
@@ -298,8 +301,8 @@ class _Join:
         for turn in range(turns):
             self.verify(self.neighbours(rows, turn))
             if turn == 0:
-                members = cut(members.where(F.col("rows") > NEIGHBOURS + 1))  # the pairs of the others have all met
-            rows = cut(self.labelled(members))
+                members = compact(cut(members.where(F.col("rows") > NEIGHBOURS + 1)))  # the pairs of the others have all met
+            rows = compact(cut(self.labelled(members)))
         self.verify(self.across(rows))
         return components(self.links)
 
@@ -311,7 +314,8 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     Two documents link when ``denominator * |A and B| >= numerator * |A or B|`` for their sets of distinct ``size``-word
     n-grams of whole, A-Z-lower-cased texts.  ``component_id`` is the smallest key reachable by links.  A shorter text is
     one n-gram; null texts and texts without words have none and link with nothing; rows without a key link with
-    nothing and have a null component.  Repeated rows are copies of each other.  Other columns are not looked at.
+    nothing and have a null component.  Repeated rows are copies of each other.  Texts of any length are compared whole;
+    an empty table gives no rows.  Other columns are not looked at.
     """
     join = _Join(docs, key, text, size, numerator, denominator)
     found = join.run(turns).withColumnRenamed("node", "sig")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from quietgate.llm.blocks import MESSAGE_DDL, asked, dealt, in_blocks, in_order, messages, parts_of
+from quietgate.llm.common import give_back
 
 SHARD_BYTES = 16 << 20  # text whose distinct pieces one shard takes
 B_SHARDS = 16           # of B ids at least, and one more for every fourth shard of pieces
@@ -325,7 +326,10 @@ def _finishing(paths: tuple[str, str], shards: int):
             running = np.append(0, np.cumsum(per_piece[flat]))
             sums[name] = running[ends[1:]] - running[ends[:-1]]
         groups = [";".join(map(shown.__getitem__, d.tolist())) for d in block.documents]
-        return pa.table({"key": pa.array(block.keys, pa.int64()), **sums, "groups": pa.array(groups, pa.string())})
+        made = pa.table({"key": pa.array(block.keys, pa.int64()), **sums, "groups": pa.array(groups, pa.string())})
+        del block, parts, shown, groups
+        give_back()
+        return made
     return run
 
 

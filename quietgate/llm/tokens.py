@@ -18,6 +18,8 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
+from quietgate.llm.common import give_back
+
 _KNOWN_PIECES = 250_000  # remembered per worker in each of two tables, about 50 MB; beyond it the memory is emptied
 _NOT_LATIN = re.compile("[^\x00-ɏ]|İ")
 _loaded: dict[str, Coder] = {}
@@ -61,6 +63,7 @@ class Coder:
         """Workers live on between tasks and should not keep a task's memory."""
         self.known.clear()
         self.tokens.clear()
+        give_back()
 
     @staticmethod
     def _plan(spec: dict):
