@@ -213,7 +213,7 @@ def _whole_numbers(table: pa.Table, column: str) -> np.ndarray:
 
 
 class _Block:
-    """A block's documents as numbers of distinct pieces, which are ordered by their shards."""
+    """A block's documents as numbers of distinct pieces, which are ordered by their shards and texts."""
 
     def __init__(self, table: pa.Table, paths: tuple[str, str], shards: int):
         self.keys, texts = table.column("key").to_pylist(), table.column("text").to_pylist()
@@ -226,13 +226,13 @@ class _Block:
             if lossy and pieces and not lossy.isdisjoint(text) and not Alignment(pieces, Tokenizers.of(paths), False).sound.all():
                 pieces = []  # a text that does not come back has no tokens at all
             self.documents.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
-        pieces = list(numbered)
+        pieces = sorted(numbered)  # a block read again may have its rows in another order: the pieces keep theirs
         hashed = np.fromiter((xxhash.xxh3_64_intdigest(p.encode()) for p in pieces), np.uint64, len(pieces))
         shard = ((hashed >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         self.pieces, self.shards = [pieces[i] for i in order.tolist()], shard[order]
         place = np.empty(len(pieces), np.int64)
-        place[order] = np.arange(len(pieces))
+        place[np.fromiter(map(number, self.pieces), np.int64, len(pieces))] = np.arange(len(pieces))
         self.documents = [place[d] for d in self.documents]
 
 

@@ -7,6 +7,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -256,6 +258,23 @@ def test_alignment_of_a_corpus(documents, monkeypatch, block_bytes):
     assert hashed[100] == hashed[104] == "" and hashed[1] == hashlib.sha256(want[1][7].encode()).hexdigest()
 
 
+def test_alignment_in_whatever_order_a_block_is_read():
+    """A remote shuffle gives a block's rows in one order when it asks and in another when it takes the answers."""
+    chance = random.Random(4)
+    rows = [(i, " ".join(chance.choices(["unbelievable", "Straße", "the", "naïve,", "I'm", "12345", "x=y;", "😀😀"], k=3))) for i in range(30)]
+    table = pa.table({"key": [k for k, _ in rows], "text": [t for _, t in rows], "block": pa.array([5] * len(rows), pa.int32())})
+    only = lambda messages, column, n: messages.filter(pc.equal(messages.column(column), n))
+    asked = token_alignment._asking(PATHS, 3)(table)
+    shards = [only(asked, "shard", s) for s in range(3)]
+    pairs = pa.concat_tables([token_alignment._pair_counts(PATHS, 2)(part) for part in shards])
+    totals = pa.concat_tables([token_alignment._totals(only(pairs, "shard", s)) for s in range(2)])
+    answers = pa.concat_tables([token_alignment._answering(PATHS, 2)(part, only(totals, "origin", s)) for s, part in enumerate(shards)])
+    want = plain_alignment(rows)
+    for read in (table, table.take(list(reversed(range(len(rows)))))):
+        found = token_alignment._finishing(PATHS, 3)(read, answers).to_pylist()
+        assert sorted(tuple(r.values()) for r in found) == want
+
+
 def test_alignment_of_nothing_and_of_a_very_long_text(documents):
     assert token_alignment.aligned(documents((1, "a")).where("false"), *PATHS).count() == 0
     assert [tuple(r)[1:] for r in token_alignment.aligned(documents((1, None), (2, "")), *PATHS).collect()] == [(0,) * 6 + ("",)] * 2
