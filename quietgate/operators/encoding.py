@@ -135,18 +135,29 @@ def _script_table() -> tuple[Column, Column, Column, int]:
     return *columns, len(listed)
 
 
-def scripts_of(text: Column) -> Column:
-    """Sorted first words of the names of all letters; each distinct non-ASCII character is looked up in a table."""
+def beyond_ascii(text: Column) -> Column:
+    """The non-ASCII characters of a text, in order."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lit("")).otherwise(F.regexp_replace(text, "[\\x00-\\x7f]+", ""))
+
+
+def scripts_of(text: Column, odd: Column) -> Column:
+    """Sorted first words of the names of all letters, ``odd`` being the non-ASCII characters.
+
+    Letters of the common Latin blocks are told by one class; each other distinct character is looked up in a table.
+    """
     first, last, names, size = _script_table()
-    odd = F.array_distinct(F.split(F.regexp_replace(text, "[\\x00-\\x7f]+", ""), ""))
+    common = script_class([r for r in script_ranges()["LATIN"] if r[1] < 0x300])
 
     def name(char: Column) -> Column:
         return let(F.ascii(char), lambda code: let(rank(first, code, size) - 1, lambda at: F.when(
             (at >= 0) & (F.get(last, at) >= code), F.get(names, at))))
 
-    latin = F.when(text.rlike("[A-Za-z]"), strings(["LATIN"])).otherwise(strings(()))
-    found = F.array_sort(F.array_distinct(F.concat(latin, F.array_compact(F.transform(odd, name)))))
-    return F.when(F.octet_length(text) == F.char_length(text), latin).otherwise(found)
+    def with_others(rest: Column) -> Column:
+        found = F.transform(F.array_distinct(F.split(rest, "")), name)
+        return F.when(rest == "", latin).otherwise(F.array_sort(F.array_distinct(F.concat(latin, F.array_compact(found)))))
+
+    latin = F.when(text.rlike("[A-Za-z]") | odd.rlike(common), strings(["LATIN"])).otherwise(strings(()))
+    return F.when(odd == "", latin).otherwise(let(F.regexp_replace(odd, common + "+", ""), with_others))
 
 
 def _class(chars: str) -> str:
@@ -154,23 +165,26 @@ def _class(chars: str) -> str:
 
 
 def unicode_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Counts behind the disguise findings plus the scripts found, all native."""
-    t = F.col(text)
+    """Counts behind the disguise findings plus the scripts found, all native.
+
+    Whatever is counted is outside ASCII, so one pass over the text leaves the few characters that the classes are tried on.
+    """
+    odd = F.col("__odd")
     glyphs, hidden = _class("".join(v.HOMOGLYPHS)), _class(v.INVISIBLE)
     codes = lambda cls: F.array_join(
         F.transform(
-            F.slice(F.regexp_extract_all(t, F.lit(cls), F.lit(0)), 1, 5),
+            F.slice(F.regexp_extract_all(odd, F.lit(cls), F.lit(0)), 1, 5),
             lambda c: F.concat(F.lit("U+"), F.lpad(F.hex(_codepoint(c)), 4, "0")),
         ), ", ")
-    return df.select(
+    return df.withColumn("__odd", beyond_ascii(F.col(text))).select(
         "*",
-        F.regexp_count(t, F.lit(glyphs)).alias("homoglyphs"),
+        F.regexp_count(odd, F.lit(glyphs)).alias("homoglyphs"),
         codes(glyphs).alias("homoglyph_codes"),
-        F.regexp_count(t, F.lit(hidden)).alias("invisibles"),
+        F.regexp_count(odd, F.lit(hidden)).alias("invisibles"),
         codes(hidden).alias("invisible_codes"),
-        F.regexp_count(t, F.lit(_class(v.RIGHT_TO_LEFT))).alias("right_to_left"),
-        scripts_of(t).alias("scripts"),
-    )
+        F.regexp_count(odd, F.lit(_class(v.RIGHT_TO_LEFT))).alias("right_to_left"),
+        scripts_of(F.col(text), odd).alias("scripts"),
+    ).drop("__odd")
 
 
 def _codepoint(char: Column) -> Column:

@@ -1,5 +1,6 @@
 """Results that must not depend on the order of rows, the length of texts, or a second try."""
 
+import re
 import time
 
 import pytest
@@ -58,6 +59,19 @@ def test_scripts_are_looked_up_for_every_character(texts):
     assert plan.count("RLIKE") < 10
 
 
+def test_disguise_is_counted_without_the_ascii_characters(texts):
+    """Classes of many characters are not tried on every character of a text."""
+    hidden = "a\u200bb\u00adc \u202e\u0430\u0435 z" * 3
+    df = texts(hidden, "plain", "", None, "über Ŀ Ẁ Ⅷ ªº µ")
+    counted = encoding.unicode_counts(df)
+    rows = counted.collect()
+    assert [(r.homoglyphs, r.invisibles, r.right_to_left) for r in rows] == [(6, 6, 3), (0, 0, 0), (0, 0, 0), (None,) * 3, (0, 0, 0)]
+    assert rows[0].homoglyph_codes == "U+0430, U+0435, U+0430, U+0435, U+0430" and rows[0].invisible_codes.startswith("U+200B, U+00AD, ")
+    assert rows[4].scripts == ["FEMININE", "LATIN", "MASCULINE", "MICRO"]
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"regexp_(count|extract_all)\(text#", plan)
+
+
 def test_many_hashed_entities_are_put_back_in_one_pass(spark):
     text = " ".join(f"user{i % 9000}@mail{i}.example.com," for i in range(16_000))
     df = spark.createDataFrame([(1, text), (2, "no data"), (3, None), (4, "a@b.co and a@b.co")], "id bigint, text string")
