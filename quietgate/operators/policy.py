@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quietgate import fixed_values as v
-from quietgate.functions.text import Forms, fenced, literals_of, number_text, rx, with_forms, worst_of
+from quietgate.functions.text import Forms, any_of, fenced, literals_of, number_text, rx, with_forms, worst_of
 
 RULES_SCHEMA = (
     "policy_ord int, policy string, description string, action string, severity string, enabled boolean, "
@@ -160,6 +160,19 @@ def violations_of(forms: Forms, policies: Sequence[Policy], score: Column | None
     return F.filter(F.array(*found), lambda x: x["matched_text"].isNotNull()).cast(VIOLATIONS_TYPE)
 
 
+def names_hit(df: DataFrame, policies: Sequence[Policy], text: str = "text", score: str | None = None, out: str = "hit") -> DataFrame:
+    """Names of the enabled policies that a text violates; a rule that several policies share is tested once."""
+    key = lambda r: (r.rule_type, r.pattern, r.keywords, r.threshold, r.evaluate, r.batch)
+    enabled = [p for p in policies if p.enabled]
+    rules = {key(r): r for p in enabled for r in p.rules}
+    column = {k: f"__rule{i}" for i, k in enumerate(rules)}
+    staged, forms, extra = with_forms(df, text, literals(enabled))
+    tested = staged.select("*", *(r.matched(forms, F.col(score) if score else None).isNotNull().alias(column[k]) for k, r in rules.items()))
+    hit = [F.when(any_of(F.col(column[key(r)]) for r in p.rules), F.lit(p.name)) for p in enabled if p.rules]
+    names = F.array_compact(F.array(*hit)) if hit else F.array().cast("array<string>")
+    return fenced(tested, out, names).drop(*extra, *column.values())
+
+
 def evaluate(df: DataFrame, policies: Sequence[Policy], text: str = "text", score: str | None = None,
              out: str = "policy") -> DataFrame:
     """Violations, worst action and worst severity as one struct column."""

@@ -72,6 +72,20 @@ def test_disguise_is_counted_without_the_ascii_characters(texts):
     assert not re.search(r"regexp_(count|extract_all)\(text#", plan)
 
 
+def test_a_rule_of_several_policies_is_tested_once(texts):
+    df = texts("call 555-123-4567 bomb", "a bomb", "nothing", "", None)
+    shared, word = policy.Rule("regex", "number", r"\b\d{3}-\d{4}\b"), policy.Rule("keyword", "word", keywords=("Bomb",))
+    rules = [policy.Policy(f"p{i}", (policy.Rule("regex", f"number {i}", shared.pattern), word)) for i in range(6)]
+    rules += [policy.Policy("number", (shared,)), policy.Policy("off", (word,), enabled=False), policy.Policy("none", ())]
+    found = policy.names_hit(df, rules)
+    six = [f"p{i}" for i in range(6)]
+    assert column(found, "hit") == [[*six, "number"], six, [], [], []]
+    listed = {p.name: [bool(x) for x in column(policy.evaluate(df, [p]), "policy.violations")] for p in rules}
+    assert {name: [name in hit for hit in column(found, "hit")] for name in listed} == listed
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\d{3}-\\d{4}") <= 2  # one test, one extraction
+
+
 def test_many_hashed_entities_are_put_back_in_one_pass(spark):
     text = " ".join(f"user{i % 9000}@mail{i}.example.com," for i in range(16_000))
     df = spark.createDataFrame([(1, text), (2, "no data"), (3, None), (4, "a@b.co and a@b.co")], "id bigint, text string")
