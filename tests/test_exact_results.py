@@ -6,8 +6,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from quietgate.functions.text import number_text
-from quietgate.operators import encoding, policy, redaction
+from quietgate.operators import encoding, pii, policy, redaction
 from quietgate.plans import scan
 from quietgate.sources import audit_sink
 from tests.conftest import column
@@ -86,6 +87,18 @@ def test_a_rule_of_several_policies_is_tested_once(texts):
     assert plan.count("\\d{3}-\\d{4}") <= 2  # one test, one extraction
 
 
+def test_texts_are_searched_once_for_all_strategies(spark, tmp_path, monkeypatch):
+    rows = [(i, "s", "en", f"mail a{i}@b.co or 10.0.0.{i} " * 2) for i in range(5)] + [(9, "s", "en", None), (10, "s", "en", "")]
+    spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    detected = []
+    monkeypatch.setattr(pii, "detect", lambda df, *a, run=pii.detect, **k: detected.append(1) or run(df, *a, **k))
+    found = queries.pii_reverse_placed(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.strategy, r.same) for r in found.collect()) == sorted(
+        (i, s, True if t is not None else None) for i, _, _, t in rows for s in ("hash", "anonymize"))
+    assert len(detected) == 1
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_many_hashed_entities_are_put_back_in_one_pass(spark):
     text = " ".join(f"user{i % 9000}@mail{i}.example.com," for i in range(16_000))
     df = spark.createDataFrame([(1, text), (2, "no data"), (3, None), (4, "a@b.co and a@b.co")], "id bigint, text string")
