@@ -49,8 +49,11 @@ def base64_items(text: Column) -> Column:
         spans(text, BASE64_START + v.BASE64_RUN),
         lambda s: _item(s["text"], decode(s["text"]), "base64", s["start"], s["end"]),
     )
+    # Long words are runs too; places are worked out only where a run is readable.
+    runs = F.regexp_extract_all(text, F.lit(BASE64_START + v.BASE64_RUN), F.lit(0))
+    readable = F.exists(runs, lambda run: let(decode(run), keep))
     printable = F.filter(items, lambda i: keep(i["decoded"]))
-    return F.when(text.rlike(BASE64_START + "[A-Za-z0-9+/]{16}"), printable).otherwise(_no_items())
+    return F.when(text.rlike(BASE64_START + "[A-Za-z0-9+/]{16}") & readable, printable).otherwise(_no_items())
 
 
 def rot13_items(forms: Forms) -> Column:

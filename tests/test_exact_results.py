@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import queries
-from quietgate.functions.text import number_text
+from quietgate.functions.text import number_text, spans
 from quietgate.operators import encoding, pii, policy, redaction
 from quietgate.plans import scan
 from quietgate.sources import audit_sink
@@ -99,6 +99,16 @@ def test_texts_are_searched_once_for_all_strategies(spark, tmp_path, monkeypatch
     assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_the_text_around_matches_is_split_once(texts):
+    """Not once more for every block of 128 matches; and base64 is placed only where a run is readable."""
+    df = texts("x " + "aGVsbG8gdGhlcmUsIGdlbmVyYWw= und " * 300 + "Donaudampfschifffahrtsgesellschaft", "Rechtsschutzversicherungsgesellschaft", None)
+    plan = df.select(spans(F.col("text"), "[0-9]+").alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    found = column(df.withColumn("i", encoding.base64_items(F.col("text"))), "i")
+    assert [(i.decoded, i.start) for i in found[0]] == [("hello there, general", 2 + 33 * n) for n in range(300)] and not found[1] and not found[2]
+    assert "exists(regexp_extract_all(" in df.select(encoding.base64_items(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_many_hashed_entities_are_put_back_in_one_pass(spark):
     text = " ".join(f"user{i % 9000}@mail{i}.example.com," for i in range(16_000))
     df = spark.createDataFrame([(1, text), (2, "no data"), (3, None), (4, "a@b.co and a@b.co")], "id bigint, text string")
