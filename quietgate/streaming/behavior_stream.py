@@ -8,6 +8,8 @@ micro-batch are ordered by (ts, event_id); rows older than the watermark are dro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -20,14 +22,21 @@ from quietgate.operators.behavior import FLAGS, SECOND, Limits, attempt_of
 from quietgate.streaming import micro_batches
 
 STATE = "event_id bigint, at bigint, inj boolean, tox boolean, blk boolean, conf double, attempt string"
+ROW = ("at", "event_id", "was_injection", "was_toxic", "was_blocked", "confidence", "attempt", "is_reset")
 OUTPUT = (
     "user_id string, event_id bigint, at bigint, n bigint, n_injection bigint, n_toxic bigint, n_blocked bigint, "
     "risk_score double, is_abusive boolean, abuse_type string, abuse_confidence double, recommended_action string"
 )
 
 
-def judge(history: list[tuple], limits: Limits) -> tuple[str | None, float, str]:
-    """(abuse type, confidence, action) of a history of (event_id, at, inj, tox, blk, conf, attempt)."""
+COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+
+
+def judge(history: list[tuple], limits: Limits, injected: int | None = None) -> tuple[str | None, float, str]:
+    """(abuse type, confidence, action) of a history of (event_id, at, inj, tox, blk, conf, attempt).
+
+    ``injected`` is the history's number of injections, where it is known.
+    """
     tried = [h[6] for h in history[-v.JAILBREAK_ROWS:] if h[2]]
     if len(tried) >= v.JAILBREAK_HITS:
         share = len(set(tried)) / len(tried)
@@ -40,7 +49,7 @@ def judge(history: list[tuple], limits: Limits) -> tuple[str | None, float, str]
             if share >= v.ESCALATION_SHARE:
                 return "escalation", share, "warn"
     for kind, count, threshold in (
-        ("repeated_injection", sum(h[2] for h in history), limits.injection_threshold),
+        ("repeated_injection", sum(h[2] for h in history) if injected is None else injected, limits.injection_threshold),
         ("volume_abuse", len(history), limits.volume_threshold),
     ):
         if count >= threshold:
@@ -64,32 +73,47 @@ class BehaviorProcessor(StatefulProcessor):
         self.past = handle.getListState("history", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        width = self.limits.seconds * SECOND
+        width, most = self.limits.seconds * SECOND, self.limits.max_rows
         history = [tuple(h) for h in self.past.get()]
+        had_history = bool(history)
+        counts = [sum(h[i] for h in history) for i in (2, 3, 4)]
+        in_order = all(a[1] <= b[1] for a, b in zip(history, history[1:]))
         out = []
-        for r in pd.concat(rows).sort_values(["at", "event_id"]).itertuples(index=False):
-            if r.is_reset:
-                history = []
+        fresh = chain.from_iterable(zip(*(part[c].tolist() for c in ROW)) for part in rows)
+        for at, event_id, injected, toxic, blocked, confidence, attempt, is_reset in sorted(fresh, key=itemgetter(0, 1)):
+            if is_reset:
+                history, counts, in_order = [], [0, 0, 0], True
                 continue
-            history.append((int(r.event_id), int(r.at), bool(r.was_injection), bool(r.was_toxic), bool(r.was_blocked),
-                            float(r.confidence), r.attempt))
-            history = [h for h in history[-self.limits.max_rows:] if h[1] >= r.at - width]
-            counts = [sum(h[i] for h in history) for i in (2, 3, 4)]
-            kind, confidence, action = judge(history, self.limits)
-            out.append((key[0], int(r.event_id), int(r.at), len(history), *counts, _risk(len(history), counts),
-                        kind is not None, kind, confidence, action))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+            in_order = in_order and (not history or history[-1][1] <= at)
+            history.append((event_id, at, injected, toxic, blocked, confidence, attempt))
+            if in_order:  # what leaves is at the beginning, so counts follow it
+                counts = [counts[0] + injected, counts[1] + toxic, counts[2] + blocked]
+                gone = max(0, len(history) - most)
+                while history[gone][1] < at - width:
+                    gone += 1
+                if gone:
+                    for h in history[:gone]:
+                        counts = [counts[0] - h[2], counts[1] - h[3], counts[2] - h[4]]
+                    del history[:gone]
+            else:
+                history = [h for h in history[-most:] if h[1] >= at - width]
+                counts = [sum(h[i] for h in history) for i in (2, 3, 4)]
+            kind, sure, action = judge(history, self.limits, counts[0])
+            out.append((key[0], event_id, at, len(history), *counts, _risk(len(history), counts), kind is not None, kind, sure, action))
+        if had_history:  # a user without one has no timer either
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         if history:
             self.past.put(history)
             self.handle.registerTimer((history[-1][1] + width) // 1000 + 1)
-        else:
+        elif had_history:
             self.past.clear()
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        if out:
+            yield pd.DataFrame(dict(zip(COLUMNS, map(list, zip(*out)))))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.past.clear()
-        yield pd.DataFrame()
+        return iter(())  # a frame for every user, even an empty one, would travel to the JVM as a batch of its own
 
     def close(self) -> None:
         pass

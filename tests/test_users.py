@@ -4,6 +4,7 @@ import time
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quietgate.functions.running import ranges, running_sums, slice_of, with_previous
@@ -382,3 +383,65 @@ def test_a_hot_user_inside_a_micro_batch(spark, tmp_path):
     found = micro_batches.judged(spark, f"{tmp_path}/out")
     assert found.count() == n and found.where("n = 100").count() == n - 99
     assert spark.read.parquet(f"{tmp_path}/out/state/0").count() == 100
+
+
+class StateInMemory:
+    """Handle and list state of one user; counts the calls that would cross to the JVM."""
+
+    def __init__(self):
+        self.history, self.timers, self.calls = [], [], []
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        return iter(self.history)
+
+    def put(self, history):
+        self.calls.append("put")
+        self.history = list(history)
+
+    def clear(self):
+        self.calls.append("clear")
+        self.history = []
+
+    def listTimers(self):
+        self.calls.append("listTimers")
+        return iter(self.timers)
+
+    def deleteTimer(self, timer):
+        self.timers.remove(timer)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_a_user_of_a_stream_costs_few_calls_and_keeps_late_rows_in_place():
+    limits = behavior.Limits(seconds=60, max_rows=8, volume_threshold=5)
+    draw, state = random.Random(4), StateInMemory()
+    processor = behavior_stream.BehaviorProcessor(limits)
+    processor.init(state)
+    plain, start, number = [], 0, 0
+    for _ in range(40):
+        rows = []
+        for _ in range(draw.randrange(1, 12)):
+            number += 1
+            rows.append((max(0, start + draw.randrange(-40, 60)) * 10 ** 6, number, draw.random() < 0.4, draw.random() < 0.3,
+                         draw.random() < 0.2, draw.random(), draw.choice(["a", "b", None]), draw.random() < 0.05))
+        start += 45
+        had = bool(plain)
+        state.calls.clear()
+        got = list(processor.handleInputRows(("u",), iter([pd.DataFrame(rows, columns=list(behavior_stream.ROW))]), None))
+        assert ("listTimers" in state.calls) == had  # a user without a history has no timer to look up
+        expected = []
+        for at, event, inj, tox, blk, conf, attempt, reset in sorted(rows, key=lambda r: r[:2]):
+            if reset:
+                plain = []
+                continue
+            plain = [h for h in [*plain, (event, at, inj, tox, blk, conf, attempt)][-8:] if h[1] >= at - 60 * 10 ** 6]
+            expected.append((event, len(plain), *(sum(h[i] for h in plain) for i in (2, 3, 4)), *behavior_stream.judge(plain, limits)))
+        found = got[0] if got else pd.DataFrame(columns=behavior_stream.COLUMNS)
+        assert expected == [(r.event_id, r.n, r.n_injection, r.n_toxic, r.n_blocked, r.abuse_type, r.abuse_confidence, r.recommended_action)
+                            for r in found.itertuples()]
+        assert state.history == plain and len(state.timers) == bool(plain)
+    assert list(processor.handleExpiredTimer(("u",), None, None)) == [] and not state.history  # no empty batch for every user
