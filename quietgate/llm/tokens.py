@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 
 from quietgate.llm.common import give_back
 
-_KNOWN_PIECES = 250_000  # remembered per worker in each of two tables, about 50 MB; beyond it the memory is emptied
+_KNOWN_PIECES = 200_000  # remembered per worker in each of three tables, about 40 MB
 _NOT_LATIN = re.compile("[^\x00-ɏ]|İ")
 _loaded: dict[str, Coder] = {}
 
@@ -40,6 +40,22 @@ def _printable_bytes() -> list[str]:
     return out
 
 
+class _Known(dict):
+    """Ids of pieces after a space, or their line feed; what is not known is looked up in the table before, or made."""
+
+    def __init__(self, coder: Coder, before: dict[str, bytes]):
+        super().__init__()
+        self.coder, self.before = coder, before
+
+    def __missing__(self, piece: str) -> bytes:
+        made = self.before.get(piece)
+        if made is None:
+            made = self.coder.after_space(piece)
+        if len(piece) < 64:
+            self[piece] = made
+        return made
+
+
 class Coder:
     """Encodes texts to little-endian unsigned 32-bit ids, without special tokens."""
 
@@ -47,9 +63,9 @@ class Coder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self, {})
         self.tokens: dict[str, bytes] = {}
-        self.visible = _printable_bytes()
+        self.visible = dict(enumerate(_printable_bytes()))
         self.lower, self.split = self._plan(json.loads(self.tokenizer.to_str()))
 
     @staticmethod
@@ -61,7 +77,7 @@ class Coder:
 
     def forget(self) -> None:
         """Workers live on between tasks and should not keep a task's memory."""
-        self.known.clear()
+        self.known = _Known(self, {})
         self.tokens.clear()
         give_back()
 
@@ -81,10 +97,27 @@ class Coder:
     def _token(self, token: str) -> bytes:
         """Ids of one pre-token of Latin letters, digits or signs."""
         if (made := self.tokens.get(token)) is None:
-            shown = "".join(map(self.visible.__getitem__, token.encode()))
+            shown = token.encode().decode("latin-1").translate(self.visible)
             made = self.tokens[token] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
         return made
 
+    def _plain(self, letters: str) -> bytes:
+        """Ids of ASCII letters after a space; in a vocabulary they are their own bytes."""
+        shown = letters.lower() if self.lower else "\u0120" + letters
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def after_space(self, piece: str) -> bytes:
+        """Ids of a piece and the space before it, or the line feed it starts with."""
+        if self.split is not None and len(piece) <= 1000 and piece.isascii():
+            if piece.isalpha():
+                return self._plain(piece)
+            if piece[-1] in ",." and (letters := piece[:-1]).isalpha():
+                return self.known[letters] + self._token(piece[-1])
+            if piece[0] == "\n" and (letters := piece[1:]).isalpha():  # a line feed before letters stands alone
+                return self._token(letters.lower()) if self.lower else self._token("\n") + self._token(letters)
+        made = self._piece(piece, "" if piece[0] == "\n" else " ")
+        return self._whole([piece if piece[0] == "\n" else " " + piece])[0] if made is None else made
+
     def _piece(self, piece: str, space: str) -> bytes | None:
         """Ids of a piece and the space before it, or None where only the whole pipeline knows."""
         if self.split is None or len(piece) > 1000 or not piece.isascii() and _NOT_LATIN.search(piece):
@@ -92,11 +125,7 @@ class Coder:
         if self.lower:
             piece, space = piece.lower(), ""
         if piece.isalpha():
-            whole = space + piece
-            return self.tokens.get(whole) or self._token(whole)
-        if piece[-1] in ",." and piece[:-1].isalpha():
-            whole = space + piece[:-1]
-            return (self.tokens.get(whole) or self._token(whole)) + self._token(piece[-1])
+            return self._token(space + piece)
         return b"".join(map(self._token, self.split.findall(space + piece)))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -118,8 +147,8 @@ class Coder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text; a null text has none."""
-        if len(self.known) > _KNOWN_PIECES:
-            self.known.clear()
+        if len(self.known) > _KNOWN_PIECES:  # pieces in use go over to the next table when they are met again
+            self.known = _Known(self, dict(self.known))
         if len(self.tokens) > _KNOWN_PIECES:
             self.tokens.clear()
         cut = [self._cut(t) for t in texts]
@@ -128,18 +157,7 @@ class Coder:
         for at in range(0, len(odd), 256):
             for i, made in zip(odd[at:at + 256], self._whole([texts[i] for i in odd[at:at + 256]])):
                 out[i] = made
-        once: dict[str, bytes] = {}
-        other: list[str] = []
-        for piece in set().union(*(c[1:] for c in cut if c)).difference(self.known):
-            made = self._piece(piece, "" if piece[0] == "\n" else " ")
-            if made is None:
-                other.append(piece)
-            else:
-                (self.known if len(piece) < 64 else once)[piece] = made
-        spaced = [p if p[0] == "\n" else " " + p for p in other]
-        for at in range(0, len(other), 1024):
-            once.update(zip(other[at:at + 1024], self._whole(spaced[at:at + 1024])))
-        find = self.known.__getitem__ if not once else lambda p: once[p] if p in once else self.known[p]
+        find = self.known.__getitem__
         for i, pieces in enumerate(cut):
             if pieces:
                 first = self._piece(pieces[0], "")

@@ -3,13 +3,14 @@
 import random
 import uuid
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from quietgate.llm import grammar_store as store, length_histogram, packing
+from quietgate.llm import grammar_store as store, length_histogram, packing, tokens
 from quietgate.llm.common import shared_folder
 from quietgate.llm.tokens import Coder, vocabulary
 
@@ -151,3 +152,21 @@ def test_copies_shrink_as_far_as_they_repeat():
     made = store.compress(ids, 1 << 16)
     assert (store.expand(made) == ids).all()
     assert ids.nbytes > 100 * (made.rules.nbytes + made.expansions.nbytes + made.sequence.nbytes)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_a_piece_in_use_is_not_encoded_anew_when_the_tables_are_full(name, monkeypatch):
+    monkeypatch.setattr(tokens, "_KNOWN_PIECES", 20)
+    coder = Coder(vocabulary(name))
+    real, asked = coder.tokenizer, []
+
+    def tokenize(shown):
+        asked.append(shown.lower().lstrip("Ġ"))
+        return real.model.tokenize(shown)
+
+    coder.tokenizer = SimpleNamespace(model=SimpleNamespace(tokenize=tokenize), encode_batch_fast=real.encode_batch_fast)
+    for i in range(0, 300, 30):
+        rare = "".join(f" x{'abcdefghij'[j // 100]}{'abcdefghij'[j // 10 % 10]}{'abcdefghij'[j % 10]}" for j in range(i, i + 30))
+        text = f"First{rare} common, common. Größe\nLine\ncommon 12,5\n3 end,"
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == real.encode(text, add_special_tokens=False).ids
+    assert asked.count("common") <= 2  # after a space, and after a line feed
