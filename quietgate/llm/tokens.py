@@ -148,7 +148,8 @@ class Coder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text; a null text has none."""
         if len(self.known) > _KNOWN_PIECES:  # pieces in use go over to the next table when they are met again
-            self.known = _Known(self, dict(self.known))
+            self.known.before = {}
+            self.known = _Known(self, self.known)
         if len(self.tokens) > _KNOWN_PIECES:
             self.tokens.clear()
         cut = [self._cut(t) for t in texts]
