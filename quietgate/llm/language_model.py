@@ -17,10 +17,10 @@ Order 2 is a plain mixture:
 where kept(h) counts the occurrences of h's bigrams that were seen LEAST times.  P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
 one unseen word having the mass of an unknown one.  The weights of a state sum to one.
 
-The model grows with the corpus, so no task holds all of it.  Documents are dealt to blocks of bounded size.  Each task
-counts the n-grams of the blocks it sees; the counts, packed in sorted arrays, are added up in shards of words and of
-histories, and every shard sends each block the totals of just those n-grams the block has.  A block then builds its part
-of the automaton and scores its documents.
+The model grows with the corpus, so no task holds all of it.  Documents are dealt to blocks of bounded size.  Tasks count
+the distinct n-grams of the blocks they see, words and bigrams in one pass over the texts and trigrams in another, and
+send them, sorted and packed, to shards by ranges of words and of histories.  A shard adds them up and answers every block with totals alone, in the order of the block's
+own n-grams.  A block finds its n-grams again in its texts, puts the totals beside them and scores its documents.
 """
 
 from __future__ import annotations
@@ -32,308 +32,385 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quietgate.llm.common import Batches, Made, cut, forget_words, in_slices, record, shared_folder, word_hashes, words_of
+from quietgate.llm.common import Batches, Made, cut, give_back, in_slices, record, shared_folder
 
 LEAST = 1               # occurrences in training that retain an n-gram: all
 SHARE = 0.6             # of a history's mass that its retained bigrams may take in a model of order 2
 DISCOUNT = 0.75         # where no n-gram was seen once, or none twice
 BLOCK_BYTES = 32 << 20  # of text that one task scores
 SHARD_BYTES = 12 << 20  # of text whose n-grams meet in one shard, about
-BUFFERED = 3_000_000    # tokens that a counting task holds
+BUFFERED = 4_000_000    # tokens that a counting task holds
+AT_ONCE = 500_000       # tokens scored together, about
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n</s>", b"\n<s>"))  # no word has a line feed
-_LOW = (1 << 40) - 1  # of a word's hash, that tell a history's bigrams apart
-_ARC = (1 << 48) - 1  # of a bigram's number, that tell a block's arcs apart
-_PACK = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())])
-_PACK_DDL = "shard bigint, block bigint, a binary, b binary, n binary"
+_KEPT = -1              # block of the rows that tell a shard of words what their histories keep
+_PACK = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("part", pa.int64()), ("a", pa.binary()), ("r", pa.binary()),
+                   ("b", pa.binary()), ("n", pa.binary())])
+_PACK_DDL = "shard bigint, block bigint, part bigint, a binary, r binary, b binary, n binary"
 _SCORES = pa.schema([("key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                      ("base_score", pa.float64()), ("score", pa.float64())])
 
 
+def _freed(spark: SparkSession) -> None:
+    """Spark removes shuffle files once the driver has collected the objects that stand for them, which it is asked to do.
+
+    Objects of the write that has just ended may still be held, so this is called before the next one.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _stored(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: packed arrays are stored compressed, and lineage ends here.
+    """Write to the shared folder and read back: lineage ends here.
 
-    The counts that were shuffled for it are not needed again.  Spark removes shuffle files once the driver has collected
-    the objects that stand for them, which it is asked to do here.
+    The counts that were shuffled for it are not needed again.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/language-model-{uuid.uuid4().hex}"
+    _freed(spark)
     df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
-def tokens(text: bytes | None) -> np.ndarray:
-    """Hashes of the start, the words and the end."""
-    return np.concatenate(([START], word_hashes(words_of(text)), [END]))
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the start, the words and the end of every text, one text after the other, and how many each has."""
+    texts = texts.cast(pa.large_string()).take(np.arange(len(texts)))  # a copy of its own: ascii_lower misreads slices
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))  # x20 and x09-x0D
+    sizes, flat = pc.list_value_length(words).to_numpy(zero_copy_only=False), words.flatten()
+    kept = pc.greater(pc.binary_length(flat), 0)
+    sums = np.concatenate(([0], np.cumsum(kept.to_numpy(zero_copy_only=False))))
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    sizes, found = np.diff(sums[edges]), flat.filter(kept).dictionary_encode()
+    distinct = found.dictionary.cast(pa.large_binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    ends = np.cumsum(sizes + 2)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+    word = np.ones(len(out), bool)
+    word[ends - 1] = word[ends - sizes - 2] = False
+    out[ends - 1], out[ends - sizes - 2] = END, START
+    out[word] = hashes[found.indices.to_numpy()]
+    return out, sizes + 2
 
 
 def _pair(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One number for a bigram: the history's hash and 40 bits of the word's."""
+    """56 bits for a bigram: from the history's hash and 40 bits of the word's."""
     x = (history ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(31)
-    return (x + (word & np.uint64(_LOW))) * np.uint64(0x9FB21C651E98DF25)
+    x = (x + word) * np.uint64(0x9FB21C651E98DF25)
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(8)
 
 
-def _narrow(values: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each number."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of their bytes, of as many as the largest needs."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _wide(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+def _numbers(data: bytes) -> np.ndarray:
+    width, items = data[0], int.from_bytes(data[1:9], "little")
+    out = np.zeros((items, 8), np.uint8)
+    if items:
+        plain = pa.decompress(data[9:], items * width, codec="zstd", asbytes=True)
+        out[:, :width] = np.frombuffer(plain, np.uint8).reshape(width, items).T
     return out.view("<u8").ravel()
 
 
-def _counts(values: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs."""
-    return _narrow(values, max(1, -(-int(values.max(initial=0)).bit_length() // 8)))
+def _joined(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *parts])
+
+
+def _gaps(ordered: np.ndarray) -> bytes:
+    return _planes(np.diff(ordered, prepend=ordered.dtype.type(0)))
+
 
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Whether each of some sorted items is the first of its value."""
+    out = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=out[1:])
+    return out
 
-def _counted_as(data: bytes, items: int) -> np.ndarray:
-    return _wide(data, len(data) // items).astype(np.int64) if items else np.empty(0, np.int64)
 
+def _packed(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """Distinct pairs in order with their counts: distinct histories, how many words each has, and the steps between those."""
+    new = _starts(high)
+    steps = np.diff(low, prepend=low.dtype.type(0))
+    steps[new] = low[new]
+    at = np.flatnonzero(new)
+    return _gaps(high[at]), _planes(np.diff(at, append=len(high))), _planes(steps), _planes(n)
 
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the first of each distinct key in the given order, the sorted keys, and their summed counts."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(keys) else np.empty(0, np.int64)
-    return order[starts], ordered[starts], np.add.reduceat(n[order], starts) if len(keys) else n[:0]
 
+def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
+    """The distinct histories, how many words each has, the words, and the counts."""
+    runs, low = _numbers(row["r"]).astype(np.int64), np.cumsum(_numbers(row["b"]))
+    at = np.cumsum(runs) - runs
+    before = np.where(at > 0, low[at - 1], np.uint64(0))
+    return np.cumsum(_numbers(row["a"])), runs, low - np.repeat(before, runs), _numbers(row["n"]).astype(np.int64)
 
-def _split(shard: np.ndarray):
-    """Runs of equal shards in sorted order."""
-    edges = np.flatnonzero(np.diff(shard)) + 1
-    return zip(np.concatenate(([0], edges)), np.concatenate((edges, [len(shard)]))) if len(shard) else ()
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of each distinct key in sorted order, and the number each key has in that order."""
+    order = np.argsort(keys)
+    new = _starts(keys[order])
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return order[new], number
 
-def _word_rows(block: int, hashes: np.ndarray, trained: np.ndarray, shards: int):
-    _, words, n = _summed(hashes, trained)
-    order = np.argsort(words % np.uint64(shards), kind="stable")
-    words, n = words[order], n[order]
-    at = (words % np.uint64(shards)).astype(np.int64)
-    for lo, hi in _split(at):
-        yield at[lo], block, words[lo:hi].tobytes(), b"", _counts(n[lo:hi])
 
+def _numbered_pairs(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for pairs of a small number and one of 40 bits."""
+    if int(high.max(initial=0)) < 1 << 24:
+        return _numbered((high.astype(np.uint64) << np.uint64(40)) | low)
+    order = np.lexsort((low, high))
+    new = _starts(high[order]) | _starts(low[order])
+    number = np.empty(len(high), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return order[new], number
 
-def _history_shard(history: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of a bigram: histories by hash; with many shards, each history's words are dealt to several of them."""
-    parts = 1 + math.isqrt(shards) // 8
-    rows = max(1, shards // parts)
-    return ((history % np.uint64(rows)) * np.uint64(parts) + word % np.uint64(parts)).astype(np.int64)
 
+def _range(keys: np.ndarray, shift: int, parts: int) -> np.ndarray:
+    """Number of the equal range that holds each key, by the 32 bits above ``shift``."""
+    return (((keys >> np.uint64(shift)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
-def _pair_rows(block: int, hashes: np.ndarray, trained: np.ndarray, shards: int):
-    inside = hashes[1:] != START  # no bigram crosses from one document into the next
-    history, word, n = hashes[:-1][inside], hashes[1:][inside], trained[1:][inside]
-    first, _, n = _summed(_pair(history, word), n)
-    history, word = history[first], word[first]
-    shard = _history_shard(history, word, shards)
-    order = np.lexsort((history, shard))
-    history, word, n, shard = history[order], word[order], n[order], shard[order]
-    for lo, hi in _split(shard):
-        yield shard[lo], block, history[lo:hi].tobytes(), _narrow(word[lo:hi], 5), _counts(n[lo:hi])
 
+class Grams:
+    """Distinct words, bigrams and trigrams of texts, each in its order, and the number that each token's has there.
 
-def _triple_rows(block: int, hashes: np.ndarray, trained: np.ndarray, shards: int):
-    """Trigrams by the number of their first two words; a history is in one shard with all that follows it."""
-    inside = (hashes[1:-1] != START) & (hashes[2:] != START)
-    history, word, n = _pair(hashes[:-2], hashes[1:-1])[inside], hashes[2:][inside], trained[2:][inside]
-    first, _, n = _summed(_pair(history, word), n)
-    history, word = history[first], word[first]
-    shard = (history % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort((history, shard))
-    history, word, n, shard = history[order], word[order], n[order], shard[order]
-    for lo, hi in _split(shard):
-        yield shard[lo], block, history[lo:hi].tobytes(), _narrow(word[lo:hi], 5), _counts(n[lo:hi])
+    ``kinds`` has (shard, history, word) of those asked for: a word is its own history, a bigram's history is a word, a
+    trigram's the number of its first two words.  Words are told by their hash, those after a word by 40 bits of it, after two by 32.
+    """
 
+    def __init__(self, hashes: np.ndarray, shards: int, sizes: tuple[int, ...]):
+        self.kinds = {}
+        after = hashes >> np.uint64(24)
+        inside = hashes[1:] != START  # no n-gram crosses from one document into the next
+        if 2 in sizes:
+            first, self.word = _numbered(hashes)
+            self.words = words = hashes[first]
+            history, low = self.word[:-1][inside], after[1:][inside]
+            first, number = _numbered_pairs(history, low)
+            history, low = words[history[first]], low[first]
+            self.pair = np.full(len(inside), -1, np.int32)
+            self.pair[inside] = number
+            # histories by ranges; with many shards, each history's words are dealt to several of them
+            parts = 1 + math.isqrt(shards) // 8
+            rows = max(1, shards // parts)
+            self.kinds[1] = _range(words, 32, shards), words, words
+            self.kinds[2] = shards + _range(history, 32, rows) * parts + (low % np.uint64(parts)).astype(np.int64), history, low
+        if 3 in sizes:
+            whole = inside[:-1] & inside[1:]
+            numbers = _pair(history, low) if 2 in sizes else _pair(hashes[:-2], after[1:-1])[whole]
+            first, rank = _numbered(numbers)
+            numbers = numbers[first]
+            high, low = rank[self.pair[:-1][whole]] if 2 in sizes else rank, (hashes[2:] >> np.uint64(32))[whole]
+            first, number = _numbered_pairs(high, low)
+            self.triple = np.full(len(whole), -1, np.int32)
+            self.triple[whole] = number
+            ranks = high[first]
+            history, low = numbers[ranks], low[first]
+            place = np.zeros(len(numbers), np.int32)  # among the histories of trigrams; a bigram that ends a document is none
+            place[ranks] = np.cumsum(_starts(ranks), dtype=np.int32) - np.int32(1)
+            self.history = place[rank]  # of each distinct bigram
+            self.kinds[3] = 2 * shards + _range(history, 24, 2 * shards), history, low  # there are more of them
+
+
+def _by_shard(shard: np.ndarray):
+    """An order by shard that keeps the order inside each, and (shard, first, stop) there."""
+    order = np.argsort(shard, kind="stable")
+    at = np.flatnonzero(_starts(shard[order]))
+    return order, [(int(shard[order[a]]), a, b) for a, b in zip(at, np.append(at[1:], len(shard)))]
+
+
+def _counting(shards: int, sizes: tuple[int, ...]):
+    """The distinct n-grams of some sizes of the blocks that a task sees, with their uses in training, for the shards."""
+    def rows_of(block: int, hashes: np.ndarray, trained: np.ndarray):
+        grams = Grams(hashes, shards, sizes)
+        for size in sizes:
+            number = grams.triple if size == 3 else grams.pair if size == 2 else grams.word
+            shard, history, word = grams.kinds[size]
+            real = number >= 0
+            n = np.bincount(number[real], trained[size - 1:][real], len(shard)).astype(np.uint64)
+            by, runs = _by_shard(shard)
+            history, word, n = history[by], word[by], n[by]
+            for at, lo, hi in runs:
+                if size == 1:
+                    yield at, block, at, _gaps(word[lo:hi]), b"", b"", _planes(n[lo:hi])
+                else:
+                    yield at, block, at, *_packed(history[lo:hi], word[lo:hi], n[lo:hi])
 
-def _counting(rows_of, shards: int):
     def run(batches: Batches) -> Made:
         held: dict[int, list] = defaultdict(list)
         size = 0
 
         def flush():
-            for block, parts in held.items():
-                found = list(rows_of(block, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), shards))
-                if found:
-                    yield record(_PACK, *zip(*found))
-            held.clear()
-
-        for batch in in_slices(batches, forget_words):
-            blocks, aside = batch.column("block").to_pylist(), batch.column("held_out").to_pylist()
-            for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                made = tokens(text)
-                held[blocks[i]].append((made, np.full(len(made), not aside[i], np.int64)))
-                size += len(made)
-                if size >= BUFFERED:
-                    yield from flush()
-                    size = 0
+            for block in list(held):
+                parts = held.pop(block)
+                found = rows_of(block, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+                if columns := list(zip(*found)):
+                    yield record(_PACK, *columns)
+
+        for batch in in_slices(batches, give_back):
+            made, sizes = tokens(batch.column("text"))
+            trained = np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool), sizes)
+            blocks = np.repeat(batch.column("block").to_numpy(), sizes)
+            for block in np.unique(blocks).tolist():
+                own = blocks == block
+                held[block].append((made[own], trained[own]))
+            size += len(made)
+            if size >= BUFFERED:
+                yield from flush()
+                size = 0
         yield from flush()
     return run
 
 
-def _once_and_twice(n: np.ndarray) -> list[tuple]:
-    """Rows with the numbers of n-grams seen once and twice as their block."""
-    return [(-7, int((n == 1).sum()), b"", b"", b""), (-8, int((n == 2).sum()), b"", b"", b"")]
-
-
-def _merged_triples(table: pa.Table) -> pa.Table:
-    """Totals of a shard's trigrams for each block, and of each history the block has, its uses and how many words follow it."""
-    rows = table.to_pylist()
-    history = np.concatenate([np.frombuffer(r["a"], "<u8") for r in rows])
-    keys = [_pair(np.frombuffer(r["a"], "<u8"), _wide(r["b"], 5)) for r in rows]
-    first, known, n = _summed(np.concatenate(keys), np.concatenate([_counted_as(r["n"], len(k)) for r, k in zip(rows, keys)]))
-    seen = n > 0
-    _, states, uses = _summed(history[first[seen]], n[seen])
-    _, _, follow = _summed(history[first[seen]], np.ones(int(seen.sum()), np.int64))
-    out = _once_and_twice(n)
-    for r, k in zip(rows, keys):
-        at = np.searchsorted(known, k)
-        at = at[seen[at]]
-        if len(at):
-            out.append((-5, r["block"], _narrow(known[at] & np.uint64(_ARC), 6), b"", _counts(n[at])))
-        own = np.unique(np.frombuffer(r["a"], "<u8"))
-        own = own[np.isin(own, states, assume_unique=True)]
-        if len(own):
-            at = np.searchsorted(states, own)
-            out.append((-6, r["block"], _narrow(own & np.uint64(_ARC), 6), _counts(follow[at]), _counts(uses[at])))
-    return pa.Table.from_batches([record(_PACK, *zip(*out))])
-
+def _merged(shards: int, order: int):
+    """Totals of a shard's bigrams or trigrams for each block, in the order of the block's own; words pass.
 
-def _merged_pairs(shards: int, order: int):
-    """Totals of a shard's bigrams: the retained ones for each block, and what each history has of them, for its words' shard.
-
-    A history has their occurrences in a model of order 2, their number in one of order 3.
+    A trigram shard also tells a block how many words follow each of its histories.  A bigram shard tells the words' shards
+    what each history has of retained bigrams: their occurrences in a model of order 2, their number in one of order 3.
+    Two more rows of each have the numbers of n-grams seen once and twice as their block.
     """
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        history = np.concatenate([np.frombuffer(r["a"], "<u8") for r in rows])
-        keys = [_pair(np.frombuffer(r["a"], "<u8"), _wide(r["b"], 5)) for r in rows]
-        first, known, n = _summed(np.concatenate(keys), np.concatenate([_counted_as(r["n"], len(k)) for r, k in zip(rows, keys)]))
+        shard = rows[0]["shard"]
+        if shard < shards:
+            return table
+        triples = shard >= 2 * shards
+        found = [_unpacked(r) for r in rows]
+        first, history = _numbered(np.concatenate([f[0] for f in found]))
+        known = np.concatenate([f[0] for f in found])[first]
+        high = np.repeat(history, np.concatenate([f[1] for f in found]))
+        first, number = _numbered_pairs(high, np.concatenate([f[2] for f in found]))
+        n = np.bincount(number, np.concatenate([f[3] for f in found]), len(first)).astype(np.int64)
+        high = high[first]
         retained = n >= LEAST
-        out = _once_and_twice(n)
-        for r, k in zip(rows, keys):
-            at = np.searchsorted(known, k)
-            keep = np.flatnonzero(retained[at])
-            if len(keep):
-                out.append((-1, r["block"], _narrow(k[keep] & np.uint64(_ARC), 6), b"", _counts(n[at[keep]])))
-        _, h, total = _summed(history[first[retained]], n[retained] if order == 2 else np.ones(int(retained.sum()), np.int64))
-        at = (h % np.uint64(shards)).astype(np.int64)
-        by = np.argsort(at, kind="stable")
-        h, total, at = h[by], total[by], at[by]
-        out += [(at[lo], -1, h[lo:hi].tobytes(), b"kept", _counts(total[lo:hi])) for lo, hi in _split(at)]
-        return pa.Table.from_batches([record(_PACK, *zip(*out))]) if out else _PACK.empty_table()
+        follow = np.bincount(high[retained], n[retained] if order == 2 else None, len(known)).astype(np.int64)
+        kind = -5 if triples else -1
+        out = [(kind - 1, int((n == 1).sum()), 0, b"", b"", b"", b""), (kind - 2, int((n == 2).sum()), 0, b"", b"", b"", b"")]
+        asked = defaultdict(list)
+        for r, f, a, b in zip(rows, found, np.split(history, np.cumsum([len(f[0]) for f in found])[:-1]),
+                              np.split(number, np.cumsum([len(f[2]) for f in found])[:-1])):
+            asked[r["block"]].append((a, b))
+        for block, parts in asked.items():
+            own = parts[0][1] if len(parts) == 1 else np.unique(np.concatenate([p[1] for p in parts]))
+            after = b""
+            if triples:
+                after = _planes(follow[parts[0][0] if len(parts) == 1 else np.unique(np.concatenate([p[0] for p in parts]))])
+            out.append((kind, block, shard, b"", b"", after, _planes(n[own])))
+        if not triples:
+            some = follow > 0
+            known, follow = known[some], follow[some]
+            by, runs = _by_shard(_range(known, 32, shards))
+            out += [(at, _KEPT, 0, _gaps(known[lo:hi]), b"", b"", _planes(follow[lo:hi])) for at, lo, hi in runs]
+        del found
+        give_back()
+        return pa.Table.from_batches([record(_PACK, *zip(*out))])
     return run
 
 
 def _merged_words(table: pa.Table) -> pa.Table:
     """Totals of a shard's words and what they keep as histories, for each block; two rows have N and V as their block."""
     rows = table.to_pylist()
-    ours, kept = [r for r in rows if not r["b"]], [r for r in rows if r["b"]]
-    words = [np.frombuffer(r["a"], "<u8") for r in ours]
-    _, known, n = _summed(np.concatenate([*words, np.empty(0, "<u8")]), np.concatenate(
-        [*(_counted_as(r["n"], len(w)) for r, w in zip(ours, words)), np.empty(0, np.int64)]))
+    ours, kept = [r for r in rows if r["block"] != _KEPT], [r for r in rows if r["block"] == _KEPT]
+    words = [np.cumsum(_numbers(r["a"])) for r in ours]
+    first, number = _numbered(_joined(words))
+    known = _joined(words)[first]
+    n = np.bincount(number, _joined([_numbers(r["n"]) for r in ours]), len(known)).astype(np.int64)
     mass = np.zeros(len(known), np.int64)
     for r in kept:
-        h = np.frombuffer(r["a"], "<u8")
-        np.add.at(mass, np.searchsorted(known, h), _counted_as(r["n"], len(h)))
+        mass[np.searchsorted(known, np.cumsum(_numbers(r["a"])))] += _numbers(r["n"]).astype(np.int64)
+    asked = defaultdict(list)
+    for r, own in zip(ours, np.split(number, np.cumsum([len(w) for w in words])[:-1])):
+        asked[r["block"]].append(own)
     out = []
-    for r, w in zip(ours, words):
-        at = np.searchsorted(known, w)
-        out.append((-2, r["block"], w.tobytes(), _counts(mass[at]), _counts(n[at])))
+    for block, parts in asked.items():
+        own = np.unique(np.concatenate(parts))
+        out.append((-2, block, ours[0]["shard"], b"", b"", _planes(mass[own]), _planes(n[own])))
     real = n[(known != START) & (n > 0)]
-    out += [(-3, int(real.sum()), b"", b"", b""), (-4, len(real), b"", b"", b"")]
+    out += [(-3, int(real.sum()), 0, b"", b"", b"", b""), (-4, len(real), 0, b"", b"", b"", b"")]
     return pa.Table.from_batches([record(_PACK, *zip(*out))])
 
 
 class Automaton:
-    """A block's part of the model."""
-
-    def __init__(self, rows: list[dict], total: int, distinct: int, share: float = SHARE, discounts: tuple[float, float] | None = None):
-        of = lambda kind: [(_wide(r["a"], 6), r["n"]) for r in rows if r["shard"] == kind]
-        words = [(np.frombuffer(r["a"], "<u8"), r["b"], r["n"]) for r in rows if r["shard"] == -2]
-        joined = lambda parts: np.concatenate([*parts, np.empty(0, np.int64)])
-        self.words, at = np.unique(np.concatenate([*(w for w, *_ in words), np.empty(0, "<u8")]), return_index=True)
-        self.counts = joined(_counted_as(n, len(w)) for w, _, n in words)[at].astype(np.int64)
-        kept = self.kept = joined(_counted_as(b, len(w)) for w, b, _ in words)[at].astype(np.int64)
-        mass = total + 0.1 * (distinct + 1)
-        self.root = np.log10((self.counts + 0.1) / mass)
-        self.discounts, self.share = discounts, share
-        if discounts is None:
-            self.rest = 1 - share * kept / np.maximum(self.counts, 1)
-            self.failure = np.log10(self.rest)
-
-        def counted(parts):
-            keys, at = np.unique(np.concatenate([*(k for k, _ in parts), np.empty(0, "<u8")]), return_index=True)
-            return keys, joined(_counted_as(n, len(k)) for k, n in parts)[at].astype(np.int64)
-
-        self.arcs = counted(of(-1))
+    """A block's part of the model: what its own states and arcs were seen."""
+
+    def __init__(self, rows: list[dict], grams: Grams, total: int, distinct: int, share: float = SHARE,
+                 discounts: tuple[float, float] | None = None):
+        self.grams, self.share, self.discounts = grams, share, discounts
+
+        def answered(kind: int, at: int, column: str = "n") -> np.ndarray:
+            """A column of the answers, for the n-grams in their order; a place more, where -1 points, has none."""
+            parts = sorted((r["part"], r[column]) for r in rows if r["shard"] == kind)
+            out = np.zeros(len(grams.kinds[at][0]) + 1, np.int64)
+            out[_by_shard(grams.kinds[at][0])[0]] = _joined([_numbers(n) for _, n in parts])
+            return out
+
+        self.counts, self.kept = answered(-2, 1), answered(-2, 1, "b")
+        self.known = (self.counts + 0.1) / (total + 0.1 * (distinct + 1))
+        self.pairs = answered(-1, 2)
         if discounts is not None:
-            self.long_arcs, self.pairs = counted(of(-5)), counted(of(-6))
-            self.follow = counted([(_wide(r["a"], 6), r["b"]) for r in rows if r["shard"] == -6])
+            self.triples = answered(-5, 3)
+            parts = sorted((r["part"], r["b"]) for r in rows if r["shard"] == -5)
+            self.follow = _joined([*(_numbers(n) for _, n in parts), np.zeros(1, np.uint64)]).astype(np.int64)
+
+    def scores(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the tokens after ``lo`` and before ``hi``: whether known, log10 probability by the words alone and by the automaton.
+
+        Every state's arc or failure arcs, one order after the other.
+        """
+        word, pair = self.grams.word[lo:hi], self.grams.pair[lo:hi - 1]
+        uses, follow, seen = self.counts[word[:-1]], self.kept[word[:-1]], self.pairs[pair]
+        base = self.known[word[1:]]
+        arcs = np.where(seen >= LEAST, seen, 0)
+        if self.discounts is None:
+            made = (1 - self.share * follow / np.maximum(uses, 1)) * base + self.share * arcs / np.maximum(uses, 1)
+            return self.counts[word[1:]] > 0, np.log10(base), np.log10(made, out=np.zeros_like(made), where=pair >= 0)
+        made = self._discounted(arcs, uses, follow, base, self.discounts[0])
+        if hi - lo > 2:
+            triple = self.grams.triple[lo:hi - 2]
+            longer = self._discounted(self.triples[triple], seen[:-1], self.follow[self.grams.history[pair[:-1]]], made[1:], self.discounts[1])
+            made[1:] = np.where(triple < 0, made[1:], longer)
+        return self.counts[word[1:]] > 0, np.log10(base), np.log10(made)
 
     @staticmethod
-    def _seen(table: tuple[np.ndarray, np.ndarray], numbers: np.ndarray) -> np.ndarray:
-        """What a table of sorted numbers has for each of some, else 0: how often an n-gram was seen if there is an arc for it."""
-        known, values = table
-        if not len(known):
-            return np.zeros(len(numbers), np.int64)
-        numbers = numbers & np.uint64(_ARC)
-        at = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
-        return np.where(known[at] == numbers, values[at], 0)
-
-    def _discounted(self, made: np.ndarray, ids: np.ndarray) -> float:
-        """log10 probability of a text's words and end: every state's arc or failure arcs, one order after the other."""
-        two, three = self.discounts
-        p = 10.0 ** self.root[ids[1:]]
-        pairs = _pair(made[:-1], made[1:])
-        for low, high, seen, uses, follow in (
-                (0, two, self._seen(self.arcs, pairs), self.counts[ids[:-1]], self.kept[ids[:-1]]),
-                (1, three, self._seen(self.long_arcs, _pair(pairs[:-1], made[2:])), self._seen(self.pairs, pairs[:-1]),
-                 self._seen(self.follow, pairs[:-1]))):
-            below = p[low:]
-            p[low:] = np.where((uses > 0) & (follow > 0), (np.maximum(seen - high, 0) + high * follow * below) / np.maximum(uses, 1), below)
-        return float(np.log10(p).sum())
-
-    def score(self, text: bytes | None) -> tuple[int, int, float, float]:
-        """Tokens, known tokens, and log10 probability by the words alone and by the automaton."""
-        made = tokens(text)
-        ids = np.searchsorted(self.words, made)
-        counts, root = self.counts[ids], self.root[ids]
-        if self.discounts is not None:
-            return len(made) - 1, int((counts[1:] > 0).sum()), float(root[1:].sum()), self._discounted(made, ids)
-        failure = self.failure[ids]
-        state, total = 0, 0.0
-        out, back, rest, uses = root.tolist(), failure.tolist(), self.rest[ids].tolist(), counts.tolist()
-        arcs, share = self._seen(self.arcs, _pair(made[:-1], made[1:])), self.share
-        for i, seen in enumerate(arcs.tolist(), 1):  # state i - 1 reads token i
-            if not seen:
-                total += back[state] + out[i]
-            else:
-                total += math.log10(share * seen / uses[state] + rest[state] * 10.0 ** out[i])
-            state = i
-        return len(made) - 1, int((counts[1:] > 0).sum()), float(root[1:].sum()), total
-
-
-def _scoring(total: int, distinct: int, discounts: tuple[float, float] | None):
+    def _discounted(seen, uses, follow, below, discount):
+        held = np.maximum(seen - discount, 0) + discount * follow * below
+        return np.where((uses > 0) & (follow > 0), held / np.maximum(uses, 1), below)
+
+
+def _scoring(total: int, distinct: int, shards: int, order: int, discounts: tuple[float, float] | None):
     def run(docs: pa.Table, model: pa.Table) -> pa.Table:
-        automaton = Automaton(model.to_pylist(), total, distinct, discounts=discounts)
-        found = []
-        for batch in docs.to_batches(max_chunksize=256):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            found += [(k, h, *automaton.score(t)) for k, h, t in zip(
-                batch.column("key").to_pylist(), batch.column("held_out").to_pylist(), texts)]
-        forget_words()
+        made, sizes = zip(*(tokens(b.column("text")) for b in docs.to_batches(max_chunksize=512))) if docs.num_rows else ((), ())
+        hashes, sizes = _joined(list(made)), _joined(list(sizes), np.int64)
+        del made
+        if not len(sizes):
+            return _SCORES.empty_table()
+        automaton = Automaton(model.to_pylist(), Grams(hashes, shards, (1, 2, 3)[:order]), total, distinct, discounts=discounts)
+        del hashes
+        ends = np.cumsum(sizes)
+        out = []
+        at = 0
+        while at < len(sizes):  # whole documents
+            lo = int(ends[at] - sizes[at])
+            stop = max(at + 1, int(np.searchsorted(ends, lo + AT_ONCE, "right")))
+            starts, last = ends[at:stop] - sizes[at:stop] - lo, ends[at:stop] - 1 - lo
+            found = []
+            for values in automaton.scores(lo, int(ends[stop - 1])):
+                values = np.append(values, 0)
+                values[last] = 0  # what comes after an end is another document
+                found.append(np.add.reduceat(values, starts))
+            out.append(found)
+            at = stop
+        known, base, score = (np.concatenate(x) for x in zip(*out))
         del automaton
-        key, aside, n, known, base, score = zip(*found) if found else ((),) * 6
-        return pa.Table.from_batches([record(_SCORES, key, aside, n, known, base, score)])
+        give_back()
+        docs = docs.combine_chunks()
+        return pa.table([docs.column("key"), docs.column("held_out"), pa.array(sizes - 1), pa.array(known.astype(np.int64)),
+                         pa.array(base), pa.array(score)], schema=_SCORES)
     return run
 
 
@@ -361,8 +438,8 @@ def _sums(rows: DataFrame, *kinds: int) -> list[int]:
     return [x or 0 for x in rows.agg(*(F.sum(F.when(F.col("shard") == k, F.col("block"))) for k in kinds)).first()]
 
 
-def _discount(counted: DataFrame) -> float:
-    once, twice = _sums(counted, -7, -8)
+def _discount(counted: DataFrame, *kinds: int) -> float:
+    once, twice = _sums(counted, *kinds)
     return once / (once + 2 * twice) if once and twice else DISCOUNT
 
 
@@ -377,21 +454,22 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: C
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), aside.alias("held_out"))
     rows, size = _blocks(rows)
     shards = max(1, -(-size // SHARD_BYTES))
-    source = rows.select("block", "held_out", "text")
-    pairs = source.mapInArrow(_counting(_pair_rows, shards), _PACK_DDL)
-    pairs = _stored(pairs.groupBy("shard").applyInArrow(_merged_pairs(shards, order), _PACK_DDL))
-    words = source.mapInArrow(_counting(_word_rows, shards), _PACK_DDL)
-    words = words.unionByName(pairs.where("shard >= 0"))
-    words = _stored(words.groupBy("shard").applyInArrow(_merged_words, _PACK_DDL))
+
+    def merged(*sizes: int) -> DataFrame:
+        grams = rows.select("block", "held_out", "text").mapInArrow(_counting(shards, sizes), _PACK_DDL)
+        return _stored(grams.groupBy("shard").applyInArrow(_merged(shards, order), _PACK_DDL))
+
+    pairs = merged(1, 2)
+    words = _stored(pairs.where("shard >= 0").groupBy("shard").applyInArrow(_merged_words, _PACK_DDL))
     total, distinct = _sums(words, -3, -4)
     model = pairs.where("shard = -1").unionByName(words.where("shard = -2"))
     discounts = None
-    if order == 3:
-        triples = source.mapInArrow(_counting(_triple_rows, 2 * shards), _PACK_DDL)  # there are more of them
-        triples = _stored(triples.groupBy("shard").applyInArrow(_merged_triples, _PACK_DDL))
-        discounts = _discount(pairs), _discount(triples)
-        model = model.unionByName(triples.where("shard in (-5, -6)"))
+    if order == 3:  # on their own, so that no more than one of the shuffles is on disk
+        triples = merged(3)
+        discounts = _discount(pairs, -2, -3), _discount(triples, -6, -7)
+        model = model.unionByName(triples.where("shard = -5"))
+    _freed(docs.sparkSession)
     made = rows.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(
-        _scoring(total, distinct, discounts), "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+        _scoring(total, distinct, shards, order, discounts), "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return made.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"),
                        "base_score", "score")

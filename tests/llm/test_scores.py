@@ -8,11 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quietgate.llm import language_id, language_model, personal_data, quality_classifier, quality_rules
-from quietgate.llm.common import held_out
+from quietgate.llm.common import held_out, word_hashes, words_of
 
 
 def rows_of(df):
@@ -113,6 +114,30 @@ def test_language_model_of_no_rows_and_null_keys(documents):
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in rows) == [(0, 3), (1, 3), (1, 3)]
 
 
+def test_tokens_are_the_words_between_the_same_signs():
+    chance = random.Random(4)
+    texts = [None, "", " ", "a", "\tA  b\n", *("".join(chance.choices("aZé \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2003\0", k=40)) for _ in range(300))]
+    found = [language_model.tokens(pa.array(texts).slice(at, 100)) for at in range(0, len(texts), 100)]
+    made, sizes = (np.concatenate(x) for x in zip(*found))
+    for t, own in zip(texts, np.split(made, np.cumsum(sizes)[:-1])):
+        assert own.tolist() == [language_model.START, *word_hashes(words_of(t and t.encode())).tolist(), language_model.END]
+
+
+def test_ngrams_of_a_block_cost_few_bytes():
+    chance = random.Random(5)
+    texts = pa.array([" ".join(f"w{int(chance.paretovariate(0.6))}" for _ in range(400)) for _ in range(500)])
+    docs = pa.record_batch({"block": np.zeros(len(texts), np.int64), "held_out": pa.array([False] * len(texts)), "text": texts})
+    rows = [r for made in (language_model._counting(1, (1, 2)), language_model._counting(1, (3,))) for b in made([docs]) for r in b.to_pylist()]
+    grams = language_model.Grams(language_model.tokens(texts)[0], 1, (1, 2, 3))
+    items, size = sum(len(k[0]) for k in grams.kinds.values()), sum(len(r[c]) for r in rows for c in "arbn")
+    assert size < 8.5 * items  # 14 before
+    answers = [r for shard in (2, 3) for r in language_model._merged(1, 3)(pa.Table.from_pylist(
+        [r for r in rows if r["shard"] == shard], language_model._PACK)).to_pylist()]
+    totals = np.concatenate([language_model._numbers(r["n"]) for r in answers if r["shard"] == -5])
+    assert totals.sum() == len(texts) * 400 and len(totals) == len(grams.kinds[3][0])
+    assert sum(len(r[c] or b"") for r in answers for c in "arbn") < 1.5 * len(totals)  # 7 and 8 more for every history before
+
+
 def test_trigram_model_of_no_rows(documents):
     assert language_model.scored(documents((1, "a")).where("doc_id > 1"), order=3).count() == 0
 
