@@ -41,7 +41,7 @@ from quietgate.llm.common import Batches, Made, cut, give_back, in_slices, recor
 LEAST = 1               # occurrences in training that retain an n-gram: all
 SHARE = 0.6             # of a history's mass that its retained bigrams may take in a model of order 2
 DISCOUNT = 0.75         # where no n-gram was seen once, or none twice
-BLOCK_BYTES = 32 << 20  # of text that one task scores
+BLOCK_BYTES = 32 << 20  # of text that two tasks score, whose arrays take many times that
 SHARD_BYTES = 12 << 20  # of text whose n-grams meet in one shard, about
 BUFFERED = 4_000_000    # tokens that a counting task holds
 AT_ONCE = 500_000       # tokens scored together, about
@@ -414,18 +414,19 @@ def _scoring(total: int, distinct: int, shards: int, order: int, discounts: tupl
     return run
 
 
-def _blocks(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Deal documents to blocks of about BLOCK_BYTES by ranges of their key, and the bytes of all texts.
+def _blocks(rows: DataFrame, block_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """Deal documents to blocks of about ``block_bytes`` (BLOCK_BYTES) by ranges of their key, and the bytes of all texts.
 
     Ranges that hold more are dealt on by a hash.
     """
+    block_bytes = block_bytes or BLOCK_BYTES
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 32
     lo, hi, total = rows.agg(F.min("key"), F.max("key"), F.sum(size)).first()
-    count = max(1, -(-(total or 0) // BLOCK_BYTES))
+    count = max(1, -(-(total or 0) // block_bytes))
     width = max(1, -(-((hi or 0) - (lo or 0) + 1) // count))
     dealt = rows.withColumn("range", F.coalesce(F.floor((F.col("key") - F.lit(lo or 0)) / F.lit(width)), F.lit(0)))
-    large = cut(dealt.groupBy("range").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > 2 * BLOCK_BYTES).select(
-        "range", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("parts")))  # half as many rows as blocks at most
+    large = cut(dealt.groupBy("range").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > 2 * block_bytes).select(
+        "range", F.ceil(F.col("bytes") / block_bytes).alias("parts")))  # half as many rows as blocks at most
     part = F.lit(0).cast("bigint")
     if not large.isEmpty():
         dealt = dealt.join(F.broadcast(large), "range", "left")
@@ -452,7 +453,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: C
     """
     aside = F.lit(False) if held_out is None else held_out
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), aside.alias("held_out"))
-    rows, size = _blocks(rows)
+    rows, size = _blocks(rows, BLOCK_BYTES // 2)
     shards = max(1, -(-size // SHARD_BYTES))
 
     def merged(*sizes: int) -> DataFrame:
