@@ -393,6 +393,37 @@ def test_every_word_has_its_own_sums_however_the_words_are_dealt(documents, monk
     assert (np.abs(quality_classifier.index_vectors(hashes)).sum(1) == quality_classifier.SIGNS).all()
 
 
+def test_quality_texts_are_not_shuffled_and_sums_are_stored_small(documents, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "BUFFERED", 500)  # several blocks a task
+    monkeypatch.setattr(quality_classifier, "SHARD_BYTES", 20_000)
+    chance = random.Random(9)
+    texts = [" ".join(f"w{chance.randrange(50) if chance.random() < 0.5 else chance.randrange(10 ** 9)}" for _ in range(100)) for _ in range(120)]
+    docs = documents(*enumerate(texts), (500, None), (501, ""), (None, "w1"))
+    model = quality_classifier.fit(docs, docs.sparkSession.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int"))
+    distinct = len({w for t in texts for w in t.split()})
+    stored = model.sums.agg(F.sum(F.octet_length("words") + F.octet_length("sums"))).first()[0]
+    assert model.shards > 2 and stored < 24 * distinct  # 264 bytes a word as whole numbers
+    scored = quality_classifier.score(docs, model)
+    mode = docs.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", scored._jdf.queryExecution().explainString(mode))
+    assert moved and not any("text#" in columns for columns in moved)
+    got = {r[0]: r["score"] for r in scored.collect()}
+    assert len(got) == len(texts) + 3 and math.isclose(got[500], got[501], rel_tol=1e-9)
+    monkeypatch.setattr(quality_classifier, "BUFFERED", 10 ** 6)
+    again = {r[0]: r["score"] for r in quality_classifier.score(docs.repartition(3), model).collect()}
+    assert got.keys() == again.keys() and all(math.isclose(got[k], again[k], rel_tol=1e-9) for k in got)
+
+
+def test_words_that_the_quality_model_lacks_have_no_vector(documents):
+    docs = documents(*((i, " ".join(f"v{j}" for j in range(i, i + 30))) for i in range(40)))
+    model = quality_classifier.fit(docs, docs.sparkSession.createDataFrame([(i, int(i > 20)) for i in range(40)], "doc_id bigint, quality int"))
+    new = documents(*((i, f"x{i} y{i} z{i}") for i in range(40)), (40, "v30 x1 v31"))
+    assert len(quality_classifier.score(new, model).collect()) == 41
+    rows = new.select(F.col("doc_id").alias("key"), F.lit(False).alias("held_out"), "text")
+    x = {r["key"]: r["x"][:2 * quality_classifier.SIZE] for r in quality_classifier._pooled_rows(rows, model.sums, model.shards).collect()}
+    assert not any(any(x[i]) for i in range(40)) and any(x[40])
+
+
 def test_added_spans_overlap_nothing_however_far_away(spark):
     chance = random.Random(7)
     kind = "array<struct<start:int,kind:int,end:int,base:boolean,votes:int>>"
