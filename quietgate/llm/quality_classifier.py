@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quietgate.llm.blocks import dealt, parts_of
 from quietgate.llm.common import Batches, Made, forget_words, give_back, in_slices, record, shared_folder, signed, texts, word_hashes
-from quietgate.llm.language_model import _freed, _gaps, _numbers, _planes, _range
+from quietgate.llm.language_model import _freed, _gaps, _numbered, _numbers, _planes, _range
 
 SIZE = 32             # length of a vector
 SIGNS = 4             # entries of an index vector that are not zero
@@ -131,11 +131,18 @@ def _buffered(batches: Batches, *names: str):
 def _context_sums(shards: int):
     def run(batches: Batches) -> Made:
         for held, in _buffered(batches):
-            words, rows = np.unique(np.concatenate(held), return_inverse=True)
-            apart = np.full(len(rows) + AROUND * len(held), len(words), np.int32 if len(rows) < 1 << 31 else np.int64)  # words without a vector between the texts
-            apart[np.arange(len(rows)) + np.repeat(np.arange(len(held)) * AROUND, [len(h) for h in held])] = rows
+            lengths, joined = [len(h) for h in held], np.concatenate(held)
+            held.clear()
+            first, rows = _numbered(joined)
+            words, kind = joined[first], np.int32 if len(joined) < 1 << 28 else np.int64
+            del joined, first
+            at = np.repeat(np.arange(len(lengths), dtype=kind) * kind(AROUND), lengths)
+            at += np.arange(len(at), dtype=kind)
+            apart = np.full(len(rows) + AROUND * len(lengths), len(words), kind)  # words without a vector between the texts
+            apart[at] = rows
+            del at, rows
             index = np.concatenate([index_vectors(words), np.zeros((1, SIZE), np.int8)])
-            total = np.zeros((len(words) + 1, SIZE), np.int32 if len(apart) < 1 << 28 else np.int64)
+            total = np.zeros((len(words) + 1, SIZE), kind)
             add_contexts(total, index, apart)
             for shard, a, b in parts_of(_range(words, 32, shards)):
                 yield record(_SHARD, [shard], [_gaps(words[a:b])], [_pack(total[a:b])])
@@ -215,14 +222,15 @@ def _asked(shards: int):
     def run(batches: Batches) -> Made:
         block = -1 - (TaskContext.get().partitionId() << 32)
         for held, keys, aside in _buffered(batches, "key", "held_out"):
-            words, rows = np.unique(np.concatenate(held), return_inverse=True)
+            for i, own in enumerate(held):
+                held[i] = np.unique(own, return_counts=True)
+            words = np.unique(np.concatenate([own for own, _ in held]))
             for shard, a, b in parts_of(_range(words, 32, shards)):
                 yield record(_BLOCK, [shard], [block], [_gaps(words[a:b])], [None], [None], [None], [None])
-            found = [np.unique(own, return_counts=True) for own in np.split(rows, np.cumsum([len(h) for h in held])[:-1])]
-            steps = np.concatenate([np.diff(places, prepend=0) for places, _ in found]).astype(np.uint64)
+            steps = np.concatenate([np.diff(np.searchsorted(words, own), prepend=0) for own, _ in held]).astype(np.uint64)
             yield record(_BLOCK, [block], [block], [_planes(steps)], [keys], [aside],
-                         [_planes(np.array([len(places) for places, _ in found], np.uint64))],
-                         [_planes(np.concatenate([uses for _, uses in found]).astype(np.uint64))])
+                         [_planes(np.array([len(own) for own, _ in held], np.uint64))],
+                         [_planes(np.concatenate([uses for _, uses in held]).astype(np.uint64))])
             block -= 1
     return run
 
